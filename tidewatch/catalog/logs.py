@@ -253,7 +253,7 @@ def head_n(spark, sf):
     return P.head_n(P.filter_label(logs_of(spark, sf), 1), ["timestamp", "event_id"], 10).select("event_id", "timestamp", "level")
 
 
-@query("sample_rows")
+@query("sample_rows", f"WITH {LOGS} SELECT event_id, level FROM logs ORDER BY md5('42-' || CAST(event_id AS VARCHAR)), event_id LIMIT 100")
 def sample_rows(spark, sf):
     return P.sample_rows(logs_of(spark, sf), 100, "event_id").select("event_id", "level")
 

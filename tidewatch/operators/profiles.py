@@ -125,8 +125,8 @@ def score_describe(df: DataFrame, col: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, repeatable: the smallest hashes win."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows without replacement, repeatable: the smallest digests win (top-n per task, then merged)."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col(key)).cast("binary")), key).limit(n)
 
 
 def sort_by_time(logs: DataFrame) -> DataFrame:
