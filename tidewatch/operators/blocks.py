@@ -131,8 +131,9 @@ def block_pairs(space: BlockSpace, near: float, far: float) -> DataFrame:
 
     ``full``: every row pair is within ``near`` (decided at any level, then not
     expanded).  Otherwise the row is a pair of blocks (level 0) to be compared.
-    Settled; columns level, a, b, full.
+    A negative ``near`` decides nothing early.  Settled; columns level, a, b, full.
     """
+    near2 = near * near if near >= 0 else -1.0
     boxes = lambda df, side: df.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "parent", "lo", "hi")])
 
     def judge(cand: DataFrame, level: int) -> DataFrame:
@@ -140,7 +141,7 @@ def block_pairs(space: BlockSpace, near: float, far: float) -> DataFrame:
         return settle(
             cand.filter(_gap2(*corners) <= far * far)
             .select(F.lit(level).alias("level"), F.col("node_a").alias("a"), F.col("node_b").alias("b"),
-                    (_reach2(*corners) <= near * near).alias("full")))
+                    (_reach2(*corners) <= near2).alias("full")))
 
     root = space.nodes[space.levels]
     judged = judge(boxes(root, "a").join(boxes(root, "b"), F.col("node_a") == F.col("node_b")), space.levels)
