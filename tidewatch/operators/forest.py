@@ -60,11 +60,10 @@ def fit_forest(points: DataFrame, id_col: str, vec_col: str, trees: int = TREES,
     """
     n = points.count()
     share = min(1.0, 4.0 * sample / max(n, 1))
-    key = F.col(id_col).cast("long")
-    draw = lambda t: F.pmod(F.xxhash64(key, F.lit(seed), t), F.lit(1 << 30)) / float(1 << 30)
-    offers = points.select(
-        key.alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)).alias("tree"))
+    draw = lambda t: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), t), F.lit(1 << 30)) / float(1 << 30)
+    rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    takers = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)
+    offers = rows.withColumn("tree", F.explode(takers))
     offers = offers.withColumn("h", F.xxhash64("id", F.lit(seed), "tree").bitwiseAND(F.lit((1 << 30) - 1)))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", "id"))
     picked = offers.withColumn("_rn", rank).filter(F.col("_rn") <= sample).drop("_rn")
