@@ -56,7 +56,7 @@ def _doc_terms(spark, sf):
 def tfidf(spark, sf):
     counts, terms = _doc_terms(spark, sf)
     n = counts.agg(F.sum("count")).first()[0]
-    return M.tfidf(terms, settle(M.vocabulary(terms, n))).select(F.md5(F.col("template").cast("binary")).alias("doc"), "count", "term", "weight")
+    return M.tfidf(terms, settle(M.vocabulary(terms, n))).select("doc", "count", "term", "weight")
 
 
 def _svd(spark, sf):
@@ -74,7 +74,7 @@ def svd_project(spark, sf):
     counts, n, names, idf, gram, sums, basis = _svd(spark, sf)
     model = M.TextModel(names, idf, basis, np.zeros((1, basis.shape[1])), 0.0, T.template_rarity(counts))
     e = counts.withColumn("e", M.embed(model)["embedding"])
-    return e.select(F.md5(F.col("template").cast("binary")).alias("doc"), *[F.col("e")[i].alias(f"tfidf_{i}") for i in range(basis.shape[1])])
+    return e.select(M.doc_key().alias("doc"), *[F.col("e")[i].alias(f"tfidf_{i}") for i in range(basis.shape[1])])
 
 
 @query("svd_explained")

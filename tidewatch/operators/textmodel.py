@@ -40,10 +40,17 @@ class TextModel:
     stop_words: tuple[str, ...] = field(default=STOP_WORDS)
 
 
+def doc_key(template: Column | str = "template") -> Column:
+    """Fixed-width stand-in for a template, so exploded rows never carry whole texts."""
+    return F.md5((F.col(template) if isinstance(template, str) else template).cast("binary"))
+
+
 def term_table(counts: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
-    """(template, count, term, tf): one row per distinct term of a template."""
-    terms = counts.select("template", "count", F.explode(tokenize_ngrams("template", stop_words)).alias("term"))
-    return terms.groupBy("template", "count", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, count, term, tf): one row per distinct term of a template."""
+    # Key and tokens are computed once per template, below the generator.
+    keyed = counts.select(doc_key().alias("doc"), "count", tokenize_ngrams("template", stop_words).alias("_t"))
+    terms = keyed.select("doc", "count", F.explode("_t").alias("term"))
+    return terms.groupBy("doc", "count", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(terms: DataFrame, n_docs: int, size: int = VOCABULARY, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
@@ -54,13 +61,13 @@ def vocabulary(terms: DataFrame, n_docs: int, size: int = VOCABULARY, min_df: in
 
 
 def tfidf(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """L2-normalised weights in long form (template, count, term, weight).
+    """L2-normalised weights in long form (doc, count, term, weight).
 
     ``vocab`` holds at most the vocabulary size, so broadcasting it is bounded.
     """
     raw = terms.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy("template").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, "template").select("template", "count", "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return raw.join(norms, "doc").select("doc", "count", "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
 def _term_matrix(tokens: pd.Series, index: dict[str, int], idf: np.ndarray) -> np.ndarray:
