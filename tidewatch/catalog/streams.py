@@ -1 +1,159 @@
+"""Streaming queries: the event table replayed as files, run to the end, result read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.catalog.base import LOGS, logs_of, query, volume_sql
+from tidewatch.catalog.models import SCORED, VOLUME_COLS, WEPS, WINDOWS, WNEED, dbscan_sql
+from tidewatch.catalog.text import set_model
+from tidewatch.operators.ranks import percentile_table
+from tidewatch.plans import detect as P
+from tidewatch.session import fresh_path
+from tidewatch.sources import logs as src
+from tidewatch.sources import sinks
+from tidewatch.streaming import detect as SD
+from tidewatch.streaming import features as SF
+
+FILES, LONG = 3, "60 days"
+
+
+def replay(spark, sf, key=None, parts=FILES, name="replay"):
+    """Write the events as ``parts`` files in a given arrival order and open them as a stream."""
+    path = fresh_path(spark, name)
+    for i in range(parts):
+        add_file(spark, sf, path, i, key, parts)
+    return path
+
+
+def add_file(spark, sf, path, i, key=None, parts=FILES):
+    events = spark.read.schema(src.EVENT_SCHEMA).parquet(f"{sf}/events.parquet")
+    key = F.col("event_id") % parts if key is None else key
+    events.filter(key == i).coalesce(1).write.mode("append").parquet(path)
+
+
+def opened(spark, path):
+    return src.events_as_logs(SF.file_stream(spark, path, src.EVENT_SCHEMA))
+
+
+def keep(path):
+    """Handler: store the updated windows of each batch; the newest version wins on read."""
+    return lambda batch, i: sinks.upsert_results(batch.withColumn("window_start", F.col("timestamp")), path, i)
+
+
+def stored(spark, path, cols):
+    return sinks.read_results(spark, path, "last").select(*cols)
+
+
+VCOLS = ["timestamp", *VOLUME_COLS]
+GT = ", g AS (SELECT time_bucket(INTERVAL '1 hour', timestamp) AS timestamp, max(is_anomaly) AS ground_truth FROM logs GROUP BY 1)"
+
+
+@query("stream_features", f"WITH {LOGS}{volume_sql('1 hour')}{GT} SELECT vol.*, ground_truth FROM vol JOIN g USING (timestamp)")
+def stream_features(spark, sf):
+    """Interleaved replay, update mode: the upserted result equals the batch result."""
+    out = fresh_path(spark, "stream-features")
+    features = SF.stream_volume(opened(spark, replay(spark, sf)), "1 hour", LONG)
+    SD.each_batch(features, keep(out), fresh_path(spark, "cp")).awaitTermination()
+    return stored(spark, out, [*VCOLS, "ground_truth"])
+
+
+@query("drain_on_stop", f"WITH {LOGS}{volume_sql('30 seconds')} SELECT count(*) AS windows, CAST(sum(log_count) AS BIGINT) AS logs, max(timestamp) AS last_window FROM vol")
+def drain_on_stop(spark, sf):
+    """Nothing stays open: the last windows are there although no later data closes them."""
+    out = fresh_path(spark, "drain")
+    features = SF.stream_volume(opened(spark, replay(spark, sf, parts=1)), "30 seconds")
+    SD.each_batch(features, keep(out), fresh_path(spark, "cp")).awaitTermination()
+    return stored(spark, out, VCOLS).agg(F.count(F.lit(1)).alias("windows"), F.sum("log_count").alias("logs"), F.max("timestamp").alias("last_window"))
+
+
+@query("resume", f"WITH {LOGS}{volume_sql('1 hour')} SELECT * FROM vol")
+def resume(spark, sf):
+    """Two files, stop, a third file, restart from the same checkpoint."""
+    out, cp, path = fresh_path(spark, "resume"), fresh_path(spark, "cp"), fresh_path(spark, "replay")
+    for stage in ([0, 1], [2]):
+        for i in stage:
+            add_file(spark, sf, path, i)
+        SD.each_batch(SF.stream_volume(opened(spark, path), "1 hour", LONG), keep(out), cp).awaitTermination()
+    return stored(spark, out, VCOLS)
+
+
+LATE = "event_id % 50 = 0"
+
+
+@query("late_data", f"WITH {LOGS}, kept AS (SELECT * FROM logs WHERE NOT ({LATE})){volume_sql('1 hour', source='kept')} SELECT * FROM vol")
+def late_data(spark, sf):
+    """Ten-day files in time order; some logs arrive two files late, past the watermark, and must not reopen a window."""
+    part = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 10)
+    arrival = F.when(F.expr(LATE), part + 3).otherwise(part)
+    out = fresh_path(spark, "late")
+    features = SF.stream_volume(opened(spark, replay(spark, sf, arrival, parts=6)), "1 hour", "1 hour")
+    SD.each_batch(features, keep(out), fresh_path(spark, "cp")).awaitTermination()
+    return stored(spark, out, VCOLS)
+
+
+@query("stream_all_features")
+def stream_all_features(spark, sf):
+    """All 30 features from one stateful aggregation."""
+    out = fresh_path(spark, "stream-all")
+    features = SF.stream_features(opened(spark, replay(spark, sf)), set_model(logs_of(spark, sf)), "1 hour", LONG)
+    SD.each_batch(features, keep(out), fresh_path(spark, "cp")).awaitTermination()
+    return sinks.read_results(spark, out, "last").drop("window_start")
+
+
+@query("stream_detect", f"WITH RECURSIVE {LOGS}{WINDOWS}{dbscan_sql(WEPS, WNEED)}{SCORED.replace('65', str(len(VOLUME_COLS) + 1))}{GT}, "
+       "o AS (SELECT make_timestamp(id) AS timestamp, CAST(label = -1 AS INTEGER) AS is_anomaly, round(raw / max(raw) OVER (), 6) AS anomaly_score, label AS cluster_label FROM rw) "
+       "SELECT timestamp, timestamp + INTERVAL 1 HOUR AS window_end, is_anomaly, anomaly_score, cluster_label, log_count, critical_count, ground_truth FROM o JOIN vol USING (timestamp) JOIN g USING (timestamp)")
+def stream_detect(spark, sf):
+    """Stored model applied to the stream: same flags and scores as the batch fit on the same windows."""
+    out = fresh_path(spark, "detect")
+    model = P.fit_detector(logs_of(spark, sf), "1 hour", WEPS, WNEED)
+    SD.start_detection(opened(spark, replay(spark, sf, parts=2)), model, "1 hour", out, fresh_path(spark, "cp"), LONG).awaitTermination()
+    return stored(spark, out, ["timestamp", "window_end", "is_anomaly", "anomaly_score", "cluster_label", "log_count", "critical_count", "ground_truth"])
+
+
+@query("snk_raw_logs", f"WITH {LOGS} SELECT event_id, timestamp, level, service, message FROM logs")
+def snk_raw_logs(spark, sf):
+    out = fresh_path(spark, "raw")
+    SD.start_raw_sink(opened(spark, replay(spark, sf)), out, fresh_path(spark, "cp")).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "timestamp", "level", "service", "message")
+
+
+# The last hours stay open in append mode: an hour is out once the watermark has passed its end.
+@query("stream_summary_hourly", f"""WITH {LOGS}{volume_sql('10 minutes', digits=None)}, wm AS (SELECT time_bucket(INTERVAL '1 hour', max(timestamp) - INTERVAL 1 MINUTE) AS t FROM logs)
+ SELECT time_bucket(INTERVAL '1 hour', timestamp) AS bucket, count(*) AS total_windows, count(*) FILTER (critical_rate >= 0.5) AS anomaly_count,
+ round(avg(critical_rate), 6) AS avg_anomaly_score, round(max(critical_rate), 6) AS max_anomaly_score, round(avg(error_rate), 6) AS avg_error_rate,
+ round(avg(critical_rate), 6) AS avg_critical_rate FROM vol, wm WHERE timestamp < wm.t GROUP BY 1""")
+def stream_summary_hourly(spark, sf):
+    """Window aggregate chained into the hourly one, append mode, one query."""
+    out = fresh_path(spark, "hourly")
+    stream = SF.stream_summary_hourly(opened(spark, replay(spark, sf, parts=1)), "10 minutes", F.col("critical_rate"), (F.col("critical_rate") >= 0.5).cast("int"))
+    handle = lambda batch, i: sinks.write_by_date(batch, out, i, "bucket")
+    SD.each_batch(stream, handle, fresh_path(spark, "cp"), "append").awaitTermination()
+    return spark.read.parquet(out).drop("date", "batch")
+
+
+@query("throughput_counters", "SELECT count(*) AS logs, 0 AS dropped_late FROM events")
+def throughput_counters(spark, sf):
+    """Totals from the query's own progress reports."""
+    out = fresh_path(spark, "count")
+    q = SD.each_batch(SF.stream_volume(opened(spark, replay(spark, sf)), "1 hour", LONG), keep(out), fresh_path(spark, "cp"))
+    q.awaitTermination()
+    total = SD.counters(q)
+    return spark.createDataFrame([(total["logs"], total["dropped_late"])], "logs long, dropped_late int")
+
+
+@query("latency_stage_split")
+def latency_stage_split(spark, sf):
+    """p50 and p95 per stage; the file's modification time stands for the ingest time."""
+    out, path = fresh_path(spark, "latency"), replay(spark, sf)
+    stream = SF.file_stream(spark, path, src.EVENT_SCHEMA)
+    stamped = stream.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("_metadata.file_modification_time").alias("ingest_time"))
+    SD.start_latency(stamped, out, fresh_path(spark, "cp")).awaitTermination()
+    rows = spark.read.parquet(out)
+    stages = ["event_to_ingest_ms", "ingest_to_start_ms", "start_to_alert_ms"]
+    result = None
+    for stage in stages:
+        part = percentile_table(rows, stage, {"p50": 0.5, "p95": 0.95}).select(F.lit(stage).alias("stage"), "p50", "p95")
+        result = part if result is None else result.unionByName(part)
+    return result

@@ -19,16 +19,21 @@ def results_rates(results: DataFrame) -> DataFrame:
     })
 
 
-def results_latest(results: DataFrame, arrival: str = "arrival") -> DataFrame:
+def results_latest(results: DataFrame, arrival: str = "arrival", truth: str = "first") -> DataFrame:
     """Upsert semantics: the last write per key wins, the first ground truth stays.
 
+    ``truth="last"`` lets the label follow too, as needed when one window is
+    written again because it grew.
+
     One aggregation with map-side combine: a key written very often is reduced
     before it is shuffled, and no key's versions are collected.
     """
+    if "ground_truth" not in results.columns:
+        results = results.withColumn("ground_truth", F.lit(None).cast("int"))
     body = [c for c in results.columns if c not in (*RESULT_KEY, "ground_truth", arrival)]
     picked = results.groupBy(*RESULT_KEY).agg(
         F.max_by(F.struct(*body), F.col(arrival)).alias("_last"),
-        F.min_by("ground_truth", F.col(arrival)).alias("ground_truth"),
+        (F.min_by if truth == "first" else F.max_by)("ground_truth", F.col(arrival)).alias("ground_truth"),
         F.max(arrival).alias(arrival),
     )
     return picked.select(*RESULT_KEY, "_last.*", "ground_truth", arrival)

@@ -35,10 +35,12 @@ def upsert_results(batch: DataFrame, path: str, batch_id: int, arrival: str | No
     write_by_date(unique, path, batch_id)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Current rows of an upserted table; date filters on ``date`` prune partitions."""
+def read_results(spark: SparkSession, path: str, truth: str = "first", dates: tuple[str, str] | None = None) -> DataFrame:
+    """Current rows of an upserted table; ``dates`` (first, last) limits the partitions read."""
     stored = spark.read.parquet(path)
-    return results_latest(stored.drop("date"), "batch").drop("batch")
+    if dates:
+        stored = stored.filter(F.col("date").between(F.lit(dates[0]).cast("date"), F.lit(dates[1]).cast("date")))
+    return results_latest(stored.drop("date"), "batch", truth).drop("batch")
 
 
 def compact_results(spark: SparkSession, path: str, out: str) -> None:
