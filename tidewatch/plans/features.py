@@ -10,6 +10,7 @@ from tidewatch.operators.templates import with_template
 from tidewatch.operators.textmodel import TextModel, message_score, template_features
 from tidewatch.operators.windows import count_aggs, gap_fill, group_by_window, window_rates
 from tidewatch.schemas import COUNT_COLS, TEXT_DIMS, VOLUME_COLS, WINDOW_WIDTH
+from tidewatch.session import settle
 
 
 def mean_over(cols: list[str], weight: str = "_n") -> list:
@@ -30,14 +31,17 @@ def per_template(logs: DataFrame, width: str) -> DataFrame:
     return group_by_window(with_template(logs), [*count_aggs(), F.count(F.lit(1)).alias("_n")], width, keys=["template"])
 
 
-def text_window_features(counted: DataFrame, model: TextModel, cluster: str = "mode", extremes: tuple[float, float] | None = None) -> DataFrame:
-    """(window, template) counts with the template's features attached, message score included."""
-    found = template_features(counted.select("template").distinct(), model)
+def with_text_features(counted: DataFrame, model: TextModel, extremes: tuple[float, float] | None = None) -> DataFrame:
+    """(window, template) counts with the template's features attached, message score included.
+
+    Template features are settled: they are read for the extremes and for the
+    join, and must not be evaluated again over anything larger.
+    """
+    found = settle(template_features(counted.select("template").distinct(), model))
     if extremes is None:
-        ends = found.agg(F.struct(F.min("message_distance").alias("lo"), F.max("message_distance").alias("hi")).alias("e")).scalar()
-        low, high = ends.getField("lo"), ends.getField("hi")
-    else:
-        low, high = (F.lit(float(x)) for x in extremes)
+        ends = found.agg(F.min("message_distance").alias("lo"), F.max("message_distance").alias("hi")).first()
+        extremes = (ends["lo"] or 0.0, ends["hi"] or 0.0)
+    low, high = (F.lit(float(x)) for x in extremes)
     return counted.join(message_score(found, low, high), "template")
 
 
@@ -45,11 +49,12 @@ def all_features(logs: DataFrame, model: TextModel, width: str = WINDOW_WIDTH, c
                  extremes: tuple[float, float] | None = None) -> DataFrame:
     """Volume and text features in one aggregation per window, NaN and infinities as 0.
 
-    Logs are first counted per (window, template); template features are
-    computed once per distinct template and joined to those counts.  A hot
+    Logs are scanned once and counted per (window, template), a table that is
+    kept; template features are computed once per distinct template and joined
+    to those counts.  A hot
     template or window is therefore combined before anything is shuffled.
     """
-    joined = text_window_features(per_template(logs, width), model, cluster, extremes)
+    joined = with_text_features(settle(per_template(logs, width)), model, extremes)
     dims = [f"tfidf_{i}" for i in range(model.basis.shape[1])]
     group = (
         weighted_mode("message_cluster", len(model.centers)).alias("message_cluster") if cluster == "mode"

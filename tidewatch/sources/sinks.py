@@ -17,9 +17,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_by_date(df: DataFrame, path: str, batch_id: int, ts: str = "timestamp") -> None:
-    """Parquet partitioned by (date, batch); rewriting the same batch replaces only its own files."""
+    """Parquet partitioned by (date, batch); rewriting the same batch replaces only its own files.
+
+    Rows are rebalanced by date: one file per ordinary date, several for a date
+    that holds much of the batch.
+    """
+    dated = df.withColumns({"date": F.to_date(ts), "batch": F.lit(batch_id).cast("long")})
     (
-        df.withColumns({"date": F.to_date(ts), "batch": F.lit(batch_id).cast("long")})
+        dated.hint("rebalance", "date")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
     )
 
