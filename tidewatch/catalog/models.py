@@ -9,8 +9,10 @@ from tidewatch.functions.scalar import noise_flag
 from tidewatch.functions.vector import assemble, bounded_centers, nearest_center
 from tidewatch.operators import dbscan as D
 from tidewatch.operators import evaluation as E
+from tidewatch.operators import hdbscan as H
 from tidewatch.operators import scoring as S
 from tidewatch.operators import templates as T
+from tidewatch.operators.blocks import build_blocks
 from tidewatch.operators.forest import isolation_forest
 from tidewatch.operators.silhouette import silhouette
 from tidewatch.operators.textmodel import kmeans_fit, message_score
@@ -203,6 +205,24 @@ def _near_fixed(v, centers):
         F.count(F.lit(1)).alias("size"), F.avg("n.distance").alias("avg_distance"))
 
 
+@query("hdbscan_core_distance", f"""WITH {V}, d AS (SELECT a.id, list_distance(a.vec, b.vec) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec)) AS k
+ FROM v a JOIN v b ON a.id <> b.id) SELECT id, round(d, 6) AS core_distance FROM d WHERE k = 5""")
+def hdbscan_core_distance(spark, sf):
+    space = build_blocks(settle(D.collapse_copies(vectors(spark, sf), "id", "vec")))
+    return H.core_distances(space, [5]).select("id", F.col("core")[0].alias("core_distance"))
+
+
+@query("hdbscan")
+def hdbscan(spark, sf):
+    return H.hdbscan(vectors(spark, sf), 5, 3, "id", "vec")
+
+
+@query("tune_hdbscan")
+def tune_hdbscan(spark, sf):
+    v = vectors(spark, sf).withColumn("truth", F.col("label") == 0).drop("label")
+    return tuning.tune_hdbscan(v, "id", "vec", "truth", [5, 10], [3])
+
+
 # ---- tuning ----------------------------------------------------------------------------------
 
 TEPS, TMIN = [1.1, 1.15, 1.2], [4, 8]

@@ -27,6 +27,8 @@ def bounded_centers(centers: DataFrame, label: str = "label", vec: str = "center
     rows = centers.select(F.col(label), F.col(vec)).limit(limit + 1).collect()
     if len(rows) > limit:
         return None
+    if not rows:
+        return [], np.zeros((0, 0))
     rows = sorted(rows, key=lambda r: r[0])
     return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
 

@@ -51,20 +51,28 @@ def _pack(rows_per_block: int):
         size = seq = 0
         part = 0
 
-        def emit(limit):
+        def emit(last):
             nonlocal held, size, seq
             ids, mat, w, tag = (np.concatenate([h[i] for h in held]) for i in range(4))
             rows = []
             at = 0
-            while len(ids) - at >= limit and len(ids) > at:
-                cut = slice(at, at + rows_per_block)
+            while at < len(ids):
+                left = len(ids) - at
+                if left < 2 * rows_per_block:
+                    if not last:
+                        break
+                    # The rest is cut evenly, so no block is left almost empty.
+                    step = left if left <= rows_per_block else (left + 1) // 2
+                else:
+                    step = rows_per_block
+                cut = slice(at, at + step)
                 m = np.ascontiguousarray(mat[cut])
                 tags = tag[cut]
                 real = tags[tags >= 0]
                 rows.append((part, seq, len(m), ids[cut].tobytes(), m.tobytes(), w[cut].tobytes(), tags.tobytes(),
                              m.min(0).tolist(), m.max(0).tolist(), int(w[cut].sum()), int(real.min()) if len(real) else -1))
                 seq += 1
-                at += rows_per_block
+                at += step
             held = [(ids[at:], mat[at:], w[at:], tag[at:])] if at < len(ids) else []
             size = max(len(ids) - at, 0)
             return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
@@ -76,10 +84,10 @@ def _pack(rows_per_block: int):
             held.append((pdf["id"].to_numpy(np.int64), np.stack(pdf["vec"].to_numpy()).astype(np.float64),
                          pdf["weight"].to_numpy(np.int64), pdf["tag"].to_numpy(np.int64)))
             size += len(pdf)
-            if size >= rows_per_block:
-                yield emit(rows_per_block)
+            if size >= 2 * rows_per_block:
+                yield emit(False)
         if size:
-            yield emit(1)
+            yield emit(True)
 
     return pack
 
@@ -126,38 +134,69 @@ def _reach2(lo_a, hi_a, lo_b, hi_b) -> Column:
     return F.aggregate(side, F.lit(0.0), lambda s, x: s + x * x)
 
 
-def block_pairs(space: BlockSpace, near: float, far: float) -> DataFrame:
-    """Pairs a <= b of tree nodes that can hold rows within ``far`` of each other.
+def sides(df: DataFrame, side: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in drop])
 
-    ``full``: every row pair is within ``near`` (decided at any level, then not
-    expanded).  Otherwise the row is a pair of blocks (level 0) to be compared.
-    A negative ``near`` decides nothing early.  Settled; columns level, a, b, full.
+
+def box_gap2() -> Column:
+    """Squared distance between the boxes of a candidate pair: no row pair is closer."""
+    return _gap2(*[F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")])
+
+
+def box_reach2() -> Column:
+    """Squared distance between the far corners of a candidate pair: no row pair is further."""
+    return _reach2(*[F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")])
+
+
+def descend(nodes: list, judge) -> DataFrame:
+    """Walk pairs a <= b of tree nodes from the root to the blocks.
+
+    ``nodes[l]`` holds the nodes of level l with whatever bounds the caller
+    needs.  ``judge(candidates, level)`` gets columns ``*_a`` and ``*_b`` and
+    returns the surviving pairs as (level, a, b, full); ``full`` pairs are not
+    expanded.  Result: all full pairs plus the remaining pairs of blocks, settled.
     """
-    near2 = near * near if near >= 0 else -1.0
-    boxes = lambda df, side: df.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "parent", "lo", "hi")])
-
-    def judge(cand: DataFrame, level: int) -> DataFrame:
-        corners = [F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")]
-        return settle(
-            cand.filter(_gap2(*corners) <= far * far)
-            .select(F.lit(level).alias("level"), F.col("node_a").alias("a"), F.col("node_b").alias("b"),
-                    (_reach2(*corners) <= near2).alias("full")))
-
-    root = space.nodes[space.levels]
-    judged = judge(boxes(root, "a").join(boxes(root, "b"), F.col("node_a") == F.col("node_b")), space.levels)
-    done = judged.filter("full") if space.levels else judged
-    for level in range(space.levels - 1, -1, -1):
-        active = judged.filter(~F.col("full"))
+    top = len(nodes) - 1
+    root = nodes[top]
+    judged = settle(judge(sides(root, "a").join(sides(root, "b"), F.col("node_a") == F.col("node_b")), top))
+    done = judged.filter("full") if top else judged
+    for level in range(top - 1, -1, -1):
+        active = judged.filter(~F.col("full")).select("a", "b")
         cand = (
-            active.join(boxes(space.nodes[level], "a"), F.col("a") == F.col("parent_a"))
-            .join(boxes(space.nodes[level], "b"), F.col("b") == F.col("parent_b"))
-            .filter(F.col("node_a") <= F.col("node_b"))
+            active.join(sides(nodes[level], "a"), F.col("a") == F.col("parent_a"))
+            .join(sides(nodes[level], "b"), F.col("b") == F.col("parent_b"))
+            .filter(F.col("node_a") <= F.col("node_b")).drop("a", "b")
         )
-        judged = judge(cand, level)
+        judged = settle(judge(cand, level))
         done = done.unionByName(judged if level == 0 else judged.filter("full"))
     return done
 
 
+def verdict(cand: DataFrame, level: int, full: Column) -> DataFrame:
+    return cand.select(F.lit(level).alias("level"), F.col("node_a").alias("a"), F.col("node_b").alias("b"), full.alias("full"))
+
+
+def block_pairs(space: BlockSpace, near: float, far: float) -> DataFrame:
+    """Pairs of tree nodes that can hold rows within ``far`` of each other.
+
+    ``full``: every row pair is within ``near`` (decided at any level, then not
+    expanded).  Otherwise the row is a pair of blocks (level 0) to be compared.
+    A negative ``near`` decides nothing early.
+    """
+    near2 = near * near if near >= 0 else -1.0
+    return descend(space.nodes, lambda cand, level: verdict(cand.filter(box_gap2() <= far * far), level, box_reach2() <= near2))
+
+
+def roll_up(leaf: DataFrame, space: BlockSpace, aggs: list[Column]) -> list:
+    """Box tree with extra per-node columns, aggregated from per-block values."""
+    out, current = [], leaf.withColumnRenamed("block", "node")
+    for level in range(space.levels + 1):
+        if level:
+            current = current.groupBy(F.shiftright("node", FAN_BITS).alias("node")).agg(*aggs)
+        out.append(settle(space.nodes[level].join(current, "node")))
+    return out
+
+
 def with_sides(pairs: DataFrame, packed: DataFrame, cols: list[str]) -> DataFrame:
     """Attach the payload of both blocks to undecided pairs."""
     side = lambda s: packed.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators.dbscan import dbscan_grid
 from tidewatch.operators.evaluation import add_metrics, confusion_aggs
 from tidewatch.operators.forest import fit_forest, forest_scores
+from tidewatch.operators.hdbscan import hdbscan_grid
 from tidewatch.operators.ranks import percentile_table
 from tidewatch.session import settle
 
@@ -33,6 +34,17 @@ def tune_dbscan(points: DataFrame, id_col: str, vec_col: str, truth_col: str, ep
     return grid_metrics(labels, points, id_col, truth_col, ["eps", "min_samples"], settings)
 
 
+def tune_hdbscan(points: DataFrame, id_col: str, vec_col: str, truth_col: str, size_values: Sequence[int] = MIN_CLUSTER_SIZE_GRID,
+                 min_samples_values: Sequence[int] = HDBSCAN_MIN_SAMPLES_GRID) -> DataFrame:
+    """min_cluster_size, min_samples, n_clusters, n_noise, noise_pct, precision, recall, f1_score.
+
+    One neighbour search for the grid, one spanning tree per min_samples.
+    """
+    settings = [(m, k) for m in size_values for k in min_samples_values]
+    labels = hdbscan_grid(points, settings, id_col, vec_col)
+    return grid_metrics(labels, points, id_col, truth_col, ["min_cluster_size", "min_samples"], settings)
+
+
 def grid_metrics(labels: DataFrame, points: DataFrame, id_col: str, truth_col: str, names: Sequence[str], settings: Sequence[tuple]) -> DataFrame:
     """Cluster counts and metrics per setting, from (setting, id, label)."""
     truth = points.select(F.col(id_col).cast("long").alias("id"), F.col(truth_col).cast("int").alias("truth"))

@@ -69,10 +69,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and cut its lineage.
+    """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors.
 
-    Used where a plan is read several times or where row placement must not
-    change if an executor is lost (partition-derived row numbers).
+    Used where a plan is read several times or where row placement must not be
+    decided twice.  The table's real size is then known to the planner, so a
+    later broadcast is chosen by measured bytes.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = fresh_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this package has put below the shared folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewatch")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

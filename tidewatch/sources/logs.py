@@ -85,7 +85,7 @@ def decode_json_logs(df: DataFrame, value: str = "value", schema: T.StructType =
         *rest,
         ts.alias("timestamp"),
         *[F.col(f"_p.{f.name}").alias(f.name) for f in schema.fields if f.name != "timestamp"],
-        F.when(bad, F.col("_raw")).alias("corrupt"),
+        F.when(bad, F.coalesce("_raw", F.lit(""))).alias("corrupt"),
     )
 
 
