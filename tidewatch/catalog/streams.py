@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.base import LOGS, logs_of, query, volume_sql
 from tidewatch.catalog.models import SCORED, VOLUME_COLS, WEPS, WINDOWS, WNEED, dbscan_sql
 from tidewatch.catalog.text import set_model
-from tidewatch.operators.ranks import percentile_table
+from tidewatch.operators.ranks import describe_columns
 from tidewatch.plans import detect as P
 from tidewatch.session import fresh_path
 from tidewatch.sources import logs as src
@@ -150,10 +150,6 @@ def latency_stage_split(spark, sf):
     stream = SF.file_stream(spark, path, src.EVENT_SCHEMA)
     stamped = stream.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("_metadata.file_modification_time").alias("ingest_time"))
     SD.start_latency(stamped, out, fresh_path(spark, "cp")).awaitTermination()
-    rows = spark.read.parquet(out)
     stages = ["event_to_ingest_ms", "ingest_to_start_ms", "start_to_alert_ms"]
-    result = None
-    for stage in stages:
-        part = percentile_table(rows, stage, {"p50": 0.5, "p95": 0.95}).select(F.lit(stage).alias("stage"), "p50", "p95")
-        result = part if result is None else result.unionByName(part)
-    return result
+    stats = describe_columns(spark.read.parquet(out), stages, {"p50": 0.5, "p95": 0.95})
+    return stats.select(F.col("metric").alias("stage"), "p50", "p95")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import round_pct
-from tidewatch.operators.ranks import percentile_table
+from tidewatch.operators.ranks import describe_columns
 from tidewatch.operators.windows import gap_fill, group_by_window
 from tidewatch.schemas import CRITICAL_LEVELS
+from tidewatch.session import settle
 
 # Calendar order.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -18,7 +19,7 @@ WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
     """Count and share (%) per value."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    counts = settle(df.groupBy(col).agg(F.count(F.lit(1)).alias("count")))
     total = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("percentage", F.col("count") * 100.0 / total)
 
@@ -116,12 +117,8 @@ def dataset_summary(logs: DataFrame) -> DataFrame:
 
 
 def score_describe(df: DataFrame, col: str) -> DataFrame:
-    """count, mean, std, min, quartiles, max; quartiles are exact and distributed."""
-    basic = df.agg(
-        F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-        F.min(col).alias("min"), F.max(col).alias("max"))
-    quarters = percentile_table(df, col, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return basic.withColumns({c: quarters.select(c).scalar() for c in quarters.columns})
+    """count, mean, std, min, max, quartiles; exact, one pass over the rows."""
+    return describe_columns(df, [col], {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("metric")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

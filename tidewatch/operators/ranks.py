@@ -34,30 +34,38 @@ def running_total(df: DataFrame, order: Sequence[str], weight: str | None = None
     )
 
 
-def percentile_table(df: DataFrame, col: str, points: dict[str, float]) -> DataFrame:
-    """One row of linearly interpolated exact percentiles, ``{alias: p}``.
+def describe_columns(df: DataFrame, cols: Sequence[str], points: dict[str, float]) -> DataFrame:
+    """One row per column: metric, count, mean, std, min, max and exact percentiles ``{alias: p}``.
 
-    Position is (n - 1) * p as in the classical definition.  Equal values are
-    counted first, so a hot value is one row, and no task holds all values.
+    One pass over ``df`` reduces it to (metric, value, count), so a hot value is
+    one row; everything else is derived from that table.  Percentiles are
+    linearly interpolated at position (n - 1) * p.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, ["_v"], "_n")
-    total = ranked.agg(F.max("upto").alias("n")).scalar()
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*")
+    hist = stacked.filter(F.col("v").isNotNull()).groupBy("metric", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = settle(running_total(hist, ["metric", "v"], "n"))
+    total = F.sum("n")
+    basic = ranked.groupBy("metric").agg(
+        total.alias("count"), (F.sum(F.col("v") * F.col("n")) / total).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"),
+        (F.min(F.col("upto") - F.col("n"))).alias("_base"))
+    # One row per column: bounded by the width of the table.
+    keyed = ranked.join(F.broadcast(basic), "metric")
+    upto = F.col("upto") - F.col("_base")
 
     def at(position: Column) -> Column:
-        hit = (F.col("upto") > position) & (F.col("upto") - F.col("_n") <= position)
-        return F.max(F.when(hit, F.col("_v")))
+        return F.max(F.when((upto > position) & (upto - F.col("n") <= position), F.col("v")))
 
-    aggs, names = [], []
-    keyed = ranked.withColumn("_total", total)
-    for alias, p in points.items():
-        k = (F.col("_total") - 1) * F.lit(float(p))
+    place = {alias: (F.col("count") - 1) * F.lit(float(p)) for alias, p in points.items()}
+    aggs = [F.sum(F.col("n") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("_ss")]
+    for alias, k in place.items():
         aggs += [at(F.floor(k)).alias(f"{alias}_lo"), at(F.ceil(k)).alias(f"{alias}_hi")]
-        names.append((alias, p))
-    row = keyed.agg(F.max("_total").alias("_total"), *aggs)
-    out = []
-    for alias, p in names:
-        k = (F.col("_total") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"{alias}_lo"), F.col(f"{alias}_hi")
-        out.append((lo + (k - F.floor(k)) * (hi - lo)).alias(alias))
-    return row.select(*out)
+    row = keyed.groupBy("metric", "count", "mean", "min", "max").agg(*aggs)
+    between = lambda a, k: (F.col(f"{a}_lo") + (k - F.floor(k)) * (F.col(f"{a}_hi") - F.col(f"{a}_lo"))).alias(a)
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1)))
+    return row.select("metric", "count", "mean", std.alias("std"), "min", "max", *[between(a, k) for a, k in place.items()])
+
+
+def percentile_table(df: DataFrame, col: str, points: dict[str, float]) -> DataFrame:
+    """One row of exact percentiles of one column."""
+    return describe_columns(df, [col], points).select(*points)

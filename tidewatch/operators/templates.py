@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import normalize_message
 from tidewatch.operators.windows import group_by_window
 from tidewatch.schemas import RARE_ABOVE
+from tidewatch.session import settle
 
 
 def with_template(logs: DataFrame) -> DataFrame:
@@ -62,12 +63,15 @@ def hourly_text_metrics(scored: DataFrame) -> DataFrame:
     """Per hour: new templates, mean message score, mean rarity.
 
     ``scored`` has timestamp, template, message_anomaly_score, message_rarity.
-    The first sighting of a template is a min per template (map-side combined),
-    counted per hour and joined to the hourly means.
+    Logs are reduced once to (hour, template) sums; both the means and the first
+    sightings come from that table.
     """
-    means = group_by_window(scored, [
-        F.avg("message_anomaly_score").alias("avg_anomaly_score"), F.avg("message_rarity").alias("avg_rarity")], "1 hour")
-    first = scored.groupBy("template").agg(F.min("timestamp").alias("timestamp"))
+    per = settle(group_by_window(scored, [
+        F.count(F.lit(1)).alias("n"), F.sum("message_anomaly_score").alias("score"), F.sum("message_rarity").alias("rarity"),
+        F.min("timestamp").alias("first")], "1 hour", keys=["template"]))
+    means = per.groupBy("timestamp").agg(
+        (F.sum("score") / F.sum("n")).alias("avg_anomaly_score"), (F.sum("rarity") / F.sum("n")).alias("avg_rarity"))
+    first = per.groupBy("template").agg(F.min("first").alias("timestamp"))
     fresh = group_by_window(first, [F.count(F.lit(1)).alias("new_templates")], "1 hour")
     return (
         means.join(fresh, "timestamp", "left").withColumn("new_templates", F.coalesce("new_templates", F.lit(0)))
@@ -82,7 +86,7 @@ def template_drift(logs: DataFrame, period: str = "1 day", rare_share: float = 0
     period, absent in this one.  ``spike``: rare in the last period (share of
     logs below ``rare_share``) and at least ``spike_factor`` times as frequent now.
     """
-    per = group_by_window(with_template(logs), [F.count(F.lit(1)).alias("n")], period, keys=["template"])
+    per = settle(group_by_window(with_template(logs), [F.count(F.lit(1)).alias("n")], period, keys=["template"]))
     totals = per.groupBy("timestamp").agg(F.sum("n").alias("total"))
     births = per.groupBy("template").agg(F.min("timestamp").alias("born"))
     bounds = totals.agg(F.max("timestamp")).scalar()

@@ -11,7 +11,7 @@ from tidewatch.operators.dbscan import dbscan_grid
 from tidewatch.operators.evaluation import add_metrics, confusion_aggs
 from tidewatch.operators.forest import fit_forest, forest_scores
 from tidewatch.operators.hdbscan import hdbscan_grid
-from tidewatch.operators.ranks import percentile_table
+from tidewatch.operators.ranks import describe_columns
 from tidewatch.session import settle
 
 # The published grids.
@@ -70,16 +70,15 @@ def tune_forest(points: DataFrame, id_col: str, vec_col: str, truth_col: str, co
     forest = fit_forest(points, id_col, vec_col, trees=tree_counts[-1], seed=seed)
     scored = settle(points.select(
         F.col(truth_col).cast("int").alias("truth"), forest_scores(vec_col, forest, tree_counts).alias("s")))
-    out = None
-    for i, trees in enumerate(tree_counts):
-        one = scored.select("truth", F.col("s")[i].alias("score"))
-        cuts = percentile_table(one, "score", {f"c{j}": c for j, c in enumerate(contaminations)}).first()
-        flags = F.array(*[
-            F.struct(F.lit(float(c)).alias("contamination"), (F.col("score") < F.lit(cuts[j])).cast("int").alias("flag"))
-            for j, c in enumerate(contaminations)])
-        part = one.select("truth", F.explode(flags).alias("f")).select("truth", "f.*").groupBy("contamination").agg(*confusion_aggs("truth", "flag"))
-        part = part.withColumn("n_estimators", F.lit(trees))
-        out = part if out is None else out.unionByName(part)
+    names = [f"s{i}" for i in range(len(tree_counts))]
+    scored = scored.select("truth", *[F.col("s")[i].alias(n) for i, n in enumerate(names)])
+    cuts = {r["metric"]: r for r in describe_columns(scored, names, {f"c{j}": c for j, c in enumerate(contaminations)}).collect()}
+    flags = F.array(*[
+        F.struct(F.lit(float(c)).alias("contamination"), F.lit(trees).alias("n_estimators"),
+                 (F.col(n) < F.lit(cuts[n][f"c{j}"])).cast("int").alias("flag"))
+        for n, trees in zip(names, tree_counts) for j, c in enumerate(contaminations)])
+    out = scored.select("truth", F.explode(flags).alias("f")).select("truth", "f.*").groupBy("contamination", "n_estimators").agg(
+        *confusion_aggs("truth", "flag"))
     predicted, total = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
     return add_metrics(out, degenerate_zero=True).select(
         "contamination", "n_estimators", predicted.alias("n_predicted"), (predicted * 100.0 / total).alias("predicted_pct"),

@@ -17,16 +17,25 @@ from tidewatch.streaming.features import WATERMARK, stream_features, stream_volu
 
 
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update",
-               every: str | None = None) -> StreamingQuery:
+               every: str | None = None, state_partitions: int | None = None) -> StreamingQuery:
     """Start a query that hands micro-batches to ``handle``.
 
+    The number of state partitions is fixed for the life of a checkpoint; the
+    default is one per core the cluster offers, whatever batch jobs use.
+
     ``every`` = processing-time trigger; without it, what is available is
     drained and the query ends.  Offsets live in the checkpoint; a batch that
     fails is replayed under the same id, so handlers must be idempotent per id.
     """
     writer = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    conf.set(key, state_partitions or stream.sparkSession.sparkContext.defaultParallelism)
+    try:
+        return writer.start()  # the query runs in its own copy of the session
+    finally:
+        conf.set(key, before)
 
 
 def result_rows(scored: DataFrame, features: DataFrame, width: str) -> DataFrame:
