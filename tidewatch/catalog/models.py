@@ -174,7 +174,9 @@ def detect_batch(spark, sf):
     return P.detect_batch(logs_of(spark, sf), "1 hour", WEPS, WNEED)
 
 
-@query("snk_model_save")
+@query("snk_model_save", f"WITH RECURSIVE {LOGS}{WINDOWS}{dbscan_sql(WEPS, WNEED)}{SCORED.replace('65', str(len(VOLUME_COLS) + 1))}, "
+       "o AS (SELECT make_timestamp(id) AS timestamp, round(raw / max(raw) OVER (), 6) AS s, label FROM rw) "
+       "SELECT timestamp, s AS before, label AS before_label, s AS after, label AS after_label FROM o")
 def model_round_trip(spark, sf):
     """Scores of a saved and reloaded detector next to those of the one in memory."""
     logs, path = logs_of(spark, sf), fresh_path(spark, "detector")
@@ -261,10 +263,13 @@ def best_config(spark, sf):
     return E.best_config(_grid(spark, sf), ["eps", "min_samples"])
 
 
+HEAT = ["f1_score", "precision", "recall", "noise_pct"]
+
+
 @query("pivot_tuning", _tune_sql() + " SELECT min_samples, " + ", ".join(
-    f"max(noise_pct) FILTER (eps = {e}) AS eps_{str(e).replace('.', '_')}" for e in TEPS) + " FROM grid GROUP BY 1")
+    f"max({m}) FILTER (eps = {e}) AS {m}_{str(e).replace('.', '_')}" for e in TEPS for m in HEAT) + " FROM grid GROUP BY 1")
 def pivot_tuning(spark, sf):
-    return E.pivot_tuning(_grid(spark, sf), "min_samples", "eps", TEPS, "noise_pct")
+    return E.pivot_tuning(_grid(spark, sf), "min_samples", "eps", TEPS, HEAT)
 
 
 @query("tune_forest")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import LOGS, logs_of, query, volume_sql
 from tidewatch.catalog.models import SCORED, VOLUME_COLS, WEPS, WINDOWS, WNEED, dbscan_sql
-from tidewatch.catalog.text import set_model
+from tidewatch.catalog.text import all_features_sql, set_model
 from tidewatch.operators.ranks import describe_columns
 from tidewatch.plans import detect as P
 from tidewatch.session import fresh_path
@@ -92,7 +92,7 @@ def late_data(spark, sf):
     return stored(spark, out, VCOLS)
 
 
-@query("stream_all_features")
+@query("stream_all_features", all_features_sql(per_window=True))
 def stream_all_features(spark, sf):
     """All 30 features from one stateful aggregation."""
     out = fresh_path(spark, "stream-all")

@@ -172,7 +172,7 @@ def set_model(logs) -> M.TextModel:
     return M.TextModel(TERMS, IDF, np.eye(15), centers, 1.0, T.template_rarity(T.template_counts(logs)))
 
 
-def _all_features_sql() -> str:
+def all_features_sql(per_window: bool = False) -> str:
     raw = ", ".join(f"len(list_filter(t, lambda x: x = '{t}')) * {w:.1f} AS x{i}" for i, (t, w) in enumerate(zip(TERMS, IDF)))
     norm = "sqrt(" + " + ".join(f"x{i} * x{i}" for i in range(15)) + ")"
     y = ", ".join(f"x{i} / CASE WHEN {norm} > 0 THEN {norm} ELSE 1 END AS tfidf_{i}" for i in range(15))
@@ -180,19 +180,21 @@ def _all_features_sql() -> str:
     d2 = [f"({sq} - 2 * tfidf_{TERMS.index(t)} + 1)" for t in CENTER_TERMS]
     dist = ", ".join(d2)
     pick = f"list_position([{dist}], list_min([{dist}])) - 1"
+    score = "(sum(n * distance) / sum(n) - min(distance)) / (max(distance) - min(distance) + 1e-10)" if per_window else "sum(n * score) / sum(n)"
     means = ", ".join(f"round(sum(n * tfidf_{i}) / sum(n), 6) AS tfidf_{i}" for i in range(15))
     return f"""WITH {LOGS}{TEMPLATES}{volume_sql('1 hour')}, cn AS (SELECT template, count(*) AS c FROM tlogs GROUP BY 1){grams_sql('cn', 'template', 'template, c')},
  x AS (SELECT template, c, {raw} FROM tk), y AS (SELECT template, c, {y} FROM x),
  z AS (SELECT *, CAST({pick} AS INTEGER) AS cluster, sqrt(greatest(list_min([{dist}]), 0)) AS distance FROM y),
  s AS (SELECT *, (distance - min(distance) OVER ()) / (max(distance) OVER () - min(distance) OVER () + 1e-10) AS score FROM z),
  wt AS (SELECT {HB} AS timestamp, template, count(*) AS n FROM tlogs GROUP BY 1, 2),
- tx AS (SELECT timestamp, round(sum(n / c) / sum(n), 6) AS message_rarity, round(sum(n * score) / sum(n), 6) AS message_anomaly_score, {means} FROM wt JOIN s USING (template) GROUP BY 1),
+ tx AS (SELECT timestamp, round(sum(n / c) / sum(n), 6) AS message_rarity, round({score}, 6) AS message_anomaly_score, {means} FROM wt JOIN s USING (template) GROUP BY 1),
  mc AS (SELECT timestamp, cluster, sum(n) AS n FROM wt JOIN s USING (template) GROUP BY 1, 2),
- mo AS (SELECT timestamp, CAST(arg_min(cluster, (-n, cluster)) AS INTEGER) AS message_cluster FROM mc GROUP BY 1)
- SELECT * FROM vol JOIN tx USING (timestamp) JOIN mo USING (timestamp)"""
+ mo AS (SELECT timestamp, CAST(arg_min(cluster, (-n, cluster)) AS INTEGER) AS message_cluster FROM mc GROUP BY 1),
+ gt AS (SELECT {HB} AS timestamp, max(is_anomaly) AS ground_truth FROM logs GROUP BY 1)
+ SELECT {'*' if per_window else '* EXCLUDE (ground_truth)'} FROM vol JOIN tx USING (timestamp) JOIN mo USING (timestamp) JOIN gt USING (timestamp)"""
 
 
-@query("all_features", _all_features_sql())
+@query("all_features", all_features_sql())
 def all_features_set(spark, sf):
     logs = logs_of(spark, sf)
     return all_features(logs, set_model(logs), "1 hour")

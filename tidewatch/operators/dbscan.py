@@ -213,7 +213,7 @@ def dbscan_grid(points: DataFrame, settings: Sequence[tuple[float, int]], id_col
         low = lift(lift(links.filter("kind = 0"), "block", "u"), "block2", "v").select(
             "s", F.coalesce("t_u", vertex("block", "row")).alias("u"), F.coalesce("t_v", vertex("block2", "row2")).alias("v"))
         edges = low.unionByName(wide.select("s", "u", "v"))
-    comp = settle(connected_components(edges, small_graph))
+    comp = connected_components(edges, small_graph)  # read from its settled edge table
 
     def component_of(df: DataFrame, block: str, row: str) -> DataFrame:
         if tops is not None:
@@ -224,8 +224,10 @@ def dbscan_grid(points: DataFrame, settings: Sequence[tuple[float, int]], id_col
 
     core = component_of(states.filter("root >= 0"), "block", "root")
     clusters = number_groups(core.groupBy("s", "comp").agg(F.min("id").alias("first_id")), "s", "first_id", "label")
-    clusters = settle(clusters.select("s", "comp", F.col("label").cast("int").alias("label")))
-    core = settle(core.join(clusters, ["s", "comp"]).select("s", "block", "row", "label"))
+    clusters = clusters.select("s", "comp", F.col("label").cast("int").alias("label"))
+    core = core.join(clusters, ["s", "comp"]).select("s", "block", "row", "label")
+    if has_full:
+        core = settle(core)
     touch = component_of(links.filter("kind = 1").withColumnsRenamed({"block": "pb", "row": "pr"}), "block2", "row2")
     border = touch.join(clusters, ["s", "comp"]).groupBy("s", F.col("pb").alias("block"), F.col("pr").alias("row")).agg(F.min("label").alias("b_label"))
     labelled = (

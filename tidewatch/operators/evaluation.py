@@ -94,7 +94,8 @@ def best_config(grid: DataFrame, params: Sequence[str]) -> DataFrame:
     return top_configs(grid, params, 1)
 
 
-def pivot_tuning(grid: DataFrame, rows: str, columns: str, values: Sequence, metric: str) -> DataFrame:
-    """Matrix of one metric; the pivot values are given, so no extra pass finds them."""
-    wide = grid.groupBy(rows).pivot(columns, list(values)).agg(F.first(metric))
-    return wide.toDF(rows, *[f"{columns}_{str(v).replace('.', '_')}" for v in values])
+def pivot_tuning(grid: DataFrame, rows: str, columns: str, values: Sequence, metrics: Sequence[str]) -> DataFrame:
+    """Matrices of several metrics side by side (``{metric}_{value}``); given values save the pass that finds them."""
+    wide = grid.groupBy(rows).pivot(columns, list(values)).agg(*[F.first(m).alias(m) for m in metrics])
+    names = [f"{m}_{str(v).replace('.', '_')}" for v in values for m in metrics]
+    return wide.toDF(rows, *(names if len(metrics) > 1 else [f"{metrics[0]}_{str(v).replace('.', '_')}" for v in values]))

@@ -13,12 +13,14 @@ from tidewatch.functions.scalar import nan_inf_to_zero, noise_flag
 from tidewatch.functions.vector import assemble
 from tidewatch.operators.dbscan import core_points, dbscan_assign, dbscan_fit
 from tidewatch.operators.results import results_rates
-from tidewatch.operators.scoring import Scaler, anomaly_score, apply_scaler, cluster_centers, fit_scaler
+from tidewatch.operators.scoring import Scaler, anomaly_score, apply_scaler, cluster_centers, fit_scaler, raw_scores
 from tidewatch.operators.textmodel import TextModel, load_text_model, save_text_model
 from tidewatch.operators.windows import buffer_summary, volume_features
 from tidewatch.plans.features import all_features
 from tidewatch.schemas import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, VOLUME_COLS, WINDOW_WIDTH
 from tidewatch.session import settle
+from tidewatch.sources.logs import read_csv_logs
+from tidewatch.sources.sinks import write_csv
 
 
 @dataclass
@@ -60,6 +62,11 @@ def detect_batch(logs: DataFrame, width: str = WINDOW_WIDTH, eps: float = DBSCAN
     return detect_features(features, [c for c in features.columns if c != "timestamp"], eps, min_samples)
 
 
+def detect_csv(spark: SparkSession, source: str, target: str, width: str = WINDOW_WIDTH, **options) -> None:
+    """CSV logs in; CSV of timestamp, is_anomaly, anomaly_score, cluster_label out."""
+    write_csv(detect_batch(read_csv_logs(spark, source), width, **options), target)
+
+
 def fit_detector(logs: DataFrame, width: str = WINDOW_WIDTH, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_SAMPLES,
                  text: TextModel | None = None) -> DetectorModel:
     features = settle(features_for(logs, text, width))
@@ -69,8 +76,6 @@ def fit_detector(logs: DataFrame, width: str = WINDOW_WIDTH, eps: float = DBSCAN
     labels = settle(dbscan_fit(rows, eps, min_samples, "id", "vec"))
     labelled = settle(rows.join(labels, "id"))
     centers = settle(cluster_centers(labelled, len(cols)))
-    from tidewatch.operators.scoring import raw_scores
-
     top = raw_scores(labelled, centers).agg(F.max("raw_score")).first()[0] or 1.0
     cores = settle(core_points(rows, labels, eps, min_samples, "id", "vec"))
     return DetectorModel(cols, scaler, cores, centers, float(top), eps, min_samples, text)
