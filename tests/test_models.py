@@ -88,7 +88,7 @@ def test_fewer_rows_than_min_samples_is_all_noise(spark):
 
 def test_assign_flags_iff_no_core_in_reach(spark, mixture):
     rows = frame(spark, mixture)
-    cores = D.core_points(rows, D.dbscan_fit(rows, 0.3, 5, "id", "vec"), 0.3, 5, "id", "vec")
+    cores = D.core_points(D.dbscan_model(rows, 0.3, 5, "id", "vec"))
     fresh = mixture[::-1] + 0.05
     got = {r.id: r.label for r in D.dbscan_assign(frame(spark, fresh), cores, 0.3, "id", "vec", block_rows=16).collect()}
     label, near = brute(mixture, 0.3, 5), np.sqrt(((mixture[:, None] - mixture[None]) ** 2).sum(-1)) <= 0.3
@@ -191,3 +191,15 @@ def test_all_features_volume_part(spark, logs, text_model):
     assert got.count() == want.count()
     assert got.select("timestamp", *VOLUME_COLS).exceptAll(want.select("timestamp", *VOLUME_COLS)).count() == 0
     assert got.filter((F.col("message_anomaly_score") < 0) | (F.col("message_anomaly_score") > 1)).count() == 0
+
+
+def test_labels_do_not_depend_on_row_order(spark, mixture):
+    rows = frame(spark, mixture)
+    pick = lambda df: {r.id: r.label for r in D.dbscan_fit(df, 0.3, 5, "id", "vec", block_rows=64).collect()}
+    assert pick(rows) == pick(rows.orderBy(F.rand(1)).repartition(5))
+
+
+def test_scores_lie_in_unit_interval(spark, mixture):
+    rows = frame(spark, mixture)
+    scored = anomaly_score(rows.join(D.dbscan_fit(rows, 0.3, 5, "id", "vec"), "id"), 3).collect()
+    assert all(0 <= r.anomaly_score <= 1 for r in scored) and max(r.anomaly_score for r in scored) == 1.0

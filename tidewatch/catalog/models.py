@@ -84,7 +84,7 @@ def cluster_sizes(spark, sf):
 def dbscan_assign(spark, sf):
     """All vectors, slightly stretched, against the core rows fitted on all vectors."""
     v = vectors(spark, sf)
-    cores = D.core_points(v, D.dbscan_fit(v, EPS, NEED, "id", "vec"), EPS, NEED, "id", "vec")
+    cores = D.core_points(D.dbscan_model(v, EPS, NEED, "id", "vec"))
     return D.dbscan_assign(v.withColumn("vec", F.transform("vec", lambda x: x * F.lit(1.02))), cores, EPS, "id", "vec")
 
 

@@ -167,8 +167,8 @@ def number_groups(df: DataFrame, part: str, order: str, out: str) -> DataFrame:
 
 
 def dbscan_grid(points: DataFrame, settings: Sequence[tuple[float, int]], id_col: str, vec_col: str,
-                block_rows: int = BLOCK_ROWS, small_graph: int = SMALL_GRAPH) -> DataFrame:
-    """Labels of every setting: columns setting (position in ``settings``), id, label.
+                block_rows: int = BLOCK_ROWS, small_graph: int = SMALL_GRAPH, with_core: bool = False) -> DataFrame:
+    """Labels of every setting: columns setting (position in ``settings``), id, label (and is_core).
 
     One neighbour search at the largest eps serves all settings.  A row is core
     when at least min_samples rows (itself included) lie within eps.  Clusters
@@ -240,9 +240,10 @@ def dbscan_grid(points: DataFrame, settings: Sequence[tuple[float, int]], id_col
         labelled = labelled.join(blocks, ["s", "block"], "left")
         options.append("f_label")
     nearest = F.least(*[F.col(c) for c in options[1:]]) if len(options) > 2 else F.col("b_label")
-    per_vector = labelled.select("s", "id", F.coalesce("label", nearest, F.lit(NOISE)).alias("label"))
-    tagged = distinct.select("vec", "id").join(per_vector, "id").select("vec", F.col("s").alias("setting"), "label")
-    return source.join(tagged, "vec").select("setting", "id", F.col("label").cast("int").alias("label"))
+    per_vector = labelled.select("s", "id", F.coalesce("label", nearest, F.lit(NOISE)).alias("label"), (F.col("root") >= 0).alias("is_core"))
+    tagged = distinct.select("vec", "id").join(per_vector, "id").select("vec", F.col("s").alias("setting"), "label", "is_core")
+    out = source.join(tagged, "vec").select("setting", "id", F.col("label").cast("int").alias("label"), "is_core", "vec")
+    return out if with_core else out.drop("is_core", "vec")
 
 
 def dbscan_fit(points: DataFrame, eps: float, min_samples: int, id_col: str, vec_col: str, **options) -> DataFrame:
@@ -269,11 +270,14 @@ def eps_neighbors(points: DataFrame, eps: float, id_col: str, vec_col: str, bloc
     return source.join(tagged, "vec").select("id", "n_neighbors")
 
 
-def core_points(points: DataFrame, labels: DataFrame, eps: float, min_samples: int, id_col: str, vec_col: str) -> DataFrame:
-    """The fitted model: vectors and labels of the core rows (id, vec, label)."""
-    counts = eps_neighbors(points, eps, id_col, vec_col)
-    core = counts.filter(F.col("n_neighbors") >= min_samples).join(labels, "id")
-    return core.join(points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), "id").select("id", "vec", "label")
+def dbscan_model(points: DataFrame, eps: float, min_samples: int, id_col: str, vec_col: str, **options) -> DataFrame:
+    """(id, vec, label, is_core): the clustering together with the core rows that later scoring needs."""
+    return dbscan_grid(points, [(eps, min_samples)], id_col, vec_col, with_core=True, **options).select("id", "vec", "label", "is_core")
+
+
+def core_points(model: DataFrame) -> DataFrame:
+    """What serving keeps of ``dbscan_model``: vectors and labels of the core rows."""
+    return model.filter("is_core").select("id", "vec", "label")
 
 
 def _assign_kernel(eps: float, dims: int):

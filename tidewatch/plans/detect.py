@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import nan_inf_to_zero, noise_flag
 from tidewatch.functions.vector import assemble
-from tidewatch.operators.dbscan import core_points, dbscan_assign, dbscan_fit
+from tidewatch.operators.dbscan import core_points, dbscan_assign, dbscan_fit, dbscan_model
 from tidewatch.operators.results import results_rates
 from tidewatch.operators.scoring import Scaler, anomaly_score, apply_scaler, cluster_centers, fit_scaler, raw_scores
 from tidewatch.operators.textmodel import TextModel, load_text_model, save_text_model
@@ -73,12 +73,10 @@ def fit_detector(logs: DataFrame, width: str = WINDOW_WIDTH, eps: float = DBSCAN
     cols = [c for c in features.columns if c != "timestamp"]
     scaler = fit_scaler(features, cols)
     rows = settle(scaled_vectors(features, scaler))
-    labels = settle(dbscan_fit(rows, eps, min_samples, "id", "vec"))
-    labelled = settle(rows.join(labels, "id"))
-    centers = settle(cluster_centers(labelled, len(cols)))
-    top = raw_scores(labelled, centers).agg(F.max("raw_score")).first()[0] or 1.0
-    cores = settle(core_points(rows, labels, eps, min_samples, "id", "vec"))
-    return DetectorModel(cols, scaler, cores, centers, float(top), eps, min_samples, text)
+    fitted = settle(dbscan_model(rows, eps, min_samples, "id", "vec"))
+    centers = settle(cluster_centers(fitted, len(cols)))
+    top = raw_scores(fitted, centers).agg(F.max("raw_score")).first()[0] or 1.0
+    return DetectorModel(cols, scaler, settle(core_points(fitted)), centers, float(top), eps, min_samples, text)
 
 
 def score_windows(features: DataFrame, model: DetectorModel) -> DataFrame:
