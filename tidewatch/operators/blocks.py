@@ -158,7 +158,8 @@ def descend(nodes: list, judge) -> DataFrame:
     """
     top = len(nodes) - 1
     root = nodes[top]
-    judged = settle(judge(sides(root, "a").join(sides(root, "b"), F.col("node_a") == F.col("node_b")), top))
+    judged = judge(sides(root, "a").join(sides(root, "b"), F.col("node_a") == F.col("node_b")), top)  # one row
+    judged = judged if top else settle(judged)
     done = judged.filter("full") if top else judged
     for level in range(top - 1, -1, -1):
         active = judged.filter(~F.col("full")).select("a", "b")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import settle
+
 
 def confusion_aggs(truth: str, pred: str) -> list[Column]:
     t, p = F.col(truth), F.col(pred)
@@ -44,7 +46,7 @@ def precision_recall_f1(df: DataFrame, truth: str, pred: str, degenerate_zero: b
 
 def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Per class precision/recall/f1/support, then accuracy, macro and weighted means."""
-    cells = df.agg(*confusion_aggs(truth, pred))
+    cells = settle(df.agg(*confusion_aggs(truth, pred)))
     per_class = cells.select(F.explode(F.array(
         F.struct(F.lit("0").alias("class"), F.col("tn").alias("tp"), F.col("fn").alias("fp"), F.col("fp").alias("fn")),
         F.struct(F.lit("1").alias("class"), "tp", "fp", "fn"))).alias("c")).select("c.*").withColumn("tn", F.lit(0))
@@ -66,7 +68,7 @@ def model_comparison(df: DataFrame, truth: str, models: dict[str, str]) -> DataF
     aggs = []
     for i, pred in enumerate(models.values()):
         aggs.append(F.struct(*confusion_aggs(truth, pred)).alias(f"_m{i}"))
-    wide = df.agg(*aggs)
+    wide = settle(df.agg(*aggs))
     rows = F.array(*[F.struct(F.lit(name).alias("model"), F.col(f"_m{i}").alias("c"))
                      for i, name in enumerate(models)])
     counts = wide.select(F.explode(rows).alias("r")).select("r.model", "r.c.*")

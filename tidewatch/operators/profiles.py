@@ -106,13 +106,15 @@ def feature_quality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def dataset_summary(logs: DataFrame) -> DataFrame:
+    """Size, span, services, levels and missing cells; logs are first reduced to (level, service) rows."""
     nulls = sum((F.count_if(F.col(c).isNull()) for c in logs.columns), F.lit(0))
-    return logs.agg(
-        F.count(F.lit(1)).alias("total_logs"),
-        F.min("timestamp").alias("first_log"), F.max("timestamp").alias("last_log"),
+    per = logs.groupBy("level", "service").agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), nulls.alias("missing"))
+    return per.agg(
+        F.sum("n").alias("total_logs"), F.min("lo").alias("first_log"), F.max("hi").alias("last_log"),
         F.count_distinct("service").alias("n_services"),
         F.array_join(F.array_sort(F.collect_set("level")), ", ").alias("levels"),
-        nulls.alias("missing_cells"),
+        F.sum("missing").alias("missing_cells"),
     )
 
 

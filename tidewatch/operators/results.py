@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.scalar import SAMPLE_LAYOUT, alarm_text, ratio
 from tidewatch.operators.windows import group_by_window, sample_errors
 from tidewatch.schemas import CRITICAL_LEVELS, RATE_ALERT, SCORE_ALERT
+from tidewatch.session import settle
 
 RESULT_KEY = ["timestamp", "window_start"]
 
@@ -98,7 +99,7 @@ def alarm_lines(results: DataFrame, logs: DataFrame, width: str, samples: int =
     Only the key of the flagged windows and the rank-limited samples meet in the
     join: at most ``samples`` rows per window on either side.
     """
-    flagged = results.filter(F.col("is_anomaly") == 1)
+    flagged = settle(results.filter(F.col("is_anomaly") == 1))
     heads = flagged.select("window_start", F.lit(0).alias("line_no"), alarm_text().alias("line"))
     picked = sample_errors(logs, width, samples)
     details = picked.join(flagged.select("window_start"), "window_start", "left_semi").select(
@@ -114,6 +115,7 @@ def pattern_rules(features: DataFrame, logs: DataFrame, width: str, flood: float
     Normal is the median log count (and critical count) of the same hour of
     day.  A cascade is critical logs from several services in one window.
     """
+    features = settle(features)
     hour = F.hour("timestamp")
     base = features.groupBy(hour.alias("_hour")).agg(
         F.percentile("log_count", F.lit(0.5)).alias("normal_count"),

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import ratio
-from tidewatch.schemas import COUNT_COLS, CRITICAL_LEVELS, LEVELS, RATE_COLS, VOLUME_COLS, WINDOW_WIDTH
+from tidewatch.schemas import COUNT_COLS, CRITICAL_LEVELS, LEVELS, VOLUME_COLS, WINDOW_WIDTH
+from tidewatch.session import settle
 
 
 def bin_start(ts: str, width: str, start_time: str | None = None) -> Column:
@@ -72,8 +73,10 @@ def gap_fill(windows: DataFrame, width: str, ts: str = "timestamp", fills: Mappi
     """Add the empty bins between the first and last occupied bin.
 
     The calendar of bins is spread by day before it is expanded, so a long
-    history is generated in parallel.  Numeric columns default to 0.
+    history is generated in parallel.  The windows are kept as a table first:
+    they are read for the span and for the join.  Numeric columns default to 0.
     """
+    windows = settle(windows)
     step = F.expr(f"INTERVAL {width}")
     span = windows.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
     days = span.select("lo", "hi", F.explode(F.sequence(F.date_trunc("day", "lo"), F.date_trunc("day", "hi"),
@@ -114,7 +117,7 @@ def multi_width(logs: DataFrame, base: str, widths: Sequence[str]) -> DataFrame:
     Every width must be a multiple of ``base``; the raw logs are scanned and
     shuffled once, the roll-ups read the small partial table.
     """
-    partial = window_counts(logs, base)
+    partial = settle(window_counts(logs, base))
     rolled = None
     for width in widths:
         part = group_by_window(partial, [F.sum(c).alias(c) for c in COUNT_COLS], width)
