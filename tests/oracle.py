@@ -72,7 +72,7 @@ def main(names, sf_dir):
     if os.environ.get("PLAIN"):
         from pyspark.sql import SparkSession
 
-        spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").getOrCreate()
+        spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", os.environ["PLAIN"]).getOrCreate()
     else:
         spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
