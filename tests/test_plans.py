@@ -37,3 +37,17 @@ def test_level_filter_reaches_the_scan(spark, tmp_path, logs):
 def test_no_cartesian_products(logs):
     for df in (T.template_drift(logs), W.gap_fill(W.window_counts(logs), "30 seconds")):
         assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
+
+
+def test_task_functions_need_no_package_on_executors(tmp_path):
+    """A kernel pickled here runs in an interpreter that cannot import this package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tidewatch.operators.dbscan import _count_kernel
+
+    code = "import sys, pickle; run = pickle.load(sys.stdin.buffer); print(len(list(run(iter([])))))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(_count_kernel((1.0,), 2)), cwd=tmp_path, capture_output=True)
+    assert done.stdout.strip() == b"0", done.stderr
