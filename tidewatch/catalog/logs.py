@@ -117,7 +117,7 @@ def rolling_stats(spark, sf):
     return W.rolling_stats(W.volume_features(logs_of(spark, sf), S30), ["log_count", "error_rate"], ROLL_SPANS)
 
 
-@query("sample_errors", f"""WITH {LOGS} SELECT window_start, sample_no, event_id, message FROM (
+@query("sample_errors", f"""WITH {LOGS} SELECT window_start, CAST(sample_no AS INTEGER) AS sample_no, event_id, message FROM (
  SELECT *, {HB} AS window_start, row_number() OVER (PARTITION BY {HB} ORDER BY timestamp, event_id) AS sample_no
  FROM logs WHERE level IN ('ERROR', 'FATAL')) WHERE sample_no <= 3""")
 def sample_errors(spark, sf):
