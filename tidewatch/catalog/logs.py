@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import LOGS, TEMPLATES, logs_of, query, volume_sql
-from tidewatch.functions.scalar import calendar_cols, iso_format, nan_inf_to_zero
+from tidewatch.functions.scalar import calendar_cols, iso_format, nan_inf_to_zero, round_pct
 from tidewatch.functions.text import message_prefix, normalize_message_v2
 from tidewatch.operators import profiles as P
 from tidewatch.operators import templates as T
@@ -380,3 +380,26 @@ def inject(spark, sf):
                                            F.lit("security").alias("kind"), F.lit(20).alias("size"))
     added = inject_incidents(logs, seeds).filter(F.col("event_id").isNull())
     return added.groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("level").alias("n_levels"))
+
+
+# ---- single expressions --------------------------------------------------------------------------
+
+@query("iso_format", f"WITH {LOGS} SELECT event_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM logs")
+def iso(spark, sf):
+    return logs_of(spark, sf).select("event_id", iso_format("timestamp").alias("iso"))
+
+
+@query("message_prefix", f"WITH {LOGS} SELECT event_id, substring(message, 1, 50) AS prefix FROM logs")
+def prefix(spark, sf):
+    return logs_of(spark, sf).select("event_id", message_prefix("message").alias("prefix"))
+
+
+@query("round_pct", f"WITH {LOGS} SELECT {HB} AS timestamp, round_even(sum(is_anomaly) / count(*) * 100, 2) AS anomaly_pct FROM logs GROUP BY 1")
+def pct(spark, sf):
+    hourly = W.group_by_window(logs_of(spark, sf), [F.sum("is_anomaly").alias("a"), F.count(F.lit(1)).alias("n")], H)
+    return hourly.select("timestamp", round_pct(F.col("a") / F.col("n") * 100).alias("anomaly_pct"))
+
+
+@query("drop_cols", f"WITH {LOGS}{volume_sql('1 hour')} SELECT * EXCLUDE (timestamp) FROM vol")
+def drop_cols(spark, sf):
+    return W.volume_features(logs_of(spark, sf), H).drop("timestamp")

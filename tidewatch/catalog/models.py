@@ -188,6 +188,15 @@ def model_round_trip(spark, sf):
     return pick(model, "before").join(pick(again, "after"), "timestamp")
 
 
+@query("src_model_load", f"WITH RECURSIVE {LOGS}{WINDOWS}{dbscan_sql(WEPS, WNEED)}{SCORED.replace('65', str(len(VOLUME_COLS) + 1))} "
+       "SELECT make_timestamp(id) AS timestamp, CAST(label = -1 AS INTEGER) AS is_anomaly, round(raw / max(raw) OVER (), 6) AS anomaly_score, label AS cluster_label FROM rw")
+def model_loaded(spark, sf):
+    """Windows scored by a detector read back from storage."""
+    logs, path = logs_of(spark, sf), fresh_path(spark, "detector")
+    P.save_detector(P.fit_detector(logs, "1 hour", WEPS, WNEED), path)
+    return P.score_windows(P.features_for(logs, None, "1 hour"), P.load_detector(spark, path))
+
+
 # ---- fitted at random, repeatable; no SQL counterpart ------------------------------------------
 
 @query("isolation_forest")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import LOGS, logs_of, query, volume_sql
-from tidewatch.functions.scalar import parse_iso_ts, score_band
+from tidewatch.functions.scalar import alarm_text, parse_iso_ts, score_band
 from tidewatch.operators import evaluation as E
 from tidewatch.operators import latency as L
 from tidewatch.operators import results as R
@@ -333,3 +333,14 @@ def latency_sla_check(spark, sf):
 @query("alarm_rate", PROBE + " SELECT count(*) FILTER (alarm_logged) AS alarms_logged, count(*) AS total, round(avg(CAST(alarm_logged AS INTEGER)) * 100, 6) AS alarm_rate_pct FROM p")
 def alarm_rate(spark, sf):
     return L.alarm_rate(_probes(spark, sf))
+
+
+@query("alarm_text", RES[:-1] + ALARMS + " SELECT window_start, line FROM heads")
+def alarm_heads(spark, sf):
+    return results_of(spark, sf).filter("is_anomaly = 1").select("window_start", alarm_text().alias("line"))
+
+
+@query("json_decode", f"WITH {LOGS} SELECT event_id, timestamp, level, service, message, is_anomaly FROM logs")
+def json_decode(spark, sf):
+    good, _ = src.split_corrupt(src.decode_json_logs(_json(logs_of(spark, sf))))
+    return good
