@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, quality, sharding, urls
+from tidewatch.llm import linededup, mixing, quality, sharding, simhash, urls
 from tidewatch.session import ensure_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,30 @@ def _urls(spark, sf_dir):
     listed = urls.judge_urls(pages, hosts).select("page_id", "url", F.col("verdict").alias("listed"))
     judged = urls.judge_urls(listed, rules)
     return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNull(), F.col("listed")).otherwise(F.col("verdict")).alias("verdict"))
+
+
+@query("op3_simhash_classes")
+def _simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+LINES_SQL = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, min(text) AS text FROM documents GROUP BY doc_id, text),
+raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM docs),
+worded AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM raw),
+lines AS (SELECT doc_id, pos, array_to_string(ws, ' ') AS line, len(ws) AS n FROM worded WHERE len(ws) > 0),
+counted AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM lines),
+windows AS (SELECT doc_id, pos, max(pos) OVER w AS last, sum(n) OVER w AS total, array_to_string(list(line) OVER w, chr(10)) AS body FROM counted
+  WINDOW w AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth FROM windows WHERE total >= 50),
+cut AS (SELECT DISTINCT r.doc_id, raw.pos FROM ranked r JOIN raw ON r.doc_id = raw.doc_id AND raw.pos BETWEEN r.pos AND r.last WHERE nth > 1),
+kept AS (SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY raw.pos) AS text, count(*) AS n FROM raw ANTI JOIN cut ON raw.doc_id = cut.doc_id AND raw.pos = cut.pos GROUP BY raw.doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN g.n IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, coalesce(g.n, 0)::BIGINT AS removed_lines
+FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id"""
+
+
+@query("op9_line_dedup", LINES_SQL)
+def _lines(spark, sf_dir):
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), ["doc_id", "text"])
