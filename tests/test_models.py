@@ -47,10 +47,10 @@ def mixture():
     return np.concatenate([rng.normal(0, 0.05, (150, 3)), rng.normal(3, 0.4, (100, 3)), rng.uniform(-3, 6, (80, 3)), np.ones((70, 3))])
 
 
-@pytest.mark.parametrize("rows,small", [(512, 10**6), (8, 10**6), (8, 0)])
-def test_dbscan_equals_brute_force(spark, mixture, rows, small):
+@pytest.mark.parametrize("rows", [512, 8])
+def test_dbscan_equals_brute_force(spark, mixture, rows):
     settings = [(0.3, 5), (0.6, 10)]
-    got = D.dbscan_grid(frame(spark, mixture), settings, "id", "vec", block_rows=rows, small_graph=small).collect()
+    got = D.dbscan_grid(frame(spark, mixture), settings, "id", "vec", block_rows=rows).collect()
     for i, (eps, need) in enumerate(settings):
         want = brute(mixture, eps, need)
         assert {r.id: r.label for r in got if r.setting == i} == dict(enumerate(want.tolist()))
@@ -107,11 +107,10 @@ def test_nearest_of_many_centres(spark, mixture):
     assert np.allclose([got[i] for i in range(len(asked))], want, atol=1e-7)
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_components(spark, small):
+def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(0, i, i + 1) for i in range(60)] + [(0, 100 + i, 200) for i in range(40)] + [(1, int(a), int(b)) for a, b in rng.integers(0, 80, (50, 2))]
-    got = connected_components(spark.createDataFrame(edges, "s int, u long, v long"), small).collect()
+    got = connected_components(spark.createDataFrame(edges, "s int, u long, v long")).collect()
     for s in (0, 1):
         parent = {}
 

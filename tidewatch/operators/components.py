@@ -2,50 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.session import settle
 
-SMALL_GRAPH = 500_000
-
 
-def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
-    names, flat = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
-    parent = np.arange(len(names))
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the edges of one partition by stars around the smallest vertex of what they connect."""
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
 
     def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
 
-    for u, v in flat.reshape(-1, 2):
-        a, b = find(u), find(v)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    roots = np.array([find(i) for i in range(len(names))])
-    return pd.DataFrame({"s": pdf["s"].iloc[0], "u": names, "comp": names[roots]})
+    for batch in batches:
+        for s, u, v in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = (s, u), (s, v)
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    rows = [(x[0], x[1], find(x)[1]) for x in list(parent)]
+    out = np.array([r for r in rows if r[1] != r[2]], dtype=np.int64).reshape(-1, 3)
+    for start in range(0, len(out), 10_000):
+        part = out[start:start + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0], pa.int32()), pa.array(part[:, 1]), pa.array(part[:, 2])], names=["s", "u", "v"])
 
 
-def connected_components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (s, u, v) -> (s, u, comp), comp = smallest vertex; isolated vertices are absent.
 
-    A graph whose edge count is checked to be at most ``small`` is solved in one
-    task per ``s``.  Beyond that: alternating large-star / small-star rounds,
-    checkpointed, until the edge set is stable.
+    Edges are first contracted within their partitions, so a graph of whatever
+    density leaves each task as stars, fewer edges than vertices.  Alternating
+    large-star / small-star rounds, each written to the shared folder, then run
+    until the edge set is stable.
     """
-    e = settle(
-        edges.filter(F.col("u") != F.col("v"))
-        .select("s", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if e.limit(small + 1).count() <= small:
-        return e.groupBy("s").applyInPandas(_union_find, "s int, u long, comp long")
+    plain = edges.filter(F.col("u") != F.col("v")).select(F.col("s").cast("int"), F.col("u").cast("long"), F.col("v").cast("long"))
+    e = settle(plain.mapInArrow(_contract, "s int, u long, v long").distinct())
     seen = None
     while True:
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("s", "u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if mark == seen or not mark[0]:
             stars = e.select("s", "u", F.col("v").alias("comp"))
             return stars.unionByName(stars.select("s", F.col("comp").alias("u"), "comp").distinct())
         seen = mark

@@ -6,19 +6,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import (
     BLOCK_ROWS, BlockSpace, ancestors, block_pairs, both_ways, build_blocks, with_sides)
-from tidewatch.operators.components import SMALL_GRAPH, connected_components
+from tidewatch.operators.components import connected_components
 from tidewatch.operators.kernels import components, longs, matrix, spanning_pairs, sq_distances
 from tidewatch.operators.ranks import running_total
 from tidewatch.session import settle
 
 NOISE = -1
 FLUSH_BLOCKS = 256
-SMALL_TABLE = 100_000
 
 
 def collapse_copies(points: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -157,17 +156,14 @@ def _unpack_states(n_settings: int):
 
 
 def number_groups(df: DataFrame, part: str, order: str, out: str) -> DataFrame:
-    """0, 1, 2, ... by ``order`` within ``part``: a window when the table is checked small, else distributed."""
-    df = settle(df)
-    if df.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1)
+    """0, 1, 2, ... by ``order`` within ``part``, numbered in range partitions."""
     ranked = running_total(df, [part, order], None, "_r")
     first = ranked.groupBy(part).agg(F.min("_r").alias("_r0"))
     return ranked.join(first, part).withColumn(out, (F.col("_r") - F.col("_r0")).cast("int")).drop("_r", "_r0")
 
 
 def dbscan_grid(points: DataFrame, settings: Sequence[tuple[float, int]], id_col: str, vec_col: str,
-                block_rows: int = BLOCK_ROWS, small_graph: int = SMALL_GRAPH, with_core: bool = False) -> DataFrame:
+                block_rows: int = BLOCK_ROWS, with_core: bool = False) -> DataFrame:
     """Labels of every setting: columns setting (position in ``settings``), id, label (and is_core).
 
     One neighbour search at the largest eps serves all settings.  A row is core
@@ -213,7 +209,7 @@ def dbscan_grid(points: DataFrame, settings: Sequence[tuple[float, int]], id_col
         low = lift(lift(links.filter("kind = 0"), "block", "u"), "block2", "v").select(
             "s", F.coalesce("t_u", vertex("block", "row")).alias("u"), F.coalesce("t_v", vertex("block2", "row2")).alias("v"))
         edges = low.unionByName(wide.select("s", "u", "v"))
-    comp = connected_components(edges, small_graph)  # read from its settled edge table
+    comp = connected_components(edges)  # read from its settled edge table
 
     def component_of(df: DataFrame, block: str, row: str) -> DataFrame:
         if tops is not None:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import (
     BLOCK_ROWS, BlockSpace, box_gap2, box_reach2, build_blocks, descend, roll_up, verdict)
-from tidewatch.operators.components import SMALL_GRAPH, connected_components
+from tidewatch.operators.components import connected_components
 from tidewatch.operators.dbscan import FLUSH_BLOCKS, collapse_copies, number_groups
 from tidewatch.operators.kernels import longs, matrix, sq_distances
 from tidewatch.session import settle
@@ -29,6 +29,8 @@ from tidewatch.session import settle
 BIG = np.iinfo(np.int64).max
 EDGE = "w double, lo long, hi long"
 
+REPLAY = 500_000
+
 
 def _pair_rows(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     """Block pairs with both payloads; payload columns get _a / _b."""
@@ -158,7 +160,7 @@ def _lightest(dims: int):
     return run
 
 
-def spanning_tree(space: BlockSpace, cores: DataFrame, which: int = 0, small_graph: int = SMALL_GRAPH) -> DataFrame:
+def spanning_tree(space: BlockSpace, cores: DataFrame, which: int = 0) -> DataFrame:
     """Edges (w, lo, hi) of the mutual reachability minimum spanning tree.
 
     Boruvka: in every round each component takes its lightest leaving edge.  The
@@ -184,7 +186,7 @@ def spanning_tree(space: BlockSpace, cores: DataFrame, which: int = 0, small_gra
             return found if found is not None else best.select("w", "lo", "hi")
         edges = best.select("w", "lo", "hi").distinct()
         found = settle(edges if found is None else found.unionByName(edges))
-        joined = connected_components(best.select(F.lit(0).alias("s"), F.col("comp").alias("u"), F.col("other").alias("v")), small_graph)
+        joined = connected_components(best.select(F.lit(0).alias("s"), F.col("comp").alias("u"), F.col("other").alias("v")))
         joined = joined.select(F.col("u").alias("comp"), F.col("comp").alias("new"))
         rows = settle(rows.join(joined, "comp", "left").select("block", "row", "id", "core", F.coalesce("new", "comp").alias("comp")))
 
@@ -255,8 +257,7 @@ def _replay(tree: DataFrame, members: DataFrame, m: int) -> DataFrame:
     return members.select("id").join(found.select("id", F.struct("w", "lo", "hi").alias("t")), "id", "left")
 
 
-def fall_out(tree: DataFrame, members: DataFrame, min_cluster_size: int, small_graph: int = SMALL_GRAPH,
-             replay_limit: int = SMALL_GRAPH) -> DataFrame:
+def fall_out(tree: DataFrame, members: DataFrame, min_cluster_size: int, replay_limit: int = REPLAY) -> DataFrame:
     """(id, t): the tree edge at which the row's component reaches ``min_cluster_size``; null if never.
 
     A tree checked to have at most ``replay_limit`` edges is replayed edge by
@@ -281,7 +282,7 @@ def fall_out(tree: DataFrame, members: DataFrame, min_cluster_size: int, small_g
             return rows.select("id", "t")
         # Grown targets become one dead end per component, so chains do not run through them.
         chain = connected_components(least.select(
-            F.lit(0).alias("s"), F.col("c").alias("u"), F.when(F.col("up"), -F.col("c") - 2).otherwise(F.col("to")).alias("v")), small_graph)
+            F.lit(0).alias("s"), F.col("c").alias("u"), F.when(F.col("up"), -F.col("c") - 2).otherwise(F.col("to")).alias("v")))
         placed = least.join(chain.select(F.col("u").alias("c"), F.col("comp").alias("chain")), "c")
         anchored = placed.groupBy("chain").agg(F.max("up").alias("anchored"))
         placed = settle(placed.join(anchored, "chain"))
@@ -379,13 +380,13 @@ class ClusterTree:
         return out
 
 
-def condense(tree: DataFrame, members: DataFrame, min_cluster_size: int, small_graph: int = SMALL_GRAPH) -> DataFrame:
+def condense(tree: DataFrame, members: DataFrame, min_cluster_size: int) -> DataFrame:
     """(id, label) from the spanning tree; members: id, weight, core."""
-    heights = settle(fall_out(tree, members, min_cluster_size, small_graph))
+    heights = settle(fall_out(tree, members, min_cluster_size))
     at = lambda side: heights.select(F.col("id").alias(side), F.col("t").alias(f"t_{side}"))
     edge = F.struct("w", "lo", "hi")
     judged = settle(tree.join(at("lo"), "lo").join(at("hi"), "hi").withColumn("split", F.coalesce((F.col("t_lo") < edge) & (F.col("t_hi") < edge), F.lit(False))))
-    groups = connected_components(judged.filter(~F.col("split")).select(F.lit(0).alias("s"), F.col("lo").alias("u"), F.col("hi").alias("v")), small_graph)
+    groups = connected_components(judged.filter(~F.col("split")).select(F.lit(0).alias("s"), F.col("lo").alias("u"), F.col("hi").alias("v")))
     groups = groups.select(F.col("u").alias("id"), F.col("comp").alias("g"))
     rows = settle(members.join(heights, "id").join(groups, "id", "left").select("id", "weight", "t", F.coalesce("g", "id").alias("g")))
     of = lambda side: rows.select(F.col("id").alias(side), F.col("g").alias(f"g_{side}"))
@@ -412,8 +413,7 @@ def condense(tree: DataFrame, members: DataFrame, min_cluster_size: int, small_g
     return rows.select("id").join(labelled, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
-def hdbscan_grid(points: DataFrame, settings: Sequence[tuple[int, int]], id_col: str, vec_col: str, block_rows: int = BLOCK_ROWS,
-                 small_graph: int = SMALL_GRAPH) -> DataFrame:
+def hdbscan_grid(points: DataFrame, settings: Sequence[tuple[int, int]], id_col: str, vec_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(setting, id, label) for (min_cluster_size, min_samples) pairs.
 
     One neighbour search serves all settings, one spanning tree each min_samples.
@@ -425,11 +425,11 @@ def hdbscan_grid(points: DataFrame, settings: Sequence[tuple[int, int]], id_col:
     cores = settle(core_distances(space, ks))
     out = None
     for which, k in enumerate(ks):
-        tree = spanning_tree(space, cores, which, small_graph)
+        tree = spanning_tree(space, cores, which)
         members = settle(cores.select("id", "weight", F.col("core")[which].alias("core")))
         for number, (size, need) in enumerate(settings):
             if need == k:
-                part = condense(tree, members, size, small_graph).select(F.lit(number).alias("setting"), "id", "label")
+                part = condense(tree, members, size).select(F.lit(number).alias("setting"), "id", "label")
                 out = part if out is None else out.unionByName(part)
     tagged = distinct.select("vec", "id").join(out, "id").select("vec", "setting", "label")
     return source.join(tagged, "vec").select("setting", "id", "label")
