@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import linededup, mixing, quality, sharding, simhash, urls
+from tidewatch.llm import bpe, linededup, mixing, quality, sharding, simhash, urls
 from tidewatch.session import ensure_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,18 @@ FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id LEFT JOIN kept k ON d.d
 @query("op9_line_dedup", LINES_SQL)
 def _lines(spark, sf_dir):
     return linededup.dedup_lines(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+
+
+def vocabulary(path: str | None = None) -> str:
+    """Content of the tokenizer file; the path is a parameter, the default a public one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+@query("op4_bpe_roundtrip")
+def _bpe(spark, sf_dir):
+    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary())
