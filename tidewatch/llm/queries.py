@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, linededup, mixing, quality, sharding, simhash, urls
+from tidewatch.llm import bpe, lattice, linededup, mixing, quality, sharding, simhash, urls
 from tidewatch.session import ensure_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ def vocabulary(path: str | None = None) -> str:
 @query("op4_bpe_roundtrip")
 def _bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op6_embedding_lattice")
+def _lattice(spark, sf_dir):
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
