@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, lattice, linededup, mixing, quality, sharding, simhash, urls
+from tidewatch.llm import bpe, lattice, linededup, mixing, quality, sharding, simhash, toxicity, urls
 from tidewatch.session import ensure_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,10 @@ def _bpe(spark, sf_dir):
 @query("op6_embedding_lattice")
 def _lattice(spark, sf_dir):
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_toxicity_nnpu")
+def _toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score_toxicity(docs, model)
