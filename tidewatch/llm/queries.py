@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, lattice, linededup, mixing, quality, sharding, simhash, toxicity, urls
+from tidewatch.llm import bpe, lattice, licenses, linededup, mixing, quality, sharding, simhash, toxicity, urls
 from tidewatch.session import ensure_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def _toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score_toxicity(docs, model)
+
+
+@query("op5_license_scan")
+def _licences(spark, sf_dir):
+    found = licenses.scan_licences(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_paragraphs", "n_licensed", F.array_join("licences", ",").alias("licences"), F.round("probability", 6).alias("probability"), "confirmed")
