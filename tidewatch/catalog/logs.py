@@ -85,6 +85,25 @@ def gap_fill(spark, sf):
     return W.gap_fill(W.window_counts(logs_of(spark, sf), S30), S30)
 
 
+def _any_width_sql(width: str) -> str:
+    """All bins of a width that need not divide a day, from the midnight before the first log on."""
+    vol = volume_sql(width).replace("timestamp) AS timestamp", "timestamp, (SELECT date_trunc('day', min(timestamp)) FROM logs)) AS timestamp", 1)
+    return (f"WITH {LOGS}{vol}{GRID.format(w=width)} SELECT timestamp, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in (*COUNT_COLS, *RATE_COLS))
+            + " FROM grid LEFT JOIN vol USING (timestamp)")
+
+
+def _any_width(width: str):
+    def run(spark, sf):
+        logs = logs_of(spark, sf)
+        return W.volume_features(logs, width, True, W.first_midnight(logs, width))
+
+    return run
+
+
+for _width, _tag in (("7 minutes", "7m"), ("45 seconds", "45s"), ("2 days", "2d")):
+    query(f"gap_fill_{_tag}", _any_width_sql(_width))(_any_width(_width))
+
+
 MULTI = {"1 minute": "1 minute", "5 minutes": "5 minutes", "1 hour": "1 hour"}
 
 

@@ -207,7 +207,7 @@ def forest(spark, sf):
 
 @query("kmeans_fit")
 def kmeans(spark, sf):
-    centers = kmeans_fit(vectors(spark, sf), k=10, restarts=3)
+    centers = kmeans_fit(vectors(spark, sf), k=10)
     return _near_fixed(vectors(spark, sf), centers)
 
 

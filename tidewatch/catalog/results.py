@@ -140,8 +140,8 @@ WRITES = f"""WITH {LOGS}, wr AS (SELECT time_bucket(INTERVAL '1 hour', l.timesta
 
 def _writes(spark, sf):
     ev = spark.read.schema(src.EVENT_SCHEMA).parquet(f"{sf}/events.parquet")
-    logs = src.events_as_logs(ev).select("event_id", "timestamp", "is_anomaly")
-    rows = W.tumbling(logs.join(ev.select("event_id", "value"), "event_id"), "1 hour")
+    logs = src.events_as_logs(ev, ["value"]).select("event_id", "timestamp", "is_anomaly", "value")
+    rows = W.tumbling(logs, "1 hour")
     return rows.select(
         F.col("window_start").alias("timestamp"), "window_start", F.col("value").alias("anomaly_score"),
         (F.col("value") >= 60).cast("int").alias("is_anomaly"), F.col("is_anomaly").alias("ground_truth"), F.col("event_id").alias("arrival"))
@@ -237,6 +237,15 @@ def snk_kafka_results(spark, sf):
     return coded.select(back.alias("r")).select("r.*")
 
 
+@query("results_from_messages", RES + "SELECT window_start, is_anomaly, log_count, round(anomaly_score, 6) AS anomaly_score, ground_truth, error_rate, critical_rate FROM res")
+def results_from_messages(spark, sf):
+    """Results that arrive as messages: decoded, rates added, upserted and read back."""
+    path = fresh_path(spark, "from-messages")
+    rows = sinks.decode_results(sinks.encode_results(results_of(spark, sf).drop("error_rate", "critical_rate")))
+    sinks.upsert_results(rows, path, 0)
+    return sinks.read_results(spark, path).select("window_start", "is_anomaly", "log_count", "anomaly_score", "ground_truth", "error_rate", "critical_rate")
+
+
 @query("json_encode", f"WITH {LOGS} SELECT event_id, level, message, is_anomaly FROM logs")
 def json_codec(spark, sf):
     return _json(logs_of(spark, sf)).select("event_id", F.from_json("value", LOG_SCHEMA).alias("r")).select("event_id", "r.level", "r.message", "r.is_anomaly")

@@ -151,5 +151,5 @@ def latency_stage_split(spark, sf):
     stamped = stream.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("_metadata.file_modification_time").alias("ingest_time"))
     SD.start_latency(stamped, out, fresh_path(spark, "cp")).awaitTermination()
     stages = ["event_to_ingest_ms", "ingest_to_start_ms", "start_to_alert_ms"]
-    stats = describe_columns(spark.read.parquet(out), stages, {"p50": 0.5, "p95": 0.95})
+    stats = describe_columns(SD.read_latency(spark, out), stages, {"p50": 0.5, "p95": 0.95})
     return stats.select(F.col("metric").alias("stage"), "p50", "p95")

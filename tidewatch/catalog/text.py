@@ -13,6 +13,7 @@ from tidewatch.operators import textmodel as M
 from tidewatch.operators import windows as W
 from tidewatch.plans.features import all_features
 from tidewatch.session import fresh_path, settle
+from tidewatch.sources.logs import read_events
 
 HB = "time_bucket(INTERVAL '1 hour', timestamp)"
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -95,24 +96,24 @@ TEXTROWS = f""", nv AS (SELECT count(*) AS n FROM embeddings), rar AS (SELECT te
   FROM tlogs l JOIN rar USING (template) JOIN events ev USING (event_id) JOIN embeddings e ON e.vec_id = l.event_id % (SELECT n FROM nv)),
  ts AS (SELECT *, (message_distance - min(message_distance) OVER ()) / (max(message_distance) OVER () - min(message_distance) OVER () + 1e-10) AS message_anomaly_score FROM tr)"""
 TS = f"WITH {LOGS}{TEMPLATES}{TEXTROWS}"
-DIMS = [f"tfidf_{i}" for i in range(15)]
+VEC = 64  # components of the test vectors, all of them read
+DIMS = [f"tfidf_{i}" for i in range(VEC)]
 
 
 def text_rows(spark, sf):
     """Per-log text features by rule: vectors and clusters from ``embeddings``, distance from the event value."""
-    logs = logs_of(spark, sf)
+    logs = read_events(spark, sf, ["value"]).withColumnRenamed("value", "message_distance")
     emb = spark.read.parquet(f"{sf}/embeddings.parquet")
     n = emb.agg(F.count(F.lit(1))).scalar()
-    values = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("value").alias("message_distance"))
-    rows = T.rarity_lookup(logs, T.template_rarity(T.template_counts(logs))).join(values, "event_id").withColumn("vec_id", F.col("event_id") % n)
+    rows = T.rarity_lookup(logs, T.template_rarity(T.template_counts(logs))).withColumn("vec_id", F.col("event_id") % n)
     rows = rows.join(emb.select("vec_id", F.col("label").alias("message_cluster"), F.col("embedding").cast("array<double>").alias("vec")), "vec_id")
-    ends = values.agg(F.struct(F.min("message_distance").alias("lo"), F.max("message_distance").alias("hi"))).scalar()
+    ends = logs.agg(F.struct(F.min("message_distance").alias("lo"), F.max("message_distance").alias("hi"))).scalar()
     scored = M.message_score(rows, ends.getField("lo"), ends.getField("hi"))
     return scored.select("event_id", "timestamp", "template", "message", "message_rarity", "message_anomaly_score", "message_cluster",
-                         *[F.col("vec")[i].alias(f"tfidf_{i}") for i in range(15)])
+                         *[F.col("vec")[i].alias(f"tfidf_{i}") for i in range(VEC)])
 
 
-TMEANS = ", ".join(f"round(avg(vec[{i + 1}]), 6) AS tfidf_{i}" for i in range(15))
+TMEANS = ", ".join(f"round(avg(vec[{i + 1}]), 6) AS tfidf_{i}" for i in range(VEC))
 
 
 @query("text_window_means", f"{TS} SELECT {HB} AS timestamp, round(avg(message_rarity), 6) AS message_rarity, round(avg(message_anomaly_score), 6) AS message_anomaly_score, round(avg(message_cluster), 6) AS message_cluster, {TMEANS} FROM ts GROUP BY 1")
@@ -169,7 +170,7 @@ def set_model(logs) -> M.TextModel:
     centers = np.zeros((len(CENTER_TERMS), 15))
     for row, term in enumerate(CENTER_TERMS):
         centers[row, TERMS.index(term)] = 1.0
-    return M.TextModel(TERMS, IDF, np.eye(15), centers, 1.0, T.template_rarity(T.template_counts(logs)))
+    return M.TextModel(TERMS, IDF, np.eye(15), centers, 1.0, settle(T.template_rarity(T.template_counts(logs))))
 
 
 def all_features_sql(per_window: bool = False) -> str:
@@ -204,5 +205,5 @@ def all_features_set(spark, sf):
 def all_features_fitted(spark, sf):
     """The same vector from a model fitted on the logs, saved and loaded again."""
     logs, path = logs_of(spark, sf), fresh_path(spark, "text-model")
-    M.save_text_model(M.fit_text_model(logs, restarts=3), path)
+    M.save_text_model(M.fit_text_model(logs), path)
     return all_features(logs, M.load_text_model(spark, path), "1 hour")

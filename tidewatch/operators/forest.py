@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ranks import percentile_table
+from tidewatch.session import settle
 
 # Defaults of the forest.
 TREES, SAMPLE, SEED = 100, 256, 42
@@ -102,7 +103,8 @@ def forest_scores(vec: Column | str, forest: list, prefixes: Sequence[int] | Non
 def isolation_forest(points: DataFrame, id_col: str, vec_col: str, contamination: float, trees: int = TREES, sample: int = SAMPLE,
                      seed: int = SEED) -> DataFrame:
     """(id, score, is_anomaly): flagged when the score lies below its exact contamination percentile."""
+    points = settle(points.select(id_col, vec_col))  # read for the sample and for the scores
     forest = fit_forest(points, id_col, vec_col, trees, sample, seed)
-    scored = points.select(F.col(id_col).alias("id"), forest_scores(vec_col, forest)[0].alias("score"))
+    scored = settle(points.select(F.col(id_col).alias("id"), forest_scores(vec_col, forest)[0].alias("score")))
     cut = percentile_table(scored, "score", {"cut": contamination}).scalar()
     return scored.withColumn("is_anomaly", (F.col("score") < cut).cast("int"))

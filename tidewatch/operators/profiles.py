@@ -25,13 +25,13 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
 
 
 def level_by_label_crosstab(logs: DataFrame) -> DataFrame:
-    """level x label counts with row and column totals ("All")."""
+    """level x label counts with row and column totals ("All"); a null level keeps its own row."""
     return (
         logs.rollup("level").agg(
             F.count_if(F.col("is_anomaly") == 0).alias("normal"),
             F.count_if(F.col("is_anomaly") == 1).alias("anomaly"),
-            F.count("is_anomaly").alias("total"),
-        ).withColumn("level", F.coalesce("level", F.lit("All")))
+            F.count("is_anomaly").alias("total"), F.grouping("level").alias("_all"),
+        ).withColumn("level", F.when(F.col("_all") == 1, "All").otherwise(F.col("level"))).drop("_all")
     )
 
 

@@ -54,21 +54,30 @@ def anomaly_summary_hourly(results: DataFrame) -> DataFrame:
     return group_by_window(results, SUMMARY_AGGS(), "1 hour").withColumnRenamed("timestamp", "bucket")
 
 
+def within_dates(df: DataFrame, lo=None, hi=None) -> DataFrame:
+    """Bound the partition column ``date``, where a stored table has one, so other dates are never read."""
+    if "date" not in df.columns:
+        return df
+    if lo is not None:
+        df = df.filter(F.col("date") >= F.to_date(lo))
+    return df if hi is None else df.filter(F.col("date") <= F.to_date(hi))
+
+
 def hourly_refresh(results: DataFrame, now, start_offset: str = "1 day", end_offset: str = "10 minutes") -> DataFrame:
     """Buckets wholly inside [now - start_offset, now - end_offset], recomputed.
 
-    The time bound is a plain filter on the key, so date partitions outside the
-    range are never read.
+    A stored table is bounded by its date partitions as well as by the key.
     """
     now = now if not isinstance(now, str) else F.lit(now).cast("timestamp")
     lo = F.date_trunc("hour", now - F.expr(f"INTERVAL {start_offset}") + F.expr("INTERVAL 1 hour") - F.expr("INTERVAL 1 microsecond"))
     hi = F.date_trunc("hour", now - F.expr(f"INTERVAL {end_offset}"))
-    return anomaly_summary_hourly(results.filter((F.col("timestamp") >= lo) & (F.col("timestamp") < hi)))
+    return anomaly_summary_hourly(within_dates(results, lo, hi).filter((F.col("timestamp") >= lo) & (F.col("timestamp") < hi)))
 
 
 def retention(df: DataFrame, now, keep: str, ts: str = "timestamp") -> DataFrame:
     now = now if not isinstance(now, str) else F.lit(now).cast("timestamp")
-    return df.filter(F.col(ts) >= now - F.expr(f"INTERVAL {keep}"))
+    cutoff = now - F.expr(f"INTERVAL {keep}")
+    return within_dates(df, cutoff).filter(F.col(ts) >= cutoff)
 
 
 def range_by_flag(results: DataFrame, flag: int = 1) -> DataFrame:
@@ -77,7 +86,7 @@ def range_by_flag(results: DataFrame, flag: int = 1) -> DataFrame:
 
 def range_by_start(results: DataFrame, start: str, end: str) -> DataFrame:
     key = F.col("window_start")
-    return results.filter((key >= F.lit(start).cast("timestamp")) & (key < F.lit(end).cast("timestamp"))).orderBy("window_start")
+    return within_dates(results, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")).filter((key >= F.lit(start).cast("timestamp")) & (key < F.lit(end).cast("timestamp"))).orderBy("window_start")
 
 
 def logs_by_level(logs: DataFrame, level: str) -> DataFrame:

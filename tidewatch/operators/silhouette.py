@@ -1,4 +1,4 @@
-"""Euclidean silhouette on a bounded, repeatable sample."""
+"""Euclidean silhouette, of all rows or of a repeatable sample."""
 
 from __future__ import annotations
 
@@ -12,14 +12,12 @@ from tidewatch.operators.kernels import longs, matrix, sq_distances
 from tidewatch.operators.profiles import sample_rows
 from tidewatch.session import settle
 
-SAMPLE = 10_000
 
-
-def silhouette_values(points: DataFrame, id_col: str, vec_col: str, label_col: str, sample: int = SAMPLE) -> DataFrame:
-    """(id, label, silhouette).  ``sample`` bounds the work; all rows are used below it."""
+def silhouette_values(points: DataFrame, id_col: str, vec_col: str, label_col: str, sample: int | None = None) -> DataFrame:
+    """(id, label, silhouette) of all rows; only a ``sample`` size that the caller names reads fewer."""
     rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                          F.lit(1).cast("long").alias("weight"), F.col(label_col).cast("long").alias("tag"))
-    rows = settle(sample_rows(rows, sample, "id"))
+    rows = settle(sample_rows(rows, sample, "id") if sample else rows)
     space = build_blocks(rows)
     dims = space.dims
 
@@ -51,5 +49,5 @@ def silhouette_values(points: DataFrame, id_col: str, vec_col: str, label_col: s
     return per.select("id", "label", F.when((F.col("n") > 1) & (F.greatest("a", "b") > 0), value).otherwise(F.lit(0.0)).alias("silhouette"))
 
 
-def silhouette(points: DataFrame, id_col: str, vec_col: str, label_col: str, sample: int = SAMPLE) -> DataFrame:
+def silhouette(points: DataFrame, id_col: str, vec_col: str, label_col: str, sample: int | None = None) -> DataFrame:
     return silhouette_values(points, id_col, vec_col, label_col, sample).agg(F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("rows"))

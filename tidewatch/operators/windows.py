@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import ratio
@@ -17,6 +17,20 @@ def bin_start(ts: str, width: str, start_time: str | None = None) -> Column:
     return F.window(ts, width, None, start_time) if start_time else F.window(ts, width)
 
 
+CHUNK_BINS = 10_000
+
+
+def width_micros(spark: SparkSession, width: str) -> int:
+    """Length of a fixed window width in microseconds."""
+    return spark.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {width}"))).first()[0]
+
+
+def first_midnight(logs: DataFrame, width: str, ts: str = "timestamp") -> str:
+    """``start_time`` that lets bins of any width begin at the midnight before the first log."""
+    first = logs.agg(F.unix_micros(F.date_trunc("day", F.min(ts)))).first()[0] or 0
+    return f"{first % width_micros(logs.sparkSession, width)} microseconds"
+
+
 def tumbling(df: DataFrame, width: str = WINDOW_WIDTH, ts: str = "timestamp", start_time: str | None = None) -> DataFrame:
     """Add ``window_start`` / ``window_end`` to every row."""
     return (
@@ -37,15 +51,15 @@ def count_aggs() -> list[Column]:
 
 
 def group_by_window(df: DataFrame, aggs: Sequence[Column], width: str, ts: str = "timestamp",
-                    keys: Sequence[str] = ()) -> DataFrame:
+                    keys: Sequence[str] = (), start_time: str | None = None) -> DataFrame:
     """One shuffle: group by bin (and ``keys``), label rows with the bin start."""
-    out = df.groupBy(bin_start(ts, width).alias("_w"), *keys).agg(*aggs)
+    out = df.groupBy(bin_start(ts, width, start_time).alias("_w"), *keys).agg(*aggs)
     names = [c for c in out.columns if c not in ("_w", *keys)]
     return out.select(F.col("_w.start").alias("timestamp"), *keys, *names)
 
 
-def window_counts(logs: DataFrame, width: str = WINDOW_WIDTH) -> DataFrame:
-    return group_by_window(logs, count_aggs(), width)
+def window_counts(logs: DataFrame, width: str = WINDOW_WIDTH, start_time: str | None = None) -> DataFrame:
+    return group_by_window(logs, count_aggs(), width, start_time=start_time)
 
 
 def window_rates(counts: DataFrame) -> DataFrame:
@@ -61,9 +75,9 @@ def window_rates(counts: DataFrame) -> DataFrame:
     })
 
 
-def volume_features(logs: DataFrame, width: str = WINDOW_WIDTH, fill_gaps: bool = False) -> DataFrame:
-    """The 12 volume features per window, in contract order."""
-    counts = window_counts(logs, width)
+def volume_features(logs: DataFrame, width: str = WINDOW_WIDTH, fill_gaps: bool = False, start_time: str | None = None) -> DataFrame:
+    """The 12 volume features per window, in contract order; ``start_time`` shifts the bins (see ``first_midnight``)."""
+    counts = window_counts(logs, width, start_time)
     if fill_gaps:
         counts = gap_fill(counts, width)
     return window_rates(counts).select("timestamp", *VOLUME_COLS)
@@ -72,20 +86,24 @@ def volume_features(logs: DataFrame, width: str = WINDOW_WIDTH, fill_gaps: bool
 def gap_fill(windows: DataFrame, width: str, ts: str = "timestamp", fills: Mapping[str, object] | None = None) -> DataFrame:
     """Add the empty bins between the first and last occupied bin.
 
-    The calendar of bins is spread by day before it is expanded, so a long
-    history is generated in parallel.  The windows are kept as a table first:
-    they are read for the span and for the join.  Numeric columns default to 0.
+    Bin i begins at the first occupied bin plus i widths, whatever the width.
+    Bin numbers are cut into chunks before they are expanded, so a long history
+    is generated in parallel.  The windows are kept as a table first: they are
+    read for the span and for the join.  A window that does not fall on the
+    grid is an error, not a lost row.  Numeric columns default to 0.
     """
     windows = settle(windows)
-    step = F.expr(f"INTERVAL {width}")
-    span = windows.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    days = span.select("lo", "hi", F.explode(F.sequence(F.date_trunc("day", "lo"), F.date_trunc("day", "hi"),
-                                                        F.expr("INTERVAL 1 day"))).alias("day"))
-    bins = (
-        days.repartition("day")
-        .select("lo", "hi", F.explode(F.sequence("day", F.expr("day + INTERVAL 1 day") - step, step)).alias(ts))
-        .filter(F.col(ts).between(F.col("lo"), F.col("hi"))).select(ts)
-    )
+    step = width_micros(windows.sparkSession, width)
+    lo, hi = windows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    if lo is None:
+        return windows
+    if not windows.filter((F.unix_micros(ts) - lo) % step != 0).isEmpty():
+        raise ValueError(f"windows do not lie {width} apart; give all of them the same width and start")
+    last = (hi - lo) // step
+    chunks = windows.sparkSession.range(last // CHUNK_BINS + 1)
+    first = F.col("id") * CHUNK_BINS
+    number = F.explode(F.sequence(first, F.least(first + CHUNK_BINS - 1, F.lit(last))))
+    bins = chunks.select(number.alias("_i")).select(F.timestamp_micros(F.lit(lo) + F.col("_i") * F.lit(step)).alias(ts))
     joined = bins.join(windows, ts, "left")
     if fills is None:
         fills = {c: 0 for c, t in windows.dtypes if t in ("bigint", "int", "double", "float")}

@@ -20,11 +20,12 @@ SECURITY_TAIL = 5
 def inject_incidents(logs: DataFrame, incidents: DataFrame, seed: int = 42) -> DataFrame:
     """Union ``logs`` with generated burst logs.
 
-    ``incidents``: incident_id, timestamp, service, kind, size.  Every burst row
+    ``incidents``: incident_id, timestamp, service, kind, size, and optionally
+    category, which names the label of a spike.  A size of 0 adds no log.  Every burst row
     is derived from a hash of (incident, position, seed): repeatable, no state,
     and expanded on the executors.
     """
-    rows = incidents.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    rows = incidents.filter(F.col("size") > 0).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     draw = F.pmod(F.xxhash64("incident_id", "i", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
     label = F.create_map(*[x for k, v in INCIDENTS.items() for x in (F.lit(k), F.lit(v[0]))])
     low = F.create_map(*[x for k, v in INCIDENTS.items() for x in (F.lit(k), F.lit(v[1]))])
@@ -33,6 +34,9 @@ def inject_incidents(logs: DataFrame, incidents: DataFrame, seed: int = 42) -> D
     kind, choices = F.col("kind"), F.element_at(levels, F.col("kind"))
     offset = F.col("i") * (F.element_at(low, kind) + draw * (F.element_at(high, kind) - F.element_at(low, kind)))
     picked = F.element_at(choices, (F.floor(draw * F.size(choices)) + 1).cast("int"))
+    named = F.element_at(label, kind)
+    if "category" in incidents.columns:
+        named = F.when((kind == "spike") & F.col("category").isNotNull(), F.concat("category", F.lit("_spike"))).otherwise(named)
     burst = rows.select(
         F.timestamp_micros((F.unix_micros("timestamp") + offset * 1_000_000).cast("long")).alias("timestamp"),
         F.when(kind == "security", F.when(F.col("i") < F.col("size") - SECURITY_TAIL, "WARN").otherwise("ERROR"))
@@ -41,6 +45,6 @@ def inject_incidents(logs: DataFrame, incidents: DataFrame, seed: int = 42) -> D
         F.concat(F.lit("Injected "), kind, F.lit(" incident "), F.col("incident_id").cast("string"),
                  F.lit(" attempt "), (F.col("i") + 1).cast("string")).alias("message"),
         F.lit(1).alias("is_anomaly"),
-        F.element_at(label, kind).alias("anomaly_type"),
+        named.alias("anomaly_type"),
     )
     return union_logs(logs, burst)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +22,8 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-def events_as_logs(events: DataFrame) -> DataFrame:
-    """Map the ``events`` table (batch or stream) onto log records."""
+def events_as_logs(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Map the ``events`` table (batch or stream) onto log records; ``keep`` names columns to carry along."""
     kind, value = F.col("event_type"), F.col("value")
     k = F.get_json_object("props", "$.k").cast("int")
     critical = kind == "error"
@@ -43,12 +45,13 @@ def events_as_logs(events: DataFrame) -> DataFrame:
                             F.char(F.lit(65) + k % 26))).alias("message"),
         flag.alias("is_anomaly"),
         F.when(flag == 1, "spike").alias("anomaly_type"),
+        *keep,
     )
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_events(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
     ensure_utc(spark)
-    return events_as_logs(spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
+    return events_as_logs(spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet"), keep)
 
 
 def read_parquet_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.results import RESULT_KEY, results_latest
+from tidewatch.operators.results import RESULT_KEY, results_latest, results_rates
+from tidewatch.schemas import RESULT_SCHEMA
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -32,12 +33,15 @@ def write_by_date(df: DataFrame, path: str, batch_id: int, ts: str = "timestamp"
 def upsert_results(batch: DataFrame, path: str, batch_id: int, arrival: str | None = None) -> None:
     """Upsert by (timestamp, window_start).
 
-    Keys are made unique inside the batch first; across batches the newest batch
-    wins when the table is read.  Nothing is read back or rewritten, so the cost
+    Of rows with one key the last to arrive stays; without ``arrival`` a repeated
+    key is an error.  Across batches the newest batch wins when the table is read.  Nothing is read back or rewritten, so the cost
     follows the batch, not the table.
     """
-    unique = results_latest(batch, arrival).drop(arrival) if arrival else batch.dropDuplicates(RESULT_KEY)
-    write_by_date(unique, path, batch_id)
+    if arrival:
+        batch = results_latest(batch, arrival).drop(arrival)
+    elif not batch.groupBy(*RESULT_KEY).count().filter("count > 1").isEmpty():
+        raise ValueError("a batch with repeated keys needs the name of its arrival column")
+    write_by_date(batch, path, batch_id)
 
 
 def read_results(spark: SparkSession, path: str, truth: str = "first", dates: tuple[str, str] | None = None) -> DataFrame:
@@ -48,9 +52,9 @@ def read_results(spark: SparkSession, path: str, truth: str = "first", dates: tu
     return results_latest(stored.drop("date"), "batch", truth).drop("batch")
 
 
-def compact_results(spark: SparkSession, path: str, out: str) -> None:
-    """Write the current rows as a single batch 0 at ``out``."""
-    write_by_date(read_results(spark, path), out, 0)
+def compact_results(spark: SparkSession, path: str, out: str, truth: str = "first", dates: tuple[str, str] | None = None) -> None:
+    """Write the current rows (of ``dates``) as a single batch 0 at ``out``; ``truth`` as in ``read_results``: growing windows need "last"."""
+    write_by_date(read_results(spark, path, truth, dates), out, 0)
 
 
 def expire_partitions(dates: DataFrame, now: str, keep: str) -> DataFrame:
@@ -59,6 +63,23 @@ def expire_partitions(dates: DataFrame, now: str, keep: str) -> DataFrame:
     return dates.filter(F.col("date") < cutoff)
 
 
+def drop_expired(spark: SparkSession, path: str, now: str, keep: str) -> list[str]:
+    """Delete the date folders of a stored table that lie wholly before the retention cut-off; returns their dates.
+
+    The list of dates is read from the folder names, not from the rows.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = {f.getPath().getName()[5:]: f.getPath() for f in fs.listStatus(root) if f.isDirectory() and f.getPath().getName().startswith("date=")}
+    if not folders:
+        return []
+    known = spark.createDataFrame([(d,) for d in folders], "name string").withColumn("date", F.col("name").cast("date"))
+    gone = sorted(r.name for r in expire_partitions(known, now, keep).collect())
+    for name in gone:
+        fs.delete(folders[name], True)
+    return gone
+
+
 def write_alarms(lines: DataFrame, path: str) -> None:
     """Alarm text in window order (range-partitioned files)."""
     lines.orderBy("window_start", "line_no").select("line").write.mode("overwrite").text(path)
@@ -70,6 +91,16 @@ def encode_results(results: DataFrame, key: str = "window_start") -> DataFrame:
     return results.withColumns(iso).select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*results.columns)).alias("value"))
 
 
+def decode_results(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Result messages -> stored result rows: decoded by the result schema, with error and critical rates."""
+    return results_rates(messages.select(F.from_json(F.col(value).cast("string"), RESULT_SCHEMA).alias("r")).filter(F.col("r.window_start").isNotNull()).select("r.*"))
+
+
+def publish_results(results: DataFrame, servers: str, topic: str) -> None:
+    """Send a batch of results to a broker topic (acks=all); needs the connector.  For use inside a micro-batch handler."""
+    encode_results(results).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.acks", "all").option("kafka.retries", "3").save()
+
+
 def kafka_writer(results: DataFrame, servers: str, topic: str, checkpoint: str):
     """Streaming writer to a broker topic (acks=all, three retries); needs the connector."""
     return (
