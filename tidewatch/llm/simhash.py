@@ -100,24 +100,33 @@ def gray_rank(code: Column) -> Column:
     return code.bitwiseXOR(F.lit(-(2**63)).cast("long"))
 
 
+def gray_code(rank: Column) -> Column:
+    """The code at a place of the Gray sequence: the inverse of ``gray_rank``."""
+    plain = rank.bitwiseXOR(F.lit(-(2**63)).cast("long"))
+    return plain.bitwiseXOR(F.shiftrightunsigned(plain, 1))
+
+
 def build_index(codes: DataFrame, code: str = "fp", carry: Sequence[str] = ()) -> tuple[DataFrame, int]:
-    """Codes -> leaf blocks (block, ones, some, codes, carried columns), numbered from 0 in Gray order, and their number.
+    """Codes -> leaf blocks (block, ones, some, and arrays), numbered from 0 in Gray order, and their number.
+
+    The arrays are the carried columns, or else the codes themselves.
 
     ``ones`` are the bits that all codes of a block have, ``some`` those that
     any has: where they agree, the bit is shared by the whole block.
     """
     order = settle(
-        codes.select(F.col(code).alias("code"), gray_rank(F.col(code)).alias("rank"), *carry).repartitionByRange("rank", *carry).sortWithinPartitions("rank", *carry)
-        .select("code", "rank", *carry, F.spark_partition_id().alias("part"), F.expr(f"(monotonically_increasing_id() & {2**33 - 1}L) div {BLOCK}").alias("nth")))
+        codes.select(gray_rank(F.col(code)).alias("rank"), *carry).repartitionByRange("rank", *carry).sortWithinPartitions("rank", *carry)
+        .select("rank", *carry, F.spark_partition_id().alias("part"), F.expr(f"(monotonically_increasing_id() & {2**33 - 1}L) div {BLOCK}").alias("nth")))
     parts = order.groupBy("part").agg((F.max("nth") + 1).alias("n"))
+    arrays = [F.col(f"held.{c}").alias(c) for c in carry] or [F.transform("held", lambda x: gray_code(x["rank"])).alias("codes")]
     # One row per partition: bounded by the shuffle width, not by the data.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     blocks = (
-        order.groupBy("part", "nth")
-        .agg(F.expr("bit_and(code)").alias("ones"), F.expr("bit_or(code)").alias("some"), F.sort_array(F.collect_list(F.struct("rank", "code", *carry))).alias("codes"))
+        order.withColumn("code", gray_code(F.col("rank"))).groupBy("part", "nth")
+        .agg(F.expr("bit_and(code)").alias("ones"), F.expr("bit_or(code)").alias("some"), F.sort_array(F.collect_list(F.struct("rank", *carry))).alias("held"))
         .join(F.broadcast(bases), "part")
-        .select((F.col("base") + F.col("nth")).alias("block"), "ones", "some", F.col("codes.code").alias("codes"), *[F.col(f"codes.{c}").alias(c) for c in carry]))
+        .select((F.col("base") + F.col("nth")).alias("block"), "ones", "some", *arrays))
     return settle(blocks), parts.agg(F.sum("n")).first()[0] or 0
 
 
@@ -216,6 +225,11 @@ def links(codes: DataFrame, most: int, code: str = "fp") -> DataFrame:
     return tiles.mapInArrow(compare, "u long, v long")
 
 
+def tag_of(t: int) -> int:
+    """A segment's number, eight times over, above the bits of the segment."""
+    return sum(t << (SEGMENT_BITS + 5 * k) for k in range(8))
+
+
 def long_links(marks: DataFrame, most: int) -> DataFrame:
     """(u, v): links between long fingerprints (w0, w1, w2) at ``most`` differing bits or fewer, named by their first words.
 
@@ -232,21 +246,32 @@ def long_links(marks: DataFrame, most: int) -> DataFrame:
         low = F.shiftrightunsigned(words[at], off)
         if off + SEGMENT_BITS > 64:
             low = low.bitwiseOR(F.shiftleft(words[(at + 1) % WORDS], 64 - off))
-        tag = sum(t << (SEGMENT_BITS + 5 * k) for k in range(8))
-        return low.bitwiseAND(F.lit(2**SEGMENT_BITS - 1).cast("long")).bitwiseOR(F.lit(tag).cast("long"))
+        return low.bitwiseAND(F.lit(2**SEGMENT_BITS - 1).cast("long")).bitwiseOR(F.lit(tag_of(t)).cast("long"))
 
-    codes = marks.select(*words, F.explode(F.array(*[segment(t) for t in range(SEGMENTS)])).alias("code"))
-    blocks, n_blocks = build_index(codes, "code", words)
+    codes = marks.select(*words, F.posexplode(F.array(*[segment(t) for t in range(SEGMENTS)])).alias("t", "code")).withColumn("t", F.col("t").cast("tinyint"))
+    blocks, n_blocks = build_index(codes, "code", ["t", *words])
     pairs = block_pairs(blocks, n_blocks, SEGMENT_DIFF)
-    side = lambda x: blocks.select(F.col("block").alias(x), F.array("codes", *words).alias(f"side_{x}"))
+    side = lambda x: blocks.select(F.col("block").alias(x), F.struct("t", *words).alias(f"side_{x}"))
+    tags = np.array([tag_of(t) for t in range(SEGMENTS)], np.uint64)
+
+    def unpack(side: pa.StructScalar) -> np.ndarray:
+        """The codes of a block, made anew from the fingerprints, and below them the fingerprints."""
+        t = side["t"].values.to_numpy(zero_copy_only=False).astype(np.int64)
+        w = np.stack([side[name].values.to_numpy(zero_copy_only=False).view(np.uint64) for name in words])
+        at, off = np.divmod(SEGMENT_STEP * t, 64)
+        each = np.arange(len(t))
+        low = w[at, each] >> off.astype(np.uint64)
+        over = off + SEGMENT_BITS > 64
+        low[over] |= w[(at[over] + 1) % WORDS, each[over]] << (64 - off[over]).astype(np.uint64)
+        return np.concatenate([((low & np.uint64(2**SEGMENT_BITS - 1)) | tags[t])[None], w])
     tiles = pairs.join(side("a"), "a").join(side("b"), "b").select((F.col("a") == F.col("b")).alias("same"), "side_a", "side_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                x = batch.column(1)[k].values.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(WORDS + 1, -1)
+                x = unpack(batch.column(1)[k])
                 same = batch.column(0)[k].as_py()
-                y = x if same else batch.column(2)[k].values.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(WORDS + 1, -1)
+                y = x if same else unpack(batch.column(2)[k])
                 i, j = close_codes(x[0], y[0], SEGMENT_DIFF)
                 if same:
                     i, j = i[i < j], j[i < j]
