@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import LOGS, logs_of, query, volume_sql
+from tidewatch.schemas import TEXT_COLS
 from tidewatch.catalog.models import SCORED, VOLUME_COLS, WEPS, WINDOWS, WNEED, dbscan_sql
 from tidewatch.catalog.text import all_features_sql, set_model
 from tidewatch.operators.ranks import describe_columns
@@ -153,3 +154,38 @@ def latency_stage_split(spark, sf):
     stages = ["event_to_ingest_ms", "ingest_to_start_ms", "start_to_alert_ms"]
     stats = describe_columns(SD.read_latency(spark, out), stages, {"p50": 0.5, "p95": 0.95})
     return stats.select(F.col("metric").alias("stage"), "p50", "p95")
+
+
+# ---- detection on all 30 features ---------------------------------------------------------------
+
+TEPS30, TNEED30 = 4.0, 5
+ALL_COLS = [*VOLUME_COLS, *TEXT_COLS]
+UNROUNDED = all_features_sql().replace("round(", "(").replace(", 6)", ")")  # features as they are, not as they are shown
+TEXT_WINDOWS = f"WITH RECURSIVE af AS MATERIALIZED ({UNROUNDED}), v AS MATERIALIZED (SELECT epoch_us(timestamp) AS id, [" + ", ".join(
+    f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END" for c in ALL_COLS) + "] AS vec FROM af)"
+TEXT_DETECTED = f"{TEXT_WINDOWS}{dbscan_sql(TEPS30, TNEED30)}{SCORED.replace('65', str(len(ALL_COLS) + 1))} "
+TEXT_COLUMNS = "SELECT make_timestamp(id) AS timestamp, CAST(label = -1 AS INTEGER) AS is_anomaly, round(raw / max(raw) OVER (), 6) AS anomaly_score, label AS cluster_label FROM rw"
+
+
+@query("detect_batch_text", TEXT_DETECTED + TEXT_COLUMNS)
+def detect_batch_text(spark, sf):
+    logs = logs_of(spark, sf)
+    return P.detect_batch(logs, "1 hour", TEPS30, TNEED30, set_model(logs))
+
+
+@query("model_load_text", TEXT_DETECTED + TEXT_COLUMNS)
+def model_load_text(spark, sf):
+    """A detector with its text model, saved, read back and applied to a batch."""
+    logs, path = logs_of(spark, sf), fresh_path(spark, "detector")
+    P.save_detector(P.fit_detector(logs, "1 hour", TEPS30, TNEED30, set_model(logs)), path)
+    model = P.load_detector(spark, path)
+    return P.score_windows(P.features_for(logs, model.text, "1 hour"), model)
+
+
+@query("stream_detect_text", TEXT_DETECTED + TEXT_COLUMNS)
+def stream_detect_text(spark, sf):
+    """The stored model with its text model on the stream: the features, flags and scores of the batch."""
+    out, logs = fresh_path(spark, "detect"), logs_of(spark, sf)
+    model = P.fit_detector(logs, "1 hour", TEPS30, TNEED30, set_model(logs))
+    SD.start_detection(opened(spark, replay(spark, sf, parts=2)), model, "1 hour", out, fresh_path(spark, "cp"), LONG).awaitTermination()
+    return stored(spark, out, ["timestamp", "is_anomaly", "anomaly_score", "cluster_label"])

@@ -7,7 +7,7 @@ of distinct templates weighted by their counts; logs are aggregated once.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,7 @@ class TextModel:
     explained: float
     rarity: DataFrame            # template, rarity
     stop_words: tuple[str, ...] = field(default=STOP_WORDS)
+    extremes: tuple[float, float] | None = None  # smallest and largest distance among the fitted templates
 
 
 def doc_key(template: Column | str = "template") -> Column:
@@ -179,7 +180,13 @@ def fit_text_model(logs: DataFrame, dims: int = TEXT_DIMS, k: int = CLUSTERS, si
     model = TextModel(names, idf, basis, np.zeros((1, dims)), explained, template_rarity(counts), tuple(stop_words))
     placed = counts.withColumn("vec", embed(model)["embedding"])
     model.centers = kmeans_fit(placed, k, restarts=restarts, weight="count")
-    return model
+    return with_extremes(model, counts)
+
+
+def with_extremes(model: TextModel, templates: DataFrame) -> TextModel:
+    """The model with the distance scale of these templates, so that fitting, batches and streams score alike."""
+    ends = templates.select(embed(model)["distance"].alias("d")).agg(F.min("d"), F.max("d")).first()
+    return replace(model, extremes=(float(ends[0] or 0.0), float(ends[1] or 0.0)))
 
 
 def template_features(templates: DataFrame, model: TextModel) -> DataFrame:
@@ -201,11 +208,11 @@ def save_text_model(model: TextModel, path: str) -> None:
     spark = model.rarity.sparkSession
     model.rarity.write.mode("overwrite").parquet(f"{path}/rarity")
     body = {"terms": model.terms, "idf": model.idf, "basis": model.basis.tolist(), "centers": model.centers.tolist(),
-            "explained": model.explained, "stop_words": list(model.stop_words)}
+            "explained": model.explained, "stop_words": list(model.stop_words), "extremes": model.extremes}
     spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/text")
 
 
 def load_text_model(spark: SparkSession, path: str) -> TextModel:
     body = json.loads(spark.read.text(f"{path}/text").first()[0])
     return TextModel(body["terms"], body["idf"], np.array(body["basis"]), np.array(body["centers"]), body["explained"],
-                     spark.read.parquet(f"{path}/rarity"), tuple(body["stop_words"]))
+                     spark.read.parquet(f"{path}/rarity"), tuple(body["stop_words"]), tuple(body["extremes"]) if body.get("extremes") else None)

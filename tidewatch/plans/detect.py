@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from tidewatch.functions.scalar import nan_inf_to_zero, noise_flag
 from tidewatch.functions.vector import assemble
 from tidewatch.operators.dbscan import core_points, dbscan_assign, dbscan_fit, dbscan_model
-from tidewatch.operators.results import results_rates
 from tidewatch.operators.scoring import Scaler, anomaly_score, apply_scaler, cluster_centers, fit_scaler, raw_scores
-from tidewatch.operators.textmodel import TextModel, load_text_model, save_text_model
-from tidewatch.operators.windows import buffer_summary, volume_features
+from tidewatch.operators.templates import template_counts
+from tidewatch.operators.textmodel import TextModel, load_text_model, save_text_model, with_extremes
+from tidewatch.operators.windows import volume_features
 from tidewatch.plans.features import all_features
 from tidewatch.schemas import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, VOLUME_COLS, WINDOW_WIDTH
 from tidewatch.session import settle
@@ -69,6 +69,8 @@ def detect_csv(spark: SparkSession, source: str, target: str, width: str = WINDO
 
 def fit_detector(logs: DataFrame, width: str = WINDOW_WIDTH, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_SAMPLES,
                  text: TextModel | None = None) -> DetectorModel:
+    if text is not None and text.extremes is None:
+        text = with_extremes(text, settle(template_counts(logs)))
     features = settle(features_for(logs, text, width))
     cols = [c for c in features.columns if c != "timestamp"]
     scaler = fit_scaler(features, cols)
@@ -87,16 +89,6 @@ def score_windows(features: DataFrame, model: DetectorModel) -> DataFrame:
     return scored.select("timestamp", noise_flag("label").alias("is_anomaly"), "anomaly_score", F.col("label").alias("cluster_label"))
 
 
-def result_rows(predictions: DataFrame, logs: DataFrame, width: str) -> DataFrame:
-    """Predictions plus the window's own counts, rates and label."""
-    summary = buffer_summary(logs, width)
-    joined = predictions.join(summary, "timestamp").withColumns({
-        "window_start": F.col("timestamp"), "window_end": F.col("timestamp") + F.expr(f"INTERVAL {width}")})
-    return results_rates(joined).select(
-        "timestamp", "window_start", "window_end", "is_anomaly", "anomaly_score", "cluster_label", "log_count", "error_count",
-        "critical_count", "error_rate", "critical_rate", "ground_truth")
-
-
 def save_detector(model: DetectorModel, path: str) -> None:
     spark = model.cores.sparkSession
     model.cores.write.mode("overwrite").parquet(f"{path}/cores")

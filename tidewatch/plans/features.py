@@ -38,6 +38,7 @@ def with_text_features(counted: DataFrame, model: TextModel, extremes: tuple[flo
     join, and must not be evaluated again over anything larger.
     """
     found = settle(template_features(counted.select("template").distinct(), model))
+    extremes = extremes or model.extremes
     if extremes is None:
         ends = found.agg(F.min("message_distance").alias("lo"), F.max("message_distance").alias("hi")).first()
         extremes = (ends["lo"] or 0.0, ends["hi"] or 0.0)

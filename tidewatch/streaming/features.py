@@ -37,8 +37,9 @@ def stream_features(logs: DataFrame, model: TextModel, width: str = WINDOW_WIDTH
     """All 30 features in one stateful aggregation.
 
     Per-log work (template, rarity lookup, embedding) is stateless and runs
-    before the shuffle.  The message score uses the window's own extremes, for
-    which the mean has a closed form, so no second pass is needed.
+    before the shuffle.  The message score uses the model's extremes, or the
+    window's own where the model has none; either way the mean has a closed
+    form, so no second pass is needed.
     """
     dims = model.basis.shape[1]
     rarity = model.rarity.select("template", F.col("rarity").alias("message_rarity"))
@@ -46,7 +47,7 @@ def stream_features(logs: DataFrame, model: TextModel, width: str = WINDOW_WIDTH
     rows = rows.select(
         "timestamp", "level", "is_anomaly", F.coalesce("message_rarity", F.lit(1.0)).alias("message_rarity"),
         F.col("_e.cluster").alias("cluster"), F.col("_e.distance").alias("distance"), F.col("_e.embedding").alias("embedding"))
-    low, high = F.min("distance"), F.max("distance")
+    low, high = (F.lit(x) for x in model.extremes) if model.extremes else (F.min("distance"), F.max("distance"))
     aggs = [
         *count_aggs(), F.coalesce(F.max("is_anomaly"), F.lit(0)).alias("ground_truth"), F.avg("message_rarity").alias("message_rarity"),
         ((F.avg("distance") - low) / (high - low + F.lit(1e-10))).alias("message_anomaly_score"),
