@@ -61,7 +61,25 @@ def _mix(spark, sf_dir):
         "row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
-@query("op2_byte_shards")
+#: CRC-32 by its table of 256 entries, which is made by eight steps of the polynomial; cuts as ``assign_shards`` sets them.
+SHARDS_SQL = r"""
+WITH RECURSIVE step(b, k, c) AS (SELECT b::BIGINT, 0, b::BIGINT FROM range(256) t(b) UNION ALL
+  SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM step WHERE k = 8),
+hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, md5(coalesce(text, '')) AS dg FROM documents),
+sized AS (SELECT doc_id, dg, (len(h) // 2 + 1)::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, len(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM hexed, crc),
+s AS (SELECT *, (sum(size) OVER (ORDER BY dg, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM sized),
+t AS (SELECT sum(size)::BIGINT AS total, max(size) AS most FROM sized),
+runs AS (SELECT dg, min(start) AS f, max(start + size) AS e FROM s GROUP BY dg),
+goals AS (SELECT j, (j * total + 7) // 8 AS goal, total, most FROM range(1, 8) r(j), t),
+cuts AS (SELECT j, CASE WHEN f IS NULL THEN goal WHEN goal - f <= e - goal THEN CASE WHEN 16 * (goal - f) < total THEN f ELSE goal END
+    WHEN 16 * (e - goal) < total THEN e ELSE goal END AS cut FROM goals LEFT JOIN runs ON f < goal AND goal < e AND e - f <= most),
+placed AS (SELECT s.*, (SELECT count(*) FROM cuts WHERE cut <= s.start)::INTEGER AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY dg, doc_id NULLS FIRST) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM placed"""
+
+
+@query("op2_byte_shards", SHARDS_SQL)
 def _shards(spark, sf_dir):
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
