@@ -117,3 +117,22 @@ def test_alert_is_later_than_start(spark):
 
 def test_shared_folder_is_found(spark):
     assert shared_dir(spark)
+
+
+def test_stream_leaves_no_scratch(spark, sf):
+    """Tables settled for a micro-batch go with it."""
+    import os
+
+    from tidewatch.plans.detect import fit_detector
+    from tidewatch.sources import logs as sources
+    from tidewatch.streaming import features
+
+    path, out = fresh_path(spark, "scratch-in"), fresh_path(spark, "scratch-out")
+    spark.read.schema(sources.EVENT_SCHEMA).parquet(f"{sf}/events.parquet").repartition(6).write.parquet(path)
+    model = fit_detector(sources.read_events(spark, sf), "6 hours", 1.4, 5)
+    settled = lambda: {d for d, _, _ in os.walk(shared_dir(spark).removeprefix("file:")) if "/settled-" in d or "/scope-" in d}
+    before = settled()
+    stream = sources.events_as_logs(features.file_stream(spark, path, sources.EVENT_SCHEMA))
+    detect.start_detection(stream, model, "6 hours", out, fresh_path(spark, "cp"), "60 days").awaitTermination()
+    assert spark.read.parquet(out).select("batch").distinct().count() == 6
+    assert settled() == before

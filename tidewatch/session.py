@@ -6,7 +6,10 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,9 +70,35 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scopes = threading.local()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, empty path below the shared folder."""
-    return f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+    """A new, empty path below the shared folder, or below the folder of the scope that is open in this thread."""
+    open_scopes = getattr(_scopes, "paths", [])
+    root = open_scopes[-1] if open_scopes else f"{shared_dir(spark)}/tidewatch"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables settled inside live until the block ends; what is read from them must be written out before.
+
+    Gives a plan or a micro-batch scratch of its own, so a long stream leaves
+    nothing behind.
+    """
+    path = fresh_path(spark, "scope")
+    _scopes.paths = [*getattr(_scopes, "paths", []), path]
+    try:
+        yield path
+    finally:
+        _scopes.paths = _scopes.paths[:-1]
+        delete_path(spark, path)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -87,5 +116,4 @@ def settle(df: DataFrame) -> DataFrame:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete everything this package has put below the shared folder."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewatch")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_path(spark, f"{shared_dir(spark)}/tidewatch")

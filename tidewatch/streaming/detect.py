@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from tidewatch.operators.latency import latency_stage_split
 from tidewatch.operators.results import alarm_lines, results_rates
 from tidewatch.plans.detect import DetectorModel, score_windows
+from tidewatch.session import scratch_scope
 from tidewatch.sources.logs import decode_json_logs, split_corrupt
 from tidewatch.sources.sinks import upsert_results, write_alarms, write_by_date
 from tidewatch.streaming.features import WATERMARK, stream_features, stream_volume
@@ -101,15 +102,16 @@ def start_detection(logs: DataFrame, model: DetectorModel, width: str, results_p
         try:
             if batch.isEmpty():
                 return
-            results = result_rows(score_windows(batch, model), batch, width).persist()
-            upsert_results(results, results_path, batch_id)
-            if publish:
-                publish(results)
-            if raw_path and alarms_path:
-                days = results.filter("is_anomaly = 1").select(F.to_date("timestamp").alias("date")).distinct()
-                raw = batch.sparkSession.read.parquet(raw_path).join(days, "date", "left_semi")
-                write_alarms(alarm_lines(results, raw, width), f"{alarms_path}/batch={batch_id}")
-            results.unpersist()
+            with scratch_scope(batch.sparkSession):
+                results = result_rows(score_windows(batch, model), batch, width).persist()
+                upsert_results(results, results_path, batch_id)
+                if publish:
+                    publish(results)
+                if raw_path and alarms_path:
+                    days = results.filter("is_anomaly = 1").select(F.to_date("timestamp").alias("date")).distinct()
+                    raw = batch.sparkSession.read.parquet(raw_path).join(days, "date", "left_semi")
+                    write_alarms(alarm_lines(results, raw, width), f"{alarms_path}/batch={batch_id}")
+                results.unpersist()
         finally:
             batch.unpersist()
 
