@@ -284,4 +284,4 @@ def pivot_tuning(spark, sf):
 @query("tune_forest")
 def tune_forest(spark, sf):
     v = vectors(spark, sf).withColumn("truth", F.col("label") == 0).drop("label")
-    return tuning.tune_forest(v, "id", "vec", "truth", [0.01, 0.05, 0.1], [25, 50])
+    return tuning.tune_forest(v, "id", "vec", "truth")

@@ -9,8 +9,11 @@ from tidewatch.schemas import TEXT_COLS
 from tidewatch.catalog.models import SCORED, VOLUME_COLS, WEPS, WINDOWS, WNEED, dbscan_sql
 from tidewatch.catalog.text import all_features_sql, set_model
 from tidewatch.operators.ranks import describe_columns
+from tidewatch.operators.scoring import fit_scaler
+from tidewatch.operators.windows import window_labels
 from tidewatch.plans import detect as P
-from tidewatch.session import fresh_path
+from tidewatch.plans import tuning
+from tidewatch.session import fresh_path, settle
 from tidewatch.sources import logs as src
 from tidewatch.sources import sinks
 from tidewatch.streaming import detect as SD
@@ -189,3 +192,28 @@ def stream_detect_text(spark, sf):
     model = P.fit_detector(logs, "1 hour", TEPS30, TNEED30, set_model(logs))
     SD.start_detection(opened(spark, replay(spark, sf, parts=2)), model, "1 hour", out, fresh_path(spark, "cp"), LONG).awaitTermination()
     return stored(spark, out, ["timestamp", "is_anomaly", "anomaly_score", "cluster_label"])
+
+
+# ---- the published density grid on the windows' 30 features -------------------------------------
+
+def _grid_sql() -> str:
+    settings = [(e, m) for e in tuning.DBSCAN_EPS_GRID for m in tuning.DBSCAN_MIN_SAMPLES_GRID]
+    labs = "".join(dbscan_sql(e, m, tag=str(i)) for i, (e, m) in enumerate(settings))
+    rows = " UNION ALL ".join(f"SELECT CAST({e} AS DOUBLE) AS eps, {m} AS min_samples, label, truth FROM lab{i} JOIN tr USING (id)" for i, (e, m) in enumerate(settings))
+    rate = lambda top, low: f"round(CASE WHEN n_noise IN (0, n) OR {low} = 0 THEN 0 ELSE {top} / ({low}) END, 6)"
+    return f"""{TEXT_WINDOWS}, tr AS (SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS id, max(CASE WHEN event_type = 'error' AND value >= 150 THEN 1 ELSE 0 END) = 1 AS truth FROM events GROUP BY 1){labs},
+ al AS ({rows}),
+ g AS (SELECT eps, min_samples, CAST(count(DISTINCT label) FILTER (label <> -1) AS INTEGER) AS n_clusters, count(*) FILTER (label = -1) AS n_noise, count(*) AS n,
+   count(*) FILTER (label = -1 AND truth) AS tp, count(*) FILTER (label = -1 AND NOT truth) AS fp, count(*) FILTER (label <> -1 AND truth) AS fn FROM al GROUP BY 1, 2)
+ SELECT eps, min_samples, n_clusters, n_noise, round(n_noise * 100.0 / n, 6) AS noise_pct, {rate('tp', 'tp + fp')} AS precision, {rate('tp', 'tp + fn')} AS recall,
+  {rate('2 * tp', '2 * tp + fp + fn')} AS f1_score FROM g"""
+
+
+@query("tune_grid_published", _grid_sql())
+def tune_grid_published(spark, sf):
+    """All 35 published settings from one neighbour search."""
+    logs = logs_of(spark, sf)
+    features = settle(P.features_for(logs, set_model(logs), "1 hour"))
+    rows = P.scaled_vectors(features, fit_scaler(features, ALL_COLS))
+    truth = window_labels(logs, "1 hour").select("timestamp", (F.col("is_anomaly") == 1).alias("truth"))
+    return tuning.tune_dbscan(settle(rows.join(truth, "timestamp")), "id", "vec", "truth")
