@@ -32,8 +32,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated runs of lines are cut out; every document stays."""
-    return _with_length(linededup.dedup_lines(docs), docs.columns)
+    """Later occurrences of repeated passages are cut out; every document stays."""
+    return _with_length(linededup.dedup_passages(docs), docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

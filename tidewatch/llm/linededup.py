@@ -1,8 +1,8 @@
-"""Repeated runs of lines: winnowed line hashes find them, their windows extend them, later occurrences go."""
+"""Repeated runs of lines or of sentences: windows of enough words find them from both ends, later occurrences go."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from tidewatch.llm.common import content_key, words
 from tidewatch.session import settle
 
 MIN_WORDS = 50
+UNIT_END = r"\z"  # lines are not cut further
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,6 +26,38 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return narrow.groupBy("_id", "_key").agg(F.first("lines").alias("lines")).select("_id", "_key", F.inline("lines"))
 
 
+def _units(text: Column) -> Column:
+    """The pieces of a text in order, blank ones too: (line, piece)."""
+    line = lambda s, i: F.transform(F.split(s, UNIT_END, -1), lambda p: F.struct(i.alias("line"), p.alias("piece")))
+    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), line))
+
+
+def unit_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``line_table`` with the pieces of ``_units`` in place of lines; ``pos`` counts the blank ones."""
+    unit = lambda x, i: F.struct(i.alias("pos"), F.xxhash64(words(x["piece"])).alias("h"), F.xxhash64(F.lit(7), words(x["piece"])).alias("v"), F.size(words(x["piece"])).alias("n"))
+    units = F.filter(F.transform(_units(F.col(f"`{text}`")), unit), lambda x: x["n"] > 0)
+    narrow = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), units.alias("units"))
+    return narrow.groupBy("_id", "_key").agg(F.first("units").alias("units")).select("_id", "_key", F.inline("units"))
+
+
+def both_windows(units: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_id, _key, pos, end, g1, g2): the shortest runs with ``min_words`` words that begin at a unit, and those that end at one.
+
+    Of a maximal equal run of enough words, the runs from each of its units
+    cover all but the end, and the run back from its last unit covers that.
+    Both kinds lie within it, so together they are it, to the unit.
+    """
+    doc = Window.partitionBy("_id", "_key")
+    before = F.coalesce(F.sum("n").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    window = lambda run: F.struct(
+        F.min("pos").over(run).alias("pos"), F.max("pos").over(run).alias("end"), F.sum("n").over(run).alias("words"),
+        F.xxhash64(F.collect_list("h").over(run)).alias("g1"), F.xxhash64(F.collect_list("v").over(run)).alias("g2"))
+    ahead, back = doc.orderBy("c").rangeBetween(0, min_words - 1), doc.orderBy("e").rangeBetween(1 - min_words, 0)
+    found = units.withColumn("c", before).withColumn("e", F.col("c") + F.col("n")).select("_id", "_key", window(ahead).alias("a"), window(back).alias("b"))
+    one = F.array_distinct(F.filter(F.array("a", "b"), lambda w: w["words"] >= min_words))
+    return found.select("_id", "_key", F.explode(one).alias("w")).select("_id", "_key", "w.pos", "w.end", "w.g1", "w.g2")
+
+
 def winnow(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_id, _key, pos, end, g1, g2, mark, at): every shortest run of lines with ``min_words`` words, and its window minimum.
 
@@ -49,19 +82,30 @@ def winnow(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _key, runs): for each document the maximal runs [first, last] of lines that repeat an earlier run of at least ``min_words`` words.
 
-    Marks that stand at two places or more are joined to the windows that
-    selected them; a window counts as repeated where the same lines stand at
-    an earlier place (order: doc_id with null last, text key, line).  Windows
-    that overlap or touch through it extend the match to both sides, until the
-    lines differ.  Every window selects one mark and equal windows select it at
-    equal places, so no repeated run is missed, whichever documents share it.
+    A window counts as repeated where the same lines stand at an earlier place
+    (order: doc_id with null last, text key, line); a run is the union of the
+    windows that overlap or touch.  Equal windows select equal marks, so those
+    whose mark stands at one place only are left out before windows are
+    compared; this changes no row.  Lines behind the last window that has
+    ``min_words`` words of its own stay, as the SQL counterpart has it;
+    ``repeated_passages`` takes them too.
     """
     windows = settle(winnow(line_table(docs, doc_id, text), min_words))
     shared = windows.select("mark", "_id", "_key", "at").distinct().groupBy("mark").count().filter("count >= 2").select("mark")
     matched = windows.join(shared, "mark", "left_semi")
+    return _later_runs(matched)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``repeated_runs`` over units, by whole maximal equal runs: the tail behind the last full window goes too."""
+    return _later_runs(settle(both_windows(unit_table(docs, doc_id, text), min_words)))
+
+
+def _later_runs(windows: DataFrame) -> DataFrame:
+    """(_id, _key, runs): what the windows cover whose content also stands at an earlier place."""
     place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("pos").alias("pos"))
-    firsts = matched.groupBy("g1", "g2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
-    later = matched.join(firsts, ["g1", "g2"]).filter(place != F.col("first")).select("_id", "_key", "pos", "end")
+    firsts = windows.groupBy("g1", "g2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
+    later = windows.join(firsts, ["g1", "g2"]).filter(place != F.col("first")).select("_id", "_key", "pos", "end")
     doc = Window.partitionBy("_id", "_key").orderBy("pos")
     reach = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("pos") > F.col("_reach") + 1).cast("int"), F.lit(1))
@@ -84,12 +128,33 @@ def dedup_lines(docs: DataFrame, columns: Sequence[str] | None = None, min_words
     run is returned unchanged; rows that agree in doc_id and text count as one
     document and get the same text; a column ``removed_lines`` is replaced.
     """
-    columns = [c for c in (docs.columns if columns is None else columns) if c != "removed_lines"]
-    runs = repeated_runs(docs, min_words, doc_id, text).select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), "runs")
+    lines, join = F.split("_text", "\n", -1), lambda kept: F.array_join(kept, "\n")
+    return _cut(docs, columns, repeated_runs(docs, min_words, doc_id, text), lines, join, "removed_lines", doc_id, text)
+
+
+def dedup_passages(docs: DataFrame, columns: Sequence[str] | None = None, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``dedup_lines`` by whole maximal equal runs of units, and ``removed_units``.
+
+    A unit is cut where it lies in a run of units with ``min_words`` words or
+    more that also stands at an earlier place.  Blank units inside a run go
+    with it, a line of which no unit is left goes with its end.  Null texts,
+    texts without a repeat, repeated rows and columns are as in ``dedup_lines``.
+    """
+
+    def join(kept: Column) -> Column:
+        last = F.concat(F.array(F.lit(None).cast("struct<line:int,piece:string>")), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+        return F.array_join(F.zip_with(kept, last, lambda x, y: F.concat(F.when(x["line"] != y["line"], "\n").otherwise(""), x["piece"])), "")
+
+    return _cut(docs, columns, repeated_passages(docs, min_words, doc_id, text), _units(F.col("_text")), join, "removed_units", doc_id, text)
+
+
+def _cut(docs: DataFrame, columns: Sequence[str] | None, runs: DataFrame, pieces: Column, join: Callable[[Column], Column], removed: str, doc_id: str, text: str) -> DataFrame:
+    """The documents without the pieces of their ``runs``, and how many went."""
+    columns = [c for c in (docs.columns if columns is None else columns) if c != removed]
+    runs = runs.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), "runs")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"))
     joined = keyed.join(runs, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")), "left")
-    kept = F.filter(F.split("_text", "\n", -1), _outside(F.col("runs")))
-    cleaned = F.when(F.col("runs").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    cleaned = F.when(F.col("runs").isNull(), F.col("_text")).otherwise(join(F.filter(pieces, _outside(F.col("runs")))))
     size = F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     out = [cleaned.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns]
-    return joined.select(*out, F.coalesce(size, F.lit(0)).cast("long").alias("removed_lines"))
+    return joined.select(*out, F.coalesce(size, F.lit(0)).cast("long").alias(removed))
