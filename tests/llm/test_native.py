@@ -172,46 +172,40 @@ def test_marks_are_guaranteed(spark):
 def brute_passages(rows, least=50):
     """Every pair of places is compared; each maximal equal run of enough words cuts its later place."""
     docs = sorted({(d is None, d or 0, t) for d, t in rows if t is not None})
-    units, out = [], {}
-    for k, (_, _, text) in enumerate(docs):
-        pieces = [(i, p) for i, line in enumerate(text.split("\n")) for p in re.split(linededup.UNIT_END.replace("z", "Z"), line)]
-        units.append((pieces, [(at, tuple(re.findall(r"[^\x20\x09-\x0D]+", p))) for at, (_, p) in enumerate(pieces) if p.strip(" \t\n\v\f\r")]))
+    every, out = [re.findall(r"[^\x20\x09-\x0D]+", t) for _, _, t in docs], {}
     for k, doc in enumerate(docs):
-        pieces, mine = units[k]
-        cut = set()
+        mine, cut = every[k], set()
         for e in range(k + 1):
-            other = units[e][1]
-            for shift in range(-len(mine) + 1, len(other)):
-                if e == k and shift >= 0:
-                    continue
+            other = every[e]
+            for shift in range(-len(mine) + 1, len(other) if e < k else 0):
                 run = []
-                for j in range(len(mine) + 1):
-                    if j < len(mine) and 0 <= j + shift < len(other) and mine[j][1] == other[j + shift][1]:
+                for j in range(max(0, -shift), min(len(mine), len(other) - shift) + 1):
+                    if j < min(len(mine), len(other) - shift) and mine[j] == other[j + shift]:
                         run.append(j)
                         continue
-                    if sum(len(mine[x][1]) for x in run) >= least:
-                        cut |= set(range(mine[run[0]][0], mine[run[-1]][0] + 1))
+                    if len(run) >= least:
+                        cut |= set(run)
                     run = []
-        kept = {}
-        for at, (i, p) in enumerate(pieces):
-            if at not in cut:
-                kept[i] = kept.get(i, "") + p
-        out[doc] = "\n".join(kept.values())
+        out[doc] = "".join(p for j, p in enumerate(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", doc[2])) if j not in cut)
     return out
 
 
 def test_passages_equal_brute_force(spark, edge, nothing):
-    """Lines of 30, 30, 10 and of 60, 20 words go whole; ``dedup_lines`` keeps the last of them."""
+    """Passages go whole: lines behind the last full window, and what begins and ends within a line; not 49 words."""
     a, b = [prose(60 + k, n) for k, n in enumerate((30, 30, 10))], [prose(70, 60), prose(71, 20)]
     rows = [(101, "\n".join(a)), (102, "\n".join(["x y", *a, "own words"])), (103, "\n".join(b)), (104, "\n".join([*b, "", "z"])), (105, "\n".join([*a[1:], *b[1:]]))]
     shared = [prose(50 + k, 12) for k in range(9)]
     rows += [(110 + i, "\n".join([prose(900 + i, 5), *shared[i % 4:9 - i % 3], "", prose(2000 + i, 9)])) for i in range(20)]
+    inside, short = prose(80, 50), prose(81, 49)
+    rows += [(140 + i, f"{prose(700 + i, 90)} {inside} {prose(740 + i, 80)}\n{prose(780 + i, 9)} {short} {prose(790 + i, 5)}") for i in range(2)]
+    rows += [(150, "same " * 120), (151, "q " + "same " * 60 + "r "), (152, "\t" + inside), (152, "\t" + inside), (153, short)]
     rows += [(r.doc_id, r.text) for r in edge.collect() if len(r.text or "") < 10_000]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_passages(rows)
     got = linededup.dedup_passages(docs).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((d, None if t is None else want[(d is None, d or 0, t)]) for d, t in rows)
     found = {r.doc_id: r.text for r in got}
-    assert found[102] == "x y\nown words" and found[104] == "\nz" and found[105] == rows[4][1]
-    assert linededup.dedup_passages(edge).columns == [*edge.columns, "removed_units"]
+    assert found[102] == "x y\nown words" and found[104] == "\n\nz" and found[105] == rows[4][1]
+    assert found[141] == rows[26][1].replace(f" {inside}", "") and found[150] == "same " and found[152] == "" and found[153] == short
+    assert linededup.dedup_passages(edge).columns == [*edge.columns, "removed_words"]
     assert linededup.dedup_passages(nothing).count() == 0

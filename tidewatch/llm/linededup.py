@@ -1,4 +1,4 @@
-"""Repeated runs of lines or of sentences: windows of enough words find them from both ends, later occurrences go."""
+"""Repeated runs of lines, and repeated passages of words wherever they begin: winnowed hashes find them, later occurrences go."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import content_key, words
+from tidewatch.llm.common import BLANK, NOT_BLANK, content_key, words
 from tidewatch.session import settle
 
 MIN_WORDS = 50
-UNIT_END = r"\z"  # lines are not cut further
+GRAM = 25  # words of a fingerprint; a passage of MIN_WORDS holds a whole window of them
+WORD_END = rf"(?<={NOT_BLANK})(?={BLANK})"
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,36 +27,47 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return narrow.groupBy("_id", "_key").agg(F.first("lines").alias("lines")).select("_id", "_key", F.inline("lines"))
 
 
-def _units(text: Column) -> Column:
-    """The pieces of a text in order, blank ones too: (line, piece)."""
-    line = lambda s, i: F.transform(F.split(s, UNIT_END, -1), lambda p: F.struct(i.alias("line"), p.alias("piece")))
-    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), line))
+def _rolled(df: DataFrame, name: str, n: int, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """The array ``name`` replaced by what ``join`` makes of each ``n`` elements in a row, by doubling: log2(n) steps, each linear.
 
-
-def unit_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``line_table`` with the pieces of ``_units`` in place of lines; ``pos`` counts the blank ones."""
-    unit = lambda x, i: F.struct(i.alias("pos"), F.xxhash64(words(x["piece"])).alias("h"), F.xxhash64(F.lit(7), words(x["piece"])).alias("v"), F.size(words(x["piece"])).alias("n"))
-    units = F.filter(F.transform(_units(F.col(f"`{text}`")), unit), lambda x: x["n"] > 0)
-    narrow = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), units.alias("units"))
-    return narrow.groupBy("_id", "_key").agg(F.first("units").alias("units")).select("_id", "_key", F.inline("units"))
-
-
-def both_windows(units: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _key, pos, end, g1, g2): the shortest runs with ``min_words`` words that begin at a unit, and those that end at one.
-
-    Of a maximal equal run of enough words, the runs from each of its units
-    cover all but the end, and the run back from its last unit covers that.
-    Both kinds lie within it, so together they are it, to the unit.
+    Every step names the array more than once, so that Spark does not merge
+    them and makes each array once a row.  A filter on the result would be
+    pushed below and make them all anew, so rows are exploded with the outer
+    form, which infers none.  (``slice`` copies all of its array.)
     """
-    doc = Window.partitionBy("_id", "_key")
-    before = F.coalesce(F.sum("n").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    window = lambda run: F.struct(
-        F.min("pos").over(run).alias("pos"), F.max("pos").over(run).alias("end"), F.sum("n").over(run).alias("words"),
-        F.xxhash64(F.collect_list("h").over(run)).alias("g1"), F.xxhash64(F.collect_list("v").over(run)).alias("g2"))
-    ahead, back = doc.orderBy("c").rangeBetween(0, min_words - 1), doc.orderBy("e").rangeBetween(1 - min_words, 0)
-    found = units.withColumn("c", before).withColumn("e", F.col("c") + F.col("n")).select("_id", "_key", window(ahead).alias("a"), window(back).alias("b"))
-    one = F.array_distinct(F.filter(F.array("a", "b"), lambda w: w["words"] >= min_words))
-    return found.select("_id", "_key", F.explode(one).alias("w")).select("_id", "_key", "w.pos", "w.end", "w.g1", "w.g2")
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        df = df.withColumn(name, F.transform(F.sequence(F.lit(0), F.size(name) - 1 - step), lambda i: join(F.get(name, i), F.get(name, i + step))))  # noqa: B023
+        done += step
+    return df
+
+
+def passage_windows(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _key, pos, end, g1, g2): the runs of ``min_words`` words, words counted from 0, that may stand at two places.
+
+    Hashes of GRAM words are winnowed: of those in each run of ``min_words``
+    words the smallest is a mark of the document.  Equal runs have equal marks,
+    so a run that is repeated holds a mark that another document has too, or
+    one that its own document holds twice; the runs around all other marks are
+    never made.  Marks decide no row: g1 and g2 identify the whole run.
+    """
+    gram = min(GRAM, min_words)
+    span = min_words - gram + 1  # grams in a run
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), F.transform(words(F.col(f"`{text}`")), lambda w: F.xxhash64(w)).alias("g"))
+    grams = _rolled(keyed.filter(F.size("g") >= min_words), "g", gram, lambda a, b: F.xxhash64(a, b))
+    lows = _rolled(grams.withColumn("times", F.when(F.size(F.array_distinct("g")) < F.size("g"), 2).otherwise(1)), "g", span, lambda a, b: F.least(a, b))
+    lows = lows.select("_id", "_key", F.array_distinct("g").alias("marks"), "times")
+    marks = settle(lows.select("_id", "_key", "times", F.explode_outer("marks").alias("mark")))
+    shared = marks.groupBy("mark").agg(F.sum("times").alias("n")).filter("n >= 2").select("mark")
+    held = marks.join(shared, "mark", "left_semi").groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).agg(F.collect_set("mark").alias("marks"))
+    asked = grams.join(held, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")))
+    at = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains("marks", x), i)), lambda i: i.isNotNull())
+    near = asked.select("_id", "_key", "g", at.alias("at"))
+    starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - (span - 1), F.lit(0)), F.least(i, F.size("g") - span)))))
+    parts = lambda i: [F.get("g", i + k) for k in (*range(0, span - 1, gram), span - 1)]
+    run = lambda i: F.struct(i.alias("pos"), (i + min_words - 1).alias("end"), F.xxhash64(*parts(i)).alias("g1"), F.xxhash64(F.lit(7), *parts(i)).alias("g2"))
+    return near.select("_id", "_key", F.inline_outer(F.transform(starts, run))).filter(F.col("pos").isNotNull())
 
 
 def winnow(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -87,8 +99,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     windows that overlap or touch.  Equal windows select equal marks, so those
     whose mark stands at one place only are left out before windows are
     compared; this changes no row.  Lines behind the last window that has
-    ``min_words`` words of its own stay, as the SQL counterpart has it;
-    ``repeated_passages`` takes them too.
+    ``min_words`` words of its own stay, as the SQL counterpart has it, and so
+    do passages within a line; ``repeated_passages`` takes both.
     """
     windows = settle(winnow(line_table(docs, doc_id, text), min_words))
     shared = windows.select("mark", "_id", "_key", "at").distinct().groupBy("mark").count().filter("count >= 2").select("mark")
@@ -97,8 +109,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``repeated_runs`` over units, by whole maximal equal runs: the tail behind the last full window goes too."""
-    return _later_runs(settle(both_windows(unit_table(docs, doc_id, text), min_words)))
+    """(_id, _key, runs): for each document the words [first, last] of passages that repeat an earlier one of ``min_words`` words or more.
+
+    A passage is the union of its runs of exactly ``min_words`` words, one from
+    every word on, so it reaches both ways as far as the words agree.
+    """
+    return _later_runs(settle(passage_windows(docs, min_words, doc_id, text)))
 
 
 def _later_runs(windows: DataFrame) -> DataFrame:
@@ -133,19 +149,15 @@ def dedup_lines(docs: DataFrame, columns: Sequence[str] | None = None, min_words
 
 
 def dedup_passages(docs: DataFrame, columns: Sequence[str] | None = None, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``dedup_lines`` by whole maximal equal runs of units, and ``removed_units``.
+    """``columns`` of the documents with the later occurrences of repeated passages cut out of ``text``, and ``removed_words``.
 
-    A unit is cut where it lies in a run of units with ``min_words`` words or
-    more that also stands at an earlier place.  Blank units inside a run go
-    with it, a line of which no unit is left goes with its end.  Null texts,
-    texts without a repeat, repeated rows and columns are as in ``dedup_lines``.
+    A word is cut where it lies in a run of ``min_words`` words or more that
+    also stands at an earlier place, wherever lines begin or end.  The white
+    space before a word goes with it.  Null texts, texts without a repeat,
+    repeated rows and columns are as in ``dedup_lines``.
     """
-
-    def join(kept: Column) -> Column:
-        last = F.concat(F.array(F.lit(None).cast("struct<line:int,piece:string>")), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
-        return F.array_join(F.zip_with(kept, last, lambda x, y: F.concat(F.when(x["line"] != y["line"], "\n").otherwise(""), x["piece"])), "")
-
-    return _cut(docs, columns, repeated_passages(docs, min_words, doc_id, text), _units(F.col("_text")), join, "removed_units", doc_id, text)
+    pieces = F.split("_text", WORD_END, -1)  # a word each, after its white space; white space at the end of the text is one more
+    return _cut(docs, columns, repeated_passages(docs, min_words, doc_id, text), pieces, lambda kept: F.array_join(kept, ""), "removed_words", doc_id, text)
 
 
 def _cut(docs: DataFrame, columns: Sequence[str] | None, runs: DataFrame, pieces: Column, join: Callable[[Column], Column], removed: str, doc_id: str, text: str) -> DataFrame:
