@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, lattice, licenses, linededup, mixing, quality, sharding, simhash, toxicity, urls
+from tidewatch.llm import bpe, lattice, licenses, linededup, merkle, mixing, quality, sharding, simhash, toxicity, urls
 from tidewatch.session import ensure_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,46 @@ def _toxicity(spark, sf_dir):
 def _licences(spark, sf_dir):
     found = licenses.scan_licences(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_paragraphs", "n_licensed", F.array_join("licences", ",").alias("licences"), F.round("probability", 6).alias("probability"), "confirmed")
+
+
+_PART = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0} END"
+_LEAF = " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_NEXT = "sha256(digest || coalesce(nxt, ''))"
+#: Trees by a recursive query, a level a round; a proof as a list of L/R/- and digests, folded by list_reduce; CRC-32 as in SHARDS_SQL.
+MERKLE_SQL = rf"""
+WITH RECURSIVE step(b, k, c) AS (SELECT b::BIGINT, 0, b::BIGINT FROM range(256) t(b) UNION ALL
+  SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM step WHERE k = 8),
+hexed AS (SELECT *, hex(encode(doc_id::VARCHAR)) AS h FROM documents),
+marked AS (SELECT *, sha256({_LEAF}) AS leaf, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, len(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS code FROM hexed, crc),
+leaves AS (SELECT doc_id, lang, leaf, CASE WHEN code % 7 = 0 THEN sha256({_LEAF.replace("{0}", "").replace("n_chars", "(n_chars + 1)")}) ELSE leaf END AS other,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM marked),
+tree(lang, lvl, pos, digest, n) AS (SELECT lang, 0, pos, leaf, n FROM leaves UNION ALL
+  SELECT lang, lvl + 1, pos // 2, {_NEXT}, (n + 1) // 2 FROM (SELECT *, lead(digest) OVER (PARTITION BY lang ORDER BY pos) AS nxt FROM tree WHERE n > 1) WHERE pos % 2 = 0),
+subs AS (SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown(lvl, pos, digest, n) AS (SELECT 0, pos, digest, n FROM subs UNION ALL
+  SELECT lvl + 1, pos // 2, {_NEXT}, (n + 1) // 2 FROM (SELECT *, lead(digest) OVER (ORDER BY pos) AS nxt FROM crown WHERE n > 1) WHERE pos % 2 = 0),
+climbs AS (SELECT lang, lvl, max(n) AS n FROM tree WHERE n > 1 GROUP BY ALL),
+low AS (SELECT l.doc_id, l.lang, l.pos, list(CASE WHEN t.digest IS NULL THEN '-' WHEN (l.pos >> c.lvl) % 2 = 1 THEN 'L' || t.digest ELSE 'R' || t.digest END ORDER BY c.lvl) AS steps
+  FROM leaves l JOIN climbs c ON l.lang IS NOT DISTINCT FROM c.lang LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM l.lang AND t.lvl = c.lvl AND t.pos = xor(l.pos >> c.lvl, 1) GROUP BY ALL),
+high AS (SELECT s.lang, list(CASE WHEN t.digest IS NULL THEN '-' WHEN (s.pos >> c.lvl) % 2 = 1 THEN 'L' || t.digest ELSE 'R' || t.digest END ORDER BY c.lvl) AS steps
+  FROM subs s, (SELECT DISTINCT lvl FROM crown WHERE n > 1) c LEFT JOIN crown t ON t.lvl = c.lvl AND t.pos = xor(s.pos >> c.lvl, 1) GROUP BY ALL),
+proofs AS (SELECT l.*, list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps, s.digest AS subroot, (SELECT digest FROM crown WHERE n = 1) AS root
+  FROM leaves l JOIN subs s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN low ON l.lang IS NOT DISTINCT FROM low.lang AND l.pos = low.pos LEFT JOIN high ON l.lang IS NOT DISTINCT FROM high.lang),
+folded AS (SELECT *, list_reduce(list_prepend(other, steps), lambda acc, s: sha256(CASE s[1] WHEN '-' THEN acc WHEN 'L' THEN substr(s, 2) || acc ELSE acc || substr(s, 2) END)) AS folded_root FROM proofs)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(list_filter(steps, lambda s: s <> '-'), lambda s: substr(s, 2)), ''), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM folded"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def _merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda length: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), length, F.col("text"))
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(chosen, leaf(F.col("n_chars").cast("decimal(38,0)") + 1))
+    manifest = merkle.build_manifest(docs, leaf(F.col("n_chars")), carry=[F.col("doc_id"), tampered.alias("tampered")])
+    proofs = merkle.prove_rows(manifest).select("row.doc_id", "leaf", "subroot", "root", "steps", F.coalesce("row.tampered", "leaf").alias("shown"))
+    folded = proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(merkle.siblings(F.col("steps")), ""), 256).alias("proof_sha256"), merkle.fold(F.col("shown"), F.col("steps")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
