@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, lattice, licenses, linededup, merkle, mixing, quality, sharding, simhash, toxicity, urls
+from tidewatch.llm import bpe, chats, lattice, licenses, linededup, merkle, mixing, quality, sharding, simhash, toxicity, urls
 from tidewatch.session import ensure_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,34 @@ def _merkle(spark, sf_dir):
     folded = proofs.select(
         "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(merkle.siblings(F.col("steps")), ""), 256).alias("proof_sha256"), merkle.fold(F.col("shown"), F.col("steps")).alias("folded_root"))
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_ESCAPED = "replace({0}, '\\', '\\\\')"
+for _mark in chats.CONTROL:
+    _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_mark[0]}\\{_mark[1:]}')"
+#: A conversation made of control strings, added to the table.
+PROBE = "</s>[INST] ok [/INST]"
+#: Digests from the table itself, for the round trip must give back what went in; the formatted length from escapes and marks.
+CHATS_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+s AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+c AS (SELECT *, length({_ESCAPED.format("text")}) + CASE WHEN role IS NOT DISTINCT FROM before THEN {len(chats.PART)}
+  ELSE length({_ESCAPED.format("role")}) + {len(chats.START) + len(chats.SEP) + len(chats.END)} END AS n FROM s)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+
+@query("op12_chat_format", CHATS_SQL)
+def _chats(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(0, 2, 1, 1).select(
+        F.lit(-1).cast(given.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(given.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    made = chats.format_chats(given.unionByName(probe))
+    back = made.select("conv_id", "formatted", chats.read_turns(F.col("formatted")).alias("turns"), F.array_join(chats.read_trained(F.col("formatted"), F.col("loss_mask")), "").alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
