@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chats, lattice, licenses, linededup, merkle, mixing, quality, sharding, simhash, toxicity, urls
+from tidewatch.llm import alignment, bpe, chats, lattice, licenses, linededup, merkle, mixing, quality, sharding, simhash, toxicity, urls
 from tidewatch.session import ensure_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,3 +249,26 @@ def _chats(spark, sf_dir):
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def pieces(path: str | None = None) -> bytes:
+    """Content of the piece model; the path is a parameter, the default a public one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def byte_vocabulary() -> str:
+    import public_tokenizers
+
+    return vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_token_alignment")
+def _alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = alignment.rate_links(alignment.align_tokens(docs, byte_vocabulary(), pieces()))
+    return rated.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
