@@ -211,3 +211,15 @@ def test_texts_that_do_not_come_back(coder):
     assert coder.encode(["a▁b", None, ""]) == ([[], [], []], [[], [], []])
     a, b = coder.encode([" x"])
     assert b"".join(coder.a_bytes[i] for i in a[0]) == b"  x" == b"".join(coder.b_bytes[i] for i in b[0])
+
+
+def test_quick_encoder_equals_the_library(coder):
+    assert coder.quick is not None
+    rng = random.Random(9)
+    singles = [chr(c) for c in range(0x180)]
+    texts = singles + [f"a{c} {c}1{c}" for c in singles] + ["".join(rng.choice(singles + [" ", " ", "a", "'s", "'LL", "1"]) for _ in range(rng.randint(1, 60))) for _ in range(4000)]
+    texts += ["<|endoftext|>", " " * 500 + "x", "\n" * 510, "ab" * 5000, prose(4, 5000)]
+    assert not any(alignment.UNSURE(" " + t) for t in texts)
+    want = [e.ids for e in coder.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    assert [coder.quick(" " + t) for t in texts] == want
+    assert alignment.UNSURE("ƀ") and alignment.UNSURE(" " * 512) and alignment.UNSURE("a\U0001F600")
