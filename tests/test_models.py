@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import blocks as B
+from tidewatch.operators import coreindex as C
 from tidewatch.operators import dbscan as D
 from tidewatch.operators import textmodel as M
 from tidewatch.operators.components import connected_components
@@ -90,7 +92,7 @@ def test_assign_flags_iff_no_core_in_reach(spark, mixture):
     rows = frame(spark, mixture)
     cores = D.core_points(D.dbscan_model(rows, 0.3, 5, "id", "vec"))
     fresh = mixture[::-1] + 0.05
-    got = {r.id: r.label for r in D.dbscan_assign(frame(spark, fresh), cores, 0.3, "id", "vec", block_rows=16).collect()}
+    got = {r.id: r.label for r in C.dbscan_assign(frame(spark, fresh), cores, 0.3, "id", "vec", block_rows=16).collect()}
     label, near = brute(mixture, 0.3, 5), np.sqrt(((mixture[:, None] - mixture[None]) ** 2).sum(-1)) <= 0.3
     core = near.sum(1) >= 5
     for i, x in enumerate(fresh):
@@ -202,3 +204,93 @@ def test_scores_lie_in_unit_interval(spark, mixture):
     rows = frame(spark, mixture)
     scored = anomaly_score(rows.join(D.dbscan_fit(rows, 0.3, 5, "id", "vec"), "id"), 3).collect()
     assert all(0 <= r.anomaly_score <= 1 for r in scored) and max(r.anomaly_score for r in scored) == 1.0
+
+
+# ---- blocks, bounds and the stored core index ------------------------------------------------
+
+def thin(seed, n, dims=30, rank=3):
+    """Vectors that fill few directions of their space, none of them an axis."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, 1, (n, rank)) @ rng.normal(0, 1, (rank, dims)) + rng.normal(0, 0.01, (n, dims)) + 5
+
+
+def space_of(spark, x, rows):
+    points = frame(spark, x).withColumns({"weight": F.lit(1).cast("long"), "tag": F.lit(-1).cast("long")})
+    return B.build_blocks(points, rows)
+
+
+def box_table(space):
+    both = space.packed.select("block", "mat", *B.BOUNDS)
+    pairs = B.sides(both, "a").join(B.sides(both, "b"), F.col("block_a") <= F.col("block_b"))
+    rows = pairs.select("block_a", "block_b", "mat_a", "mat_b", B.box_gap2().alias("gap2"), B.box_reach2().alias("reach2")).collect()
+    mat = lambda m: np.frombuffer(m).reshape(-1, space.dims)
+    return [(r, mat(r.mat_a), mat(r.mat_b)) for r in rows]
+
+
+@pytest.mark.parametrize("kind", ["thin", "lattice", "offset"])
+def test_bounds_hold_every_row_pair(spark, kind):
+    x = {"thin": thin(1, 300), "lattice": np.round(np.random.default_rng(2).uniform(0, 6, (300, 3))), "offset": np.random.default_rng(3).normal(1e7, 1, (300, 4))}[kind]
+    for r, a, b in box_table(space_of(spark, x, 16)):
+        d2 = ((a[:, None] - b[None]) ** 2).sum(2)
+        assert r.gap2 <= d2.min() and d2.max() <= r.reach2
+
+
+def test_principal_axes_leave_fewer_pairs(spark):
+    """On vectors of few directions the frame's boxes and pivots decide pairs that boxes on the given axes cannot."""
+    table = box_table(space_of(spark, thin(4, 1500), 16))
+    eps2, plain, kept, real = 4.0, 0, 0, 0
+    for r, a, b in table:
+        side = np.maximum(np.maximum(a.min(0) - b.max(0), b.min(0) - a.max(0)), 0)
+        plain += (side ** 2).sum() <= eps2
+        kept += r.gap2 <= eps2
+        real += ((a[:, None] - b[None]) ** 2).sum(2).min() <= eps2
+    assert real <= kept < 0.9 * plain < len(table)
+
+
+def test_blocks_travel_once_per_tile(spark):
+    pairs = spark.createDataFrame([(a, b) for a in range(64) for b in range(a, 64)], "a long, b long")
+    dealt, wanted = B.deal_tiles(pairs)
+    assert dealt.count() == 64 * 65 // 2 and dealt.select("ta", "tb").distinct().count() == 36
+    assert wanted.count() == 8 * 8 + 28 * 16  # 8 tiles on the diagonal, 28 beside it
+
+
+def brute_contact(fresh, cores, labels, eps):
+    d = np.sqrt(((fresh[:, None] - cores[None]) ** 2).sum(2)) <= eps
+    return [int(labels[row].min()) if row.any() else -1 for row in d]
+
+
+@pytest.mark.parametrize("rows", [4, 64])
+def test_core_index_equals_brute_force(spark, tmp_path, rows):
+    cores, labels = np.concatenate([thin(5, 200), thin(5, 50)]), np.arange(250) % 7
+    fresh = np.concatenate([thin(5, 120) + 0.05, np.zeros((3, 30)), thin(5, 40)])
+    known = spark.createDataFrame([([float(v) for v in c], int(n)) for c, n in zip(cores, labels)], "vec array<double>, label int")
+    index = C.build_core_index(known, f"file://{tmp_path}/index", rows)
+    copied = C.copy_core_index(spark, C.open_core_index(spark, index.path), f"file://{tmp_path}/copy")
+    for eps in (0.4, 3.0, 1000.0):
+        got = {r.id: r.label for r in C.probe_cores(frame(spark, fresh), C.open_core_index(spark, copied.path), eps, "id", "vec").collect()}
+        assert got == dict(enumerate(brute_contact(fresh, cores, labels, eps)))
+
+
+def test_core_index_without_cores(spark):
+    none = spark.createDataFrame([], "vec array<double>, label int")
+    index = C.build_core_index(none)
+    assert [r.label for r in C.probe_cores(frame(spark, np.zeros((3, 2))), C.open_core_index(spark, index.path), 1.0, "id", "vec").collect()] == [-1] * 3
+    some = C.build_core_index(spark.createDataFrame([([0.0, 0.0], 3)], "vec array<double>, label int"))
+    assert C.probe_cores(frame(spark, np.zeros((0, 2))), some, 1.0, "id", "vec").count() == 0
+
+
+def test_probing_does_not_grow_with_stored_cores(spark):
+    """Ten times the cores, the new ones elsewhere: the walk meets as many nodes and opens as many shelves."""
+    rng = np.random.default_rng(8)
+    spots = rng.uniform(-1000, 1000, (100, 6))
+    fresh = frame(spark, spots[:3].repeat(16, 0) + rng.normal(0, 0.1, (48, 6)))
+    met = []
+    for many in (10, 100):
+        cores = (spots[:many].repeat(60, 0) + rng.normal(0, 0.1, (60 * many, 6))).tolist()
+        index = C.build_core_index(spark.createDataFrame([(c, 0) for c in cores], "vec array<double>, label int"), block_rows=8)
+        asked = B.pack_blocks(fresh.withColumns({"weight": F.lit(1).cast("long"), "tag": F.lit(-1).cast("long")}), 8, index.frame)
+        asked = asked.withColumn("block", F.shiftleft("part", 32).bitwiseOR(F.col("seq")))
+        near = C.near_shelves(asked, index, 1.0)
+        shelves = spark.read.parquet(f"{index.path}/shelves").select("shelf").distinct().count()
+        met.append((near.select("node").distinct().count(), shelves))
+    assert met[1][1] > 5 * met[0][1] and met[1][0] <= 2 * met[0][0] and met[1][0] < 0.2 * met[1][1]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.base import LOGS, logs_of, query, volume_sql
 from tidewatch.functions.scalar import noise_flag
 from tidewatch.functions.vector import assemble, bounded_centers, nearest_center
+from tidewatch.operators import coreindex as C
 from tidewatch.operators import dbscan as D
 from tidewatch.operators import evaluation as E
 from tidewatch.operators import hdbscan as H
@@ -14,7 +15,7 @@ from tidewatch.operators import scoring as S
 from tidewatch.operators import templates as T
 from tidewatch.operators.blocks import build_blocks
 from tidewatch.operators.forest import isolation_forest
-from tidewatch.operators.silhouette import silhouette
+from tidewatch.operators.silhouette import silhouette, silhouette_values
 from tidewatch.operators.textmodel import kmeans_fit, message_score
 from tidewatch.operators.windows import volume_features
 from tidewatch.plans import detect as P
@@ -85,7 +86,31 @@ def dbscan_assign(spark, sf):
     """All vectors, slightly stretched, against the core rows fitted on all vectors."""
     v = vectors(spark, sf)
     cores = D.core_points(D.dbscan_model(v, EPS, NEED, "id", "vec"))
-    return D.dbscan_assign(v.withColumn("vec", F.transform("vec", lambda x: x * F.lit(1.02))), cores, EPS, "id", "vec")
+    return C.dbscan_assign(v.withColumn("vec", F.transform("vec", lambda x: x * F.lit(1.02))), cores, EPS, "id", "vec")
+
+
+# The same over small blocks, so that the box tree, decided nodes and tiles all take part at this size.
+SMALL = 32
+
+
+@query("eps_neighbors_blocks", f"WITH {V} SELECT a.id, count(*) AS n_neighbors FROM v a JOIN v b ON list_distance(a.vec, b.vec) <= {EPS} GROUP BY 1")
+def eps_neighbors_blocks(spark, sf):
+    return D.eps_neighbors(vectors(spark, sf), EPS, "id", "vec", SMALL)
+
+
+@query("dbscan_fit_blocks", f"{VR}{dbscan_sql(1.2, 8)} SELECT id, label FROM lab")
+def dbscan_fit_blocks(spark, sf):
+    return D.dbscan_fit(vectors(spark, sf), 1.2, 8, "id", "vec", block_rows=SMALL)
+
+
+@query("dbscan_assign_index", f"""{VR}{dbscan_sql(EPS, NEED)}, w AS (SELECT id, list_transform(vec, lambda x: x * 0.98) AS vec FROM v),
+ k AS (SELECT v.vec, lab.label FROM v JOIN co ON v.id = co.i JOIN lab ON lab.id = v.id)
+ SELECT w.id, coalesce(min(k.label), -1) AS label FROM w LEFT JOIN k ON list_distance(w.vec, k.vec) <= {EPS} GROUP BY 1""")
+def dbscan_assign_index(spark, sf):
+    """Core rows stored as a block index, opened again and probed by all vectors, slightly shrunk."""
+    v = vectors(spark, sf)
+    index = C.build_core_index(D.core_points(D.dbscan_model(v, EPS, NEED, "id", "vec")), block_rows=SMALL)
+    return C.probe_cores(v.withColumn("vec", F.transform("vec", lambda x: x * F.lit(0.98))), C.open_core_index(spark, index.path), EPS, "id", "vec")
 
 
 CENTERS = """, cd AS (SELECT label, i, avg(x) AS x FROM (SELECT {l} AS label, unnest(range(1, 65)) AS i, unnest(vec) AS x FROM {s}) GROUP BY 1, 2),
@@ -142,6 +167,14 @@ def silhouette_query(spark, sf):
     return silhouette(vectors(spark, sf), "id", "vec", "label")
 
 
+@query("silhouette_blocks", f"""WITH {V}, p AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.vec, b.vec)) AS d, count(*) AS n FROM v a JOIN v b ON a.id <> b.id GROUP BY 1, 2, 3),
+ q AS (SELECT id, label, max(d / n) FILTER (label = other) AS a, min(d / n) FILTER (label <> other) AS b FROM p GROUP BY 1, 2)
+ SELECT id, label, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM q""")
+def silhouette_blocks(spark, sf):
+    """Each row's own value, over small blocks."""
+    return silhouette_values(vectors(spark, sf), "id", "vec", "label", block_rows=SMALL)
+
+
 SCORED = CENTERS.format(l="label", s="(SELECT v.vec, lab.label FROM v JOIN lab USING (id) WHERE lab.label <> -1)") + """,
  dd AS (SELECT lab.id, lab.label, ce.label AS cl, list_distance(v.vec, ce.center) AS d FROM lab JOIN v USING (id), ce),
  rw AS (SELECT id, label, CASE WHEN label = -1 THEN min(d) ELSE min(d) FILTER (cl = label) END AS raw FROM dd GROUP BY 1, 2)"""

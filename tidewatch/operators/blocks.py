@@ -1,16 +1,20 @@
 """Spatial blocks: the shared base of all distance operators.
 
-Vectors are ordered along a space-filling curve, cut into blocks of at most
-``BLOCK_ROWS`` rows and summarised by bounding boxes.  Boxes form a tree with
-fan-out 16.  A distance predicate is decided for whole nodes wherever the boxes
-allow it, walking the tree from the root; only undecided pairs of blocks ever
-compare rows, inside a task, and what leaves the task is an aggregate or a
-spanning forest, never the list of pairs.  Block size is bounded by
-construction, so a dense region becomes more blocks, not a bigger task.
+Vectors are ordered along a space-filling curve over their principal axes, cut
+into blocks of at most ``BLOCK_ROWS`` rows and summarised by bounding boxes on
+these axes and by their distances to a few pivots.  Both form a tree with
+fan-out 16.  A distance predicate is decided for whole nodes wherever boxes or
+the triangle inequality allow it, walking the tree from the root; only
+undecided pairs of blocks ever compare rows, inside a task, and what leaves the
+task is an aggregate or a spanning forest, never the list of pairs.  Undecided
+pairs are dealt out in square tiles, so a block travels once per tile.  Block
+size is bounded by construction, so a dense region becomes more blocks, not a
+bigger task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -23,29 +27,97 @@ from tidewatch.session import settle
 BLOCK_ROWS = 512
 FAN_BITS = 4
 CURVE_DIMS, CURVE_BITS = 4, 12
-PACKED = "part long, seq long, n int, ids binary, mat binary, weights binary, tags binary, lo array<double>, hi array<double>, weight long, min_tag long"
+CURVE_CUTS = 5  # halvings of a curve axis before the next axis joins in
+PIVOT_SPREAD = 3.0
+ROUNDING = 1e-12  # boxes are this much wider, relative to the numbers they come from
+TILE_BITS = 3  # a tile holds up to 8 x 8 block pairs
+BOUNDS = ["lo", "hi", "near", "far"]
+PACKED = ("part long, seq long, n int, ids binary, mat binary, weights binary, tags binary, lo array<double>, hi array<double>, "
+          "near array<double>, far array<double>, weight long, min_tag long")
+
+
+class Frame(NamedTuple):
+    """Principal axes of a set of vectors; distances are the same in it, boxes are tighter."""
+
+    mean: np.ndarray    # dims
+    axes: np.ndarray    # dims x dims, a column each, widest first
+    spread: np.ndarray  # standard deviation along each axis
+    turns: int          # widest axes that the curve runs over
+
+    def place(self, mat: np.ndarray) -> np.ndarray:
+        return (mat - self.mean) @ self.axes
+
+    def pivots(self) -> np.ndarray:
+        """The mean, and two points on each of the widest axes, in frame coordinates."""
+        d = len(self.mean)
+        ends = np.eye(d)[:CURVE_DIMS] * (PIVOT_SPREAD * self.spread[:CURVE_DIMS, None])
+        return np.vstack([np.zeros((1, d)), ends, -ends])
+
+
+def fit_frame(points: DataFrame, block_rows: int = BLOCK_ROWS) -> Frame | None:
+    """Frame of the column ``vec`` from one pass over its sums and products; None without rows.
+
+    Few blocks are cut along two axes only: thin slices of many axes would
+    leave every block as long as the data in all the others.
+    """
+
+    def sums(frames):
+        total = None
+        for pdf in frames:
+            if len(pdf):
+                m = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+                part = np.concatenate([[len(m)], m.sum(0), (m.T @ m).ravel()])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "x": total})
+
+    rows = points.select("vec").mapInPandas(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # 1 + dims + dims^2 rows
+    if not rows:
+        return None
+    x = np.array([r["x"] for r in sorted(rows)])
+    d = int((np.sqrt(4 * len(x) - 3) - 1) / 2 + 0.5)
+    mean = x[1:d + 1] / x[0]
+    turns = min(d, CURVE_DIMS, max(2, int(np.log2(max(x[0] / block_rows, 1.0))) // CURVE_CUTS))
+    cov = x[d + 1:].reshape(d, d) / x[0] - np.outer(mean, mean)
+    if not np.isfinite(cov).all():
+        return Frame(np.nan_to_num(mean, posinf=0.0, neginf=0.0), np.eye(d), np.ones(d), turns)
+    power, axes = np.linalg.eigh(cov)
+    return Frame(mean, np.ascontiguousarray(axes[:, ::-1]), np.sqrt(np.maximum(power[::-1], 0.0)), turns)
 
 
 class BlockSpace(NamedTuple):
-    packed: DataFrame   # one row per block: block, n, ids, mat, weights, tags, lo, hi, weight, min_tag
-    nodes: list         # nodes[l]: node, parent, lo, hi, weight
+    packed: DataFrame   # one row per block: block, n, ids, mat, weights, tags, bounds, weight, min_tag
+    nodes: list         # nodes[l]: node, parent, bounds, weight
     levels: int
     dims: int
+    frame: Frame
 
 
-def _curve_key(vec: Column, ranges: list[tuple[int, float, float]]) -> Column:
-    """Interleaved bits of the widest dimensions (Morton order)."""
+def _curve_key(vec: Column, frame: Frame) -> Column:
+    """Interleaved bits of the position on the widest axes (Morton order), in cells that hold about as many rows each."""
     key = F.lit(0).cast("long")
-    for j, (dim, lo, hi) in enumerate(ranges):
-        scaled = (vec[dim] - F.lit(lo)) / F.lit(hi - lo if hi > lo else 1.0) * (2**CURVE_BITS - 1)
-        cell = F.floor(scaled).cast("long")
+    for j in range(frame.turns):
+        axis = F.array(*[F.lit(float(x)) for x in frame.axes[:, j]])
+        along = F.aggregate(F.zip_with(vec, axis, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) - F.lit(float(frame.mean @ frame.axes[:, j]))
+        share = F.lit(1.0) / (F.lit(1.0) + F.exp(along * F.lit(-1.7 / (float(frame.spread[j]) or 1.0))))  # close to the normal distribution
+        cell = F.floor(share * (2**CURVE_BITS - 1)).cast("long")
         for bit in range(CURVE_BITS):
             one = F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("long"))
-            key = key.bitwiseOR(F.shiftleft(one, bit * len(ranges) + j))
+            key = key.bitwiseOR(F.shiftleft(one, bit * frame.turns + frame.turns - 1 - j))
     return key
 
 
-def _pack(rows_per_block: int):
+def _pack(rows_per_block: int, frame: Frame):
+    pivots = frame.pivots()
+    base = np.abs(frame.mean).max(initial=0.0) + np.abs(pivots).max(initial=0.0)
+
+    def bounds(m):
+        """Box on the frame's axes and least and largest distance to each pivot, wide enough for rounding."""
+        pad = ROUNDING * len(frame.mean) * (np.abs(m).max(initial=0.0) + base)
+        y = frame.place(m)
+        d = np.sqrt(((y[:, None, :] - pivots[None]) ** 2).sum(2))
+        return [(y.min(0) - pad).tolist(), (y.max(0) + pad).tolist(), (d.min(0) - pad).tolist(), (d.max(0) + pad).tolist()]
+
     def pack(frames):
         held: list[tuple] = []
         size = seq = 0
@@ -70,7 +142,7 @@ def _pack(rows_per_block: int):
                 tags = tag[cut]
                 real = tags[tags >= 0]
                 rows.append((part, seq, len(m), ids[cut].tobytes(), m.tobytes(), w[cut].tobytes(), tags.tobytes(),
-                             m.min(0).tolist(), m.max(0).tolist(), int(w[cut].sum()), int(real.min()) if len(real) else -1))
+                             *bounds(m), int(w[cut].sum()), int(real.min()) if len(real) else -1))
                 seq += 1
                 at += step
             held = [(ids[at:], mat[at:], w[at:], tag[at:])] if at < len(ids) else []
@@ -92,62 +164,67 @@ def _pack(rows_per_block: int):
     return pack
 
 
-def build_blocks(points: DataFrame, block_rows: int = BLOCK_ROWS) -> BlockSpace:
-    """``points``: id long, vec array<double>, weight long, tag long (-1 = none)."""
-    stats = (
-        points.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim")
-        .agg(F.var_pop("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    )  # one row per dimension
-    dims = len(stats)
-    widest = sorted(stats, key=lambda r: (-r["v"], r["dim"]))[:CURVE_DIMS]
-    key = _curve_key(F.col("vec"), [(r["dim"], r["lo"], r["hi"]) for r in widest])
+def pack_blocks(points: DataFrame, block_rows: int, frame: Frame) -> DataFrame:
+    """``points`` (id, vec, weight, tag) in curve order as one row per block (see PACKED), settled."""
     placed = (
-        points.withColumn("_z", key).repartitionByRange("_z", "id").sortWithinPartitions("_z", "id")
+        points.withColumn("_z", _curve_key(F.col("vec"), frame)).repartitionByRange("_z", "id").sortWithinPartitions("_z", "id")
         .select(F.spark_partition_id().cast("long").alias("part"), "id", "vec", "weight", "tag")
     )
-    packed = settle(placed.mapInPandas(_pack(block_rows), PACKED))
+    return settle(placed.mapInPandas(_pack(block_rows, frame), PACKED))
+
+
+def _corner(name: str, size: int, pick: Callable[[Column], Column]) -> Column:
+    """Smallest or largest value at each place of the arrays of a group (at most 16 children)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: pick(F.transform(F.collect_list(name), lambda c: c[i]))).alias(name)
+
+
+def parent_nodes(nodes: DataFrame, frame: Frame, aggs: Sequence[Column] = ()) -> DataFrame:
+    """The next level of a box tree."""
+    dims, pivots = len(frame.mean), len(frame.pivots())
+    return nodes.groupBy(F.shiftright("node", FAN_BITS).alias("node")).agg(
+        _corner("lo", dims, F.array_min), _corner("hi", dims, F.array_max), _corner("near", pivots, F.array_min), _corner("far", pivots, F.array_max), *aggs)
+
+
+def build_blocks(points: DataFrame, block_rows: int = BLOCK_ROWS) -> BlockSpace:
+    """``points``: id long, vec array<double>, weight long, tag long (-1 = none)."""
+    frame = fit_frame(points, block_rows) or Frame(np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0)
+    packed = pack_blocks(points, block_rows, frame)
     top = packed.agg(F.max("part").alias("p"), F.max("seq").alias("s")).first()
     shift = int(top["s"] or 0).bit_length()
     bits = int(top["p"] or 0).bit_length() + shift
     levels = -(-bits // FAN_BITS)
     packed = packed.withColumn("block", F.shiftleft("part", shift).bitwiseOR(F.col("seq"))).drop("part", "seq")
-    nodes = [packed.select(F.col("block").alias("node"), "lo", "hi", "weight")]
+    nodes = [packed.select(F.col("block").alias("node"), *BOUNDS, "weight")]
     for _ in range(levels):
-        corner = lambda name, pick: F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: pick(F.transform(F.collect_list(name), lambda c: c[i])))
-        # At most 16 children per group.
-        nodes.append(
-            nodes[-1].groupBy(F.shiftright("node", FAN_BITS).alias("node"))
-            .agg(corner("lo", lambda c: F.array_min(c)).alias("lo"), corner("hi", lambda c: F.array_max(c)).alias("hi"), F.sum("weight").alias("weight")))
+        nodes.append(parent_nodes(nodes[-1], frame, [F.sum("weight").alias("weight")]))
     nodes = [n.withColumn("parent", F.shiftright("node", FAN_BITS)) for n in nodes]
-    return BlockSpace(packed, nodes, levels, dims)
+    return BlockSpace(packed, nodes, levels, len(frame.mean), frame)
+
 
+def box_gap2(a: str = "a", b: str = "b") -> Column:
+    """Squared distance that no row pair of a candidate pair is closer than: between the boxes, or by a pivot."""
+    def apart(least, most):
+        one = F.zip_with(f"{least}_{b}", f"{most}_{a}", lambda x, y: x - y)
+        other = F.zip_with(f"{least}_{a}", f"{most}_{b}", lambda x, y: x - y)
+        return F.zip_with(one, other, lambda x, y: F.greatest(x, y, F.lit(0.0)))
 
-def _gap2(lo_a, hi_a, lo_b, hi_b) -> Column:
-    side = F.zip_with(F.zip_with(lo_b, hi_a, lambda x, y: x - y), F.zip_with(lo_a, hi_b, lambda x, y: x - y),
-                      lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    return F.aggregate(side, F.lit(0.0), lambda s, x: s + x * x)
+    box = F.aggregate(apart("lo", "hi"), F.lit(0.0), lambda s, x: s + x * x)
+    pivot = F.aggregate(apart("near", "far"), F.lit(0.0), lambda s, x: F.greatest(s, x))
+    return F.greatest(box, pivot * pivot)
 
 
-def _reach2(lo_a, hi_a, lo_b, hi_b) -> Column:
-    side = F.zip_with(F.zip_with(hi_b, lo_a, lambda x, y: x - y), F.zip_with(hi_a, lo_b, lambda x, y: x - y), lambda x, y: F.greatest(x, y))
-    return F.aggregate(side, F.lit(0.0), lambda s, x: s + x * x)
+def box_reach2(a: str = "a", b: str = "b") -> Column:
+    """Squared distance that no row pair is further apart than: between the far corners, or by way of a pivot."""
+    span = F.zip_with(F.zip_with(f"hi_{b}", f"lo_{a}", lambda x, y: x - y), F.zip_with(f"hi_{a}", f"lo_{b}", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
+    box = F.aggregate(span, F.lit(0.0), lambda s, x: s + x * x)
+    around = F.array_min(F.zip_with(f"far_{a}", f"far_{b}", lambda x, y: x + y))
+    return F.least(box, around * around)
 
 
 def sides(df: DataFrame, side: str, drop: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in drop])
 
 
-def box_gap2() -> Column:
-    """Squared distance between the boxes of a candidate pair: no row pair is closer."""
-    return _gap2(*[F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")])
-
-
-def box_reach2() -> Column:
-    """Squared distance between the far corners of a candidate pair: no row pair is further."""
-    return _reach2(*[F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")])
-
-
 def descend(nodes: list, judge) -> DataFrame:
     """Walk pairs a <= b of tree nodes from the root to the blocks.
 
@@ -198,10 +275,35 @@ def roll_up(leaf: DataFrame, space: BlockSpace, aggs: list[Column]) -> list:
     return out
 
 
-def with_sides(pairs: DataFrame, packed: DataFrame, cols: list[str]) -> DataFrame:
-    """Attach the payload of both blocks to undecided pairs."""
-    side = lambda s: packed.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+def deal_tiles(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with their tile (ta, tb), and the blocks (ta, tb, block) that each tile needs."""
+    dealt = pairs.select("a", "b", F.shiftright("a", TILE_BITS).alias("ta"), F.shiftright("b", TILE_BITS).alias("tb"))
+    return dealt, dealt.select("ta", "tb", F.explode(F.array("a", "b")).alias("block")).distinct()
+
+
+def compare_rows(pairs: DataFrame, packed: DataFrame, cols: list[str], kernel, schema: str, combine=None) -> DataFrame:
+    """What ``kernel`` makes of pairs of blocks with their payload ``cols`` (columns a, b, *_a, *_b), a frame per tile.
+
+    Pairs are dealt out in tiles of 2**TILE_BITS by 2**TILE_BITS blocks; each
+    block travels once to every tile that needs it, not once per pair, and a
+    task holds one tile's blocks.  ``combine`` reduces a tile's rows before
+    they leave the task.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    dealt, wanted = deal_tiles(pairs)
+    payload = wanted.join(packed.select("block", *cols), "block").withColumnsRenamed({"ta": "pa", "tb": "pb"})
+
+    def run(pairs, blocks):
+        at = pd.Series(np.arange(len(blocks)), index=blocks["block"])
+        side = {s: at[pairs[s]].to_numpy() for s in ("a", "b")}
+        frame = pairs[["a", "b"]].assign(**{f"{c}_{s}": blocks[c].to_numpy()[side[s]] for c in cols for s in ("a", "b")})
+        parts = [x for x in kernel(iter([frame])) if len(x)]
+        if not parts:
+            return pd.DataFrame(columns=names)
+        out = pd.concat(parts, ignore_index=True)
+        return combine(out) if combine else out
+
+    return dealt.groupBy("ta", "tb").cogroup(payload.groupBy("pa", "pb")).applyInPandas(run, schema)
 
 
 def ancestors(df: DataFrame, levels: int, block: str = "block") -> DataFrame:

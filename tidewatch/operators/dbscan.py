@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import (
-    BLOCK_ROWS, BlockSpace, ancestors, block_pairs, both_ways, build_blocks, with_sides)
+    BLOCK_ROWS, BlockSpace, ancestors, block_pairs, both_ways, build_blocks, compare_rows)
 from tidewatch.operators.components import connected_components
 from tidewatch.operators.kernels import components, longs, matrix, spanning_pairs, sq_distances
 from tidewatch.operators.ranks import running_total
@@ -68,8 +68,7 @@ def neighbor_counts(space: BlockSpace, pairs: DataFrame, cuts: tuple[float, ...]
     names = [f"e{i}" for i in range(len(cuts))]
     schema = "block long, row int, " + ", ".join(f"{c} long" for c in names)
     local = (
-        with_sides(pairs.filter("not full"), space.packed, ["mat", "weights"])
-        .mapInPandas(_count_kernel(cuts, space.dims), schema)
+        compare_rows(pairs.filter("not full"), space.packed, ["mat", "weights"], _count_kernel(cuts, space.dims), schema)
         .groupBy("block", "row").agg(*[F.sum(c).alias(c) for c in names])
         .groupBy("block").agg(F.array_sort(F.collect_list(F.struct("row", F.array(*names).alias("c")))).alias("rows"))
         .select("block", F.flatten(F.col("rows.c")).alias("counts"))
@@ -181,8 +180,8 @@ def dbscan_grid(points: DataFrame, settings: Sequence[tuple[float, int]], id_col
     cored = settle(counted.mapInPandas(
         _core_kernel(cuts, settings, space.dims), "block long, n int, ids binary, mat binary, state binary, n_core array<long>"))
     links = settle(
-        with_sides(pairs.filter("not full"), cored, ["mat", "state"])
-        .mapInPandas(_link_kernel(settings, space.dims), "s int, kind int, block long, row int, block2 long, row2 int"))
+        compare_rows(pairs.filter("not full"), cored, ["mat", "state"], _link_kernel(settings, space.dims),
+                     "s int, kind int, block long, row int, block2 long, row2 int"))
     states = cored.mapInPandas(_unpack_states(len(settings)), "s int, block long, row int, id long, root long")
 
     full = both_ways(pairs.filter("full"))
@@ -274,51 +273,3 @@ def dbscan_model(points: DataFrame, eps: float, min_samples: int, id_col: str, v
 def core_points(model: DataFrame) -> DataFrame:
     """What serving keeps of ``dbscan_model``: vectors and labels of the core rows."""
     return model.filter("is_core").select("id", "vec", "label")
-
-
-def _assign_kernel(eps: float, dims: int):
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                hit = sq_distances(matrix(r.mat_a, dims), matrix(r.mat_b, dims), (eps,)) <= eps * eps
-                ta, tb, ia, ib = longs(r.tags_a), longs(r.tags_b), longs(r.ids_a), longs(r.ids_b)
-                sides = [(hit, ta, tb, ia)] + ([(hit.T, tb, ta, ib)] if r.a != r.b else [])
-                for near, mine, other, ids in sides:
-                    best = np.where(near & (other >= 0)[None, :], other[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
-                    pick = (mine < 0) & (best < np.iinfo(np.int64).max)
-                    out.append(pd.DataFrame({"id": ids[pick], "label": best[pick]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return run
-
-
-def dbscan_assign(fresh: DataFrame, cores: DataFrame, eps: float, id_col: str, vec_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Score new rows against stored core rows: smallest cluster with a core row within eps, else -1."""
-    new = fresh.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    # Queries with equal vectors get equal answers: one row per distinct vector.
-    asked = settle(collapse_copies(new, "id", "vec"))
-    known = cores.select(F.col("vec").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("label")).groupBy("vec").agg(F.min("label").alias("tag"))
-    both = asked.unionByName(known.select("vec", F.lit(-1).cast("long").alias("id"), F.lit(1).cast("long").alias("weight"), "tag"))
-    space = build_blocks(settle(both), block_rows)
-    pairs = block_pairs(space, eps, eps)
-    local = with_sides(pairs.filter("not full"), space.packed, ["mat", "tags", "ids"]).mapInPandas(_assign_kernel(eps, space.dims), "id long, label long")
-    best = local
-    if not pairs.filter("full").isEmpty():
-        tagged = space.packed.filter("min_tag >= 0").select("block", "min_tag")
-        node_min = ancestors(tagged, space.levels).groupBy("level", "node").agg(F.min("min_tag").alias("m"))
-        via = both_ways(pairs.filter("full")).join(node_min.withColumnRenamed("node", "other"), ["level", "other"]).groupBy("level", "node").agg(F.min("m").alias("m"))
-        blocks = ancestors(space.packed.select("block", "ids", "tags"), space.levels).join(via, ["level", "node"]).groupBy("block").agg(F.min("m").alias("m"))
-
-        def unpack(frames):
-            for pdf in frames:
-                for r in pdf.itertuples(index=False):
-                    ids = longs(r.ids)[longs(r.tags) < 0]
-                    yield pd.DataFrame({"id": ids, "label": np.full(len(ids), r.m, np.int64)})
-
-        wide = space.packed.select("block", "ids", "tags").join(blocks, "block").select("ids", "tags", "m").mapInPandas(unpack, "id long, label long")
-        best = local.unionByName(wide)
-    best = best.groupBy("id").agg(F.min("label").alias("label"))
-    answer = asked.select("vec", "id").join(best, "id", "left").select("vec", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label"))
-    return new.join(answer, "vec").select("id", "label")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import noise_flag
 from tidewatch.functions.vector import bounded_centers, distance, nearest_center
-from tidewatch.operators.blocks import block_pairs, build_blocks, with_sides
+from tidewatch.operators.blocks import block_pairs, build_blocks, compare_rows
 from tidewatch.operators.kernels import longs, matrix, sq_distances
 from tidewatch.session import settle
 
@@ -71,7 +71,7 @@ def _nearest_many(rows: DataFrame, centers: DataFrame, id_col: str, vec: str) ->
     radius = widest / 1024
     while True:
         pairs = block_pairs(space, -1.0, radius)
-        best = settle(with_sides(pairs, space.packed, ["mat", "tags", "ids"]).mapInPandas(kernel, "id long, distance double")
+        best = settle(compare_rows(pairs, space.packed, ["mat", "tags", "ids"], kernel, "id long, distance double")
                       .groupBy("id").agg(F.min("distance").alias("distance")).filter(F.col("distance") <= radius))
         if radius >= widest or best.count() == asked.count():
             return best

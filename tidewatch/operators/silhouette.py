@@ -7,18 +7,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.blocks import block_pairs, build_blocks, with_sides
+from tidewatch.operators.blocks import BLOCK_ROWS, block_pairs, build_blocks, compare_rows
 from tidewatch.operators.kernels import longs, matrix, sq_distances
 from tidewatch.operators.profiles import sample_rows
 from tidewatch.session import settle
 
 
-def silhouette_values(points: DataFrame, id_col: str, vec_col: str, label_col: str, sample: int | None = None) -> DataFrame:
+def silhouette_values(points: DataFrame, id_col: str, vec_col: str, label_col: str, sample: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, label, silhouette) of all rows; only a ``sample`` size that the caller names reads fewer."""
     rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                          F.lit(1).cast("long").alias("weight"), F.col(label_col).cast("long").alias("tag"))
     rows = settle(sample_rows(rows, sample, "id") if sample else rows)
-    space = build_blocks(rows)
+    space = build_blocks(rows, block_rows)
     dims = space.dims
 
     def kernel(frames):
@@ -37,8 +37,9 @@ def silhouette_values(points: DataFrame, id_col: str, vec_col: str, label_col: s
                 yield pd.concat(out, ignore_index=True)
 
     sums = (
-        with_sides(block_pairs(space, -1.0, float("inf")), space.packed, ["mat", "tags", "ids"])
-        .mapInPandas(kernel, "id long, other long, d double").groupBy("id", "other").agg(F.sum("d").alias("d")))
+        compare_rows(block_pairs(space, -1.0, float("inf")), space.packed, ["mat", "tags", "ids"], kernel, "id long, other long, d double",
+                     lambda t: t.groupby(["id", "other"], as_index=False).sum())
+        .groupBy("id", "other").agg(F.sum("d").alias("d")))
     sizes = rows.groupBy(F.col("tag").alias("other")).agg(F.count(F.lit(1)).alias("n"))
     full = sums.join(sizes, "other").join(rows.select("id", "tag"), "id")
     own = F.col("other") == F.col("tag")
@@ -49,5 +50,5 @@ def silhouette_values(points: DataFrame, id_col: str, vec_col: str, label_col: s
     return per.select("id", "label", F.when((F.col("n") > 1) & (F.greatest("a", "b") > 0), value).otherwise(F.lit(0.0)).alias("silhouette"))
 
 
-def silhouette(points: DataFrame, id_col: str, vec_col: str, label_col: str, sample: int | None = None) -> DataFrame:
-    return silhouette_values(points, id_col, vec_col, label_col, sample).agg(F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("rows"))
+def silhouette(points: DataFrame, id_col: str, vec_col: str, label_col: str, sample: int | None = None, **options) -> DataFrame:
+    return silhouette_values(points, id_col, vec_col, label_col, sample, **options).agg(F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("rows"))

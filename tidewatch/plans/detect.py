@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import nan_inf_to_zero, noise_flag
 from tidewatch.functions.vector import assemble
-from tidewatch.operators.dbscan import core_points, dbscan_assign, dbscan_fit, dbscan_model
+from tidewatch.operators.coreindex import CoreIndex, build_core_index, copy_core_index, open_core_index, probe_cores
+from tidewatch.operators.dbscan import core_points, dbscan_fit, dbscan_model
 from tidewatch.operators.scoring import Scaler, anomaly_score, apply_scaler, cluster_centers, fit_scaler, raw_scores
 from tidewatch.operators.templates import template_counts
 from tidewatch.operators.textmodel import TextModel, load_text_model, save_text_model, with_extremes
@@ -25,11 +26,11 @@ from tidewatch.sources.sinks import write_csv
 
 @dataclass
 class DetectorModel:
-    """What serving needs: scaler, core windows, centres, score scale and, optionally, the text model."""
+    """What serving needs: scaler, index of the core windows, centres, score scale and, optionally, the text model."""
 
     cols: list[str]
     scaler: Scaler
-    cores: DataFrame      # id, vec, label
+    cores: CoreIndex
     centers: DataFrame    # label, center
     score_max: float
     eps: float
@@ -78,20 +79,20 @@ def fit_detector(logs: DataFrame, width: str = WINDOW_WIDTH, eps: float = DBSCAN
     fitted = settle(dbscan_model(rows, eps, min_samples, "id", "vec"))
     centers = settle(cluster_centers(fitted, len(cols)))
     top = raw_scores(fitted, centers).agg(F.max("raw_score")).first()[0] or 1.0
-    return DetectorModel(cols, scaler, settle(core_points(fitted)), centers, float(top), eps, min_samples, text)
+    return DetectorModel(cols, scaler, build_core_index(core_points(fitted)), centers, float(top), eps, min_samples, text)
 
 
 def score_windows(features: DataFrame, model: DetectorModel) -> DataFrame:
     """Flag and score new windows against the stored model, without refitting."""
     rows = settle(scaled_vectors(features.select("timestamp", *model.cols), model.scaler))
-    labels = dbscan_assign(rows, model.cores, model.eps, "id", "vec")
+    labels = probe_cores(rows, model.cores, model.eps, "id", "vec")
     scored = anomaly_score(settle(rows.join(labels, "id")), len(model.cols), fitted_max=model.score_max, centers=model.centers)
     return scored.select("timestamp", noise_flag("label").alias("is_anomaly"), "anomaly_score", F.col("label").alias("cluster_label"))
 
 
 def save_detector(model: DetectorModel, path: str) -> None:
-    spark = model.cores.sparkSession
-    model.cores.write.mode("overwrite").parquet(f"{path}/cores")
+    spark = model.centers.sparkSession
+    copy_core_index(spark, model.cores, f"{path}/cores")
     model.centers.write.mode("overwrite").parquet(f"{path}/centers")
     body = {"cols": model.cols, "scaler": {c: list(v) for c, v in model.scaler.items()}, "score_max": model.score_max,
             "eps": model.eps, "min_samples": model.min_samples, "text": model.text is not None}
@@ -103,6 +104,6 @@ def save_detector(model: DetectorModel, path: str) -> None:
 def load_detector(spark: SparkSession, path: str) -> DetectorModel:
     body = json.loads(spark.read.text(f"{path}/detector").first()[0])
     return DetectorModel(
-        body["cols"], {c: tuple(v) for c, v in body["scaler"].items()}, spark.read.parquet(f"{path}/cores"),
+        body["cols"], {c: tuple(v) for c, v in body["scaler"].items()}, open_core_index(spark, f"{path}/cores"),
         spark.read.parquet(f"{path}/centers"), body["score_max"], body["eps"], body["min_samples"],
         load_text_model(spark, f"{path}/text-model") if body["text"] else None)
