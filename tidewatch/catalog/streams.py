@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.base import LOGS, logs_of, query, volume_sql
+from tidewatch.catalog.base import LOGS, TEMPLATES, logs_of, query, volume_sql
 from tidewatch.schemas import TEXT_COLS
 from tidewatch.catalog.models import SCORED, VOLUME_COLS, WEPS, WINDOWS, WNEED, dbscan_sql
+from tidewatch.catalog.results import ALARMS, RES, SUMMARY, WIDTH, results_of
 from tidewatch.catalog.text import all_features_sql, set_model
 from tidewatch.operators.ranks import describe_columns
 from tidewatch.operators.scoring import fit_scaler
@@ -18,6 +19,8 @@ from tidewatch.sources import logs as src
 from tidewatch.sources import sinks
 from tidewatch.streaming import detect as SD
 from tidewatch.streaming import features as SF
+from tidewatch.streaming import ledger as LG
+from tidewatch.streaming import state as ST
 
 FILES, LONG = 3, "60 days"
 
@@ -217,3 +220,115 @@ def tune_grid_published(spark, sf):
     rows = P.scaled_vectors(features, fit_scaler(features, ALL_COLS))
     truth = window_labels(logs, "1 hour").select("timestamp", (F.col("is_anomaly") == 1).alias("truth"))
     return tuning.tune_dbscan(settle(rows.join(truth, "timestamp")), "id", "vec", "truth")
+
+
+# ---- first sightings, the window ledger, refreshed summaries, several widths ----------------------
+
+FIRST_SQL = f"WITH {LOGS}{TEMPLATES} SELECT template, event_id, timestamp{{more}} FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY timestamp, event_id) AS rn FROM tlogs) WHERE rn = 1"
+
+
+def _sightings(spark, sf, key=None, watermark=None):
+    out = fresh_path(spark, "sightings")
+    ST.start_first_sightings(opened(spark, replay(spark, sf, key)), out, fresh_path(spark, "cp"), watermark).awaitTermination()
+    return out
+
+
+@query("stream_first_seen", FIRST_SQL.format(more=""))
+def stream_first_seen(spark, sf):
+    """Interleaved replay: earlier logs that arrive late correct the first sighting."""
+    return ST.read_first_sightings(spark, _sightings(spark, sf)).select("template", "event_id", "timestamp")
+
+
+@query("stream_first_seen_final", FIRST_SQL.format(more=", true AS final"))
+def stream_first_seen_final(spark, sf):
+    """Files in time order and a watermark: timers make every sighting final."""
+    days = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 10)
+    return ST.read_first_sightings(spark, _sightings(spark, sf, days, "1 hour")).select("template", "event_id", "timestamp", "final")
+
+
+@query("stream_new_templates", f"""WITH {LOGS}{TEMPLATES}, f AS (SELECT template, min(timestamp) AS timestamp FROM tlogs GROUP BY 1)
+ SELECT time_bucket(INTERVAL '1 hour', timestamp) AS timestamp, count(*) AS new_templates FROM f GROUP BY 1""")
+def stream_new_templates(spark, sf):
+    return ST.new_templates_stored(spark, _sightings(spark, sf))
+
+
+def _late_arrival():
+    part = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 10)
+    return F.when(F.expr(LATE), part + 3).otherwise(part)
+
+
+@query("late_data_kept", f"""WITH {LOGS} SELECT 'window' AS kind, time_bucket(INTERVAL '1 hour', timestamp) AS timestamp, count(*) AS n FROM logs WHERE NOT ({LATE}) GROUP BY ALL
+ UNION ALL SELECT 'late', time_bucket(INTERVAL '1 hour', timestamp), count(*) FROM logs WHERE {LATE} GROUP BY ALL""")
+def late_data_kept(spark, sf):
+    """Windows and late logs together hold every log that arrived."""
+    out = fresh_path(spark, "ledger")
+    LG.start_ledger(opened(spark, replay(spark, sf, _late_arrival(), parts=6)), "1 hour", out, fresh_path(spark, "cp"), "1 hour").awaitTermination()
+    windows = LG.read_windows(spark, out).select(F.lit("window").alias("kind"), "timestamp", F.col("log_count").alias("n"))
+    late = LG.read_late(spark, out).groupBy(F.col("window_start").alias("timestamp")).agg(F.count(F.lit(1)).alias("n"))
+    return windows.unionByName(late.select(F.lit("late").alias("kind"), "timestamp", "n"))
+
+
+def by_rate(windows):
+    """Flag and score by rule: the critical rate."""
+    return windows.select("timestamp", (F.col("critical_rate") >= 0.5).cast("int").alias("is_anomaly"), F.col("critical_rate").alias("anomaly_score"), F.lit(0).alias("cluster_label"))
+
+
+@query("stream_alarm_lines", RES[:-1] + ALARMS + " SELECT line, count(*) AS n FROM lines GROUP BY 1")
+def stream_alarm_lines(spark, sf):
+    """Files in time order, one part each: alarms with messages from the ledger itself, the batch operator's lines."""
+    out = fresh_path(spark, "ledger")
+    LG.start_ledger_detection(opened(spark, replay(spark, sf, parts=1)), by_rate, WIDTH, out, fresh_path(spark, "cp"), LONG).awaitTermination()
+    return spark.read.text(f"{out}/alarms/*").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_ledger_totals", f"WITH {LOGS}{volume_sql('1 hour', digits=None)} SELECT CAST(sum(log_count) AS BIGINT) AS logs, count(*) AS windows, 0 AS late, "
+       "CAST(count(*) FILTER (critical_rate >= 0.5) AS INTEGER) AS anomalies FROM vol")
+def stream_ledger_totals(spark, sf):
+    """Two files, a stop, a third file: totals after the restart, from the tables."""
+    out, cp, path = fresh_path(spark, "ledger"), fresh_path(spark, "cp"), fresh_path(spark, "replay")
+    for stage in ([0, 1], [2]):
+        for i in stage:
+            add_file(spark, sf, path, i)
+        LG.start_ledger_detection(opened(spark, path), by_rate, "1 hour", out, cp, LONG).awaitTermination()
+    return LG.ledger_totals(spark, out)
+
+
+@query("stream_ledger_detect", f"WITH RECURSIVE {LOGS}{WINDOWS}{dbscan_sql(WEPS, WNEED)}{SCORED.replace('65', str(len(VOLUME_COLS) + 1))}{GT}, "
+       "o AS (SELECT make_timestamp(id) AS timestamp, CAST(label = -1 AS INTEGER) AS is_anomaly, round(raw / max(raw) OVER (), 6) AS anomaly_score, label AS cluster_label FROM rw) "
+       "SELECT timestamp, is_anomaly, anomaly_score, cluster_label, log_count, ground_truth FROM o JOIN vol USING (timestamp) JOIN g USING (timestamp)")
+def stream_ledger_detect(spark, sf):
+    """Stored model and stored core index on the ledger's windows."""
+    out = fresh_path(spark, "ledger")
+    model = P.fit_detector(logs_of(spark, sf), "1 hour", WEPS, WNEED)
+    LG.start_ledger_detection(opened(spark, replay(spark, sf, parts=2)), model, "1 hour", out, fresh_path(spark, "cp"), LONG).awaitTermination()
+    return stored(spark, f"{out}/results", ["timestamp", "is_anomaly", "anomaly_score", "cluster_label", "log_count", "ground_truth"])
+
+
+@query("hourly_refresh_stored", f"{RES}SELECT true AS idle, s.* FROM ({SUMMARY.format(where='')}) s")
+def hourly_refresh_stored(spark, sf):
+    """Two batches, a refresh, a third batch on some dates, a refresh of these dates only, and one that finds nothing to do."""
+    path, summary, rows = fresh_path(spark, "results"), fresh_path(spark, "summary"), settle(results_of(spark, sf))
+    day = F.dayofmonth("timestamp")
+    sinks.upsert_results(rows.filter(day <= 10).withColumn("anomaly_score", F.lit(9.0)), path, 0)
+    sinks.upsert_results(rows.filter(day > 10), path, 1)
+    sinks.refresh_summary(spark, path, summary)
+    sinks.upsert_results(rows.filter(day <= 10), path, 2)
+    sinks.refresh_summary(spark, path, summary)
+    idle = sinks.refresh_summary(spark, path, summary) == 0
+    return sinks.read_summary(spark, summary).select(F.lit(idle).alias("idle"), "*")
+
+
+MULTI_STREAM = {"1 minute": 60, "5 minutes": 300, "1 hour": 3600}
+
+
+@query("stream_multi_width", f"WITH {LOGS}, wm AS (SELECT max(timestamp) - INTERVAL 1 MINUTE AS t FROM logs) " + " UNION ALL ".join(
+    f"SELECT '{w}' AS width, time_bucket(INTERVAL '{w}', timestamp) AS timestamp, count(level) AS log_count, "
+    + ", ".join(f"count(*) FILTER (level = '{lv.upper()}') AS {lv}_count" for lv in ("error", "fatal", "warn", "info", "debug"))
+    + f" FROM logs GROUP BY 2 HAVING time_bucket(INTERVAL '{w}', timestamp) + INTERVAL {sec} SECONDS <= (SELECT t FROM wm)" for w, sec in MULTI_STREAM.items()))
+def stream_multi_width(spark, sf):
+    """Widths rolled up from 30 second windows inside one query; windows that the watermark has not passed stay open."""
+    out = fresh_path(spark, "widths")
+    stream = SF.stream_multi_width(opened(spark, replay(spark, sf, parts=1)), "30 seconds", list(MULTI_STREAM))
+    handle = lambda batch, i: sinks.write_by_date(batch, out, i)
+    SD.each_batch(stream, handle, fresh_path(spark, "cp"), "append").awaitTermination()
+    return spark.read.parquet(out).drop("date", "batch")

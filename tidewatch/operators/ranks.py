@@ -66,6 +66,25 @@ def describe_columns(df: DataFrame, cols: Sequence[str], points: dict[str, float
     return row.select("metric", "count", "mean", std.alias("std"), "min", "max", *[between(a, k) for a, k in place.items()])
 
 
+def grouped_percentiles(df: DataFrame, key: str, col: str, points: dict[str, float]) -> DataFrame:
+    """(key, *points): exact percentiles of ``col`` per value of ``key``, linearly interpolated at (n - 1) * p.
+
+    Rows are first reduced to (key, value, count); the positions of the values
+    come from range partitions, so no key's values meet in one place however
+    many there are.  Nulls in ``col`` do not count; a key without values is absent.
+    """
+    hist = df.select(F.col(key).alias("_k"), F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = settle(running_total(hist, ["_k", "_v"], "n"))
+    ends = ranked.groupBy(F.col("_k").alias("_g")).agg(F.max("upto").alias("_end"), F.sum("n").alias("_all"))
+    rows = ranked.join(ends, F.col("_k").eqNullSafe(F.col("_g")))
+    upto = F.col("upto") - (F.col("_end") - F.col("_all"))  # position within the key
+    at = lambda k: F.max(F.when((upto > k) & (upto - F.col("n") <= k), F.col("_v")))
+    place = {name: (F.col("_all") - 1) * F.lit(float(p)) for name, p in points.items()}
+    picked = rows.groupBy("_k").agg(*[a for name, k in place.items() for a in (at(F.floor(k)).alias(f"{name}_lo"), at(F.ceil(k)).alias(f"{name}_hi"), F.first(k - F.floor(k)).alias(f"{name}_part"))])
+    value = lambda name: F.col(f"{name}_lo") + F.col(f"{name}_part") * (F.col(f"{name}_hi") - F.col(f"{name}_lo"))
+    return picked.select(F.col("_k").alias(key), *[value(name).alias(name) for name in points])
+
+
 def percentile_table(df: DataFrame, col: str, points: dict[str, float]) -> DataFrame:
     """One row of exact percentiles of one column."""
     return describe_columns(df, [col], points).select(*points)

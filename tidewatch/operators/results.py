@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import SAMPLE_LAYOUT, alarm_text, ratio
+from tidewatch.operators.ranks import grouped_percentiles
 from tidewatch.operators.windows import group_by_window, sample_errors
 from tidewatch.schemas import CRITICAL_LEVELS, RATE_ALERT, SCORE_ALERT
 from tidewatch.session import settle
@@ -117,6 +118,14 @@ def alarm_lines(results: DataFrame, logs: DataFrame, width: str, samples: int =
     return heads.unionByName(details)
 
 
+def alarm_lines_sampled(flagged: DataFrame) -> DataFrame:
+    """``alarm_lines`` of flagged result rows that carry their first critical messages in ``samples``."""
+    heads = flagged.select("window_start", F.lit(0).alias("line_no"), alarm_text().alias("line"))
+    details = flagged.select("window_start", F.posexplode("samples").alias("at", "s")).select(
+        "window_start", (F.col("at") + 1).alias("line_no"), F.format_string(SAMPLE_LAYOUT, F.col("at") + 1, F.col("s.message")).alias("line"))
+    return heads.unionByName(details)
+
+
 def pattern_rules(features: DataFrame, logs: DataFrame, width: str, flood: float = 10.0, silence: float = 0.1,
                   spike: float = 3.0, cascade_services: int = 3) -> DataFrame:
     """Named window patterns on the 12 features.
@@ -126,9 +135,10 @@ def pattern_rules(features: DataFrame, logs: DataFrame, width: str, flood: float
     """
     features = settle(features)
     hour = F.hour("timestamp")
-    base = features.groupBy(hour.alias("_hour")).agg(
-        F.percentile("log_count", F.lit(0.5)).alias("normal_count"),
-        F.percentile("critical_count", F.lit(0.5)).alias("normal_critical"))
+    base = None  # 24 rows: the medians come from positions in range partitions, no hour's values are gathered
+    for column, name in (("log_count", "normal_count"), ("critical_count", "normal_critical")):
+        part = grouped_percentiles(features.select(hour.alias("_hour"), column), "_hour", column, {name: 0.5})
+        base = part if base is None else base.join(part, "_hour")
     # Distinct services per window in two map-side-combined steps.
     critical = group_by_window(logs.filter(F.col("level").isin(CRITICAL_LEVELS)), [F.count(F.lit(1)).alias("_n")], width, keys=["service"])
     services = critical.groupBy("timestamp").agg(F.count("service").alias("critical_services"))

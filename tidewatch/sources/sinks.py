@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.results import RESULT_KEY, results_latest, results_rates
+from tidewatch.operators.results import RESULT_KEY, anomaly_summary_hourly, results_latest, results_rates
 from tidewatch.schemas import RESULT_SCHEMA
+from tidewatch.session import path_exists
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -57,6 +58,33 @@ def compact_results(spark: SparkSession, path: str, out: str, truth: str = "firs
     write_by_date(read_results(spark, path, truth, dates), out, 0)
 
 
+def refresh_summary(spark: SparkSession, results_path: str, summary_path: str, truth: str = "first") -> int:
+    """Bring the stored hourly summary up to date with an upserted result table; returns how many dates were rewritten.
+
+    ``marks`` beside the summary names the last batch that it covers.  Only
+    dates that later batches touched are read again, and only their partitions
+    are overwritten; without such batches nothing is written at all.  The mark
+    follows the summary, so a refresh that fails is simply done again.
+    """
+    stored = spark.read.parquet(results_path)
+    marks = f"{summary_path}/marks"
+    done = spark.read.parquet(marks).first()[0] if path_exists(spark, marks) else -1
+    # Dates and batches are folder names: neither of these two reads opens a file.
+    last = stored.agg(F.max("batch")).first()[0]
+    if last is None or last <= done:
+        return 0
+    days = [r[0] for r in stored.filter(F.col("batch") > done).select("date").distinct().collect()]
+    current = results_latest(stored.filter(F.col("date").isin(days)).drop("date"), "batch", truth)
+    summary = anomaly_summary_hourly(current).withColumn("date", F.to_date("bucket"))
+    summary.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{summary_path}/hours")
+    spark.createDataFrame([(last,)], "batch long").coalesce(1).write.mode("overwrite").parquet(marks)
+    return len(days)
+
+
+def read_summary(spark: SparkSession, summary_path: str) -> DataFrame:
+    return spark.read.parquet(f"{summary_path}/hours").drop("date")
+
+
 def expire_partitions(dates: DataFrame, now: str, keep: str) -> DataFrame:
     """Dates whose partitions lie wholly before the retention cut-off."""
     cutoff = F.to_date(F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {keep}"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,7 @@ from tidewatch.operators.templates import with_template
 from tidewatch.operators.textmodel import TextModel, embed
 from tidewatch.operators.results import SUMMARY_AGGS
 from tidewatch.operators.windows import count_aggs, group_by_window, window_rates
-from tidewatch.schemas import VOLUME_COLS, WINDOW_WIDTH
+from tidewatch.schemas import COUNT_COLS, VOLUME_COLS, WINDOW_WIDTH
 from tidewatch.session import ensure_utc
 
 WATERMARK = "1 minute"
@@ -67,3 +69,19 @@ def stream_summary_hourly(logs: DataFrame, width: str, score, flag, watermark: s
     rows = window_rates(windows).withColumns({"anomaly_score": score, "is_anomaly": flag})
     hourly = rows.groupBy(F.window(F.window_time("w"), "1 hour").alias("h")).agg(*SUMMARY_AGGS())
     return hourly.select(F.col("h.start").alias("bucket"), *[c for c in hourly.columns if c != "h"])
+
+
+def stream_multi_width(logs: DataFrame, base: str, widths: Sequence[str], watermark: str = WATERMARK) -> DataFrame:
+    """Counts at several widths, each rolled up from ``base`` windows by a chained aggregate (append mode).
+
+    Every width must be a multiple of ``base``.  State per width is one row per
+    open window at either step; a window is out once the watermark has passed
+    its end.
+    """
+    partial = logs.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", base).alias("w")).agg(*count_aggs())
+    rolled = None
+    for width in widths:
+        part = partial.groupBy(F.window(F.window_time("w"), width).alias("h")).agg(*[F.sum(c).alias(c) for c in COUNT_COLS])
+        part = part.select(F.lit(width).alias("width"), F.col("h.start").alias("timestamp"), *COUNT_COLS)
+        rolled = part if rolled is None else rolled.unionByName(part)
+    return rolled
