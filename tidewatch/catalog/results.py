@@ -207,6 +207,40 @@ def src_csv_logs(spark, sf):
     return src.read_csv_logs(spark, path)
 
 
+BAD_SQL = f"""WITH {LOGS}, t AS (SELECT level, event_id % 17 = 0 AS bad, event_id % 19 = 0 AS broken FROM logs)
+ SELECT 'good' AS kind, level, count(*) AS n, count(*) FILTER (broken) AS broken FROM t WHERE NOT bad GROUP BY 2
+ UNION ALL SELECT 'bad', NULL, count(*), NULL FROM t WHERE bad"""
+
+
+def _damaged(logs):
+    """Some unreadable times, some messages over two lines."""
+    text = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return logs.withColumns({
+        "timestamp": F.when(F.col("event_id") % 17 == 0, F.concat(F.lit("not "), text)).otherwise(text),
+        "message": F.when(F.col("event_id") % 19 == 0, F.concat("message", F.lit("\n, second line"))).otherwise(F.col("message"))})
+
+
+def _accounted(good, bad):
+    kept = good.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("message").contains("\n")).alias("broken"))
+    lost = bad.select("file", "record").distinct().agg(F.count(F.lit(1)).alias("n"))
+    return kept.select(F.lit("good").alias("kind"), "level", "n", "broken").unionByName(lost.select(F.lit("bad").alias("kind"), F.lit(None).cast("string").alias("level"), "n", F.lit(None).cast("long").alias("broken")))
+
+
+@query("src_csv_quarantine", BAD_SQL)
+def src_csv_quarantine(spark, sf):
+    """Good and bad records together are the input; every bad one has a place of its own."""
+    path = fresh_path(spark, "csv")
+    sinks.write_csv(_damaged(logs_of(spark, sf)).select(*TRAINING_LOG_SCHEMA.fieldNames()).repartition(3), path)
+    return _accounted(*src.split_bad_csv(spark, path))
+
+
+@query("src_parquet_quarantine", BAD_SQL)
+def src_parquet_quarantine(spark, sf):
+    path = fresh_path(spark, "logs")
+    _damaged(logs_of(spark, sf)).repartition(3).write.parquet(path)
+    return _accounted(*src.split_bad_parquet(spark, path))
+
+
 @query("parse_iso_ts", """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS parsed FROM events""")
 def parse_ts(spark, sf):
     text = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))

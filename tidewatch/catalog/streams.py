@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import LOGS, TEMPLATES, logs_of, query, volume_sql
 from tidewatch.schemas import TEXT_COLS
+from tidewatch.catalog.logs import MULTI, ROLL_SPANS, _rolling_sql
 from tidewatch.catalog.models import SCORED, VOLUME_COLS, WEPS, WINDOWS, WNEED, dbscan_sql
 from tidewatch.catalog.results import ALARMS, RES, SUMMARY, WIDTH, results_of
 from tidewatch.catalog.text import all_features_sql, set_model
@@ -318,17 +319,21 @@ def hourly_refresh_stored(spark, sf):
     return sinks.read_summary(spark, summary).select(F.lit(idle).alias("idle"), "*")
 
 
-MULTI_STREAM = {"1 minute": 60, "5 minutes": 300, "1 hour": 3600}
-
-
-@query("stream_multi_width", f"WITH {LOGS}, wm AS (SELECT max(timestamp) - INTERVAL 1 MINUTE AS t FROM logs) " + " UNION ALL ".join(
+@query("stream_multi_width", f"WITH {LOGS} " + " UNION ALL ".join(
     f"SELECT '{w}' AS width, time_bucket(INTERVAL '{w}', timestamp) AS timestamp, count(level) AS log_count, "
     + ", ".join(f"count(*) FILTER (level = '{lv.upper()}') AS {lv}_count" for lv in ("error", "fatal", "warn", "info", "debug"))
-    + f" FROM logs GROUP BY 2 HAVING time_bucket(INTERVAL '{w}', timestamp) + INTERVAL {sec} SECONDS <= (SELECT t FROM wm)" for w, sec in MULTI_STREAM.items()))
+    + " FROM logs GROUP BY 2" for w in MULTI))
 def stream_multi_width(spark, sf):
-    """Widths rolled up from 30 second windows inside one query; windows that the watermark has not passed stay open."""
-    out = fresh_path(spark, "widths")
-    stream = SF.stream_multi_width(opened(spark, replay(spark, sf, parts=1)), "30 seconds", list(MULTI_STREAM))
-    handle = lambda batch, i: sinks.write_by_date(batch, out, i)
-    SD.each_batch(stream, handle, fresh_path(spark, "cp"), "append").awaitTermination()
-    return spark.read.parquet(out).drop("date", "batch")
+    """Several widths of one stream, from its ledger of 30 second windows."""
+    out = fresh_path(spark, "ledger")
+    LG.start_ledger(opened(spark, replay(spark, sf)), "30 seconds", out, fresh_path(spark, "cp"), LONG).awaitTermination()
+    return LG.ledger_widths(spark, out, list(MULTI))
+
+
+@query("stream_rolling_stats", _rolling_sql())
+def stream_rolling_stats(spark, sf):
+    """Interleaved replay: a window that grows changes the trailing statistics behind it; the result is the batch's."""
+    out = fresh_path(spark, "ledger")
+    handler = LG.rolling_updates(out, ["log_count", "error_rate"], ROLL_SPANS, 30)
+    LG.start_ledger(opened(spark, replay(spark, sf)), "30 seconds", out, fresh_path(spark, "cp"), LONG, on_windows=handler).awaitTermination()
+    return sinks.read_results(spark, f"{out}/rolling", "last").drop("window_start", "ground_truth")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,7 +136,11 @@ def multi_width(logs: DataFrame, base: str, widths: Sequence[str]) -> DataFrame:
     Every width must be a multiple of ``base``; the raw logs are scanned and
     shuffled once, the roll-ups read the small partial table.
     """
-    partial = settle(window_counts(logs, base))
+    return roll_widths(settle(window_counts(logs, base)), widths)
+
+
+def roll_widths(partial: DataFrame, widths: Sequence[str]) -> DataFrame:
+    """Counts of narrow windows (timestamp, counts) at several widths, multiples of theirs."""
     rolled = None
     for width in widths:
         part = group_by_window(partial, [F.sum(c).alias(c) for c in COUNT_COLS], width)
@@ -144,33 +149,47 @@ def multi_width(logs: DataFrame, base: str, widths: Sequence[str]) -> DataFrame:
     return rolled
 
 
+ROLL_BLOCKS = 4  # a block is so many times the widest span long: a quarter of the rows is read twice
+
+
 def rolling_stats(windows: DataFrame, cols: Sequence[str], spans: Mapping[str, int], step_seconds: int = 30,
                   ts: str = "timestamp") -> DataFrame:
     """Trailing mean, max, min, std and p95 of per-window columns.
 
     ``spans`` maps a suffix to a trailing length in seconds.  Time is cut into
-    blocks as long as the widest span; every row is copied into the next block
-    too, so each block holds the history it needs and blocks run in parallel
-    (at most 2 * span / step rows each).
+    blocks; rows near the end of a block are copied into the next one, so each
+    block holds the history it needs and blocks run in parallel.  Inside a
+    block every statistic slides: sums are kept up to date, extremes come from
+    a queue, p95 from an ordered skip list, so a row costs the same (a
+    logarithm of the span for p95) however long the span is.  Rows with equal
+    times see each other; nulls do not count.
     """
-    block_len = max(spans.values())
-    sec = F.unix_timestamp(F.col(ts).cast("timestamp"))
-    own = F.floor(sec / block_len)
-    spread = (
-        windows.withColumn("_sec", sec)
-        .withColumn("_block", F.explode(F.array(own, own + 1)))
-        .withColumn("_halo", F.col("_block") != F.floor(F.col("_sec") / block_len))
-    )
-    new = {}
-    for suffix, length in spans.items():
-        frame = Window.partitionBy("_block").orderBy("_sec").rangeBetween(-(length - step_seconds), 0)
-        for c in cols:
-            new[f"{c}_mean_{suffix}"] = F.avg(c).over(frame)
-            new[f"{c}_max_{suffix}"] = F.max(c).over(frame)
-            new[f"{c}_min_{suffix}"] = F.min(c).over(frame)
-            new[f"{c}_std_{suffix}"] = F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0))
-            new[f"{c}_p95_{suffix}"] = F.percentile(c, F.lit(0.95)).over(frame)
-    return spread.withColumns(new).filter(~F.col("_halo")).select(ts, *new)
+    reach = max(spans.values())
+    length = ROLL_BLOCKS * reach
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    own, after = F.floor(us / F.lit(length * 10**6)), F.floor((us + F.lit(reach * 10**6)) / F.lit(length * 10**6))
+    spread = windows.select(ts, us.alias("_us"), own.alias("_own"), *cols, F.explode(F.array_distinct(F.array(own, after))).alias("_block"))
+    kinds, shown = dict(windows.dtypes), ["mean", "max", "min", "std", "p95"]
+    names = [f"{c}_{k}_{suffix}" for suffix in spans for c in cols for k in shown]
+
+    def slide(pdf):
+        pdf = pdf.sort_values("_us", kind="stable")
+        values = pdf[list(cols)].astype("float64").set_index(pd.to_datetime(pdf["_us"].to_numpy(), unit="us"))
+        out = {}
+        for suffix, span in spans.items():
+            rolled = values.rolling(f"{span - step_seconds}s" if span > step_seconds else "1us", closed="both" if span > step_seconds else "right", min_periods=1)
+            parts = [rolled.mean(), rolled.max(), rolled.min(), rolled.std().fillna(0.0), rolled.quantile(0.95, interpolation="linear")]
+            for c in cols:
+                out.update({f"{c}_{k}_{suffix}": part[c].to_numpy() for k, part in zip(shown, parts)})
+        table = pd.DataFrame(out).groupby(pdf["_us"].to_numpy()).transform("last")  # peers see each other
+        table.insert(0, "_us", pdf["_us"].to_numpy())
+        return table[(pdf["_own"] == pdf["_block"]).to_numpy()]
+
+    rolled = spread.select("_us", "_own", "_block", *cols).groupBy("_block").applyInPandas(slide, "_us long, " + ", ".join(f"{n} double" for n in names))
+    back = F.timestamp_micros("_us") if kinds[ts] == "timestamp" else F.timestamp_micros("_us").cast(kinds[ts])
+    whole = {f"{c}_{k}_{suffix}": kinds[c] for suffix in spans for c in cols for k in ("max", "min")}
+    present = lambda n: F.when(~F.isnan(n), F.col(n)).cast(whole.get(n, "double")).alias(n)
+    return rolled.select(back.alias(ts), *map(present, names))
 
 
 def sample_errors(logs: DataFrame, width: str = WINDOW_WIDTH, n: int = 3, order: Sequence[str] = ("timestamp", "event_id")) -> DataFrame:

@@ -71,6 +71,42 @@ def read_csv_logs(spark: SparkSession, path: str, schema: T.StructType = TRAININ
     )
 
 
+def split_bad_csv(spark: SparkSession, path: str, schema: T.StructType = TRAINING_LOG_SCHEMA, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(good logs, quarantine) of CSV files; together they hold every record.
+
+    A record is bad when it does not fit the schema or its time cannot be read.
+    The quarantine names its ``file``, the byte at which the split begins that
+    holds it (``split_at``, 0 unless a large file is split) and its number
+    there from 0 (``record``), with the raw record or the time's text.
+    ``multiline`` reads quoted line ends as part of a value; such a file is one
+    split, so very large files without them are better read with it off.
+    """
+    ensure_utc(spark)
+    wide = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
+    reader = spark.read.schema(wide).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    at = {"file": F.col("_metadata.file_path"), "split_at": F.col("_metadata.file_block_start"), "_n": F.monotonically_increasing_id()}
+    parsed = rows.withColumns(at).withColumns({"_text": F.col("timestamp"), "timestamp": parse_iso_ts("timestamp")})
+    wrong = F.col("_bad").isNotNull() | F.col("timestamp").isNull()
+    first = rows.withColumns(at).groupBy("file", "split_at").agg(F.min("_n").alias("_first"))  # a row per split
+    bad = parsed.filter(wrong).join(first, ["file", "split_at"])
+    reason = F.when(F.col("_bad").isNotNull(), "record").otherwise("timestamp")
+    return parsed.filter(~wrong).select(*schema.fieldNames()), bad.select(
+        "file", "split_at", (F.col("_n") - F.col("_first")).alias("record"), reason.alias("reason"), F.coalesce("_bad", "_text").alias("corrupt"))
+
+
+def split_bad_parquet(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good logs, quarantine) of Parquet files with text times; the quarantine has ``file`` and ``record``, the row's number in it."""
+    ensure_utc(spark)
+    rows = spark.read.parquet(path)
+    if dict(rows.dtypes)["timestamp"] != "string":
+        rows = rows.withColumn("timestamp", F.col("timestamp").cast("string"))
+    at = {"file": F.col("_metadata.file_path"), "record": F.col("_metadata.row_index")}
+    parsed = rows.withColumns(at).withColumns({"_text": F.col("timestamp"), "timestamp": parse_iso_ts("timestamp")})
+    bad = parsed.filter(F.col("timestamp").isNull())
+    return parsed.filter(F.col("timestamp").isNotNull()).select(*rows.columns), bad.select("file", "record", F.lit("timestamp").alias("reason"), F.col("_text").alias("corrupt"))
+
+
 def decode_json_logs(df: DataFrame, value: str = "value", schema: T.StructType = LOG_SCHEMA) -> DataFrame:
     """JSON text -> typed log columns plus ``corrupt`` (the raw text, when unusable).
 

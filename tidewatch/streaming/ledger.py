@@ -10,17 +10,17 @@ rewrites the same folders, so totals stay right across failures and restarts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators.results import alarm_lines_sampled
-from tidewatch.operators.windows import count_aggs, sample_errors, tumbling, width_micros, window_rates
+from tidewatch.operators.windows import count_aggs, roll_widths, rolling_stats, sample_errors, tumbling, width_micros, window_rates
 from tidewatch.plans.detect import DetectorModel, score_windows
 from tidewatch.schemas import COUNT_COLS, VOLUME_COLS
-from tidewatch.session import delete_path, path_exists, scratch_scope
+from tidewatch.session import delete_path, path_exists, scratch_scope, settle
 from tidewatch.sources.sinks import read_results, upsert_results, write_alarms, write_by_date
 from tidewatch.streaming.detect import each_batch, result_rows
 from tidewatch.streaming.features import WATERMARK
@@ -44,15 +44,17 @@ def _with_samples(windows: DataFrame, picked: DataFrame) -> DataFrame:
     return joined.withColumn("samples", F.coalesce("samples", F.array().cast(SAMPLE)))
 
 
-def read_windows(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
-    """Current windows (timestamp, counts, rates, ground_truth, samples); ``only`` (timestamp) limits them, and the dates read.
+def read_windows(spark: SparkSession, path: str, only: DataFrame | None = None, days: Sequence | None = None) -> DataFrame:
+    """Current windows (timestamp, counts, rates, ground_truth, samples); ``days`` limits the dates read, ``only`` (timestamp) also the windows.
 
     The dates of ``only`` pass through the driver: as many as a batch touches.
     """
     parts = spark.read.schema(PART).parquet(f"{path}/parts")
     if only is not None:
         days = [r[0] for r in only.select(F.to_date("timestamp")).distinct().collect()]
-        parts = parts.filter(F.col("date").isin(days)).join(only.select("timestamp").distinct(), "timestamp", "left_semi")
+        parts = parts.join(only.select("timestamp").distinct(), "timestamp", "left_semi")
+    if days is not None:
+        parts = parts.filter(F.col("date").isin(list(days)))
     counts = parts.groupBy("timestamp").agg(*[F.sum(c).alias(c) for c in COUNT_COLS], F.max("ground_truth").alias("ground_truth"))
     known = parts.select(F.col("timestamp").alias("window_start"), F.explode("samples").alias("s"))
     rank = F.row_number().over(Window.partitionBy("window_start").orderBy("timestamp", "event_id"))
@@ -124,11 +126,40 @@ def start_ledger_detection(logs: DataFrame, judge: DetectorModel | Callable[[Dat
     return start_ledger(logs, width, path, checkpoint, watermark, every, judged)
 
 
+def rolling_updates(path: str, cols: Sequence[str], spans: Mapping[str, int], step_seconds: int) -> Callable[[DataFrame, int], None]:
+    """``on_windows`` handler that keeps trailing statistics of a ledger's windows at ``path``/rolling.
+
+    A window changes the statistics of the windows behind it, as far as the
+    widest span; only these are computed again, from the history that they need.
+    """
+    reach = max(spans.values())
+    chunk = lambda c: F.floor(F.unix_timestamp(c) / reach)
+
+    def update(touched: DataFrame, batch_id: int) -> None:
+        spark = touched.sparkSession
+        first = touched.select(F.explode(F.array(chunk("timestamp"), chunk("timestamp") + 1)).alias("_chunk")).distinct()
+        changed = settle(first)
+        needed = settle(changed.select(F.explode(F.array(F.col("_chunk"), F.col("_chunk") - 1)).alias("_chunk")).distinct())
+        day = lambda c: F.to_date(F.timestamp_seconds(c))
+        span = F.sequence(day(F.col("_chunk") * reach), day((F.col("_chunk") + 1) * reach - 1))
+        days = [r[0] for r in needed.select(F.explode(span)).distinct().collect()]
+        history = read_windows(spark, path, days=days).withColumn("_chunk", chunk("timestamp")).join(needed, "_chunk", "left_semi")
+        stats = rolling_stats(history, cols, spans, step_seconds).withColumn("_chunk", chunk("timestamp")).join(changed, "_chunk", "left_semi").drop("_chunk")
+        upsert_results(stats.withColumn("window_start", F.col("timestamp")), f"{path}/rolling", batch_id)
+
+    return update
+
+
 def read_late(spark: SparkSession, path: str) -> DataFrame:
     """The logs that missed their window, with ``window_start``."""
     return spark.read.schema(LATE).parquet(f"{path}/late").drop("date", "batch")
 
 
+def ledger_widths(spark: SparkSession, path: str, widths: Sequence[str]) -> DataFrame:
+    """Counts at several widths, rolled up from the windows of a ledger: the stream is read and kept once, at the narrowest width."""
+    return roll_widths(settle(read_windows(spark, path).select("timestamp", *COUNT_COLS)), widths)
+
+
 def ledger_totals(spark: SparkSession, path: str) -> DataFrame:
     """One row: logs, windows, late and anomalies so far, from what is stored; batches that ran twice count once."""
     parts = spark.read.schema(PART).parquet(f"{path}/parts").groupBy("timestamp").agg(F.sum("log_count").alias("n"))
