@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from tidewatch.operators import blocks as B
 from tidewatch.operators import coreindex as C
 from tidewatch.operators import dbscan as D
+from tidewatch.operators import lloyd as L
 from tidewatch.operators import textmodel as M
 from tidewatch.operators.components import connected_components
 from tidewatch.operators.forest import average_path, fit_forest, forest_scores
 from tidewatch.operators.ranks import percentile_table, running_total
-from tidewatch.operators.scoring import _nearest_many, anomaly_score, fit_scaler, apply_scaler
+from tidewatch.operators.scoring import anomaly_score, fit_scaler, apply_scaler
 from tidewatch.operators.silhouette import silhouette
 from tidewatch.operators.windows import volume_features
 from tidewatch.plans.features import all_features
@@ -104,7 +105,8 @@ def test_assign_flags_iff_no_core_in_reach(spark, mixture):
 def test_nearest_of_many_centres(spark, mixture):
     asked, known = mixture[:120], mixture[120:]
     centers = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(known)], "label int, center array<double>")
-    got = {r.id: r.distance for r in _nearest_many(frame(spark, asked), centers, "id", "vec").collect()}
+    index = C.build_core_index(centers.withColumnRenamed("center", "vec"), block_rows=8)
+    got = {r.id: r.distance for r in C.nearest_cores(frame(spark, asked), index, "id", "vec").collect()}
     want = np.sqrt(((asked[:, None] - known[None]) ** 2).sum(-1)).min(1)
     assert np.allclose([got[i] for i in range(len(asked))], want, atol=1e-7)
 
@@ -294,3 +296,35 @@ def test_probing_does_not_grow_with_stored_cores(spark):
         shelves = spark.read.parquet(f"{index.path}/shelves").select("shelf").distinct().count()
         met.append((near.select("node").distinct().count(), shelves))
     assert met[1][1] > 5 * met[0][1] and met[1][0] <= 2 * met[0][0] and met[1][0] < 0.2 * met[1][1]
+
+
+def brute_lloyd(x, w, centers, rounds, shift):
+    for _ in range(rounds):
+        near = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+        moved = np.array([np.average(x[near == c], axis=0, weights=w[near == c]) if (near == c).any() else centers[c] for c in range(len(centers))])
+        step, centers = np.sqrt(((moved - centers) ** 2).sum(1)).max(), moved
+        if step <= shift:
+            break
+    return centers, (w * ((x[:, None] - centers[None]) ** 2).sum(2).min(1)).sum()
+
+
+def test_all_restarts_equal_brute_force(spark):
+    """Runs share their passes; each ends where it would have ended alone, and the cheapest wins."""
+    rng = np.random.default_rng(11)
+    x, w = np.concatenate([rng.normal(c, 0.3, (40, 4)) for c in range(5)]), rng.integers(1, 9, 200).astype(float)
+    points = spark.createDataFrame([([float(v) for v in row], float(n)) for row, n in zip(x, w)], "vec array<double>, n double")
+    data = L.prepare(points, weight="n")
+    starts = L.spread_centers(data, 5, 3, 4)
+    assert starts.shape == (4, 5, 4) and all(np.isclose(x[:, None], c[None]).all(2).any(0).all() for c in starts)
+    assert np.array_equal(starts, L.spread_centers(data, 5, 3, 4)) and not np.array_equal(starts[0], starts[1])
+    centers, costs = L.lloyd(data, starts)
+    for start, got, cost in zip(starts, centers, costs):
+        want, price = brute_lloyd(x, w, start, L.ROUNDS, L.SHIFT)
+        assert np.allclose(got, want) and np.isclose(cost, price)
+    best = L.best_of(points, 5, 3, 4, weight="n")
+    assert np.isclose((w * ((x[:, None] - best[None]) ** 2).sum(2).min(1)).sum(), costs.min())
+
+
+def test_more_centres_than_rows(spark):
+    points = spark.createDataFrame([([0.0, 1.0],), ([0.0, 1.0],), ([2.0, 1.0],)], "vec array<double>")
+    assert {tuple(c) for c in L.best_of(points, 5, 1, 2).tolist()} == {(0.0, 1.0), (2.0, 1.0)}

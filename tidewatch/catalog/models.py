@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import LOGS, logs_of, query, volume_sql
 from tidewatch.functions.scalar import noise_flag
-from tidewatch.functions.vector import assemble, bounded_centers, nearest_center
+from tidewatch.functions.vector import assemble, center_matrix, nearest_center
 from tidewatch.operators import coreindex as C
 from tidewatch.operators import dbscan as D
 from tidewatch.operators import evaluation as E
@@ -126,7 +126,7 @@ def _label_centers(v):
 
 def _near(spark, sf):
     v = vectors(spark, sf)
-    names, mat = bounded_centers(_label_centers(v))
+    names, mat = center_matrix(_label_centers(v))
     return v.withColumn("near", nearest_center("vec", names, mat))
 
 

@@ -10,6 +10,7 @@ from tidewatch.catalog.logs import MULTI, ROLL_SPANS, _rolling_sql
 from tidewatch.catalog.models import SCORED, VOLUME_COLS, WEPS, WINDOWS, WNEED, dbscan_sql
 from tidewatch.catalog.results import ALARMS, RES, SUMMARY, WIDTH, results_of
 from tidewatch.catalog.text import all_features_sql, set_model
+from tidewatch.operators import evaluation as E
 from tidewatch.operators.ranks import describe_columns
 from tidewatch.operators.scoring import fit_scaler
 from tidewatch.operators.windows import window_labels
@@ -213,8 +214,7 @@ def _grid_sql() -> str:
   {rate('2 * tp', '2 * tp + fp + fn')} AS f1_score FROM g"""
 
 
-@query("tune_grid_published", _grid_sql())
-def tune_grid_published(spark, sf):
+def _published(spark, sf):
     """All 35 published settings from one neighbour search."""
     logs = logs_of(spark, sf)
     features = settle(P.features_for(logs, set_model(logs), "1 hour"))
@@ -223,6 +223,33 @@ def tune_grid_published(spark, sf):
     return tuning.tune_dbscan(settle(rows.join(truth, "timestamp")), "id", "vec", "truth")
 
 
+RANKED = f"SELECT * FROM ({_grid_sql()}) ORDER BY f1_score DESC, eps, min_samples LIMIT "
+GRID_HEAT = ["f1_score", "precision", "recall", "noise_pct"]
+
+
+@query("tune_grid_published", _grid_sql())
+def tune_grid_published(spark, sf):
+    return _published(spark, sf)
+
+
+@query("top_configs_published", RANKED + "5")
+def top_configs_published(spark, sf):
+    """The five best of the published settings."""
+    return E.top_configs(settle(_published(spark, sf)), ["eps", "min_samples"])
+
+
+@query("best_config_published", RANKED + "1")
+def best_config_published(spark, sf):
+    return E.best_config(settle(_published(spark, sf)), ["eps", "min_samples"])
+
+
+@query("pivot_tuning_published", "SELECT min_samples, " + ", ".join(
+    f"max({m}) FILTER (eps = {e}) AS {m}_{str(e).replace('.', '_')}" for e in tuning.DBSCAN_EPS_GRID for m in GRID_HEAT) + f" FROM ({_grid_sql()}) GROUP BY 1")
+def pivot_tuning_published(spark, sf):
+    """The published grid as a table, 5 x 7 settings for each metric."""
+    return E.pivot_tuning(settle(_published(spark, sf)), "min_samples", "eps", tuning.DBSCAN_EPS_GRID, GRID_HEAT)
+
+
 # ---- first sightings, the window ledger, refreshed summaries, several widths ----------------------
 
 FIRST_SQL = f"WITH {LOGS}{TEMPLATES} SELECT template, event_id, timestamp{{more}} FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY timestamp, event_id) AS rn FROM tlogs) WHERE rn = 1"

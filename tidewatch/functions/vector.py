@@ -9,9 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CENTER_LIMIT = 10_000
-
-
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "vec") -> DataFrame:
     """Feature columns -> one array<double>, in the given order."""
     return df.withColumn(out, F.array(*[F.col(c).cast("double") for c in cols]))
@@ -22,14 +19,9 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def bounded_centers(centers: DataFrame, label: str = "label", vec: str = "center", limit: int = CENTER_LIMIT):
-    """Centres as (labels, matrix), or None when there are more than ``limit`` of them."""
-    rows = centers.select(F.col(label), F.col(vec)).limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    if not rows:
-        return [], np.zeros((0, 0))
-    rows = sorted(rows, key=lambda r: r[0])
+def center_matrix(centers: DataFrame, label: str = "label", vec: str = "center") -> tuple[list, np.ndarray]:
+    """Centres as (labels, matrix): for centres whose number is a parameter, such as the k of k-means."""
+    rows = sorted(centers.select(F.col(label), F.col(vec)).collect(), key=lambda r: r[0])
     return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
 
 

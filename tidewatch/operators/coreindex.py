@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import (
@@ -163,6 +163,58 @@ def probe_cores(fresh: DataFrame, index: CoreIndex, eps: float, id_col: str, vec
     return new.join(answer, "vec").select("id", "label")
 
 
+def _least_kernel(dims: int):
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                a, b = matrix(r.mat_a, dims), matrix(r.mat_b, dims)
+                gap = a - b[sq_distances(a, b).argmin(1)]
+                out.append(pd.DataFrame({"id": longs(r.ids_a), "distance": np.sqrt((gap * gap).sum(1))}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def nearest_cores(fresh: DataFrame, index: CoreIndex, id_col: str, vec_col: str) -> DataFrame:
+    """(id, distance) to the nearest stored row; none without stored rows.
+
+    One walk down the tree: at each level a block of new rows keeps the nodes
+    that are no further than the surest of them reaches.
+    """
+    spark = fresh.sparkSession
+    new = fresh.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    if index.frame is None:
+        return new.select("id", F.lit(None).cast("double").alias("distance")).filter("false")
+    asked = settle(collapse_copies(new, "id", "vec"))
+    packed = pack_blocks(asked, index.block_rows, index.frame).withColumn("block", F.shiftleft("part", 32).bitwiseOR(F.col("seq")))
+    mine = [F.col(c).alias(f"{c}_a") for c in BOUNDS]
+    tree = spark.read.schema(NODE).parquet(f"{index.path}/tree")
+
+    def closest(cand: DataFrame) -> DataFrame:
+        sure = F.min(box_reach2()).over(Window.partitionBy("a"))
+        return cand.withColumn("_sure", sure).filter(box_gap2() <= F.col("_sure"))
+
+    active = packed.select(F.col("block").alias("a"), *mine, F.lit(0).cast("long").alias("node"))
+    for level in range(index.levels, 0, -1):
+        kids = tree.filter(F.col("level") == level).select(F.col("parent").alias("up"), F.col("node").alias("kid"), *[F.col(c).alias(f"{c}_b") for c in BOUNDS])
+        active = closest(active.join(kids, F.col("node") == F.col("up"))).select("a", *[f"{c}_a" for c in BOUNDS], F.col("kid").alias("node"))
+    near = settle(active.select("a", "node"))
+    shelves = [r[0] for r in near.select("node").distinct().collect()]
+    if not shelves:
+        return new.select("id", F.lit(None).cast("double").alias("distance")).filter("false")
+    opened = spark.read.schema(BLOCK).option("basePath", f"{index.path}/shelves").parquet(*[f"{index.path}/shelves/shelf={s}" for s in shelves])
+    boxes = opened.select("shelf", F.col("block").alias("b"), *[F.col(c).alias(f"{c}_b") for c in BOUNDS])
+    met = near.join(boxes, F.col("node") == F.col("shelf")).join(packed.select(F.col("block").alias("a"), *mine), "a")
+    pairs = settle(closest(met).select("a", "b"))
+    rows = (
+        pairs.join(packed.select(F.col("block").alias("a"), F.col("mat").alias("mat_a"), F.col("ids").alias("ids_a")), "a")
+        .join(opened.select(F.col("block").alias("b"), F.col("mat").alias("mat_b")), "b"))
+    best = rows.mapInPandas(_least_kernel(len(index.frame.mean)), "id long, distance double").groupBy("id").agg(F.min("distance").alias("distance"))
+    return new.join(asked.select("vec", F.col("id").alias("_first")), "vec").join(best.withColumnRenamed("id", "_first"), "_first").select("id", "distance")
+
+
 def dbscan_assign(fresh: DataFrame, cores: DataFrame, eps: float, id_col: str, vec_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Score new rows against core rows that have no index yet: smallest cluster with a core row within eps, else -1."""
     return probe_cores(fresh, build_core_index(cores, block_rows=block_rows), eps, id_col, vec_col)

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import noise_flag
-from tidewatch.functions.vector import bounded_centers, distance, nearest_center
-from tidewatch.operators.blocks import block_pairs, build_blocks, compare_rows
-from tidewatch.operators.kernels import longs, matrix, sq_distances
+from tidewatch.functions.vector import distance
+from tidewatch.operators.coreindex import build_core_index, nearest_cores
 from tidewatch.session import settle
 
 Scaler = Mapping[str, tuple[float, float]]
@@ -40,64 +37,19 @@ def cluster_centers(rows: DataFrame, dims: int, label: str = "label", vec: str =
     return out.select("label", F.array(*[f"c{i}" for i in range(dims)]).alias("center"))
 
 
-def _nearest_many(rows: DataFrame, centers: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """(id, distance) to the nearest of very many centres, through spatial blocks.
+def raw_scores(rows: DataFrame, centers: DataFrame, id_col: str = "id", vec: str = "vec", label: str = "label") -> DataFrame:
+    """Distance to the own centre; noise rows: to the nearest centre, 1.0 when there is none.
 
-    A first pass over the widest reach is avoided by doubling the radius until
-    every row has found a centre, then once more at its exact distance.
+    One way for any number of centres: clustered rows meet their own by label,
+    noise rows look up theirs in a block index of the centres.
     """
-    asked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(1).cast("long").alias("weight"),
-                        F.lit(-1).cast("long").alias("tag"))
-    known = centers.select(F.lit(-1).cast("long").alias("id"), F.col("center").alias("vec"), F.lit(1).cast("long").alias("weight"),
-                           F.col("label").cast("long").alias("tag"))
-    space = build_blocks(settle(asked.unionByName(known)))
-    box = space.nodes[space.levels].select("lo", "hi").first()
-    widest = float(np.sqrt(sum((h - l) ** 2 for l, h in zip(box["lo"], box["hi"])))) or 1.0
-    dims = space.dims
-
-    def kernel(frames):
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                d2 = sq_distances(matrix(r.mat_a, dims), matrix(r.mat_b, dims))
-                ta, tb, ia, ib = longs(r.tags_a), longs(r.tags_b), longs(r.ids_a), longs(r.ids_b)
-                for d, mine, other, ids in [(d2, ta, tb, ia)] + ([(d2.T, tb, ta, ib)] if r.a != r.b else []):
-                    ask, know = mine < 0, other >= 0
-                    if ask.any() and know.any():
-                        out.append(pd.DataFrame({"id": ids[ask], "distance": np.sqrt(d[np.ix_(ask, know)].min(1))}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    radius = widest / 1024
-    while True:
-        pairs = block_pairs(space, -1.0, radius)
-        best = settle(compare_rows(pairs, space.packed, ["mat", "tags", "ids"], kernel, "id long, distance double")
-                      .groupBy("id").agg(F.min("distance").alias("distance")).filter(F.col("distance") <= radius))
-        if radius >= widest or best.count() == asked.count():
-            return best
-        radius *= 2
-
-
-def raw_scores(rows: DataFrame, centers: DataFrame, id_col: str = "id", vec: str = "vec", label: str = "label") -> DataFrame:
-    """Distance to the own centre; noise rows: to the nearest centre, 1.0 when there is none."""
-    small = bounded_centers(centers)
-    if small is not None and not small[0]:
-        return rows.withColumn("raw_score", F.lit(1.0))
-    if small is not None:
-        names, mat = small
-        noise = rows.filter(F.col(label) == -1).withColumn("raw_score", nearest_center(vec, names, mat)["distance"])
-        table = F.create_map(*[x for n, c in zip(names, mat) for x in (F.lit(n), F.array(*[F.lit(float(v)) for v in c]))]) if len(names) <= 64 else None
-        own = rows.filter(F.col(label) != -1)
-        if table is not None:
-            own = own.withColumn("raw_score", distance(F.col(vec), F.element_at(table, F.col(label))))
-        else:
-            own = own.join(F.broadcast(centers.withColumnRenamed("label", label)), label).withColumn("raw_score", distance(F.col(vec), F.col("center"))).drop("center")
-        return own.select(*rows.columns, "raw_score").unionByName(noise)
-    own = rows.filter(F.col(label) != -1).join(centers.withColumnRenamed("label", label), label)
+    own = rows.filter(F.col(label) != -1).join(centers.select(F.col("label").alias("_own"), "center"), F.col(label) == F.col("_own"))
     own = own.withColumn("raw_score", distance(F.col(vec), F.col("center"))).select(*rows.columns, "raw_score")
     noise = rows.filter(F.col(label) == -1)
-    near = _nearest_many(noise, centers, id_col, vec).withColumnsRenamed({"id": id_col, "distance": "raw_score"})
-    return own.unionByName(noise.join(near, id_col).select(*rows.columns, "raw_score"))
+    index = build_core_index(centers.select(F.col("center").alias("vec"), "label"))
+    near = nearest_cores(noise, index, id_col, vec).select(F.col("id").alias("_near"), F.col("distance").alias("raw_score"))
+    far = noise.join(near, F.col(id_col) == F.col("_near"), "left").withColumn("raw_score", F.coalesce("raw_score", F.lit(1.0)))
+    return own.unionByName(far.select(*rows.columns, "raw_score"))
 
 
 def anomaly_score(rows: DataFrame, dims: int, id_col: str = "id", vec: str = "vec", label: str = "label",
@@ -120,10 +72,6 @@ def predict_with_confidence(rows: DataFrame, dims: int, id_col: str = "id", vec:
     return scored.withColumns({"is_anomaly": noise_flag(label), "cluster_label": F.col(label)})
 
 
-def predict(rows: DataFrame, label: str = "label") -> DataFrame:
-    return rows.withColumn("is_anomaly", noise_flag(label))
-
-
 def cluster_noise_stats(rows: DataFrame, label: str = "label") -> DataFrame:
     """Number of clusters, noise rows and noise share; labels are counted once each before the final step."""
     per = rows.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))

@@ -11,12 +11,11 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import STOP_WORDS, tokenize_ngrams
+from tidewatch.operators.lloyd import best_of
 from tidewatch.operators.templates import template_counts, template_rarity
 from tidewatch.schemas import TEXT_DIMS
 from tidewatch.session import settle
@@ -155,16 +154,8 @@ def embed(model: TextModel, template: Column | str = "template") -> Column:
 
 
 def kmeans_fit(points: DataFrame, k: int = CLUSTERS, seed: int = SEED, restarts: int = RESTARTS, vec: str = "vec", weight: str | None = None) -> np.ndarray:
-    """Best of several seeded k-means runs (least cost); centres as a k x d matrix."""
-    data = settle(points.select(array_to_vector(F.col(vec)).alias("features"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("w")))
-    best = None
-    for i in range(restarts):
-        fitted = KMeans(k=k, seed=seed + i, weightCol="w").fit(data)
-        cost = fitted.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, np.array(fitted.clusterCenters()))
-    centers = best[1]
-    return centers[np.lexsort(centers.T[::-1])]
+    """Best of several seeded k-means runs (least cost), all run together; centres as a k x d matrix."""
+    return best_of(points, k, seed, restarts, vec, weight)
 
 
 def fit_text_model(logs: DataFrame, dims: int = TEXT_DIMS, k: int = CLUSTERS, size: int = VOCABULARY, min_df: int = MIN_DF,
