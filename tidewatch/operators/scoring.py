@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import noise_flag
 from tidewatch.functions.vector import distance
-from tidewatch.operators.coreindex import build_core_index, nearest_cores
+from tidewatch.operators.coreindex import CoreIndex, build_core_index, nearest_cores
 from tidewatch.session import settle
 
 Scaler = Mapping[str, tuple[float, float]]
@@ -37,26 +37,30 @@ def cluster_centers(rows: DataFrame, dims: int, label: str = "label", vec: str =
     return out.select("label", F.array(*[f"c{i}" for i in range(dims)]).alias("center"))
 
 
-def raw_scores(rows: DataFrame, centers: DataFrame, id_col: str = "id", vec: str = "vec", label: str = "label") -> DataFrame:
+def index_centers(centers: DataFrame) -> CoreIndex:
+    return build_core_index(centers.select(F.col("center").alias("vec"), "label"))
+
+
+def raw_scores(rows: DataFrame, centers: DataFrame, id_col: str = "id", vec: str = "vec", label: str = "label", index: CoreIndex | None = None) -> DataFrame:
     """Distance to the own centre; noise rows: to the nearest centre, 1.0 when there is none.
 
     One way for any number of centres: clustered rows meet their own by label,
-    noise rows look up theirs in a block index of the centres.
+    noise rows look up theirs in a block index of the centres (``index``, where
+    one is stored).
     """
     own = rows.filter(F.col(label) != -1).join(centers.select(F.col("label").alias("_own"), "center"), F.col(label) == F.col("_own"))
     own = own.withColumn("raw_score", distance(F.col(vec), F.col("center"))).select(*rows.columns, "raw_score")
     noise = rows.filter(F.col(label) == -1)
-    index = build_core_index(centers.select(F.col("center").alias("vec"), "label"))
-    near = nearest_cores(noise, index, id_col, vec).select(F.col("id").alias("_near"), F.col("distance").alias("raw_score"))
+    near = nearest_cores(noise, index or index_centers(centers), id_col, vec).select(F.col("id").alias("_near"), F.col("distance").alias("raw_score"))
     far = noise.join(near, F.col(id_col) == F.col("_near"), "left").withColumn("raw_score", F.coalesce("raw_score", F.lit(1.0)))
     return own.unionByName(far.select(*rows.columns, "raw_score"))
 
 
 def anomaly_score(rows: DataFrame, dims: int, id_col: str = "id", vec: str = "vec", label: str = "label",
-                  fitted_max: float | None = None, centers: DataFrame | None = None) -> DataFrame:
+                  fitted_max: float | None = None, centers: DataFrame | None = None, index: CoreIndex | None = None) -> DataFrame:
     """Add ``anomaly_score`` in [0, 1]: raw score over the batch maximum, or over a stored one (clipped)."""
     centers = settle(cluster_centers(rows, dims, label, vec)) if centers is None else centers
-    scored = raw_scores(rows, centers, id_col, vec, label)
+    scored = raw_scores(rows, centers, id_col, vec, label, index)
     if fitted_max is None:
         scored = settle(scored)
         top = scored.agg(F.max("raw_score")).first()[0] or 0.0

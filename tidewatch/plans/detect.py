@@ -13,15 +13,13 @@ from tidewatch.functions.scalar import nan_inf_to_zero, noise_flag
 from tidewatch.functions.vector import assemble
 from tidewatch.operators.coreindex import CoreIndex, build_core_index, copy_core_index, open_core_index, probe_cores
 from tidewatch.operators.dbscan import core_points, dbscan_fit, dbscan_model
-from tidewatch.operators.scoring import Scaler, anomaly_score, apply_scaler, cluster_centers, fit_scaler, raw_scores
+from tidewatch.operators.scoring import Scaler, anomaly_score, apply_scaler, cluster_centers, fit_scaler, index_centers, raw_scores
 from tidewatch.operators.templates import template_counts
 from tidewatch.operators.textmodel import TextModel, load_text_model, save_text_model, with_extremes
 from tidewatch.operators.windows import volume_features
 from tidewatch.plans.features import all_features
 from tidewatch.schemas import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, VOLUME_COLS, WINDOW_WIDTH
 from tidewatch.session import settle
-from tidewatch.sources.logs import read_csv_logs
-from tidewatch.sources.sinks import write_csv
 
 
 @dataclass
@@ -32,6 +30,7 @@ class DetectorModel:
     scaler: Scaler
     cores: CoreIndex
     centers: DataFrame    # label, center
+    center_index: CoreIndex
     score_max: float
     eps: float
     min_samples: int
@@ -63,11 +62,6 @@ def detect_batch(logs: DataFrame, width: str = WINDOW_WIDTH, eps: float = DBSCAN
     return detect_features(features, [c for c in features.columns if c != "timestamp"], eps, min_samples)
 
 
-def detect_csv(spark: SparkSession, source: str, target: str, width: str = WINDOW_WIDTH, **options) -> None:
-    """CSV logs in; CSV of timestamp, is_anomaly, anomaly_score, cluster_label out."""
-    write_csv(detect_batch(read_csv_logs(spark, source), width, **options), target)
-
-
 def fit_detector(logs: DataFrame, width: str = WINDOW_WIDTH, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_SAMPLES,
                  text: TextModel | None = None) -> DetectorModel:
     if text is not None and text.extremes is None:
@@ -78,21 +72,23 @@ def fit_detector(logs: DataFrame, width: str = WINDOW_WIDTH, eps: float = DBSCAN
     rows = settle(scaled_vectors(features, scaler))
     fitted = settle(dbscan_model(rows, eps, min_samples, "id", "vec"))
     centers = settle(cluster_centers(fitted, len(cols)))
-    top = raw_scores(fitted, centers).agg(F.max("raw_score")).first()[0] or 1.0
-    return DetectorModel(cols, scaler, build_core_index(core_points(fitted)), centers, float(top), eps, min_samples, text)
+    nearest = index_centers(centers)
+    top = raw_scores(fitted, centers, index=nearest).agg(F.max("raw_score")).first()[0] or 1.0
+    return DetectorModel(cols, scaler, build_core_index(core_points(fitted)), centers, nearest, float(top), eps, min_samples, text)
 
 
 def score_windows(features: DataFrame, model: DetectorModel) -> DataFrame:
     """Flag and score new windows against the stored model, without refitting."""
     rows = settle(scaled_vectors(features.select("timestamp", *model.cols), model.scaler))
     labels = probe_cores(rows, model.cores, model.eps, "id", "vec")
-    scored = anomaly_score(settle(rows.join(labels, "id")), len(model.cols), fitted_max=model.score_max, centers=model.centers)
+    scored = anomaly_score(settle(rows.join(labels, "id")), len(model.cols), fitted_max=model.score_max, centers=model.centers, index=model.center_index)
     return scored.select("timestamp", noise_flag("label").alias("is_anomaly"), "anomaly_score", F.col("label").alias("cluster_label"))
 
 
 def save_detector(model: DetectorModel, path: str) -> None:
     spark = model.centers.sparkSession
     copy_core_index(spark, model.cores, f"{path}/cores")
+    copy_core_index(spark, model.center_index, f"{path}/center-index")
     model.centers.write.mode("overwrite").parquet(f"{path}/centers")
     body = {"cols": model.cols, "scaler": {c: list(v) for c, v in model.scaler.items()}, "score_max": model.score_max,
             "eps": model.eps, "min_samples": model.min_samples, "text": model.text is not None}
@@ -105,5 +101,5 @@ def load_detector(spark: SparkSession, path: str) -> DetectorModel:
     body = json.loads(spark.read.text(f"{path}/detector").first()[0])
     return DetectorModel(
         body["cols"], {c: tuple(v) for c, v in body["scaler"].items()}, open_core_index(spark, f"{path}/cores"),
-        spark.read.parquet(f"{path}/centers"), body["score_max"], body["eps"], body["min_samples"],
+        spark.read.parquet(f"{path}/centers"), open_core_index(spark, f"{path}/center-index"), body["score_max"], body["eps"], body["min_samples"],
         load_text_model(spark, f"{path}/text-model") if body["text"] else None)

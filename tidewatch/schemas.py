@@ -12,11 +12,6 @@ LOG_SCHEMA = T.StructType([
 
 TRAINING_LOG_SCHEMA = T.StructType(LOG_SCHEMA.fields + [T.StructField("anomaly_type", T.StringType())])
 
-PROBE_SCHEMA = T.StructType(LOG_SCHEMA.fields + [
-    T.StructField("test_id", T.IntegerType()),
-    T.StructField("send_timestamp", T.DoubleType()),
-])
-
 RESULT_SCHEMA = T.StructType([
     T.StructField("timestamp", T.TimestampType()),
     T.StructField("window_start", T.TimestampType()),
@@ -38,7 +33,6 @@ RATE_COLS = ["error_rate", "fatal_rate", "warn_rate", "warn_to_info_ratio", "cri
 VOLUME_COLS = COUNT_COLS + RATE_COLS
 TEXT_DIMS = 15
 TEXT_COLS = ["message_rarity", "message_anomaly_score", "message_cluster"] + [f"tfidf_{i}" for i in range(TEXT_DIMS)]
-FEATURE_COLS = VOLUME_COLS + TEXT_COLS
 
 # Default hyper-parameters and thresholds.
 WINDOW_WIDTH = "30 seconds"

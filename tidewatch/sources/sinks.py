@@ -127,12 +127,3 @@ def decode_results(messages: DataFrame, value: str = "value") -> DataFrame:
 def publish_results(results: DataFrame, servers: str, topic: str) -> None:
     """Send a batch of results to a broker topic (acks=all); needs the connector.  For use inside a micro-batch handler."""
     encode_results(results).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.acks", "all").option("kafka.retries", "3").save()
-
-
-def kafka_writer(results: DataFrame, servers: str, topic: str, checkpoint: str):
-    """Streaming writer to a broker topic (acks=all, three retries); needs the connector."""
-    return (
-        encode_results(results).writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
-        .option("topic", topic).option("kafka.acks", "all").option("kafka.retries", "3")
-        .option("checkpointLocation", checkpoint).outputMode("append")
-    )
