@@ -106,6 +106,28 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
         delete_path(spark, path)
 
 
+_stage_paths: dict[tuple[str, int], str] = {}
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[str]:
+    """Scratch of one of several steps in a row: what is settled inside lives until the next step of this thread opens its own.
+
+    For steps whose results are lazy and are written out between them: the
+    tables of a step are still read while its result is written, and no longer
+    when the next one begins.
+    """
+    key = (spark.sparkContext.applicationId, threading.get_ident())
+    if key in _stage_paths:
+        delete_path(spark, _stage_paths.pop(key))
+    path = _stage_paths[key] = fresh_path(spark, "stage")
+    _scopes.paths = [*getattr(_scopes, "paths", []), path]
+    try:
+        yield path
+    finally:
+        _scopes.paths = _scopes.paths[:-1]
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors.
 
