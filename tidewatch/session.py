@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -106,6 +107,17 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
         delete_path(spark, path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which a driver with
+    memory to spare may put off for long; a job of several large steps asks for
+    it between them.  Plans still in use are not affected.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _stage_paths: dict[tuple[str, int], str] = {}
 
 
