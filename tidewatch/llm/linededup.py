@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import BLANK, NOT_BLANK, content_key, words
-from tidewatch.session import settle
+from tidewatch.session import release_shuffles, settle
 
 MIN_WORDS = 50
 GRAM = 25  # words of a fingerprint; a passage of MIN_WORDS holds a whole window of them
@@ -54,14 +54,17 @@ def passage_windows(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     """
     gram = min(GRAM, min_words)
     span = min_words - gram + 1  # grams in a run
-    keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), F.transform(words(F.col(f"`{text}`")), lambda w: F.xxhash64(w)).alias("g"))
-    grams = _rolled(keyed.filter(F.size("g") >= min_words), "g", gram, lambda a, b: F.xxhash64(a, b))
+    hashed = F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("g")
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), F.col(f"`{text}`").alias("_text"))
+    grams = _rolled(keyed.select("_id", "_key", hashed).filter(F.size("g") >= min_words), "g", gram, lambda a, b: F.xxhash64(a, b))
     lows = _rolled(grams.withColumn("times", F.when(F.size(F.array_distinct("g")) < F.size("g"), 2).otherwise(1)), "g", span, lambda a, b: F.least(a, b))
     lows = lows.select("_id", "_key", F.array_distinct("g").alias("marks"), "times")
     marks = settle(lows.select("_id", "_key", "times", F.explode_outer("marks").alias("mark")))
     shared = marks.groupBy("mark").agg(F.sum("times").alias("n")).filter("n >= 2").select("mark")
     held = marks.join(shared, "mark", "left_semi").groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).agg(F.collect_set("mark").alias("marks"))
-    asked = grams.join(held, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")))
+    # Texts travel, not their hashes, which are longer and cannot be compressed; only texts that hold a shared mark are hashed again.
+    asked = keyed.join(held, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_id", "_key", "marks", hashed)
+    asked = _rolled(asked, "g", gram, lambda a, b: F.xxhash64(a, b))
     at = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains("marks", x), i)), lambda i: i.isNotNull())
     near = asked.select("_id", "_key", "g", at.alias("at"))
     starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - (span - 1), F.lit(0)), F.least(i, F.size("g") - span)))))
@@ -114,7 +117,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     A passage is the union of its runs of exactly ``min_words`` words, one from
     every word on, so it reaches both ways as far as the words agree.
     """
-    return _later_runs(settle(passage_windows(docs, min_words, doc_id, text)))
+    windows = settle(passage_windows(docs, min_words, doc_id, text))
+    release_shuffles(docs.sparkSession)
+    runs = settle(_later_runs(windows))
+    release_shuffles(docs.sparkSession)
+    return runs
 
 
 def _later_runs(windows: DataFrame) -> DataFrame:
