@@ -8,13 +8,14 @@ All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, linededup, mixing, quality, simhash
 from tidewatch.llm.queries import vocabulary
-from tidewatch.session import ensure_utc, settle
+from tidewatch.session import ensure_utc, settle, stage_scope
 
 #: None: SQL has no 64-bit XXH64 and no vocabulary merges; tests hold the stages against brute force instead.
 ORACLE_SQL = None
@@ -54,12 +55,22 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def _own_scratch(stage):
+    """A stage's working tables go when the next stage begins: its result has been written by then."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_scope(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_stage),
-    ("line_dedup", lines_stage),
-    ("simhash_near_dedup", near_stage),
-    ("source_mix", mix_stage),
-    ("bpe_tokens", tokens_stage),
+    ("quality_rules", _own_scratch(quality_stage)),
+    ("line_dedup", _own_scratch(lines_stage)),
+    ("simhash_near_dedup", _own_scratch(near_stage)),
+    ("source_mix", _own_scratch(mix_stage)),
+    ("bpe_tokens", _own_scratch(tokens_stage)),
 ]
 
 
