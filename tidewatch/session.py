@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import shutil
 import tempfile
@@ -107,15 +106,20 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
         delete_path(spark, path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it ends, not when the driver's memory is next cleaned.
 
-    Its cleaner follows the driver's garbage collection, which a driver with
-    memory to spare may put off for long; a job of several large steps asks for
-    it between them.  Plans still in use are not affected.
+    For a chain of large steps that each write a table: nothing after a step
+    reads its shuffles again.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 _stage_paths: dict[tuple[str, int], str] = {}
