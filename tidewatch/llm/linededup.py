@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import BLANK, NOT_BLANK, content_key, words
-from tidewatch.session import release_shuffles, settle
+from tidewatch.session import settle, short_lived_shuffles
 
 MIN_WORDS = 50
 GRAM = 25  # words of a fingerprint; a passage of MIN_WORDS holds a whole window of them
@@ -108,7 +108,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     windows = settle(winnow(line_table(docs, doc_id, text), min_words))
     shared = windows.select("mark", "_id", "_key", "at").distinct().groupBy("mark").count().filter("count >= 2").select("mark")
     matched = windows.join(shared, "mark", "left_semi")
-    return _later_runs(matched)
+    return _later_runs(matched, _first_places(matched))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,18 +117,23 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     A passage is the union of its runs of exactly ``min_words`` words, one from
     every word on, so it reaches both ways as far as the words agree.
     """
-    windows = settle(passage_windows(docs, min_words, doc_id, text))
-    release_shuffles(docs.sparkSession)
-    runs = settle(_later_runs(windows))
-    release_shuffles(docs.sparkSession)
-    return runs
+    with short_lived_shuffles(docs.sparkSession):
+        windows = settle(passage_windows(docs, min_words, doc_id, text))
+        return settle(_later_runs(windows, settle(_first_places(windows))))
 
 
-def _later_runs(windows: DataFrame) -> DataFrame:
+def _place() -> Column:
+    return F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("pos").alias("pos"))
+
+
+def _first_places(windows: DataFrame) -> DataFrame:
+    """(g1, g2, first): where each content that occurs more than once stands first."""
+    return windows.groupBy("g1", "g2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
+
+
+def _later_runs(windows: DataFrame, firsts: DataFrame) -> DataFrame:
     """(_id, _key, runs): what the windows cover whose content also stands at an earlier place."""
-    place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("pos").alias("pos"))
-    firsts = windows.groupBy("g1", "g2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
-    later = windows.join(firsts, ["g1", "g2"]).filter(place != F.col("first")).select("_id", "_key", "pos", "end")
+    later = windows.join(firsts, ["g1", "g2"]).filter(_place() != F.col("first")).select("_id", "_key", "pos", "end")
     doc = Window.partitionBy("_id", "_key").orderBy("pos")
     reach = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("pos") > F.col("_reach") + 1).cast("int"), F.lit(1))
