@@ -52,29 +52,58 @@ def set_targets(weighted: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     return table.withColumn("target", target.cast("double")).withColumn("rate", F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0))
 
 
-def draw(seed: int, *cols: Column) -> Column:
-    """A number in [0, 1) that depends on the seed and the values alone (52 bits of an MD5)."""
-    key = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols])
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+def draw_key(seed: int, *cols: Column) -> Column:
+    """An MD5 of the seed and the values alone, as hex."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols]).cast("binary"))
+
+
+def draw(key: Column) -> Column:
+    """A number in [0, 1): the first 52 bits of a key."""
+    return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+
+
+def number_equals(rows: DataFrame, key: str, tie: Column, out: str = "nth") -> DataFrame:
+    """Add ``out``: 1, 2, ... among the rows of one ``key``, in the order of ``tie``.
+
+    Keys are counted before anything moves, and only rows whose key is held
+    twice or more are sorted, in ranges that part a key held by many rows.
+    Rows with one tie are numbered as they lie.
+    """
+    again = settle(rows.groupBy(F.col(key).alias("_again")).count().filter("count > 1").select("_again"))
+    if again.isEmpty():
+        return rows.withColumn(out, F.lit(1).cast("long"))
+    held = F.col(key) == F.col("_again")
+    single = rows.join(again, held, "left_anti").withColumn(out, F.lit(1).cast("long"))
+    repeated = rows.join(again, held, "left_semi").withColumn("_tie", tie).withColumn("_at", F.monotonically_increasing_id())
+    placed = running_total(repeated, [key, "_tie", "_at"], out="_place")
+    begin = placed.groupBy(F.col(key).alias("_begins")).agg(F.min("_place").alias("_begin"))
+    numbered = placed.join(begin, F.col(key) == F.col("_begins")).withColumn(out, (F.col("_place") - F.col("_begin") + 1).cast("long"))
+    return single.unionByName(numbered.select(*rows.columns, out))
 
 
 def plan_mix(docs: DataFrame, targets: DataFrame, seed: int = 17, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``docs`` as a struct ``row``, with size, source_size, target and ``copies``.
 
     A document is emitted floor(rate) times, and once more with a probability
-    of the fraction, drawn from (seed, doc_id, source, text): reruns agree, and
-    rows that agree in all of these are drawn alike.  Null ids, sources and
+    of the fraction, drawn from (seed, doc_id, source, text), so reruns agree.
+    Rows that agree in all of these share a draw and are numbered: n of them
+    get the fraction's n-fold, rounded down or up by that draw, so a source
+    of repeated rows meets its target too.  Which of them get the copies
+    follows from their other columns (maps aside).  Null ids, sources and
     texts are values of their own; a text without words is taken at its
     source's rate as well.  ``targets`` has one row per source; its size is
     known from its files, so a small one is broadcast and a large one joined.
     """
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").alias("_from"),
-        draw(seed, F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.md5(F.col(f"`{text}`").cast("binary"))).alias("_draw"))
+        draw_key(seed, F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.md5(F.col(f"`{text}`").cast("binary"))).alias("_key"))
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if f.name != text and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    rows = number_equals(rows, "_key", F.xxhash64(F.lit(seed), *plain), "_nth")
     rates = targets.select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target", "rate")
     joined = rows.join(rates, F.col("_from").eqNullSafe(F.col("_source")))
-    whole = F.floor("rate")
-    return joined.select("row", "size", "source_size", "target", (whole + (F.col("_draw") < F.col("rate") - whole).cast("int")).cast("int").alias("copies"))
+    whole, u = F.floor("rate"), draw(F.col("_key"))
+    upto = lambda n: F.ceil(n * (F.col("rate") - whole) - u)  # extra copies of the first n of equal rows
+    return joined.select("row", "size", "source_size", "target", (whole + upto(F.col("_nth")) - upto(F.col("_nth") - 1)).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, **names: str) -> DataFrame:

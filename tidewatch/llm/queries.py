@@ -37,7 +37,7 @@ WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]
 MIX_SQL = rf"""
 WITH sized AS (SELECT doc_id, source, len({WORDS}) AS size,
     CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), chr(0)) || '|' || coalesce(source, chr(0)) || '|' || coalesce(md5(text), chr(0))), 1, 13) AS BIGINT)
-      / 4503599627370496.0 AS u FROM documents),
+      / 4503599627370496.0 AS u, row_number() OVER (PARTITION BY doc_id, source, text) AS nth FROM documents),
 s AS (SELECT source, sum(size) AS size FROM sized GROUP BY source),
 w AS (SELECT source, CAST(size AS BIGINT) AS size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS BIGINT)]::DOUBLE AS weight FROM s),
 -- sources in the order in which they reach their stop; the level is set by the first that does not
@@ -49,7 +49,7 @@ l AS (SELECT arg_min((1.5 * (SELECT sum(size) FROM s) - held) / weights, {{'r':
 t AS (SELECT source, size, CASE WHEN size > 0 THEN least(2.0 * size, coalesce(level, 1e300) * weight) ELSE 0.0 END::DOUBLE AS target FROM w, l),
 r AS (SELECT *, CASE WHEN size > 0 THEN target / size ELSE 0.0 END AS rate FROM t)
 SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, r.size AS source_size, round(r.target, 6) AS target,
-  CAST(d.size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(d.size * (floor(rate) + ceil(nth * (rate - floor(rate)) - u) - ceil((nth - 1) * (rate - floor(rate)) - u)) AS BIGINT) AS taken
 FROM sized d JOIN r ON d.source IS NOT DISTINCT FROM r.source"""
 
 
