@@ -1,5 +1,6 @@
 """Mixing, sharding, quality rules and line deduplication against plain Python."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -120,53 +121,13 @@ def test_quality_overlapping_windows(spark):
         assert r.n_repeat_words == brute_counts(r.text)[4]
 
 
-def brute_lines(rows, least=50):
-    docs = sorted({(d is None, d or 0, t) for d, t in rows if t is not None})
-    seen, out = set(), {}
-    for none, d, text in docs:
-        lines = text.split("\n")
-        at = [(i, re.findall(r"[^\x20\x09-\x0D]+", x)) for i, x in enumerate(lines)]
-        at = [(i, tuple(w)) for i, w in at if w]
-        cut = set()
-        for k in range(len(at)):
-            n, j = 0, k
-            while j < len(at) and n < least:
-                n += len(at[j][1])
-                j += 1
-            if n >= least:
-                key = tuple(w for _, w in at[k:j])
-                if key in seen:
-                    cut |= set(range(at[k][0], at[j - 1][0] + 1))
-                seen.add(key)
-        out[(none, d, text)] = "\n".join(x for i, x in enumerate(lines) if i not in cut)
-    return out
-
-
-def test_lines_equal_brute_force(spark, edge, nothing):
-    shared = "\n".join(prose(50 + k, 12) for k in range(9))
-    rows = [(i, "\n".join([prose(900 + i, 5), *([shared, ""] if i % 3 else []), prose(i % 4, 60), prose(2000 + i, 9), shared if i % 5 == 0 else ""])) for i in range(40)]
-    rows += [(r.doc_id, r.text) for r in edge.collect()] + [(100, ("z y x w v " * 4 + "\n") * 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute_lines(rows)
-    got = linededup.dedup_lines(docs.withColumnRenamed("text", "body"), text="body")
-    given = spark.createDataFrame(rows, "doc_id long, text string").collect()
-    assert got.count() == len(given)
-    expected = Counter((d, None if t is None else want[(d is None, d or 0, t)]) for d, t in rows)
-    assert Counter((r.doc_id, r.body) for r in got.collect()) == expected
-    kept = linededup.dedup_lines(edge)
-    assert [c for c in kept.columns if c != "removed_lines"] == [c for c in edge.columns if c != "removed_lines"]
-    assert linededup.dedup_lines(nothing).count() == 0
-
-
 def test_marks_are_guaranteed(spark):
     """Equal runs of enough words hold equal marks at equal places, whatever stands around them."""
-    run = [prose(70 + k, 11) for k in range(8)]
-    docs = spark.createDataFrame([(1, "\n".join(["x", *run, "y"])), (2, "\n".join([prose(1, 30), "z z", *run]))], "doc_id long, text string")
-    marks = {}
-    for r in linededup.winnow(linededup.line_table(docs)).collect():
-        marks.setdefault(r._id, set()).add((r.mark, r.g1))
-    assert marks[1] & marks[2]
-
+    run = prose(70, 50)
+    texts = spark.createDataFrame([(1, 0, f"x {run} y"), (2, 0, f"{prose(1, 30)}\nz z {run}"), (3, 0, prose(70, 49))], "_id long, _key long, _text string")
+    found = {r._id: {(m.at, m.mark) for m in r.marks} for r in linededup.winnow(texts).collect()}
+    assert {(at - 1, mark) for at, mark in found[1]} & {(at - 32, mark) for at, mark in found[2]} and not found[3]
+    assert [linededup.window_shape(n) for n in (1, 2, 5, 50)] == [(1, 1), (2, 1), (4, 2), (32, 19)]
 
 
 def brute_passages(rows, least=50):
@@ -209,3 +170,38 @@ def test_passages_equal_brute_force(spark, edge, nothing):
     assert found[141] == rows[26][1].replace(f" {inside}", "") and found[150] == "same " and found[152] == "" and found[153] == short
     assert linededup.dedup_passages(edge).columns == [*edge.columns, "removed_words"]
     assert linededup.dedup_passages(nothing).count() == 0
+
+
+@pytest.mark.parametrize("least", [3, 7, 12])
+def test_variants_of_passages_equal_brute_force(spark, least):
+    """Few words and many near copies: marks at many places whose first place is not the one that matches."""
+    rng = random.Random(least)
+    pool = [[rng.choice("abcd") + str(rng.randrange(3)) for _ in range(40)] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        made = []
+        while len(made) < 40:
+            part = rng.choice(pool)
+            at = rng.randrange(30)
+            made += part[at:at + rng.randrange(2, 3 * least)] if rng.random() < 0.8 else [f"u{rng.randrange(9)}"]
+        rows.append((i, rng.choice([" ", "\n", "\t "]).join(made) + rng.choice(["", "\n"])))
+    rows += [(200 + i, rows[i % 3][1]) for i in range(9)]
+    want = brute_passages(rows, least)
+    got = linededup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least)
+    assert {r.doc_id: r.text for r in got.collect()} == {d: want[(False, d, t)] for d, t in rows}
+
+
+def test_mix_repeated_rows(spark):
+    """Rows that agree share a draw and not a fate: together they take what is due to them."""
+    rows = [(None, "a", prose(1, 7))] * 1000 + [(None, None, prose(2, 7))] * 400 + [(i, "b", prose(i, 12)) for i in range(900)] + [(7, "c", "one two")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = mixing.set_targets(mixing.cycle_weights(mixing.source_sizes(docs)), share=0.6)
+    plan = lambda d, seed: mixing.plan_mix(d, targets, seed).selectExpr("row.source s", "size", "copies", "target").collect()
+    for seed in (17, 18, 19):
+        got, taken = plan(docs, seed), Counter()
+        assert len(got) == len(rows)
+        for r in got:
+            taken[r.s] += r.size * r.copies
+        for r in got:
+            assert abs(taken[r.s] - r.target) < (r.size if r.s != "b" else 0.12 * r.target)
+        assert Counter(got) == Counter(plan(docs.repartition(5), seed))

@@ -1,8 +1,8 @@
-"""Repeated runs of lines, and repeated passages of words wherever they begin: winnowed hashes find them, later occurrences go."""
+"""Repeated passages, wherever they begin in a line: winnowed fingerprints find them, their places are joined, matches are extended both ways, and later ones go."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,174 +11,200 @@ from tidewatch.llm.common import BLANK, NOT_BLANK, content_key, words
 from tidewatch.session import settle, short_lived_shuffles
 
 MIN_WORDS = 50
-GRAM = 25  # words of a fingerprint; a passage of MIN_WORDS holds a whole window of them
 WORD_END = rf"(?<={NOT_BLANK})(?={BLANK})"
 
 
-def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _key, pos, h, v, n): lines with a word, two independent 64-bit hashes of their words, and how many there are.
+def window_shape(min_words: int) -> tuple[int, int]:
+    """(span, gram): of ``span`` words in a row one is picked, and the ``gram`` words from it on are a fingerprint; together ``min_words``.
 
-    Rows that agree in doc_id and text are one document; they are merged
-    before the shuffle, so a row that is repeated often stays one per task.
+    The span is a power of two of about two thirds, so that a picked word's
+    fingerprint lies inside every run of ``min_words`` that picks it.
     """
-    line = lambda s, i: F.struct(i.alias("pos"), F.xxhash64(words(s)).alias("h"), F.xxhash64(F.lit(7), words(s)).alias("v"), F.size(words(s)).alias("n"))
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1), line), lambda x: x["n"] > 0)
-    narrow = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), lines.alias("lines"))
-    return narrow.groupBy("_id", "_key").agg(F.first("lines").alias("lines")).select("_id", "_key", F.inline("lines"))
+    span = 1 << ((2 * (min_words + 1) // 3).bit_length() - 1)
+    return span, min_words - span + 1
 
 
-def _rolled(df: DataFrame, name: str, n: int, join: Callable[[Column, Column], Column]) -> DataFrame:
-    """The array ``name`` replaced by what ``join`` makes of each ``n`` elements in a row, by doubling: log2(n) steps, each linear.
+def _minima(df: DataFrame, name: str, span: int) -> DataFrame:
+    """The array ``name`` replaced by the least of each ``span`` elements in a row, by doubling: log2(span) steps, each linear.
 
     Every step names the array more than once, so that Spark does not merge
     them and makes each array once a row.  A filter on the result would be
     pushed below and make them all anew, so rows are exploded with the outer
-    form, which infers none.  (``slice`` copies all of its array.)
+    form, which infers none.
     """
     done = 1
-    while done < n:
-        step = min(done, n - done)
-        df = df.withColumn(name, F.transform(F.sequence(F.lit(0), F.size(name) - 1 - step), lambda i: join(F.get(name, i), F.get(name, i + step))))  # noqa: B023
-        done += step
+    while done < span:
+        left = F.greatest(F.size(name) - done, F.lit(0))
+        df = df.withColumn(name, F.zip_with(F.slice(name, F.lit(1), left), F.slice(name, F.lit(done + 1), left), lambda a, b: F.least(a, b)))
+        done *= 2
     return df
 
 
-def passage_windows(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _key, pos, end, g1, g2): the runs of ``min_words`` words, words counted from 0, that may stand at two places.
+def winnow(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_id, _key, marks): each document's fingerprints, an array of (at, mark).
 
-    Hashes of GRAM words are winnowed: of those in each run of ``min_words``
-    words the smallest is a mark of the document.  Equal runs have equal marks,
-    so a run that is repeated holds a mark that another document has too, or
-    one that its own document holds twice; the runs around all other marks are
-    never made.  Marks decide no row: g1 and g2 identify the whole run.
+    Of the first ``span`` words of each run of ``min_words`` the one with the
+    smallest hash (the first of equals) is picked; ``at`` is its place and
+    ``mark`` the hash of the ``gram`` words from it on.  What a run picks
+    depends on its words alone, so equal runs pick equal marks at equal places.
     """
-    gram = min(GRAM, min_words)
-    span = min_words - gram + 1  # grams in a run
-    hashed = F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("g")
-    keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), F.col(f"`{text}`").alias("_text"))
-    grams = _rolled(keyed.select("_id", "_key", hashed).filter(F.size("g") >= min_words), "g", gram, lambda a, b: F.xxhash64(a, b))
-    lows = _rolled(grams.withColumn("times", F.when(F.size(F.array_distinct("g")) < F.size("g"), 2).otherwise(1)), "g", span, lambda a, b: F.least(a, b))
-    lows = lows.select("_id", "_key", F.array_distinct("g").alias("marks"), "times")
-    marks = settle(lows.select("_id", "_key", "times", F.explode_outer("marks").alias("mark")))
-    shared = marks.groupBy("mark").agg(F.sum("times").alias("n")).filter("n >= 2").select("mark")
-    held = marks.join(shared, "mark", "left_semi").groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).agg(F.collect_set("mark").alias("marks"))
-    # Texts travel, not their hashes, which are longer and cannot be compressed; only texts that hold a shared mark are hashed again.
-    asked = keyed.join(held, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_id", "_key", "marks", hashed)
-    asked = _rolled(asked, "g", gram, lambda a, b: F.xxhash64(a, b))
-    at = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains("marks", x), i)), lambda i: i.isNotNull())
-    near = asked.select("_id", "_key", "g", at.alias("at"))
-    starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - (span - 1), F.lit(0)), F.least(i, F.size("g") - span)))))
-    parts = lambda i: [F.get("g", i + k) for k in (*range(0, span - 1, gram), span - 1)]
-    run = lambda i: F.struct(i.alias("pos"), (i + min_words - 1).alias("end"), F.xxhash64(*parts(i)).alias("g1"), F.xxhash64(F.lit(7), *parts(i)).alias("g2"))
-    return near.select("_id", "_key", F.inline_outer(F.transform(starts, run))).filter(F.col("pos").isNotNull())
-
-
-def winnow(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _key, pos, end, g1, g2, mark, at): every shortest run of lines with ``min_words`` words, and its window minimum.
-
-    The window of a line is the shortest run from it on that has enough words.
-    ``mark`` is the smallest line hash in the window and ``at`` its position
-    (the last one of equals).  What a window selects depends on its lines
-    alone, so any two equal runs of enough words hold the same marks at the
-    same places.  g1 and g2 identify the window's whole content.
-    """
-    doc = Window.partitionBy("_id", "_key")
-    before = F.coalesce(F.sum("n").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    run = doc.orderBy("c").rangeBetween(0, min_words - 1)  # lines whose words begin within the first min_words
-    return (
-        lines.withColumn("c", before)
-        .select(
-            "_id", "_key", "pos", F.max("pos").over(run).alias("end"), F.sum("n").over(run).alias("words"), F.collect_list("h").over(run).alias("hs"),
-            F.collect_list("v").over(run).alias("vs"), F.min(F.struct(F.col("h"), (-F.col("pos")).alias("p"))).over(run).alias("low"))
-        .filter(F.col("words") >= min_words)
-        .select("_id", "_key", "pos", "end", F.xxhash64("hs").alias("g1"), F.xxhash64("vs").alias("g2"), F.col("low.h").alias("mark"), (-F.col("low.p")).alias("at")))
-
-
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _key, runs): for each document the maximal runs [first, last] of lines that repeat an earlier run of at least ``min_words`` words.
-
-    A window counts as repeated where the same lines stand at an earlier place
-    (order: doc_id with null last, text key, line); a run is the union of the
-    windows that overlap or touch.  Equal windows select equal marks, so those
-    whose mark stands at one place only are left out before windows are
-    compared; this changes no row.  Lines behind the last window that has
-    ``min_words`` words of its own stay, as the SQL counterpart has it, and so
-    do passages within a line; ``repeated_passages`` takes both.
+    span, gram = window_shape(min_words)
+    code = F.transform("ws", lambda w, i: F.shiftleft(F.hash(w).cast("long"), 32).bitwiseOR(i.cast("long")))
+    coded = texts.select("_id", "_key", words(F.col("_text")).alias("ws"))
+    coded = coded.withColumn("low", F.slice(code, F.lit(1), F.greatest(F.size("ws") - (gram - 1), F.lit(0))))
+    at = lambda c: c.bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    mark = lambda c: F.struct(at(c).alias("at"), F.xxhash64(F.slice("ws", at(c) + 1, F.lit(gram))).alias("mark"))
+    return _minima(coded, "low", span).select("_id", "_key", F.transform(F.array_distinct("low"), mark).alias("marks"))
+
+
+def _place(at: str = "pos") -> Column:
+    return F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_key").alias("key"), F.col(at).alias("at"))
+
+
+def _by_text(keyed: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(texts, copies): each text once, under its smallest id (null last), and (_id, _key, _n) of the other documents with that text.
+
+    Texts are counted by two independent 64-bit hashes; only those found twice
+    or more are taken apart.  A later copy of a text with enough words is one
+    repeated run, so it needs no fingerprints.
     """
-    windows = settle(winnow(line_table(docs, doc_id, text), min_words))
-    shared = windows.select("mark", "_id", "_key", "at").distinct().groupBy("mark").count().filter("count >= 2").select("mark")
-    matched = windows.join(shared, "mark", "left_semi")
-    return _later_runs(matched, _first_places(matched))
+    again = settle(keyed.groupBy(F.col("_key").alias("_k"), F.col("_key2").alias("_k2")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")).filter("_rows >= 2").drop("_rows"))
+    same = (F.col("_key") == F.col("_k")) & (F.col("_key2") == F.col("_k2"))
+    repeated, first = keyed.join(again, same), F.col("_id").eqNullSafe(F.col("_first"))
+    heads = repeated.filter(first).dropDuplicates(["_key", "_key2"])
+    texts = keyed.join(again, same, "left_anti").unionByName(heads.select(*keyed.columns))
+    copies = repeated.filter(~first).select("_id", "_key", F.size(words(F.col("_text"))).alias("_n")).distinct()
+    return texts, copies.filter(F.col("_n") >= min_words)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _key, runs): for each document the words [first, last] of passages that repeat an earlier one of ``min_words`` words or more.
+def _occurrences(texts: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _key, at, mark, check, leads, many, left, right): where marks stand that are found twice or more, and the words around them.
 
-    A passage is the union of its runs of exactly ``min_words`` words, one from
-    every word on, so it reaches both ways as far as the words agree.
+    ``leads`` is the first place of a mark and ``many`` a mark with three
+    places or more.  ``left`` (nearest word first) and ``right`` hold as many
+    words as a run of ``min_words`` around the mark can reach.
     """
-    with short_lived_shuffles(docs.sparkSession):
-        windows = settle(passage_windows(docs, min_words, doc_id, text))
-        return settle(_later_runs(windows, settle(_first_places(windows))))
+    span, gram = window_shape(min_words)
+    spots = settle(winnow(texts, min_words)).select("_id", "_key", F.inline("marks"))
+    shared = spots.groupBy("mark").count().filter("count >= 2").select("mark")
+    seen = settle(spots.join(shared, "mark", "left_semi"))
+    firsts = seen.groupBy(F.col("mark").alias("_mark")).agg(F.min(_place("at")).alias("_lead"), F.count(F.lit(1)).alias("_places"))
+    spot = F.struct("at", "mark", (_place("at") == F.col("_lead")).alias("leads"), (F.col("_places") > 2).alias("many"))
+    asked = seen.join(firsts, F.col("mark") == F.col("_mark")).groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).agg(F.collect_list(spot).alias("spots"))  # at most one per word of the document
+    held = texts.join(asked, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_id", "_key", "spots", words(F.col("_text")).alias("ws"))
+
+    def around(s: Column) -> Column:
+        at = s["at"]
+        left = F.reverse(F.slice("ws", F.greatest(at - (span - 1), F.lit(0)) + 1, F.least(at, F.lit(span - 1))))
+        return F.struct(
+            at.alias("at"), s["mark"].alias("mark"), F.xxhash64(F.lit(7), F.slice("ws", at + 1, F.lit(gram))).alias("check"), s["leads"].alias("leads"), s["many"].alias("many"),
+            F.array_join(left, " ").alias("left"), F.array_join(F.slice("ws", at + gram + 1, F.lit(span - 1)), " ").alias("right"))
+
+    return held.select("_id", "_key", F.inline_outer(F.transform("spots", around)))
 
 
-def _place() -> Column:
-    return F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("pos").alias("pos"))
+def _list(text: str) -> Column:
+    """Words of a joined string."""
+    return F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
-def _first_places(windows: DataFrame) -> DataFrame:
-    """(g1, g2, first): where each content that occurs more than once stands first."""
-    return windows.groupBy("g1", "g2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
+def _agreed(a: str, b: str) -> Column:
+    """How many words two joined strings share from their beginnings on."""
+    same = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    upto = F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1
+    return F.when((F.col(a) == "") | (F.col(b) == ""), 0).otherwise(upto).cast("int")
 
 
-def _later_runs(windows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(_id, _key, runs): what the windows cover whose content also stands at an earlier place."""
-    later = windows.join(firsts, ["g1", "g2"]).filter(_place() != F.col("first")).select("_id", "_key", "pos", "end")
+def _extended(found: DataFrame) -> DataFrame:
+    """Later places of marks, with ``l`` and ``r``: how far the words agree to the left and right with those at the mark's first place (-1: nowhere)."""
+    firsts = found.filter("leads").select(F.col("mark").alias("_mark"), F.col("check").alias("_check"), F.col("left").alias("_left"), F.col("right").alias("_right"))
+    pairs = found.filter("not leads").join(firsts, F.col("mark") == F.col("_mark"))
+    reach = lambda a, b: F.when(F.col("check") == F.col("_check"), _agreed(a, b)).otherwise(-1)
+    side = lambda c: F.when(F.col("many"), F.col(c)).alias(c)
+    return pairs.select("_id", "_key", "at", "mark", "check", "many", side("left"), side("right"), reach("left", "_left").alias("l"), reach("right", "_right").alias("r"))
+
+
+def _others(extended: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _key, pos, end, g1, g2): runs of ``min_words`` around a mark that do not stand at its first place, and may at two others.
+
+    Equal runs agree with the first place equally far, so they all are here or
+    none is.  Those that go on to the left beyond what agrees share their next
+    word there, and so for the right; where no other place has it, the runs
+    are never made.  g1 and g2 identify a run.
+    """
+    span, _ = window_shape(min_words)
+    rows = extended.filter("many").withColumn("lw", _list("left")).withColumn("rw", _list("right")).drop("left", "right", "many")
+    side = lambda name, ws, n: F.when(F.col(n) < F.size(ws), F.xxhash64("mark", "check", F.lit(name), F.slice(ws, F.lit(1), F.col(n) + 1)))
+    sides = rows.withColumn("s", F.explode(F.array(
+        F.struct(F.lit(True).alias("leftwards"), side("l", "lw", "l").alias("code")), F.struct(F.lit(False).alias("leftwards"), side("r", "rw", "r").alias("code")))))
+    sides = settle(sides.select("*", "s.*").drop("s").filter(F.col("code").isNotNull()))
+    twice = sides.groupBy("code").count().filter("count >= 2").select("code")
+    low = F.greatest(F.lit(span - 1) - F.size("rw"), F.when(F.col("leftwards"), F.col("l") + 1).otherwise(0))
+    high = F.least(F.size("lw"), F.when(F.col("leftwards"), F.lit(span - 1)).otherwise(F.least(F.col("l"), F.lit(span - 2) - F.col("r"))))
+    live = sides.join(twice, "code", "left_semi").withColumn("low", low).withColumn("high", high).filter("low <= high")
+    d = F.col("d")  # words of the run before its mark
+    parts = ["mark", "check", d, F.slice("lw", F.lit(1), d), F.slice("rw", F.lit(1), F.lit(span - 1) - d)]
+    runs = live.withColumn("d", F.explode(F.sequence("low", "high")))
+    return runs.select("_id", "_key", (F.col("at") - d).alias("pos"), (F.col("at") - d + (min_words - 1)).alias("end"), F.xxhash64(*parts).alias("g1"), F.xxhash64(F.lit(7), *parts).alias("g2"))
+
+
+def _later(runs: DataFrame) -> DataFrame:
+    """(_id, _key, pos, end) of the runs whose content also stands at an earlier place."""
+    firsts = runs.groupBy("g1", "g2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
+    return runs.join(firsts, ["g1", "g2"]).filter(_place() != F.col("first")).select("_id", "_key", "pos", "end")
+
+
+def _merged(later: DataFrame) -> DataFrame:
+    """(_id, _key, runs): the words that the rows cover, as maximal runs [first, last] in order."""
     doc = Window.partitionBy("_id", "_key").orderBy("pos")
     reach = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("pos") > F.col("_reach") + 1).cast("int"), F.lit(1))
     joined = later.withColumn("_reach", reach).withColumn("_run", F.sum(fresh).over(doc))
     runs = joined.groupBy("_id", "_key", "_run").agg(F.min("pos").alias("first"), F.max("end").alias("last"))
-    return runs.groupBy("_id", "_key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))  # at most one per line of the document
-
-
-def _outside(runs: Column):
-    return lambda line, i: ~F.exists(runs, lambda r: (i >= r["first"]) & (i <= r["last"]))
+    return runs.groupBy("_id", "_key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))  # at most one per word of the document
 
 
-def dedup_lines(docs: DataFrame, columns: Sequence[str] | None = None, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``columns`` of the documents (default: all) with the later occurrences of repeated runs cut out of ``text``, and ``removed_lines``.
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _key, runs): for each document the words [first, last] of passages that repeat an earlier one of ``min_words`` words or more.
 
-    Lines end at ``\\n`` and compare by their words; a run needs at least
-    ``min_words`` words, and blank lines inside it go with it.  The first
-    occurrence (by doc_id, null last) stays, so a later exact copy loses its
-    runs and keeps its row.  A null text stays null; a text without a repeated
-    run is returned unchanged; rows that agree in doc_id and text count as one
-    document and get the same text; a column ``removed_lines`` is replaced.
+    Places are ordered by doc_id (null last), text key and word.  Each later
+    place of a mark is compared with its first, word by word both ways; what
+    agrees there is a repeat.  Runs around a mark that do not stand at its
+    first place, but may at two later ones, are compared by their content.  So
+    a repeat is found whichever two documents share it.
     """
-    lines, join = F.split("_text", "\n", -1), lambda kept: F.array_join(kept, "\n")
-    return _cut(docs, columns, repeated_runs(docs, min_words, doc_id, text), lines, join, "removed_lines", doc_id, text)
+    span, gram = window_shape(min_words)
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), F.xxhash64(F.lit(7), F.col(f"`{text}`")).alias("_key2"), F.col(f"`{text}`").alias("_text"))
+    with short_lived_shuffles(docs.sparkSession):
+        texts, copies = _by_text(keyed, min_words)
+        extended = settle(_extended(settle(_occurrences(texts, min_words))))
+        agreed = extended.filter(F.col("l") + gram + F.col("r") >= min_words).select("_id", "_key", (F.col("at") - F.col("l")).alias("pos"), (F.col("at") + (gram - 1) + F.col("r")).alias("end"))
+        runs = _merged(agreed.unionByName(_later(settle(_others(extended, min_words)))))
+        whole = copies.select("_id", "_key", F.array(F.struct(F.lit(0).alias("first"), (F.col("_n") - 1).alias("last"))).alias("runs"))
+        return settle(runs.unionByName(whole))
 
 
 def dedup_passages(docs: DataFrame, columns: Sequence[str] | None = None, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``columns`` of the documents with the later occurrences of repeated passages cut out of ``text``, and ``removed_words``.
+    """``columns`` of the documents (default: all) with the later occurrences of repeated passages cut out of ``text``, and ``removed_words``.
 
     A word is cut where it lies in a run of ``min_words`` words or more that
     also stands at an earlier place, wherever lines begin or end.  The white
-    space before a word goes with it.  Null texts, texts without a repeat,
-    repeated rows and columns are as in ``dedup_lines``.
+    space before a word goes with it.  The first occurrence (by doc_id, null
+    last) stays, so a later exact copy loses its words and keeps its row.  A
+    null text stays null; a text without a repeat is returned unchanged; rows
+    that agree in doc_id and text count as one document and get the same text;
+    a column ``removed_words`` is replaced.
     """
-    pieces = F.split("_text", WORD_END, -1)  # a word each, after its white space; white space at the end of the text is one more
-    return _cut(docs, columns, repeated_passages(docs, min_words, doc_id, text), pieces, lambda kept: F.array_join(kept, ""), "removed_words", doc_id, text)
-
-
-def _cut(docs: DataFrame, columns: Sequence[str] | None, runs: DataFrame, pieces: Column, join: Callable[[Column], Column], removed: str, doc_id: str, text: str) -> DataFrame:
-    """The documents without the pieces of their ``runs``, and how many went."""
-    columns = [c for c in (docs.columns if columns is None else columns) if c != removed]
-    runs = runs.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), "runs")
+    columns = [c for c in (docs.columns if columns is None else columns) if c != "removed_words"]
+    runs = repeated_passages(docs, min_words, doc_id, text).select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), "runs")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"))
     joined = keyed.join(runs, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")), "left")
-    cleaned = F.when(F.col("runs").isNull(), F.col("_text")).otherwise(join(F.filter(pieces, _outside(F.col("runs")))))
+    # A piece is a word after its white space; white space at the end of the text is one more.
+    cut = joined.withColumn("_pieces", F.when(F.col("runs").isNotNull(), F.split("_text", WORD_END, -1)))
+    begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))
+    ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.size("_pieces")))
+    kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice("_pieces", a + 1, b - a)))
+    cleaned = F.when(F.col("runs").isNull(), F.col("_text")).otherwise(F.array_join(kept, ""))
     size = F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     out = [cleaned.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns]
-    return joined.select(*out, F.coalesce(size, F.lit(0)).cast("long").alias(removed))
+    return cut.select(*out, F.coalesce(size, F.lit(0)).cast("long").alias("removed_words"))

@@ -123,25 +123,22 @@ def _simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-LINES_SQL = rf"""
-WITH RECURSIVE docs AS (SELECT doc_id, min(text) AS text FROM documents GROUP BY doc_id, text),
-raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM docs),
-worded AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM raw),
-lines AS (SELECT doc_id, pos, array_to_string(ws, ' ') AS line, len(ws) AS n FROM worded WHERE len(ws) > 0),
-counted AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM lines),
-windows AS (SELECT doc_id, pos, max(pos) OVER w AS last, sum(n) OVER w AS total, array_to_string(list(line) OVER w, chr(10)) AS body FROM counted
-  WINDOW w AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth FROM windows WHERE total >= 50),
-cut AS (SELECT DISTINCT r.doc_id, raw.pos FROM ranked r JOIN raw ON r.doc_id = raw.doc_id AND raw.pos BETWEEN r.pos AND r.last WHERE nth > 1),
-kept AS (SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY raw.pos) AS text, count(*) AS n FROM raw ANTI JOIN cut ON raw.doc_id = cut.doc_id AND raw.pos = cut.pos GROUP BY raw.doc_id),
+PASSAGES_SQL = r"""
+WITH docs AS (SELECT doc_id, min(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id, text),
+worded AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM docs),
+windows AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda i: {'pos': i, 'body': md5(array_to_string(ws[i:i + 49], ' '))})) AS w FROM worded WHERE len(ws) >= 50),
+ranked AS (SELECT doc_id, w.pos AS pos, row_number() OVER (PARTITION BY w.body ORDER BY doc_id, w.pos) AS nth FROM windows),
+cut AS (SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, range(50) r(k) WHERE nth > 1),
+pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS p FROM docs)),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS text FROM pieces ANTI JOIN cut USING (doc_id, pos) GROUP BY doc_id),
 gone AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN g.n IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, coalesce(g.n, 0)::BIGINT AS removed_lines
+SELECT d.doc_id, CASE WHEN g.n IS NULL THEN d.text ELSE coalesce(k.text, '') || regexp_extract(d.text, '[\x20\x09-\x0D]*$') END AS text, coalesce(g.n, 0)::BIGINT AS removed_words
 FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id"""
 
 
-@query("op9_line_dedup", LINES_SQL)
+@query("op9_line_dedup", PASSAGES_SQL)
 def _lines(spark, sf_dir):
-    return linededup.dedup_lines(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return linededup.dedup_passages(table(spark, sf_dir, "documents"), ["doc_id", "text"])
 
 
 def vocabulary(path: str | None = None) -> str:
