@@ -1,8 +1,10 @@
 """SimHash, tokens, vectors, licences, toxicity, addresses and the pipeline against plain Python."""
 
 import hashlib
+import json
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -117,6 +119,24 @@ def test_tokens_equal_library(reference):
         assert codec.decode(ids) == reference.decode(want.ids, skip_special_tokens=False)
 
 
+def test_marks_equal_library(reference):
+    """Each combining mark among others, as the library orders and joins them, and strings of any code points."""
+    codec, rng = bpe.Codec(vocabulary()), np.random.default_rng(5)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))] + ["\U00011930", "\u1161", "\u11a8"]
+    texts = [a + x + b for x in marks for a, b in (("\u00e1", ""), ("a", "\u0316"), ("q\u0345", "\u0334z"), ("\U00011935", "\u0301"), ("\u1100", "\u0338"))]
+    points = [c for c in range(0x3000) if c > 0x20] + [ord(x) for x in marks] + list(range(0x10000, 0x12000))
+    texts += ["".join(map(chr, rng.choice(points, 12))) for _ in range(5000)] + ["e" + "".join(rng.choice(marks, 6)) for _ in range(5000)]
+    wrong = [t for t, ids in zip(texts, codec.encode_all(texts)) if np.frombuffer(ids, "<u4").tolist() != reference.encode(t, add_special_tokens=False).ids]
+    assert not wrong
+
+
+def test_other_vocabularies_are_refused():
+    data = json.loads(vocabulary())
+    data["normalizer"]["normalizers"][0]["type"] = "NFKC"
+    with pytest.raises(ValueError):
+        bpe.Codec(json.dumps(data))
+
+
 def test_trees_agree():
     codec = bpe.Codec(vocabulary())
     words = [w for k in range(30) for w in prose(k, 20).split()] + ["aaaaaaaaaaaaaaaa", "ababababab", "q"]
@@ -226,6 +246,38 @@ def test_toxicity_learns(spark, edge, nothing):
     assert toxicity.score_toxicity(nothing, none).count() == 0
 
 
+def test_toxic_features_equal_plain_counts(spark):
+    """Counts, slots and choice in Spark against plain Python; more candidates than any list would hold are not cut."""
+    bad = [(f"bad{k % 20} " * 3 + prose(k, 30)) for k in range(600)]
+    texts = bad + [prose(k, 40) for k in range(600, 3000)]
+    frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string")
+    positive = toxicity.count_features(frame(bad))
+    slots = toxicity.feature_slots(positive)
+    everything = toxicity.count_features(frame(texts), slots)
+    plain = lambda rows: Counter(f for t in rows for f in [*toxicity.features(t), ""])
+    a, b = plain(bad), plain(texts)
+    counted = dict(everything.collect())
+    assert dict(positive.collect()) == a and all(counted[f] == b[f] for f in a)
+    scored = []
+    for word, n in a.items():
+        expected = a[""] * min(b[word] / b[""], 1 - 1e-9)
+        deviance = 2 * (n * math.log(n / expected) - (n - expected))
+        if word and n >= toxicity.LEAST_DOCS and n >= toxicity.LEAST_LIFT * expected and deviance >= toxicity.LEAST_DEVIANCE:
+            scored.append((-round(deviance, 9), word))
+    want = [w for _, w in sorted(scored)]
+    got = toxicity.select_features(positive, everything)
+    assert len(want) >= 20 and set(got) == set(want)
+    assert toxicity.select_features(positive, everything, 7) == got[:7]
+
+
+def test_toxicity_edges(spark, edge, nothing):
+    """Empty tables, repeated labels and clashing columns give a model and a score for every row."""
+    labels = spark.createDataFrame([(4, 1, "a"), (4, 1, "b"), (5, 0, "c"), (None, 1, "d"), (6, None, "e")], "doc_id long, toxic int, text string")
+    for docs, known in ((edge, labels), (edge, labels.limit(0)), (nothing, labels)):
+        model = toxicity.fit_toxicity(docs, known, most_positive=2, most_unlabelled=5)
+        assert toxicity.score_toxicity(edge, model).count() == 15 and toxicity.score_toxicity(nothing, model).count() == 0
+
+
 def test_held_out_labels_do_not_matter(spark):
     docs = spark.createDataFrame([(k, prose(k, 30)) for k in range(100)], "doc_id long, text string")
     from pyspark.sql import functions as F

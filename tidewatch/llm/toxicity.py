@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)  # beginnings of longer words count as features, so inflected forms meet
 #: Bounds of what is fitted on; the counts behind the vocabulary cover all rows that may be learnt from.
 MOST_POSITIVE, MOST_UNLABELLED = 10_000, 20_000
-MOST_CANDIDATES, MOST_FEATURES = 20_000, 2_048
+MOST_FEATURES = 2_048
+#: Bits that tell a counting task which features may matter; with more features than bits more is counted, nothing is lost.
+SLOTS = 1 << 24
 LEAST_DOCS, LEAST_LIFT, LEAST_DEVIANCE = 4, 3.0, 30.0
 FLUSH = 200_000
 STEPS, RATE, DECAY = 400, 0.05, 1e-3
@@ -35,45 +38,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def count_features(texts: DataFrame, known: list[str] | None = None) -> DataFrame:
-    """(feature, n): in how many texts each feature occurs, of ``known`` ones only if given; '' counts the texts.
+def feature_slots(counted: DataFrame) -> np.ndarray:
+    """A bit for each slot that a feature of ``counted`` falls into: 2 MB, whatever the number of features."""
+    slot = F.pmod(F.xxhash64("feature"), F.lit(SLOTS))
+    packed = counted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    out = np.zeros(SLOTS // 64, np.int64)
+    for row in packed.collect():  # at most SLOTS / 64 rows
+        out[row.word] = row.bits
+    return out.view(np.uint64)
+
+
+def count_features(texts: DataFrame, slots: np.ndarray | None = None) -> DataFrame:
+    """(feature, n): in how many texts each feature occurs, at least those that fall into ``slots`` if given; '' counts the texts.
 
     Counts are added up in each task before they are shuffled, and written out
     whenever a task holds many.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(None if known is None else frozenset(known))  # bounded by MOST_CANDIDATES
+    shared = texts.sparkSession.sparkContext.broadcast(slots)  # SLOTS bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, counts = shared.value, Counter()
+        counts, number = Counter(), 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+            names, values = np.array(list(counts), object), np.fromiter(counts.values(), np.int64, len(counts))
+            if shared.value is not None and len(names):
+                slot = np.fromiter((xxhash.xxh64_intdigest(f.encode("utf-8"), 42) for f in names), np.uint64, len(names)) & np.uint64(SLOTS - 1)
+                kept = (shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                names, values = names[kept], values[kept]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.int64())], names=["feature", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                found = features(text.as_py() or "")
-                counts.update(found if wanted is None else wanted & found)
-                counts[""] += 1
+                counts.update(features(text.as_py() or ""))
+                number += 1
                 if len(counts) > FLUSH:
                     yield out()
                     counts.clear()
         yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([number], pa.int64())], names=["feature", "n"])
 
     return texts.mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def select_features(positive: dict[str, int], everything: dict[str, int]) -> list[str]:
-    """Features that are at least three times as frequent among toxic texts, and surely so; the surest first."""
-    p, n = positive.get("", 0), max(everything.get("", 0), 1)
-    scored = []
-    for word, a in positive.items():
-        if word and a >= LEAST_DOCS:
-            share = min(max(everything.get(word, 0), a) / n, 1 - 1e-9)
-            expected = p * share
-            deviance = 2 * (a * np.log(a / expected) - (a - expected))  # of a Poisson count
-            if a >= LEAST_LIFT * expected and deviance >= LEAST_DEVIANCE:
-                scored.append((-deviance, word))
-    return [w for _, w in sorted(scored)[:MOST_FEATURES]]
+def select_features(positive: DataFrame, everything: DataFrame, most: int = MOST_FEATURES) -> list[str]:
+    """At most ``most`` features that are at least three times as frequent among toxic texts, and surely so; the surest first."""
+    p, n = ((counted.filter("feature = ''").first() or ("", 0))[1] for counted in (positive, everything))
+    both = positive.filter(F.col("n") >= LEAST_DOCS).select("feature", F.col("n").cast("double").alias("a")).join(everything.select("feature", "n"), "feature").filter("feature <> ''")
+    a, expected = F.col("a"), F.lit(float(p)) * F.least(F.greatest(F.col("n"), F.col("a")) / F.lit(float(max(n, 1))), F.lit(1 - 1e-9))
+    deviance = 2 * (a * F.log(a / expected) - (a - expected))  # of a Poisson count
+    sure = both.filter((a >= LEAST_LIFT * expected) & (deviance >= LEAST_DEVIANCE))
+    return [r.feature for r in sure.orderBy(deviance.desc(), "feature").limit(most).collect()]
 
 
 @dataclass
@@ -138,14 +152,17 @@ def _sample(texts: DataFrame, names: list[str], total: int, bound: int) -> list[
     return [list(r.found) for r in rows]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> ToxicModel:
     """Learn from the rows that are not held out.
 
     Confirmed toxic texts are the positives, all texts that are not held out
     the unlabelled ones, and the class prior is the share of toxic rows among
-    the labels that are not held out.  Feature counts cover all of these texts;
-    the classifier is fitted on at most MOST_POSITIVE and MOST_UNLABELLED.
-    Without a toxic label the model has no features and scores near 0.
+    the labels that are not held out.  Feature counts cover all of these texts
+    and stay in Spark, where the features are chosen; the classifier is fitted
+    on at most ``most_positive`` and ``most_unlabelled`` texts.  An id that is
+    labelled more than once is one text, toxic if any label says so; other
+    columns do not matter.  Without a toxic label, or without documents, the
+    model has no features and scores all texts alike.
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").alias("toxic")).filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("toxic").isNotNull())
     n, toxic_rows = known.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("long"))).first()
@@ -156,12 +173,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     confirmed = settle(known.filter("toxic = 1").select(F.col("id").alias("_known")).distinct())
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(~held_out(F.col("id")))
     positives = settle(texts.join(confirmed, F.col("id") == F.col("_known"), "left_semi"))
-    counted = count_features(positives.select("text")).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "feature").limit(MOST_CANDIDATES + 1)
-    positive = dict(counted.collect())
-    everything = dict(count_features(texts.select("text"), [w for w in positive if w]).collect())
+    positive = settle(count_features(positives.select("text")))
+    everything = settle(count_features(texts.select("text"), feature_slots(positive.filter(F.col("n") >= LEAST_DOCS))))
     names = select_features(positive, everything)
-    rows = [_sample(positives, names, positive.get("", 0), MOST_POSITIVE), _sample(texts, names, everything.get("", 0), MOST_UNLABELLED)]
-    if not names or not rows[0]:
+    if not names:
+        return ToxicModel({}, float(np.log(prior / (1 - prior))))
+    held = lambda counted: (counted.filter("feature = ''").first() or ("", 0))[1]
+    rows = [_sample(positives, names, held(positive), most_positive), _sample(texts, names, held(everything), most_unlabelled)]
+    if not rows[0]:
         return ToxicModel({}, float(np.log(prior / (1 - prior))))
     weights, bias = fit_nnpu(*rows, len(names), prior)
     return ToxicModel(dict(zip(names, weights.tolist())), bias)
