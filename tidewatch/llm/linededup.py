@@ -17,11 +17,11 @@ WORD_END = rf"(?<={NOT_BLANK})(?={BLANK})"
 def window_shape(min_words: int) -> tuple[int, int]:
     """(span, gram): of ``span`` words in a row one is picked, and the ``gram`` words from it on are a fingerprint; together ``min_words``.
 
-    The span is a power of two of about two thirds, so that a picked word's
-    fingerprint lies inside every run of ``min_words`` that picks it.
+    A fingerprint is half of a run, so that it lies inside every run that picks
+    it and short phrases do not share it.
     """
-    span = 1 << ((2 * (min_words + 1) // 3).bit_length() - 1)
-    return span, min_words - span + 1
+    gram = (min_words + 1) // 2
+    return min_words - gram + 1, gram
 
 
 def _minima(df: DataFrame, name: str, span: int) -> DataFrame:
@@ -34,9 +34,10 @@ def _minima(df: DataFrame, name: str, span: int) -> DataFrame:
     """
     done = 1
     while done < span:
-        left = F.greatest(F.size(name) - done, F.lit(0))
-        df = df.withColumn(name, F.zip_with(F.slice(name, F.lit(1), left), F.slice(name, F.lit(done + 1), left), lambda a, b: F.least(a, b)))
-        done *= 2
+        step = min(done, span - done)
+        left = F.greatest(F.size(name) - step, F.lit(0))
+        df = df.withColumn(name, F.zip_with(F.slice(name, F.lit(1), left), F.slice(name, F.lit(step + 1), left), lambda a, b: F.least(a, b)))
+        done += step
     return df
 
 
@@ -78,29 +79,28 @@ def _by_text(keyed: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _occurrences(texts: DataFrame, min_words: int) -> DataFrame:
-    """(_id, _key, at, mark, check, leads, many, left, right): where marks stand that are found twice or more, and the words around them.
+    """(_id, _key, at, mark, check, left, right, before, behind, c1, c2): where marks stand that are found twice or more, and the words around them.
 
-    ``leads`` is the first place of a mark and ``many`` a mark with three
-    places or more.  ``left`` (nearest word first) and ``right`` hold as many
-    words as a run of ``min_words`` around the mark can reach.
+    ``left`` (nearest word first) and ``right`` hold as many words as a run of
+    ``min_words`` around the mark can reach, ``before`` and ``behind`` say how
+    many; c1 and c2 identify all of these words.
     """
     span, gram = window_shape(min_words)
     spots = settle(winnow(texts, min_words)).select("_id", "_key", F.inline("marks"))
     shared = spots.groupBy("mark").count().filter("count >= 2").select("mark")
-    seen = settle(spots.join(shared, "mark", "left_semi"))
-    firsts = seen.groupBy(F.col("mark").alias("_mark")).agg(F.min(_place("at")).alias("_lead"), F.count(F.lit(1)).alias("_places"))
-    spot = F.struct("at", "mark", (_place("at") == F.col("_lead")).alias("leads"), (F.col("_places") > 2).alias("many"))
-    asked = seen.join(firsts, F.col("mark") == F.col("_mark")).groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).agg(F.collect_list(spot).alias("spots"))  # at most one per word of the document
+    seen = spots.join(shared, "mark", "left_semi")
+    asked = seen.groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).agg(F.collect_list(F.struct("at", "mark")).alias("spots"))  # at most one per word of the document
     held = texts.join(asked, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_id", "_key", "spots", words(F.col("_text")).alias("ws"))
 
     def around(s: Column) -> Column:
-        at = s["at"]
-        left = F.reverse(F.slice("ws", F.greatest(at - (span - 1), F.lit(0)) + 1, F.least(at, F.lit(span - 1))))
-        return F.struct(
-            at.alias("at"), s["mark"].alias("mark"), F.xxhash64(F.lit(7), F.slice("ws", at + 1, F.lit(gram))).alias("check"), s["leads"].alias("leads"), s["many"].alias("many"),
-            F.array_join(left, " ").alias("left"), F.array_join(F.slice("ws", at + gram + 1, F.lit(span - 1)), " ").alias("right"))
+        at, before = s["at"], F.least(s["at"], F.lit(span - 1))
+        check, behind = F.xxhash64(F.lit(7), F.slice("ws", at + 1, F.lit(gram))), F.least(F.size("ws") - gram - at, F.lit(span - 1))
+        left, right = F.array_join(F.reverse(F.slice("ws", at - before + 1, before)), " "), F.array_join(F.slice("ws", at + gram + 1, behind), " ")
+        return F.struct(at.alias("at"), s["mark"].alias("mark"), check.alias("check"), left.alias("left"), right.alias("right"), before.alias("before"), behind.alias("behind"))
 
-    return held.select("_id", "_key", F.inline_outer(F.transform("spots", around)))
+    found = held.select("_id", "_key", F.inline_outer(F.transform("spots", around)))
+    whole = ["mark", "check", "left", "right"]
+    return found.withColumn("c1", F.xxhash64(*whole)).withColumn("c2", F.xxhash64(F.lit(7), *whole))
 
 
 def _list(text: str) -> Column:
@@ -115,36 +115,50 @@ def _agreed(a: str, b: str) -> Column:
     return F.when((F.col(a) == "") | (F.col(b) == ""), 0).otherwise(upto).cast("int")
 
 
-def _extended(found: DataFrame) -> DataFrame:
-    """Later places of marks, with ``l`` and ``r``: how far the words agree to the left and right with those at the mark's first place (-1: nowhere)."""
-    firsts = found.filter("leads").select(F.col("mark").alias("_mark"), F.col("check").alias("_check"), F.col("left").alias("_left"), F.col("right").alias("_right"))
-    pairs = found.filter("not leads").join(firsts, F.col("mark") == F.col("_mark"))
+def _extended(contexts: DataFrame) -> DataFrame:
+    """Contexts of marks but for each mark's first, with ``l`` and ``r``: how far the words agree to the left and right with the first (-1: nowhere)."""
+    leads = contexts.groupBy(F.col("mark").alias("_mark")).agg(F.min("lead").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
+    first = contexts.join(leads, (F.col("mark") == F.col("_mark")) & (F.col("lead") == F.col("_first"))).select(
+        "_mark", "_first", (F.col("_n") > 2).alias("many"), F.col("check").alias("_check"), F.col("left").alias("_left"), F.col("right").alias("_right"))
+    pairs = contexts.join(first, F.col("mark") == F.col("_mark")).filter(F.col("lead") != F.col("_first"))
     reach = lambda a, b: F.when(F.col("check") == F.col("_check"), _agreed(a, b)).otherwise(-1)
     side = lambda c: F.when(F.col("many"), F.col(c)).alias(c)
-    return pairs.select("_id", "_key", "at", "mark", "check", "many", side("left"), side("right"), reach("left", "_left").alias("l"), reach("right", "_right").alias("r"))
+    return pairs.select(
+        F.col("lead.id").alias("_id"), F.col("lead.key").alias("_key"), F.col("lead.at").alias("at"), "mark", "check", "many", side("left"), side("right"),
+        reach("left", "_left").alias("l"), reach("right", "_right").alias("r"))
 
 
 def _others(extended: DataFrame, min_words: int) -> DataFrame:
     """(_id, _key, pos, end, g1, g2): runs of ``min_words`` around a mark that do not stand at its first place, and may at two others.
 
     Equal runs agree with the first place equally far, so they all are here or
-    none is.  Those that go on to the left beyond what agrees share their next
-    word there, and so for the right; where no other place has it, the runs
-    are never made.  g1 and g2 identify a run.
+    none is.  A run with d words before its mark goes on beyond what agrees to
+    the left (d > l) or to the right, and has half of a span's words on one
+    side at least.  In each of these four cases its runs share a stretch
+    of words around the mark, the one beyond what agrees included; where no
+    other place has that stretch, they are never made.  g1 and g2 identify a run.
     """
     span, _ = window_shape(min_words)
+    half = span // 2
     rows = extended.filter("many").withColumn("lw", _list("left")).withColumn("rw", _list("right")).drop("left", "right", "many")
-    side = lambda name, ws, n: F.when(F.col(n) < F.size(ws), F.xxhash64("mark", "check", F.lit(name), F.slice(ws, F.lit(1), F.col(n) + 1)))
-    sides = rows.withColumn("s", F.explode(F.array(
-        F.struct(F.lit(True).alias("leftwards"), side("l", "lw", "l").alias("code")), F.struct(F.lit(False).alias("leftwards"), side("r", "rw", "r").alias("code")))))
-    sides = settle(sides.select("*", "s.*").drop("s").filter(F.col("code").isNotNull()))
+    l, r, zero = F.col("l"), F.col("r"), F.lit(0)
+    least, most = F.greatest(F.lit(span - 1) - F.size("rw"), zero), F.size("lw")  # what the text has room for
+
+    def case(name: str, low: Column, high: Column, left: Column, right: Column) -> Column:
+        code = F.xxhash64("mark", "check", F.lit(name), F.slice("lw", F.lit(1), left), F.slice("rw", F.lit(1), right))
+        return F.when(low <= high, F.struct(low.alias("low"), high.alias("high"), code.alias("code")))
+
+    cases = F.array(
+        case("left, mostly before", F.greatest(l + 1, F.lit(half), least), most, F.greatest(l + 1, F.lit(half)), zero),
+        case("left, mostly behind", F.greatest(l + 1, least), F.least(F.lit(half - 1), most), l + 1, F.lit(span - half)),
+        case("right, mostly before", F.greatest(F.lit(half), least), F.least(l, F.lit(span - 2) - r), F.lit(half), r + 1),
+        case("right, mostly behind", least, F.least(l, F.lit(half - 1), F.lit(span - 2) - r), zero, F.greatest(r + 1, F.lit(span - half))))
+    sides = rows.select("*", F.explode_outer(cases).alias("s")).select("*", "s.*").drop("s").filter(F.col("code").isNotNull())
+    sides = settle(sides.drop("l", "r"))
     twice = sides.groupBy("code").count().filter("count >= 2").select("code")
-    low = F.greatest(F.lit(span - 1) - F.size("rw"), F.when(F.col("leftwards"), F.col("l") + 1).otherwise(0))
-    high = F.least(F.size("lw"), F.when(F.col("leftwards"), F.lit(span - 1)).otherwise(F.least(F.col("l"), F.lit(span - 2) - F.col("r"))))
-    live = sides.join(twice, "code", "left_semi").withColumn("low", low).withColumn("high", high).filter("low <= high")
     d = F.col("d")  # words of the run before its mark
     parts = ["mark", "check", d, F.slice("lw", F.lit(1), d), F.slice("rw", F.lit(1), F.lit(span - 1) - d)]
-    runs = live.withColumn("d", F.explode(F.sequence("low", "high")))
+    runs = sides.join(twice, "code", "left_semi").withColumn("d", F.explode(F.sequence("low", "high")))
     return runs.select("_id", "_key", (F.col("at") - d).alias("pos"), (F.col("at") - d + (min_words - 1)).alias("end"), F.xxhash64(*parts).alias("g1"), F.xxhash64(F.lit(7), *parts).alias("g2"))
 
 
@@ -167,8 +181,9 @@ def _merged(later: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _key, runs): for each document the words [first, last] of passages that repeat an earlier one of ``min_words`` words or more.
 
-    Places are ordered by doc_id (null last), text key and word.  Each later
-    place of a mark is compared with its first, word by word both ways; what
+    Places are ordered by doc_id (null last), text key and word.  Places of a
+    mark with equal words all around repeat the first of them.  Each other
+    place is compared with the mark's first, word by word both ways; what
     agrees there is a repeat.  Runs around a mark that do not stand at its
     first place, but may at two later ones, are compared by their content.  So
     a repeat is found whichever two documents share it.
@@ -177,9 +192,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), F.xxhash64(F.lit(7), F.col(f"`{text}`")).alias("_key2"), F.col(f"`{text}`").alias("_text"))
     with short_lived_shuffles(docs.sparkSession):
         texts, copies = _by_text(keyed, min_words)
-        extended = settle(_extended(settle(_occurrences(texts, min_words))))
+        found = settle(_occurrences(texts, min_words))
+        contexts = settle(found.groupBy("mark", "check", "left", "right", "c1", "c2").agg(F.min(_place("at")).alias("lead"), F.count(F.lit(1)).alias("places")))
+        same = contexts.filter("places >= 2").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), "lead")
+        equal = found.filter(F.col("before") + gram + F.col("behind") >= min_words).join(same, (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2")))
+        equal = equal.filter(_place("at") != F.col("lead")).select("_id", "_key", (F.col("at") - F.col("before")).alias("pos"), (F.col("at") + (gram - 1) + F.col("behind")).alias("end"))
+        extended = settle(_extended(contexts))
         agreed = extended.filter(F.col("l") + gram + F.col("r") >= min_words).select("_id", "_key", (F.col("at") - F.col("l")).alias("pos"), (F.col("at") + (gram - 1) + F.col("r")).alias("end"))
-        runs = _merged(agreed.unionByName(_later(settle(_others(extended, min_words)))))
+        runs = _merged(equal.unionByName(agreed).unionByName(_later(settle(_others(extended, min_words)))))
         whole = copies.select("_id", "_key", F.array(F.struct(F.lit(0).alias("first"), (F.col("_n") - 1).alias("last"))).alias("runs"))
         return settle(runs.unionByName(whole))
 
