@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import BLANK, NOT_BLANK, content_key, words
-from tidewatch.session import settle, short_lived_shuffles
+from tidewatch.session import fresh_path, scratch_scope, settle, short_lived_shuffles
 
 MIN_WORDS = 50
 WORD_END = rf"(?<={NOT_BLANK})(?={BLANK})"
 
 
+def _settle_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """Settle what ``make`` returns; the tables that it settles on its way go."""
+    path = fresh_path(spark, "settled")
+    with scratch_scope(spark):
+        made = make()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def window_shape(min_words: int) -> tuple[int, int]:
     """(span, gram): of ``span`` words in a row one is picked, and the ``gram`` words from it on are a fingerprint; together ``min_words``.
 
@@ -153,12 +162,13 @@ def _others(extended: DataFrame, min_words: int) -> DataFrame:
         case("left, mostly behind", F.greatest(l + 1, least), F.least(F.lit(half - 1), most), l + 1, F.lit(span - half)),
         case("right, mostly before", F.greatest(F.lit(half), least), F.least(l, F.lit(span - 2) - r), F.lit(half), r + 1),
         case("right, mostly behind", least, F.least(l, F.lit(half - 1), F.lit(span - 2) - r), zero, F.greatest(r + 1, F.lit(span - half))))
-    sides = rows.select("*", F.explode_outer(cases).alias("s")).select("*", "s.*").drop("s").filter(F.col("code").isNotNull())
-    sides = settle(sides.drop("l", "r"))
+    sides = settle(rows.select("_id", "_key", "at", F.explode_outer(cases).alias("s")).select("_id", "_key", "at", "s.*").filter(F.col("code").isNotNull()))
     twice = sides.groupBy("code").count().filter("count >= 2").select("code")
+    live = sides.join(twice, "code", "left_semi").select(F.col("_id").alias("_lid"), F.col("_key").alias("_lkey"), F.col("at").alias("_lat"), "low", "high")
     d = F.col("d")  # words of the run before its mark
     parts = ["mark", "check", d, F.slice("lw", F.lit(1), d), F.slice("rw", F.lit(1), F.lit(span - 1) - d)]
-    runs = sides.join(twice, "code", "left_semi").withColumn("d", F.explode(F.sequence("low", "high")))
+    here = (F.col("_key") == F.col("_lkey")) & (F.col("at") == F.col("_lat")) & F.col("_id").eqNullSafe(F.col("_lid"))
+    runs = rows.join(live, here).withColumn("d", F.explode(F.sequence("low", "high")))
     return runs.select("_id", "_key", (F.col("at") - d).alias("pos"), (F.col("at") - d + (min_words - 1)).alias("end"), F.xxhash64(*parts).alias("g1"), F.xxhash64(F.lit(7), *parts).alias("g2"))
 
 
@@ -190,16 +200,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     """
     span, gram = window_shape(min_words)
     keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), F.xxhash64(F.lit(7), F.col(f"`{text}`")).alias("_key2"), F.col(f"`{text}`").alias("_text"))
-    with short_lived_shuffles(docs.sparkSession):
+    spark = docs.sparkSession
+    with short_lived_shuffles(spark):
         texts, copies = _by_text(keyed, min_words)
-        found = settle(_occurrences(texts, min_words))
+        found = _settle_alone(spark, lambda: _occurrences(texts, min_words))
         contexts = settle(found.groupBy("mark", "check", "left", "right", "c1", "c2").agg(F.min(_place("at")).alias("lead"), F.count(F.lit(1)).alias("places")))
         same = contexts.filter("places >= 2").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), "lead")
         equal = found.filter(F.col("before") + gram + F.col("behind") >= min_words).join(same, (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2")))
         equal = equal.filter(_place("at") != F.col("lead")).select("_id", "_key", (F.col("at") - F.col("before")).alias("pos"), (F.col("at") + (gram - 1) + F.col("behind")).alias("end"))
         extended = settle(_extended(contexts))
         agreed = extended.filter(F.col("l") + gram + F.col("r") >= min_words).select("_id", "_key", (F.col("at") - F.col("l")).alias("pos"), (F.col("at") + (gram - 1) + F.col("r")).alias("end"))
-        runs = _merged(equal.unionByName(agreed).unionByName(_later(settle(_others(extended, min_words)))))
+        runs = _merged(equal.unionByName(agreed).unionByName(_later(_settle_alone(spark, lambda: _others(extended, min_words)))))
         whole = copies.select("_id", "_key", F.array(F.struct(F.lit(0).alias("first"), (F.col("_n") - 1).alias("last"))).alias("runs"))
         return settle(runs.unionByName(whole))
 
