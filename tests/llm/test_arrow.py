@@ -75,14 +75,26 @@ def test_index_finds_all_links(spark):
     assert classes(len(codes), got) == classes(len(codes), want)
 
 
-def test_similar_texts_are_classed(spark):
+def test_first_of_each_class_stays(spark):
+    """The documents that stay are the first of each class that brute force connects."""
     rows = []
     for k in range(40):
-        words = prose(300 + k, 200).split()
-        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words[:100], "new", *words[101:]])), (10 * k + 2, " ".join([*words[:190], "x", "y"]))]
+        words = prose(300 + k, 400).split()
+        rows += [(10 * k + 2, " ".join(words)), (10 * k + 1, " ".join([*words[:100], "new", *words[101:]])), (10 * k, " ".join(words).upper() + "\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [brute_fingerprint(t) for _, t in rows]
+    comp = classes(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= 2])
+    least = {}
+    for (k, _), c in zip(rows, comp):
+        least[c] = min(least.get(c, k), k)
     kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect())
-    assert kept == [10 * k for k in range(40)]
+    assert kept == sorted(least.values()) and len(kept) < 80
+
+
+def test_classes_without_ids_stay_apart(spark):
+    docs = spark.createDataFrame([(None, prose(1, 60)), (None, prose(2, 60)), (None, prose(2, 60) + " "), (None, None), (7, "")], "doc_id long, text string")
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted(" ".join((r.text or "").split()) for r in kept) == sorted(["", prose(1, 60), prose(2, 60)])
 
 
 def test_one_of_each_class_stays(edge, nothing):

@@ -21,13 +21,7 @@ LEAF = 16  # fingerprints in a group of the block
 FAN_BITS = 4  # 16 children to a node
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LANES = np.uint64(0x0101010101010101)
-
-# Similarity search: a long fingerprint, cut into overlapping segments that are indexed one by one.
-SHINGLE, SIMILARITY = 5, 0.8
-WORDS = 3  # 64-bit words of the long fingerprint
-SEGMENTS, SEGMENT_BITS, SEGMENT_STEP = 16, 20, 12
-SEGMENT_DIFF = 1  # differing bits that a segment may have
-GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB  # constants of a common 64-bit mixer
+SHINGLE, MOST = 3, 2  # words of a shingle, differing bits of a link
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -68,19 +62,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def long_fingerprint(text: bytes, shingle: int) -> list[int]:
-    """SimHash of 192 bits: the same hashes, mixed anew for every word of it."""
-    hashes = shingle_hashes(text, shingle)
-    out = [majority(hashes)]
-    for k in range(1, WORDS):
-        x = hashes + np.uint64(GOLDEN * k % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_A)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_B)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
-
-
-def fingerprints(docs: DataFrame, columns: Sequence[str], shingle: int = 5, text: str = "text", out: str = "fingerprint") -> DataFrame:
+def fingerprints(docs: DataFrame, columns: Sequence[str], shingle: int = SHINGLE, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """The given columns and ``out``, the SimHash of the whole text over word shingles (repeats included)."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,27 +88,24 @@ def gray_code(rank: Column) -> Column:
     return plain.bitwiseXOR(F.shiftrightunsigned(plain, 1))
 
 
-def build_index(codes: DataFrame, code: str = "fp", carry: Sequence[str] = ()) -> tuple[DataFrame, int]:
-    """Codes -> leaf blocks (block, ones, some, and arrays), numbered from 0 in Gray order, and their number.
-
-    The arrays are the carried columns, or else the codes themselves.
+def build_index(codes: DataFrame, code: str = "fp") -> tuple[DataFrame, int]:
+    """Codes -> leaf blocks (block, ones, some, codes), numbered from 0 in Gray order, and their number.
 
     ``ones`` are the bits that all codes of a block have, ``some`` those that
     any has: where they agree, the bit is shared by the whole block.
     """
     order = settle(
-        codes.select(gray_rank(F.col(code)).alias("rank"), *carry).repartitionByRange("rank", *carry).sortWithinPartitions("rank", *carry)
-        .select("rank", *carry, F.spark_partition_id().alias("part"), F.expr(f"(monotonically_increasing_id() & {2**33 - 1}L) div {BLOCK}").alias("nth")))
+        codes.select(gray_rank(F.col(code)).alias("rank")).repartitionByRange("rank").sortWithinPartitions("rank")
+        .select("rank", F.spark_partition_id().alias("part"), F.expr(f"(monotonically_increasing_id() & {2**33 - 1}L) div {BLOCK}").alias("nth")))
     parts = order.groupBy("part").agg((F.max("nth") + 1).alias("n"))
-    arrays = [F.col(f"held.{c}").alias(c) for c in carry] or [F.transform("held", lambda x: gray_code(x["rank"])).alias("codes")]
     # One row per partition: bounded by the shuffle width, not by the data.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     blocks = (
         order.withColumn("code", gray_code(F.col("rank"))).groupBy("part", "nth")
-        .agg(F.expr("bit_and(code)").alias("ones"), F.expr("bit_or(code)").alias("some"), F.sort_array(F.collect_list(F.struct("rank", *carry))).alias("held"))
+        .agg(F.expr("bit_and(code)").alias("ones"), F.expr("bit_or(code)").alias("some"), F.sort_array(F.collect_list("rank")).alias("held"))
         .join(F.broadcast(bases), "part")
-        .select((F.col("base") + F.col("nth")).alias("block"), "ones", "some", *arrays))
+        .select((F.col("base") + F.col("nth")).alias("block"), "ones", "some", F.transform("held", gray_code).alias("codes")))
     return settle(blocks), parts.agg(F.sum("n")).first()[0] or 0
 
 
@@ -225,103 +204,16 @@ def links(codes: DataFrame, most: int, code: str = "fp") -> DataFrame:
     return tiles.mapInArrow(compare, "u long, v long")
 
 
-def tag_of(t: int) -> int:
-    """A segment's number, eight times over, above the bits of the segment."""
-    return sum(t << (SEGMENT_BITS + 5 * k) for k in range(8))
-
-
-def long_links(marks: DataFrame, most: int) -> DataFrame:
-    """(u, v): links between long fingerprints (w0, w1, w2) at ``most`` differing bits or fewer, named by their first words.
-
-    Each of 16 overlapping segments of 20 bits is a code of its own; its number
-    stands before it eight times over, so codes of different segments are never
-    near.  One index serves all of them.  Codes at one differing bit or none
-    are candidates, and the whole fingerprints decide in the same task; what a
-    pair of blocks links leaves it as a forest.
-    """
-    words = [f"w{k}" for k in range(WORDS)]
-
-    def segment(t: int) -> Column:
-        at, off = divmod(SEGMENT_STEP * t, 64)
-        low = F.shiftrightunsigned(words[at], off)
-        if off + SEGMENT_BITS > 64:
-            low = low.bitwiseOR(F.shiftleft(words[(at + 1) % WORDS], 64 - off))
-        return low.bitwiseAND(F.lit(2**SEGMENT_BITS - 1).cast("long")).bitwiseOR(F.lit(tag_of(t)).cast("long"))
-
-    codes = marks.select(*words, F.posexplode(F.array(*[segment(t) for t in range(SEGMENTS)])).alias("t", "code")).withColumn("t", F.col("t").cast("tinyint"))
-    blocks, n_blocks = build_index(codes, "code", ["t", *words])
-    pairs = block_pairs(blocks, n_blocks, SEGMENT_DIFF)
-    side = lambda x: blocks.select(F.col("block").alias(x), F.struct("t", *words).alias(f"side_{x}"))
-    tags = np.array([tag_of(t) for t in range(SEGMENTS)], np.uint64)
-
-    def unpack(side: pa.StructScalar) -> np.ndarray:
-        """The codes of a block, made anew from the fingerprints, and below them the fingerprints."""
-        t = side["t"].values.to_numpy(zero_copy_only=False).astype(np.int64)
-        w = np.stack([side[name].values.to_numpy(zero_copy_only=False).view(np.uint64) for name in words])
-        at, off = np.divmod(SEGMENT_STEP * t, 64)
-        each = np.arange(len(t))
-        low = w[at, each] >> off.astype(np.uint64)
-        over = off + SEGMENT_BITS > 64
-        low[over] |= w[(at[over] + 1) % WORDS, each[over]] << (64 - off[over]).astype(np.uint64)
-        return np.concatenate([((low & np.uint64(2**SEGMENT_BITS - 1)) | tags[t])[None], w])
-    tiles = pairs.join(side("a"), "a").join(side("b"), "b").select((F.col("a") == F.col("b")).alias("same"), "side_a", "side_b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x = unpack(batch.column(1)[k])
-                same = batch.column(0)[k].as_py()
-                y = x if same else unpack(batch.column(2)[k])
-                i, j = close_codes(x[0], y[0], SEGMENT_DIFF)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                near = np.bitwise_count(x[1:, i] ^ y[1:, j]).sum(axis=0, dtype=np.int64) <= most
-                i, j = i[near], j[near]
-                if not len(i):
-                    continue
-                both = x[1] if same else np.concatenate([x[1], y[1]])
-                kept = np.array(forest(i, j if same else j + x.shape[1], len(both)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[kept[:, c]].view(np.int64)) for c in (0, 1)], names=["u", "v"])
-
-    return tiles.mapInArrow(compare, "u long, v long")
-
-
-def similar_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text",
-                    carry: Sequence[str] = ()) -> DataFrame:
-    """One row per document: doc_id, the columns in ``carry``, and class_id, shared by documents that links of ``similarity`` connect.
-
-    Two texts link where at least that share of the 192 bits of their SimHash
-    over word shingles agrees.  For a pair at Jaccard 0.8 about 85 per cent of
-    the bits do; it is met in some segment 19 times out of 20, closer pairs
-    nearly always.  Equal fingerprints are one node.  Texts without words are
-    one class; repeated rows get the same answer.
-    """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("_text"))
-    kept = ["doc_id", *carry]
-    words = [f"w{k}" for k in range(WORDS)]
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
-            found = np.array([long_fingerprint(t.as_py() or b"", shingle) for t in texts], np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(found[:, k]) for k in range(WORDS)]], names=[*kept, *words])
-
-    marks = settle(rows.mapInArrow(mark, StructType([*rows.schema.fields[:-1], *[StructField(w, LongType()) for w in words]])))
-    most = int((1 - similarity) * 64 * WORDS)
-    stars = connected_components(long_links(marks.select(*words).distinct(), most).withColumn("s", F.lit(0)))
-    classes = settle(stars.select(F.col("u").alias("_code"), "comp"))
-    return marks.join(classes, marks["w0"] == classes["_code"], "left").select(*kept, F.coalesce("comp", "w0").alias("class_id"))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = 2, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per document: doc_id, fingerprint (long), component_id, and the columns named in ``carry``.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, the columns named in ``carry``, fingerprint (long), class_code (long) and component_id.
 
     A fingerprint has a bit where more than half of the hashes of the word
     shingles have it; a text with fewer words is one shingle, one without
     words (null, empty, blank) has fingerprint 0.  Fingerprints link at
     ``most`` differing bits or fewer, each distinct one once; component_id is
-    the smallest doc_id that links reach.  Null ids name no component unless
-    there is no other; repeated rows get the same answer.
+    the smallest doc_id that links reach and class_code a fingerprint that
+    names the class.  Null ids name no component, so one without other ids has
+    a null component_id; repeated rows get the same answer.
     """
     marked = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *[F.col(f"`{c}`") for c in carry if c != "doc_id"], F.col(f"`{text}`").alias("_body"))
     rest = [c for c in marked.columns if c != "_body"]
@@ -330,21 +222,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = 2, doc_id: st
     stars = connected_components(links(codes, most).withColumn("s", F.lit(0)))
     classes = codes.join(stars.select(F.col("u").alias("fp"), "comp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "least")
     names = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = settle(classes.join(names, "comp").select("fp", "component_id"))
-    return marks.join(named, marks["_mark"] == named["fp"]).select(*rest, F.col("_mark").alias("fingerprint"), "component_id")
+    named = settle(classes.join(names, "comp").select("fp", F.col("comp").alias("class_code"), "component_id"))
+    return marks.join(named, marks["_mark"] == named["fp"]).select(*rest, F.col("_mark").alias("fingerprint"), "class_code", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, one of each class of similar ones: that with the smallest doc_id (null last), then the smallest key of its whole row.
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, one of each class of ``near_duplicates``: that with the smallest doc_id (null last), then the smallest key of its whole row.
 
-    Rows that agree in every column count once.  Whole rows are shuffled once,
-    by (doc_id, row key), where no group of copies meets in one task.
+    Texts without words are one class.  Rows that agree in every column count
+    once.  Whole rows are shuffled once, by (doc_id, row key), where no group
+    of copies meets in one task.
     """
     columns = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{doc_id}`").alias("_id"),
                         F.col(f"`{text}`").alias("_text"), content_key(*[F.col(f"`{c}`") for c in columns]).alias("_key"))
-    found = similar_classes(keyed, shingle, similarity, "_id", "_text", ["_key"])
+    found = near_duplicates(keyed, shingle, most, "_id", "_text", ["_key"])
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_kid"), F.col("_key").alias("_kkey"))
-    winners = found.groupBy("class_id").agg(F.min(order).alias("w")).select("w._kid", "w._kkey")
+    winners = found.groupBy("class_code").agg(F.min(order).alias("w")).select("w._kid", "w._kkey")
     once = keyed.select("row", "_id", "_key").dropDuplicates(["_id", "_key"])
     return once.join(winners, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_key") == F.col("_kkey")), "left_semi").select("row.*")
