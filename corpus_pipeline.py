@@ -38,8 +38,8 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, a fingerprint similarity of 0.8 or more."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates stays: three-word shingles, two or fewer differing bits of the fingerprint."""
+    return simhash.drop_near_duplicates(docs, shingle=3, most=2)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
