@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import textwrap
 import unicodedata
 from collections import Counter
 
@@ -221,6 +222,29 @@ def test_licences(edge, nothing, spark):
     assert licenses.scan_licences(nothing, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("width", [34, 50, 66, 90])
+def test_wrapped_licences(spark, width):
+    """Every notice wrapped over comment lines between prose is found with its family and no other, on its lines."""
+    rows, want = [], {}
+    for family, texts in licenses.TEMPLATES.items():
+        for k, text in enumerate(texts):
+            wrapped = ["# " + line for line in textwrap.wrap(text, width)]
+            rows.append((f"{family} {k}", "\n".join([prose(1, 12), *wrapped, prose(2, 12)])))
+            want[f"{family} {k}"] = [family]
+    got = licenses.scan_licences(spark.createDataFrame(rows, "doc_id string, text string"), ["doc_id"]).collect()
+    assert {r.doc_id: r.licences for r in got} == want
+    assert all(len([n for n in r.notices if n.confirmed]) == 1 and r.n_paragraphs <= 6 for r in got)
+
+
+def test_notices_in_a_row_stay_apart(spark):
+    lines = ["Released under the MIT License.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: Apache-2.0", "Licensed under CC BY-NC 4.0.", "",
+             "This program is free software; you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+             "the Free Software Foundation; either version 2 of the License, or", "(at your option) any later version."]
+    row = licenses.scan_licences(spark.createDataFrame([("\n".join(lines),)], "text string"), []).first()
+    assert [(n.line, n.last_line, n.family) for n in row.notices] == [(0, 0, "mit"), (1, 1, "cc-by-sa"), (2, 2, "apache-2.0"), (3, 3, "cc-by-nc"), (5, 8, "gpl-2.0")]
+    assert row.n_paragraphs == 5
+
+
 def test_licence_variants():
     """Held-out variants of every template: lost words, words around it."""
     model = licenses.fit_licences()

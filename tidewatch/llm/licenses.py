@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+        "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0", "This project is released under the Apache 2.0 license.", "Apache License Version 2.0, January 2004"),
     "mit": (
         "Released under the MIT License.", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)",
@@ -38,10 +41,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "either version 2 of the License, or (at your option) any later version.", "GNU General Public License Version 2, June 1991"),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-or-later",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version."),
     "agpl-3.0": (
         "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only",
-        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version."),
     "bsd": (
         "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD license.", "BSD 2-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -89,6 +94,44 @@ class LicenceModel:
     templates: list[tuple[str, frozenset[str]]]
     words: frozenset[str]
 
+    def __post_init__(self) -> None:
+        self.holders: dict[str, list[int]] = {}
+        for k, (_, grams) in enumerate(self.templates):
+            for g in grams:
+                self.holders.setdefault(g, []).append(k)
+
+    def explained(self, words: Sequence[str]) -> float:
+        """The largest share of a template's n-grams that these words hold."""
+        shared = Counter(k for g in ngrams(words) for k in self.holders.get(g, ()))
+        return max((n / len(self.templates[k][1]) for k, n in shared.items()), default=0.0)
+
+    def paragraphs(self, lines: Sequence[str]) -> Iterator[tuple[int, int, list[str]]]:
+        """(first line, last line, words) of the paragraphs that hold a word of a template.
+
+        A line is joined to the lines before it where both hold template words
+        and together explain a template better than either explains any.  So a
+        notice that is wrapped over lines becomes one paragraph, whole notices
+        on lines of their own stay apart, and prose around them is not joined.
+        A template's word that was broken at a hyphen is put together on the second line.
+        """
+        rows = [WORD.findall(line.lower()) for line in lines]
+        for k in range(1, len(rows)):
+            if rows[k] and rows[k - 1] and lines[k - 1].rstrip().endswith("-") and (whole := f"{rows[k - 1][-1]}-{rows[k][0]}") in self.words:
+                rows[k - 1][-1:], rows[k] = [], [whole, *rows[k][1:]]
+        first, last, held, share = 0, -1, [], 0.0
+        for k, words in enumerate(rows):
+            if self.words.isdisjoint(words):
+                continue
+            alone = self.explained(words)
+            if held and last == k - 1 and max(share, alone) < (both := self.explained(held + words)):
+                last, held, share = k, held + words, both
+                continue
+            if held:
+                yield first, last, held
+            first, last, held, share = k, k, words, alone
+        if held:
+            yield first, last, held
+
     def classify(self, paragraph: Sequence[str]) -> tuple[str, float, bool]:
         """(family or unknown, calibrated probability, confirmed by a template) of one paragraph's words."""
         grams = ngrams(paragraph)
@@ -154,11 +197,13 @@ def fit_licences(templates: dict[str, Sequence[str]] = TEMPLATES, others: Sequen
 def scan_licences(docs: DataFrame, columns: Sequence[str], model: LicenceModel | None = None, text: str = "text") -> DataFrame:
     """``columns`` of the documents, n_paragraphs, licences, n_licensed, probability, confirmed, and the matched paragraphs.
 
-    Every line with a word is a paragraph and is classified.  One that holds no
-    word of any template has the probabilities of an empty one, which is
-    unknown, so it is passed over at once.  ``licences`` lists the families
-    that a template confirms, ``notices`` each paragraph that a family was found in (line from 0,
-    family, calibrated probability, confirmed by template comparison);
+    A paragraph is a line with a word, or lines in a row that together explain
+    a template better than each part explains any: a notice wrapped over them.
+    Each is classified.  One that holds no word of any template has the
+    probabilities of an empty one, which is unknown, so it is passed over at
+    once.  ``licences`` lists the families that a template confirms,
+    ``notices`` each paragraph that a family was found in (line and last line
+    from 0, family, calibrated probability, confirmed by template comparison);
     ``probability`` is the highest of them and ``confirmed`` says whether a
     template confirms one.  Null and empty texts have no paragraphs and no
     licence; columns of the same names are replaced.  The model is fixed in
@@ -170,21 +215,20 @@ def scan_licences(docs: DataFrame, columns: Sequence[str], model: LicenceModel |
     kept = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("_body"))
     parts = (model.families, model.place, model.weights, model.bias, model.temperature, model.templates, model.words)
     shared = docs.sparkSession.sparkContext.broadcast(parts)
-    notice = StructType([StructField("line", LongType()), StructField("family", StringType()), StructField("probability", DoubleType()), StructField("confirmed", BooleanType())])
+    notice = StructType([StructField("line", LongType()), StructField("last_line", LongType()), StructField("family", StringType()), StructField("probability", DoubleType()), StructField("confirmed", BooleanType())])
     fields = [StructField("n_paragraphs", LongType()), StructField("notices", ArrayType(notice))]
-    arrow = pa.list_(pa.struct([("line", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
+    arrow = pa.list_(pa.struct([("line", pa.int64()), ("last_line", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
 
     def scan(model: LicenceModel, body: str) -> tuple[int, list[dict]]:
         lines = body.split("\n")
         n, found = sum(1 for line in lines if line.split()), []
         if model.words.isdisjoint(WORD.findall(body.lower())):
             return n, found
-        for k, line in enumerate(lines):
-            words = WORD.findall(line.lower())
-            if not model.words.isdisjoint(words):
-                family, p, confirmed = model.classify(words)
-                if family != UNKNOWN:
-                    found.append({"line": k, "family": family, "probability": p, "confirmed": confirmed})
+        for first, last, words in model.paragraphs(lines):
+            n -= last - first
+            family, p, confirmed = model.classify(words)
+            if family != UNKNOWN:
+                found.append({"line": first, "last_line": last, "family": family, "probability": p, "confirmed": confirmed})
         return n, found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
