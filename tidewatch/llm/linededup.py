@@ -87,29 +87,54 @@ def _by_text(keyed: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     return texts, copies.filter(F.col("_n") >= min_words)
 
 
+def _at_words(texts: DataFrame, spots: DataFrame, *cols: str) -> DataFrame:
+    """(_id, _key, ws, spots): the words of the documents that have spots, and these as an array of ``cols``."""
+    asked = spots.groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).agg(F.collect_list(F.struct(*cols)).alias("spots"))  # at most one per word of the document
+    return texts.join(asked, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_id", "_key", "spots", words(F.col("_text")).alias("ws"))
+
+
 def _occurrences(texts: DataFrame, min_words: int) -> DataFrame:
-    """(_id, _key, at, mark, check, left, right, before, behind, c1, c2): where marks stand that are found twice or more, and the words around them.
+    """(_id, _key, at, mark, before, behind, c1, c2): where marks stand that are found twice or more, and the words around them.
 
-    ``left`` (nearest word first) and ``right`` hold as many words as a run of
-    ``min_words`` around the mark can reach, ``before`` and ``behind`` say how
-    many; c1 and c2 identify all of these words.
+    ``before`` and ``behind`` say how many words there are, up to those that a
+    run of ``min_words`` around the mark can reach; c1 and c2 identify all of
+    them, by two independent 64-bit hashes.
     """
     span, gram = window_shape(min_words)
     spots = settle(winnow(texts, min_words)).select("_id", "_key", F.inline("marks"))
     shared = spots.groupBy("mark").count().filter("count >= 2").select("mark")
-    seen = spots.join(shared, "mark", "left_semi")
-    asked = seen.groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).agg(F.collect_list(F.struct("at", "mark")).alias("spots"))  # at most one per word of the document
-    held = texts.join(asked, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_id", "_key", "spots", words(F.col("_text")).alias("ws"))
+
+    def around(s: Column) -> Column:
+        at, before = s["at"], F.least(s["at"], F.lit(span - 1))
+        behind = F.least(F.size("ws") - gram - at, F.lit(span - 1))
+        context = F.slice("ws", at - before + 1, before + gram + behind)
+        return F.struct(at.alias("at"), s["mark"].alias("mark"), before.alias("before"), behind.alias("behind"), F.xxhash64(before, context).alias("c1"), F.xxhash64(F.lit(7), before, context).alias("c2"))
+
+    held = _at_words(texts, spots.join(shared, "mark", "left_semi"), "at", "mark")
+    return held.select("_id", "_key", F.inline_outer(F.transform("spots", around)))
+
+
+def _contexts(texts: DataFrame, leads: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _key, at, mark, main, many, check, left, right): the words around each mark that stands in two contexts or more.
+
+    A context is given once, at its first place.  ``left`` (nearest word first)
+    and ``right`` hold its words, ``check`` is a second hash of the mark's own,
+    ``main`` says which context of the mark has most places (of equals the
+    first), and ``many`` that there are more than two.
+    """
+    span, gram = window_shape(min_words)
+    rank = F.struct((-F.col("places")).alias("less"), "lead")
+    several = leads.groupBy("mark").agg(F.min(rank)["lead"].alias("_main"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
+    spots = leads.join(several, "mark").select(
+        F.col("lead.id").alias("_id"), F.col("lead.key").alias("_key"), F.col("lead.at").alias("at"), "mark", (F.col("lead") == F.col("_main")).alias("main"), (F.col("_n") > 2).alias("many"))
 
     def around(s: Column) -> Column:
         at, before = s["at"], F.least(s["at"], F.lit(span - 1))
         check, behind = F.xxhash64(F.lit(7), F.slice("ws", at + 1, F.lit(gram))), F.least(F.size("ws") - gram - at, F.lit(span - 1))
         left, right = F.array_join(F.reverse(F.slice("ws", at - before + 1, before)), " "), F.array_join(F.slice("ws", at + gram + 1, behind), " ")
-        return F.struct(at.alias("at"), s["mark"].alias("mark"), check.alias("check"), left.alias("left"), right.alias("right"), before.alias("before"), behind.alias("behind"))
+        return F.struct(*[s[c].alias(c) for c in ("at", "mark", "main", "many")], check.alias("check"), left.alias("left"), right.alias("right"))
 
-    found = held.select("_id", "_key", F.inline_outer(F.transform("spots", around)))
-    whole = ["mark", "check", "left", "right"]
-    return found.withColumn("c1", F.xxhash64(*whole)).withColumn("c2", F.xxhash64(F.lit(7), *whole))
+    return _at_words(texts, spots, "at", "mark", "main", "many").select("_id", "_key", F.inline_outer(F.transform("spots", around)))
 
 
 def _list(text: str) -> Column:
@@ -125,22 +150,39 @@ def _agreed(a: str, b: str) -> Column:
 
 
 def _extended(contexts: DataFrame) -> DataFrame:
-    """Contexts of marks but for each mark's first, with ``l`` and ``r``: how far the words agree to the left and right with the first (-1: nowhere)."""
-    leads = contexts.groupBy(F.col("mark").alias("_mark")).agg(F.min("lead").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
-    first = contexts.join(leads, (F.col("mark") == F.col("_mark")) & (F.col("lead") == F.col("_first"))).select(
-        "_mark", "_first", (F.col("_n") > 2).alias("many"), F.col("check").alias("_check"), F.col("left").alias("_left"), F.col("right").alias("_right"))
-    pairs = contexts.join(first, F.col("mark") == F.col("_mark")).filter(F.col("lead") != F.col("_first"))
+    """The contexts with ``l`` and ``r``: how far the words agree to the left and right with the mark's main context (-1: nowhere)."""
+    main = contexts.filter("main").select(F.col("mark").alias("_mark"), F.col("check").alias("_check"), F.col("left").alias("_left"), F.col("right").alias("_right"))
+    pairs = contexts.join(main, F.col("mark") == F.col("_mark"))
     reach = lambda a, b: F.when(F.col("check") == F.col("_check"), _agreed(a, b)).otherwise(-1)
-    side = lambda c: F.when(F.col("many"), F.col(c)).alias(c)
-    return pairs.select(
-        F.col("lead.id").alias("_id"), F.col("lead.key").alias("_key"), F.col("lead.at").alias("at"), "mark", "check", "many", side("left"), side("right"),
-        reach("left", "_left").alias("l"), reach("right", "_right").alias("r"))
+    side = lambda c: F.when(F.col("many") & ~F.col("main"), F.col(c)).alias(c)
+    return pairs.select("_id", "_key", "at", "mark", "check", "main", "many", side("left"), side("right"), reach("left", "_left").alias("l"), reach("right", "_right").alias("r"))
+
+
+def _agreeing(extended: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _key, pos, end): what repeats an earlier place among the runs that agree with their mark's main context.
+
+    A run is named by its mark and the number d of words before it.  A context
+    has those with d from span - 1 - r to l, so the first place of each d
+    follows from the first place of each (l, r), of which a mark has at most
+    span * span.  Runs around one mark overlap, so those that go are one stretch.
+    """
+    span, _ = window_shape(min_words)
+    most = span - 1
+    fits = extended.filter(F.col("l") + F.col("r") >= most).select("_id", "_key", "at", "mark", "l", "r")
+    tops = fits.groupBy("mark", "l", "r").agg(F.min(_place("at")).alias("place"))
+    listed = tops.groupBy("mark").agg(F.collect_list(F.struct("l", "r", "place")).alias("tops"))
+    first = lambda d: F.array_min(F.transform(F.filter("tops", lambda x: (x["l"] >= d) & (x["r"] >= most - d)), lambda x: x["place"]))
+    firsts = listed.select(F.col("mark").alias("_mark"), F.transform(F.sequence(F.lit(0), F.lit(most)), first).alias("firsts"))
+    own = F.sequence(F.greatest(F.lit(most) - F.col("r"), F.lit(0)), F.least(F.col("l"), F.lit(most)))
+    later = fits.join(firsts, F.col("mark") == F.col("_mark")).withColumn("_place", _place("at"))
+    later = later.withColumn("ds", F.filter(own, lambda d: F.get("firsts", d) != F.col("_place"))).filter(F.size("ds") > 0)
+    return later.select("_id", "_key", (F.col("at") - F.array_max("ds")).alias("pos"), (F.col("at") - F.array_min("ds") + (min_words - 1)).alias("end"))
 
 
 def _others(extended: DataFrame, min_words: int) -> DataFrame:
-    """(_id, _key, pos, end, g1, g2): runs of ``min_words`` around a mark that do not stand at its first place, and may at two others.
+    """(_id, _key, pos, g1, g2): runs of ``min_words`` around a mark that do not stand in its main context, and may in two others.
 
-    Equal runs agree with the first place equally far, so they all are here or
+    Equal runs agree with the main context equally far, so they all are here or
     none is.  A run with d words before its mark goes on beyond what agrees to
     the left (d > l) or to the right, and has half of a span's words on one
     side at least.  In each of these four cases its runs share a stretch
@@ -149,7 +191,7 @@ def _others(extended: DataFrame, min_words: int) -> DataFrame:
     """
     span, _ = window_shape(min_words)
     half = span // 2
-    rows = extended.filter("many").withColumn("lw", _list("left")).withColumn("rw", _list("right")).drop("left", "right", "many")
+    rows = extended.filter("many AND NOT main").withColumn("lw", _list("left")).withColumn("rw", _list("right")).drop("left", "right", "many", "main")
     l, r, zero = F.col("l"), F.col("r"), F.lit(0)
     least, most = F.greatest(F.lit(span - 1) - F.size("rw"), zero), F.size("lw")  # what the text has room for
 
@@ -169,13 +211,13 @@ def _others(extended: DataFrame, min_words: int) -> DataFrame:
     parts = ["mark", "check", d, F.slice("lw", F.lit(1), d), F.slice("rw", F.lit(1), F.lit(span - 1) - d)]
     here = (F.col("_key") == F.col("_lkey")) & (F.col("at") == F.col("_lat")) & F.col("_id").eqNullSafe(F.col("_lid"))
     runs = rows.join(live, here).withColumn("d", F.explode(F.sequence("low", "high")))
-    return runs.select("_id", "_key", (F.col("at") - d).alias("pos"), (F.col("at") - d + (min_words - 1)).alias("end"), F.xxhash64(*parts).alias("g1"), F.xxhash64(F.lit(7), *parts).alias("g2"))
+    return runs.select("_id", "_key", (F.col("at") - d).alias("pos"), F.xxhash64(*parts).alias("g1"), F.xxhash64(F.lit(7), *parts).alias("g2"))
 
 
-def _later(runs: DataFrame) -> DataFrame:
+def _later(runs: DataFrame, min_words: int) -> DataFrame:
     """(_id, _key, pos, end) of the runs whose content also stands at an earlier place."""
     firsts = runs.groupBy("g1", "g2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
-    return runs.join(firsts, ["g1", "g2"]).filter(_place() != F.col("first")).select("_id", "_key", "pos", "end")
+    return runs.join(firsts, ["g1", "g2"]).filter(_place() != F.col("first")).select("_id", "_key", "pos", (F.col("pos") + (min_words - 1)).alias("end"))
 
 
 def _merged(later: DataFrame) -> DataFrame:
@@ -192,11 +234,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     """(_id, _key, runs): for each document the words [first, last] of passages that repeat an earlier one of ``min_words`` words or more.
 
     Places are ordered by doc_id (null last), text key and word.  Places of a
-    mark with equal words all around repeat the first of them.  Each other
-    place is compared with the mark's first, word by word both ways; what
-    agrees there is a repeat.  Runs around a mark that do not stand at its
-    first place, but may at two later ones, are compared by their content.  So
-    a repeat is found whichever two documents share it.
+    mark with equal words all around are one context and repeat the first of
+    them.  Each context is compared, word by word both ways, with the mark's
+    main one, that of most places; of what agrees, all but the first place is
+    a repeat.  Runs that do not stand in the main context, but may in two
+    others, are compared by their content.  So a repeat is found whichever two
+    documents share it.
     """
     span, gram = window_shape(min_words)
     keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"), F.xxhash64(F.lit(7), F.col(f"`{text}`")).alias("_key2"), F.col(f"`{text}`").alias("_text"))
@@ -204,13 +247,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     with short_lived_shuffles(spark):
         texts, copies = _by_text(keyed, min_words)
         found = _settle_alone(spark, lambda: _occurrences(texts, min_words))
-        contexts = settle(found.groupBy("mark", "check", "left", "right", "c1", "c2").agg(F.min(_place("at")).alias("lead"), F.count(F.lit(1)).alias("places")))
-        same = contexts.filter("places >= 2").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), "lead")
+        leads = settle(found.groupBy("mark", "c1", "c2").agg(F.min(_place("at")).alias("lead"), F.count(F.lit(1)).alias("places")))
+        same = leads.filter("places >= 2").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), "lead")
         equal = found.filter(F.col("before") + gram + F.col("behind") >= min_words).join(same, (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2")))
         equal = equal.filter(_place("at") != F.col("lead")).select("_id", "_key", (F.col("at") - F.col("before")).alias("pos"), (F.col("at") + (gram - 1) + F.col("behind")).alias("end"))
-        extended = settle(_extended(contexts))
-        agreed = extended.filter(F.col("l") + gram + F.col("r") >= min_words).select("_id", "_key", (F.col("at") - F.col("l")).alias("pos"), (F.col("at") + (gram - 1) + F.col("r")).alias("end"))
-        runs = _merged(equal.unionByName(agreed).unionByName(_later(_settle_alone(spark, lambda: _others(extended, min_words)))))
+        extended = _settle_alone(spark, lambda: _extended(settle(_contexts(texts, leads, min_words))))
+        others = _settle_alone(spark, lambda: _others(extended, min_words))
+        runs = _merged(equal.unionByName(_agreeing(extended, min_words)).unionByName(_later(others, min_words)))
         whole = copies.select("_id", "_key", F.array(F.struct(F.lit(0).alias("first"), (F.col("_n") - 1).alias("last"))).alias("runs"))
         return settle(runs.unionByName(whole))
 
