@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog import streams as S
 from tidewatch.operators.results import alarm_lines
+from tidewatch.operators.templates import first_seen_template
 from tidewatch.plans.detect import fit_detector
 from tidewatch.session import fresh_path
 from tidewatch.sources.logs import read_events
 from tidewatch.sources.sinks import read_results
 from tidewatch.streaming import detect as SD
 from tidewatch.streaming import features as SF
+from tidewatch.streaming import state as ST
 
 
 def test_late_rows_are_dropped_and_counted(spark, sf):
@@ -46,3 +48,16 @@ def test_alarms_use_the_raw_table(spark, sf, tmp_path):
     want = alarm_lines(results, logs, "1 day").select("line")
     got = spark.read.text(f"{alarms}/*")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_first_sightings_bring_their_state_store(spark, sf):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before, plain = spark.conf.get(key), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(key, plain)
+    try:
+        out = S._sightings(spark, sf)
+        assert spark.conf.get(key) == plain
+    finally:
+        spark.conf.set(key, before)
+    found = {(r.template, r.event_id) for r in ST.read_first_sightings(spark, out).collect()}
+    assert found == {(r.template, r.event_id) for r in first_seen_template(read_events(spark, sf)).collect()}

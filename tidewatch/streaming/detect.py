@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from tidewatch.operators.latency import latency_stage_split
 from tidewatch.operators.results import alarm_lines, results_rates
 from tidewatch.plans.detect import DetectorModel, score_windows
-from tidewatch.session import scratch_scope
+from tidewatch.session import scratch_scope, session_settings
 from tidewatch.sources.logs import decode_json_logs, split_corrupt
 from tidewatch.sources.sinks import upsert_results, write_alarms, write_by_date
 from tidewatch.streaming.features import WATERMARK, stream_features, stream_volume
@@ -56,11 +56,12 @@ def progress_totals(spark: SparkSession) -> ProgressTotals:
 
 
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update",
-               every: str | None = None, state_partitions: int | None = None) -> StreamingQuery:
+               every: str | None = None, state_partitions: int | None = None, settings: Mapping[str, str] | None = None) -> StreamingQuery:
     """Start a query that hands micro-batches to ``handle``.
 
     The number of state partitions is fixed for the life of a checkpoint; the
     default is one per core the cluster offers, whatever batch jobs use.
+    ``settings`` are further session settings that the query needs.
 
     ``every`` = processing-time trigger; without it, what is available is
     drained and the query ends.  Offsets live in the checkpoint; a batch that
@@ -69,13 +70,9 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
     progress_totals(stream.sparkSession)
     writer = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
-    before = conf.get(key)
-    conf.set(key, state_partitions or stream.sparkSession.sparkContext.defaultParallelism)
-    try:
+    width = state_partitions or stream.sparkSession.sparkContext.defaultParallelism
+    with session_settings(stream.sparkSession, {"spark.sql.shuffle.partitions": str(width), **(settings or {})}):
         return writer.start()  # the query runs in its own copy of the session
-    finally:
-        conf.set(key, before)
 
 
 def result_rows(scored: DataFrame, features: DataFrame, width: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tidewatch.operators.templates import with_template
 from tidewatch.operators.windows import group_by_window
+from tidewatch.session import STATE_STORE
 from tidewatch.streaming.detect import each_batch
 
 SIGHTING = "template string, us long, event_id long, final boolean"
@@ -79,9 +80,12 @@ def first_sightings(logs: DataFrame, watermark: str | None = None) -> DataFrame:
 
 
 def start_first_sightings(logs: DataFrame, path: str, checkpoint: str, watermark: str | None = None, every: str | None = None) -> StreamingQuery:
-    """Changes of first sightings to a table, one folder per batch; replaying a batch rewrites its folder."""
+    """Changes of first sightings to a table, one folder per batch; replaying a batch rewrites its folder.
+
+    Values and timers need RocksDB state, so the query brings that setting along, whatever the session has.
+    """
     handle = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")
-    return each_batch(first_sightings(logs, watermark), handle, checkpoint, "update", every)
+    return each_batch(first_sightings(logs, watermark), handle, checkpoint, "update", every, settings=STATE_STORE)
 
 
 def read_first_sightings(spark: SparkSession, path: str) -> DataFrame:
