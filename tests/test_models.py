@@ -256,6 +256,23 @@ def test_blocks_travel_once_per_tile(spark):
     assert wanted.count() == 8 * 8 + 28 * 16  # 8 tiles on the diagonal, 28 beside it
 
 
+def test_travels_of_a_block_do_not_grow_with_the_blocks(spark):
+    travels = lambda bits: B.deal_tiles(spark.range(1 << bits).select(F.col("id").alias("a")).join(
+        spark.range(1 << bits).select(F.col("id").alias("b")), F.expr("a <= b")), B.tile_width(bits, 4))[1].count() / (1 << bits)
+    assert travels(9) == travels(10) <= 33
+
+
+@pytest.mark.parametrize("rows", [2, 32])
+def test_nodes_of_small_blocks_are_compared_whole(spark, rows):
+    """Pairs stop at nodes of up to 512 rows, and links between the blocks inside a node are not lost."""
+    x = np.random.default_rng(11).normal(0, 1, (700, 3))
+    space = space_of(spark, x, rows)
+    assert 0 < space.floor and rows << B.FAN_BITS * space.floor <= B.BLOCK_ROWS
+    assert {r.level for r in B.block_pairs(space, 0.5, 0.5).filter("not full").collect()} <= {space.floor}
+    small, large = ({r.id: r.label for r in D.dbscan_fit(frame(spark, x), 0.5, 6, "id", "vec", block_rows=n).collect()} for n in (rows, 512))
+    assert small == large
+
+
 def brute_contact(fresh, cores, labels, eps):
     d = np.sqrt(((fresh[:, None] - cores[None]) ** 2).sum(2)) <= eps
     return [int(labels[row].min()) if row.any() else -1 for row in d]

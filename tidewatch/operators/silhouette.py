@@ -22,23 +22,27 @@ def silhouette_values(points: DataFrame, id_col: str, vec_col: str, label_col: s
     dims = space.dims
 
     def kernel(frames):
+        """Distance sums of every row to every label that the frame holds."""
         for pdf in frames:
-            out = []
+            held: dict[int, tuple] = {}
+
+            def add(node, ids, dist, groups, member):
+                mine = held.setdefault(node, (longs(ids), {}))[1]
+                for g, sums in zip(groups, (dist @ member).T):
+                    mine[g] = mine[g] + sums if g in mine else sums
+
             for r in pdf.itertuples(index=False):
                 d = np.sqrt(sq_distances(matrix(r.mat_a, dims), matrix(r.mat_b, dims)))
                 if r.a == r.b:
                     np.fill_diagonal(d, 0.0)
-                ta, tb, ia, ib = longs(r.tags_a), longs(r.tags_b), longs(r.ids_a), longs(r.ids_b)
-                for dist, other, ids in [(d, tb, ia)] + ([(d.T, ta, ib)] if r.a != r.b else []):
-                    groups, code = np.unique(other, return_inverse=True)
-                    sums = dist @ np.eye(len(groups))[code]
-                    out.append(pd.DataFrame({"id": np.repeat(ids, len(groups)), "other": np.tile(groups, len(ids)), "d": sums.ravel()}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                for node, ids, dist, tags in [(r.a, r.ids_a, d, r.tags_b)] + ([(r.b, r.ids_b, d.T, r.tags_a)] if r.a != r.b else []):
+                    groups, code = np.unique(longs(tags), return_inverse=True)
+                    add(node, ids, dist, groups.tolist(), np.eye(len(groups))[code])
+            for ids, sums in held.values():
+                yield pd.DataFrame({"id": np.tile(ids, len(sums)), "other": np.repeat(np.fromiter(sums, np.int64, len(sums)), len(ids)), "d": np.concatenate(list(sums.values()))})
 
     sums = (
-        compare_rows(block_pairs(space, -1.0, float("inf")), space.packed, ["mat", "tags", "ids"], kernel, "id long, other long, d double",
-                     lambda t: t.groupby(["id", "other"], as_index=False).sum())
+        compare_rows(space, block_pairs(space, -1.0, float("inf")), space.packed, ["mat", "tags", "ids"], kernel, "id long, other long, d double")
         .groupBy("id", "other").agg(F.sum("d").alias("d")))
     sizes = rows.groupBy(F.col("tag").alias("other")).agg(F.count(F.lit(1)).alias("n"))
     full = sums.join(sizes, "other").join(rows.select("id", "tag"), "id")
