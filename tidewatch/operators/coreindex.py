@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.blocks import (
-    BLOCK_ROWS, BOUNDS, FAN_BITS, Frame, box_gap2, box_reach2, build_blocks, pack_blocks, parent_nodes)
+    BLOCK_ROWS, BOUNDS, FAN_BITS, Frame, box_gap2, box_reach2, build_blocks, number_blocks, pack_blocks, parent_nodes, tile_width)
 from tidewatch.operators.dbscan import NOISE, collapse_copies
 from tidewatch.operators.kernels import longs, matrix, sq_distances
 from tidewatch.session import fresh_path, settle
@@ -103,17 +103,46 @@ def near_shelves(asked: DataFrame, index: CoreIndex, eps: float) -> DataFrame:
     return settle(active.select("a", "node", "full", "tag"))
 
 
-def _contact_kernel(eps: float, dims: int):
-    def run(frames):
-        far = np.iinfo(np.int64).max
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                hit = sq_distances(matrix(r.mat_a, dims), matrix(r.mat_b, dims), (eps,)) <= eps * eps
-                best = np.where(hit, longs(r.tags_b)[None, :], far).min(1, initial=far)
-                out.append(pd.DataFrame({"id": longs(r.ids_a)[best < far], "label": best[best < far]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+def _contact_tiles(eps: float, dims: int, block_rows: int):
+    """Smallest label near each row of a tile's new blocks.
+
+    Blocks are met in the order of their smallest label; a row that already has
+    a smaller one is not compared.
+    """
+    step = max(1, BLOCK_ROWS // block_rows)
+    far = np.iinfo(np.int64).max
+
+    def run(pairs, blocks):
+        bounds = lambda rows, c: np.stack(rows[c].to_numpy()).astype(np.float64)
+        shelves = {}
+        for shelf, part in blocks[blocks["stored"]].groupby("node"):
+            part = part.sort_values(["min_tag", "block"])
+            shelves[shelf] = (part["min_tag"].to_numpy(np.int64), list(part["mat"]), list(part["tags"]), {c: bounds(part, c) for c in BOUNDS})
+        out = []
+        wanted = pairs.groupby("a")["b"].apply(list)
+        for r in blocks[~blocks["stored"]].itertuples(index=False):
+            mine, best = matrix(r.mat, dims), np.full(r.n, far)
+            box = {c: np.asarray(getattr(r, c), np.float64) for c in BOUNDS}
+            for shelf in sorted(wanted[r.node], key=lambda x: (int(shelves[x][0][0]), x)):
+                least, mats, tags, near = shelves[shelf]
+                side = lambda lo, hi: np.maximum(np.maximum(near[lo] - box[hi], box[lo] - near[hi]), 0.0)
+                gap2 = np.maximum((side("lo", "hi") ** 2).sum(1), side("near", "far").max(1) ** 2)
+                span = np.maximum(near["hi"] - box["lo"], box["hi"] - near["lo"])
+                reach2 = np.minimum((span ** 2).sum(1), (near["far"] + box["far"]).min(1) ** 2)
+                whole = reach2 <= eps * eps
+                if whole.any():
+                    best = np.minimum(best, least[whole].min())
+                rest = np.nonzero(~whole & (gap2 <= eps * eps))[0]
+                for at in range(0, len(rest), step):
+                    some = rest[at:at + step]
+                    rows = np.nonzero(best > least[some[0]])[0]
+                    if not len(rows):
+                        break
+                    b, names = matrix(b"".join(mats[k] for k in some), dims), longs(b"".join(tags[k] for k in some))
+                    hit = sq_distances(mine[rows], b, (eps,)) <= eps * eps
+                    best[rows] = np.minimum(best[rows], np.where(hit, names[None, :], far).min(1, initial=far))
+            out.append(pd.DataFrame({"id": longs(r.ids)[best < far], "label": best[best < far]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": [], "label": []}).astype("int64")
 
     return run
 
@@ -128,8 +157,10 @@ def _spread_label(frames):
 def probe_cores(fresh: DataFrame, index: CoreIndex, eps: float, id_col: str, vec_col: str) -> DataFrame:
     """(id, label): smallest label of the core rows within ``eps`` of each new row, else -1.
 
-    The list of shelves to open passes through the driver: one number per 16
-    blocks of core rows at most.
+    Blocks of new rows and the shelves that the walk leaves open meet in tiles,
+    so either travels a bounded number of times until a tile is full.  The list
+    of shelves to open passes through the driver: one number per 16 blocks of
+    core rows at most.
     """
     spark = fresh.sparkSession
     new = fresh.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -137,25 +168,23 @@ def probe_cores(fresh: DataFrame, index: CoreIndex, eps: float, id_col: str, vec
         return new.select("id", F.lit(NOISE).alias("label"))
     # Rows with equal vectors get equal answers: one row per distinct vector.
     asked = settle(collapse_copies(new, "id", "vec"))
-    packed = pack_blocks(asked, index.block_rows, index.frame)
-    packed = packed.withColumn("block", F.shiftleft("part", 32).bitwiseOR(F.col("seq")))
+    # A comparison costs no less for fewer rows: the new rows' blocks are not smaller than usual.
+    size = max(index.block_rows, BLOCK_ROWS)
+    packed, bits = number_blocks(pack_blocks(asked, size, index.frame))
     near = near_shelves(packed, index, eps)
-    found = [near.filter("full").select("a", "tag")]
+    decided = near.filter("full").select("a", "tag")
     shelves = [r[0] for r in near.filter("not full").select("node").distinct().collect()]
     best = None
     if shelves:
         opened = spark.read.schema(BLOCK).option("basePath", f"{index.path}/shelves").parquet(*[f"{index.path}/shelves/shelf={s}" for s in shelves])
-        boxes = opened.select("shelf", F.col("block").alias("b"), "min_tag", *[F.col(c).alias(f"{c}_b") for c in BOUNDS])
-        mine = packed.select(F.col("block").alias("a"), *[F.col(c).alias(f"{c}_a") for c in BOUNDS])
-        met = near.filter("not full").join(boxes, F.col("node") == F.col("shelf")).join(mine, "a").filter(box_gap2() <= eps * eps)
-        pairs = settle(met.select("a", "b", F.col("min_tag").alias("tag"), (box_reach2() <= eps * eps).alias("full")))
-        found.append(pairs.filter("full").select("a", "tag"))
-        rows = (
-            pairs.filter("not full").select("a", "b")
-            .join(packed.select(F.col("block").alias("a"), F.col("mat").alias("mat_a"), F.col("ids").alias("ids_a")), "a")
-            .join(opened.select(F.col("block").alias("b"), F.col("mat").alias("mat_b"), F.col("tags").alias("tags_b")), "b"))
-        best = rows.mapInPandas(_contact_kernel(eps, len(index.frame.mean)), "id long, label long")
-    decided = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        shift = tile_width(max(shelves).bit_length(), index.block_rows << FAN_BITS)
+        dealt = near.filter("not full").select("a", F.col("node").alias("b"), F.shiftright("a", tile_width(bits, size)).alias("ta"), F.shiftright("node", shift).alias("tb"))
+        wanted = lambda side: dealt.select(F.col("ta").alias("pa"), F.col("tb").alias("pb"), F.col(side).alias("node")).distinct()
+        none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+        mine = wanted("a").join(packed.select(F.col("block").alias("node"), F.lit(False).alias("stored"), "block", "n", "ids", "mat", none("tags", "binary"), "min_tag", *BOUNDS), "node")
+        theirs = wanted("b").join(opened.select(F.col("shelf").alias("node"), F.lit(True).alias("stored"), "block", F.lit(0).alias("n"), none("ids", "binary"), "mat", "tags", "min_tag", *BOUNDS), "node")
+        best = dealt.groupBy("ta", "tb").cogroup(mine.unionByName(theirs).groupBy("pa", "pb")).applyInPandas(
+            _contact_tiles(eps, len(index.frame.mean), index.block_rows), "id long, label long")
     decided = decided.groupBy(F.col("a").alias("block")).agg(F.min("tag").alias("tag"))
     wide = packed.select("block", "ids").join(decided, "block").select("ids", "tag").mapInPandas(_spread_label, "id long, label long")
     best = (wide if best is None else wide.unionByName(best)).groupBy("id").agg(F.min("label").alias("label"))
