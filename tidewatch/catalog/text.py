@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import LOGS, TEMPLATES, logs_of, query, volume_sql
 from tidewatch.functions.scalar import nan_inf_to_zero
-from tidewatch.functions.text import STOP_WORDS, normalize_message, tokenize_ngrams
+from tidewatch.functions.text import STOP_WORDS, first_flags, normalize_message, tokenize_ngrams
 from tidewatch.operators import templates as T
 from tidewatch.operators import textmodel as M
 from tidewatch.operators import windows as W
@@ -36,9 +36,15 @@ def documents(spark, sf):
 
 @query("tokenize_ngrams", f"WITH {DOCS}{grams_sql('d', 'template', 'doc_id')} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM gr GROUP BY 1")
 def ngrams(spark, sf):
-    per_doc = documents(spark, sf).select("doc_id", F.explode(tokenize_ngrams(normalize_message("text"))).alias("term"))
-    tf = per_doc.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
+    docs = documents(spark, sf).select("doc_id", "text")
+    # A row holds its document's tokens, so it can tell first occurrences; ids of several rows (none, as a rule) are counted by id.
+    several = settle(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("doc_id").isNotNull()).select("doc_id"))
+    tokens = tokenize_ngrams(normalize_message("text"))
+    alone = docs.join(several, "doc_id", "left_anti").select("doc_id", F.inline(first_flags(tokens))).select(
+        "term", F.lit(1).cast("long").alias("n"), (F.col("first") & F.col("doc_id").isNotNull()).cast("int").alias("docs"))
+    shared = docs.join(several, "doc_id", "left_semi").select("doc_id", F.explode(tokens).alias("term")).groupBy("term", "doc_id").agg(
+        F.count(F.lit(1)).alias("n")).select("term", "n", F.lit(1).alias("docs"))
+    return alone.unionByName(shared).groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 TFIDF = f""", c AS (SELECT template, count(*) AS c FROM d GROUP BY 1){grams_sql('c', 'template', 'template, c')},
@@ -48,45 +54,43 @@ TFIDF = f""", c AS (SELECT template, count(*) AS c FROM d GROUP BY 1){grams_sql(
  w AS (SELECT template, c, term, tf * idf AS w FROM tf JOIN vo USING (term))"""
 
 
-def _doc_terms(spark, sf):
-    counts = settle(T.template_counts(documents(spark, sf).withColumnRenamed("text", "message")))
-    return counts, settle(M.term_table(counts))
+def _doc_words(spark, sf):
+    table = settle(M.word_table(T.template_counts(documents(spark, sf).withColumnRenamed("text", "message"))))
+    n = table.agg(F.sum("count")).first()[0] or 0
+    vocab = sorted(M.vocabulary(table, n).collect(), key=lambda r: r["term"])
+    return table, n, [r["term"] for r in vocab], [r["idf"] for r in vocab]
 
 
 @query("tfidf", f"WITH {DOCS}{TFIDF} SELECT md5(template) AS doc, c AS count, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY template)), 6) AS weight FROM w")
 def tfidf(spark, sf):
-    counts, terms = _doc_terms(spark, sf)
-    n = counts.agg(F.sum("count")).first()[0]
-    return M.tfidf(terms, settle(M.vocabulary(terms, n))).select("doc", "count", "term", "weight")
+    table, _, names, idf = _doc_words(spark, sf)
+    return M.tfidf(table, names, idf)
 
 
 def _svd(spark, sf):
-    """Term matrix, Gram matrix and basis of the documents."""
-    counts, terms = _doc_terms(spark, sf)
-    n = counts.agg(F.sum("count")).first()[0]
-    vocab = sorted(M.vocabulary(terms, n).collect(), key=lambda r: r["term"])
-    names, idf = [r["term"] for r in vocab], [r["idf"] for r in vocab]
-    gram, sums = M.gram_matrix(counts, names, idf)
-    return counts, n, names, idf, gram, sums, M.svd_basis(gram)
+    """Words of the documents, and model and variance share from their Gram matrix."""
+    table, n, names, idf = _doc_words(spark, sf)
+    gram, sums = M.gram_matrix(table, names, idf)
+    basis = M.svd_basis(gram)
+    share = M.svd_explained(gram, sums, n, basis) if n else 0.0
+    none = spark.createDataFrame([], "template string, rarity double")
+    return table, M.TextModel(names, idf, basis, np.zeros((1, basis.shape[1])), share, none)
 
 
 @query("svd_project")
 def svd_project(spark, sf):
-    counts, n, names, idf, gram, sums, basis = _svd(spark, sf)
-    model = M.TextModel(names, idf, basis, np.zeros((1, basis.shape[1])), 0.0, T.template_rarity(counts))
-    e = counts.withColumn("e", M.embed(model)["embedding"])
-    return e.select(M.doc_key().alias("doc"), *[F.col("e")[i].alias(f"tfidf_{i}") for i in range(basis.shape[1])])
+    table, model = _svd(spark, sf)
+    e = table.select("doc", M.embed_words(model, F.col("words"))["embedding"].alias("e"))
+    return e.select("doc", *[F.col("e")[i].alias(f"tfidf_{i}") for i in range(model.basis.shape[1])])
 
 
 @query("svd_explained")
 def svd_explained(spark, sf):
     """Variance share kept, and the variances measured again on the projected rows."""
-    counts, n, names, idf, gram, sums, basis = _svd(spark, sf)
-    model = M.TextModel(names, idf, basis, np.zeros((1, basis.shape[1])), 0.0, T.template_rarity(counts))
-    share = M.svd_explained(gram, sums, n, basis)
-    rows = counts.withColumn("e", M.embed(model)["embedding"]).select("count", F.posexplode("e").alias("dim", "y"))
+    table, model = _svd(spark, sf)
+    rows = table.select("count", M.embed_words(model, F.col("words"))["embedding"].alias("e")).select("count", F.posexplode("e").alias("dim", "y"))
     mean = F.sum(F.col("count") * F.col("y")) / F.sum("count")
-    return rows.groupBy("dim").agg((F.sum(F.col("count") * F.col("y") * F.col("y")) / F.sum("count") - mean * mean).alias("variance")).withColumn("explained", F.lit(share))
+    return rows.groupBy("dim").agg((F.sum(F.col("count") * F.col("y") * F.col("y")) / F.sum("count") - mean * mean).alias("variance")).withColumn("explained", F.lit(model.explained))
 
 
 # ---- text rows whose vectors come from the embeddings table (SQL-checkable) -------------------

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import STOP_WORDS, tokenize_ngrams
+from tidewatch.functions.text import STOP_WORDS, bind, first_flags, ngrams, tokenize_ngrams, words  # noqa: F401
 from tidewatch.operators.lloyd import best_of
 from tidewatch.operators.templates import template_counts, template_rarity
 from tidewatch.schemas import TEXT_DIMS
@@ -45,66 +45,105 @@ def doc_key(template: Column | str = "template") -> Column:
     return F.md5((F.col(template) if isinstance(template, str) else template).cast("binary"))
 
 
-def term_table(counts: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
-    """(doc, count, term, tf): one row per distinct term of a template."""
-    # Key and tokens are computed once per template, below the generator.
-    keyed = counts.select(doc_key().alias("doc"), "count", tokenize_ngrams("template", stop_words).alias("_t"))
-    terms = keyed.select("doc", "count", F.explode("_t").alias("term"))
-    return terms.groupBy("doc", "count", "term").agg(F.count(F.lit(1)).alias("tf"))
+def word_table(counts: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
+    """(doc, count, words): the words of each template, cut once; to be settled, as all later steps start from it."""
+    return counts.select(doc_key().alias("doc"), "count", words("template", stop_words).alias("words"))
 
 
-def vocabulary(terms: DataFrame, n_docs: int, size: int = VOCABULARY, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
-    """The ``size`` most frequent terms inside the document-frequency limits, with smoothed idf."""
-    stats = terms.groupBy("term").agg(F.sum("count").alias("df"), F.sum(F.col("count") * F.col("tf")).alias("total"))
-    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.desc("total"), "term").limit(size)
+def vocabulary(table: DataFrame, n_docs: int, size: int = VOCABULARY, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
+    """The ``size`` most frequent uni- and bigrams inside the document-frequency limits, with smoothed idf.
+
+    Words are counted first.  A bigram occurs no more often than either of its
+    words, and in no more documents; so only bigrams of words that are as
+    frequent as the last word of a vocabulary of words alone have to be
+    counted, and these are few.
+    """
+    def inside(stats):
+        return stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+
+    uni = table.select("count", F.inline(first_flags(F.col("words")))).groupBy("term").agg(
+        F.sum(F.when(F.col("first"), F.col("count")).otherwise(F.lit(0))).alias("df"), F.sum("count").alias("total"))
+    uni = settle(uni.filter(F.col("df") >= min_df))
+    least = [r["total"] for r in inside(uni).orderBy(F.desc("total")).limit(size).select("total").collect()]
+    often = settle(uni.filter(F.col("total") >= (least[-1] if len(least) == size else 0)).select("term"))
+    pairs = table.select("doc", "count", F.inline(F.zip_with(
+        "words", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    for side in ("a", "b"):
+        pairs = pairs.join(often.withColumnRenamed("term", side), side, "left_semi")
+    tf = pairs.groupBy("doc", "count", F.concat("a", F.lit(" "), "b").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    bi = tf.groupBy("term").agg(F.sum("count").alias("df"), F.sum(F.col("count") * F.col("tf")).alias("total"))
+    kept = inside(uni.unionByName(bi)).orderBy(F.desc("total"), "term").limit(size)
     return kept.select("term", "df", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
-def tfidf(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+def term_codes(found: Column, terms: list[str]) -> Column:
+    """Positions in ``terms`` of the uni- and bigrams of a list of words that are in the vocabulary, repeats kept."""
+    if not terms:
+        return F.array().cast("array<int>")
+    known = F.array(*[F.lit(t) for t in terms])
+    return F.transform(F.filter(bind(found, ngrams), lambda t: t.isin(*terms)), lambda t: (F.array_position(known, t) - 1).cast("int"))
+
+
+def tfidf(table: DataFrame, terms: list[str], idf: list[float]) -> DataFrame:
     """L2-normalised weights in long form (doc, count, term, weight).
 
-    ``vocab`` holds at most the vocabulary size, so broadcasting it is bounded.
+    A document's counts come from its own row: nothing is shuffled.
     """
-    raw = terms.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, "doc").select("doc", "count", "term", (F.col("_w") / F.col("_norm")).alias("weight"))
-
-
-def _term_matrix(tokens: pd.Series, index: dict[str, int], idf: np.ndarray) -> np.ndarray:
-    """L2-normalised tf-idf rows of a batch of token arrays (rows x vocabulary)."""
-    x = np.zeros((len(tokens), len(index)))
-    for row, found in enumerate(tokens):
-        for t in found if found is not None else ():
-            i = index.get(t)
-            if i is not None:
-                x[row, i] += 1.0
-    x *= idf
+    if not terms:
+        return table.select("doc", "count", F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+    names, weights = F.array(*[F.lit(t) for t in terms]), F.array(*[F.lit(float(x)) for x in idf])
+
+    def counted(codes):
+        """Weight of each distinct code of a sorted list: its run's length times its idf."""
+        def runs(own):
+            at = F.transform(own, lambda c: F.array_position(codes, c))
+            after = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(codes).cast("long") + 1))
+            tf = F.zip_with(after, at, lambda x, y: x - y)
+            return F.zip_with(own, F.slice(tf, F.lit(1), F.size(own)), lambda c, n: F.struct(c.alias("c"), (n * F.element_at(weights, c + 1)).alias("w")))
+
+        return bind(F.array_distinct(codes), runs)
+
+    raw = table.select("doc", "count", bind(F.sort_array(term_codes(F.col("words"), terms)), counted).alias("_w"))
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    rows = raw.select("doc", "count", norm.alias("_norm"), F.inline("_w"))
+    return rows.select("doc", "count", F.element_at(names, F.col("c") + 1).alias("term"), (F.col("w") / F.col("_norm")).alias("weight"))
+
+
+def _term_matrix(codes: pd.Series, idf: np.ndarray) -> np.ndarray:
+    """L2-normalised tf-idf rows of a batch of term codes (rows x vocabulary)."""
+    n, size = len(codes), len(idf)
+    lists = [c if c is not None else () for c in codes]
+    if not size or not any(map(len, lists)):
+        return np.zeros((n, size))
+    cells = np.repeat(np.arange(n) * size, [len(c) for c in lists]) + np.concatenate(lists).astype(np.int64)
+    x = np.bincount(cells, minlength=n * size).reshape(n, size) * idf
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     return x / np.where(norm > 0, norm, 1.0)
 
 
-def gram_matrix(counts: DataFrame, terms: list[str], idf: list[float], stop_words=STOP_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def gram_matrix(table: DataFrame, terms: list[str], idf: list[float]) -> tuple[np.ndarray, np.ndarray]:
     """(X'X, column sums) of the count-weighted term matrix.
 
-    Each task adds up its own V x V matrix; only those cells are shuffled and
-    summed, so the driver receives V x V numbers whatever the corpus size.
+    Tasks get term codes, never texts.  Each adds up its own V x V matrix; only
+    those cells are shuffled and summed, so the driver receives V x V numbers
+    whatever the corpus size.
     """
-    index, weights, size = {t: i for i, t in enumerate(terms)}, np.array(idf), len(terms)
+    weights, size = np.array(idf), len(terms)
 
     def partial(frames):
         gram, sums = np.zeros((size, size)), np.zeros(size)
         for pdf in frames:
             for at in range(0, len(pdf), 2048):
                 part = pdf.iloc[at:at + 2048]
-                x, c = _term_matrix(part["tokens"], index, weights), part["count"].to_numpy(np.float64)
+                x, c = _term_matrix(part["codes"], weights), part["count"].to_numpy(np.float64)
                 gram += x.T @ (x * c[:, None])
                 sums += c @ x
         i, j = np.nonzero(gram)
         yield pd.DataFrame({"i": i, "j": j, "g": gram[i, j]}).astype({"i": "int32", "j": "int32"})
         yield pd.DataFrame({"i": np.arange(size), "j": -1, "g": sums}).astype({"i": "int32", "j": "int32"})
 
-    tokens = counts.select("count", tokenize_ngrams("template", stop_words).alias("tokens"))
-    cells = tokens.mapInPandas(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+    coded = table.select("count", term_codes(F.col("words"), terms).alias("codes"))
+    cells = coded.mapInPandas(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
     gram, sums = np.zeros((size, size)), np.zeros(size)
     for r in cells.collect():
         if r["j"] < 0:
@@ -130,27 +169,26 @@ def svd_explained(gram: np.ndarray, sums: np.ndarray, n_docs: int, basis: np.nda
 
 
 def embed(model: TextModel, template: Column | str = "template") -> Column:
-    """struct(embedding, cluster, distance) of a template column.
+    """struct(embedding, cluster, distance) of a template column."""
+    return embed_words(model, words(F.col(template) if isinstance(template, str) else template, model.stop_words))
+
+
+def embed_words(model: TextModel, found: Column) -> Column:
+    """The same of the words of a template.
 
-    Tokens are cut by Spark; each Arrow batch is reduced to its distinct
-    templates before the small matrix product.
+    Spark looks the terms up; a task function sees their codes, not the text.
     """
-    index = {t: i for i, t in enumerate(model.terms)}
     idf, basis, centers = np.array(model.idf), model.basis, model.centers
-    col = F.col(template) if isinstance(template, str) else template
 
     @F.pandas_udf(EMBED)
-    def run(text: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-        codes, unique = pd.factorize(text, use_na_sentinel=False)
-        first = np.zeros(len(unique), dtype=np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        y = _term_matrix(tokens.iloc[first], index, idf) @ basis
+    def run(codes: pd.Series) -> pd.DataFrame:
+        y = _term_matrix(codes, idf) @ basis
         d2 = ((y[:, None, :] - centers[None, :, :]) ** 2).sum(2)
         best = d2.argmin(1)
         dist = np.sqrt(d2[np.arange(len(y)), best])
-        return pd.DataFrame({"embedding": list(y[codes]), "cluster": best[codes].astype(np.int32), "distance": dist[codes]})
+        return pd.DataFrame({"embedding": list(y), "cluster": best.astype(np.int32), "distance": dist})
 
-    return run(col, tokenize_ngrams(col, model.stop_words))
+    return run(term_codes(found, model.terms))
 
 
 def kmeans_fit(points: DataFrame, k: int = CLUSTERS, seed: int = SEED, restarts: int = RESTARTS, vec: str = "vec", weight: str | None = None) -> np.ndarray:
@@ -162,10 +200,10 @@ def fit_text_model(logs: DataFrame, dims: int = TEXT_DIMS, k: int = CLUSTERS, si
                    max_df: float = MAX_DF, stop_words=STOP_WORDS, restarts: int = RESTARTS) -> TextModel:
     counts = settle(template_counts(logs))
     n_docs = counts.agg(F.sum("count")).first()[0] or 0
-    terms = settle(term_table(counts, stop_words))
-    vocab = sorted(vocabulary(terms, n_docs, size, min_df, max_df).collect(), key=lambda r: r["term"])
+    table = settle(word_table(counts, stop_words))
+    vocab = sorted(vocabulary(table, n_docs, size, min_df, max_df).collect(), key=lambda r: r["term"])
     names, idf = [r["term"] for r in vocab], [r["idf"] for r in vocab]
-    gram, sums = gram_matrix(counts, names, idf, stop_words)
+    gram, sums = gram_matrix(table, names, idf)
     basis = svd_basis(gram, dims)
     explained = svd_explained(gram, sums, n_docs, basis)
     model = TextModel(names, idf, basis, np.zeros((1, dims)), explained, template_rarity(counts), tuple(stop_words))
