@@ -133,3 +133,14 @@ def test_copies_count_with_their_number(spark):
 
 def test_too_few_rows(spark):
     assert {r.label for r in H.hdbscan(frame(spark, np.eye(4)), 10, 2, "id", "vec").collect()} == {-1}
+
+
+def test_core_distances_travel_in_tiles(spark, x):
+    """A block goes to a tile once and not to every pair; copies count with their number."""
+    x = np.concatenate([x, x[:30], x[:10]])
+    space = build_blocks(settle(collapse_copies(frame(spark, x), "id", "vec")), 8)
+    cores = H.core_distances(space, [4])
+    assert "FlatMapCoGroupsInPandas" in cores._jdf.queryExecution().executedPlan().toString()
+    want = cores_of(x, 4)[1]
+    got = {r.id: r.core[0] for r in cores.collect()}
+    assert len(got) == 180 and all(np.isclose(c, want[i], atol=1e-7) for i, c in got.items())
