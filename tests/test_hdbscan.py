@@ -144,3 +144,38 @@ def test_core_distances_travel_in_tiles(spark, x):
     want = cores_of(x, 4)[1]
     got = {r.id: r.core[0] for r in cores.collect()}
     assert len(got) == 180 and all(np.isclose(c, want[i], atol=1e-7) for i, c in got.items())
+
+
+@pytest.mark.parametrize("once", [0, 10**9])
+def test_tree_in_rounds_and_at_once(spark, x, once, monkeypatch):
+    """Rounds over pruned pairs and one pass over all pairs give the one tree of the order (w, lo, hi)."""
+    monkeypatch.setattr(H, "ONCE", once)
+    x = np.concatenate([x, np.random.default_rng(5).uniform(-3, 9, (700, 2))])
+    space = build_blocks(settle(collapse_copies(frame(spark, x), "id", "vec")), 16)
+    edges = H.spanning_tree(space, settle(H.core_distances(space, [3])), 0).collect()
+    assert sorted((e.lo, e.hi) for e in edges) == sorted(e[1:] for e in tree_of(x, 3))
+
+
+def test_forest_of_a_table_in_rounds(spark):
+    rng = np.random.default_rng(2)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 60, (500, 2)).tolist() if p[0] != p[1]}
+    rows = [(float(rng.integers(0, 5)), u, v, u, v) for u, v in pairs]  # many equal weights
+    table = spark.createDataFrame(rows, "w double, lo long, hi long, u long, v long")
+    want = sorted(tuple(r) for r in H.spanning_forest(table).collect())
+    assert want == sorted(tuple(r) for r in H.spanning_forest(table, replay_limit=0).collect()) and len(want) == 59
+    assert sum(r[0] for r in want) == min_weight(rows, 60)
+
+
+def min_weight(rows, n):
+    parent, total = list(range(n)), 0.0
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for w, lo, hi, *_ in sorted(rows):
+        if find(lo) != find(hi):
+            parent[find(lo)] = find(hi)
+            total += w
+    return total
