@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import streams as S
 from tidewatch.operators.results import alarm_lines
 from tidewatch.operators.templates import first_seen_template
+from tidewatch.operators.textmodel import fit_text_model
 from tidewatch.plans.detect import fit_detector
+from tidewatch.plans.features import all_features
 from tidewatch.session import fresh_path
 from tidewatch.sources.logs import read_events
 from tidewatch.sources.sinks import read_results
@@ -61,3 +63,31 @@ def test_first_sightings_bring_their_state_store(spark, sf):
         spark.conf.set(key, before)
     found = {(r.template, r.event_id) for r in ST.read_first_sightings(spark, out).collect()}
     assert found == {(r.template, r.event_id) for r in first_seen_template(read_events(spark, sf)).collect()}
+
+
+def test_templates_that_the_model_does_not_know_count_as_in_a_batch(spark, sf, tmp_path):
+    logs = read_events(spark, sf)
+    seen = logs.filter("message LIKE 'Cache%' OR message LIKE 'Slow%'")
+    model = fit_text_model(seen, k=3, restarts=1)
+    model.extremes = (0.0, 1.0)
+    message = F.when(F.expr("event_id % 7 = 0"), F.lit("")).when(F.expr("event_id % 11 = 0"), F.lit("cache slow cache lookup slow cache key")).otherwise(F.col("message"))
+    logs.withColumn("message", message).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    stream = SF.stream_features(SF.file_stream(spark, str(tmp_path / "in"), stored.schema), model, "1 day", "60 days")
+    assert " run(" not in stream._jdf.queryExecution().analyzed().toString()  # a log goes to no task function
+    SD.each_batch(stream, S.keep(out), str(tmp_path / "cp")).awaitTermination()
+    want = {r.timestamp: r for r in all_features(stored, model, "1 day").collect()}
+    got = read_results(spark, out, "last").collect()
+    assert len(got) == len(want) > 0
+    for r in got:
+        assert all(abs(r[c] - want[r.timestamp][c]) < 1e-9 for c in want[r.timestamp].asDict() if c != "timestamp")
+
+
+def test_an_arrival_of_many_events_is_several_files_and_one_batch(spark, sf, monkeypatch):
+    monkeypatch.setattr(S, "FILE_ROWS", 300, raising=False)
+    path = S.replay(spark, sf, parts=2)
+    assert len(glob.glob(f"{path}/*.parquet")) == 8
+    sizes = []
+    SD.each_batch(S.opened(spark, path), lambda batch, i: sizes.append((i, batch.select(F.count_if(F.expr("event_id % 2 = 1")), F.count(F.lit(1))).first())), fresh_path(spark, "cp"), "append").awaitTermination()
+    assert [tuple(r) for _, r in sorted(sizes)] == [(0, 500), (500, 500)]

@@ -25,10 +25,11 @@ from tidewatch.streaming import ledger as LG
 from tidewatch.streaming import state as ST
 
 FILES, LONG = 3, "60 days"
+FILE_ROWS = 200_000  # events for each file of an arrival
 
 
 def replay(spark, sf, key=None, parts=FILES, name="replay"):
-    """Write the events as ``parts`` files in a given arrival order and open them as a stream."""
+    """Write the events as ``parts`` arrivals in a given order, to be opened as a stream."""
     path = fresh_path(spark, name)
     for i in range(parts):
         add_file(spark, sf, path, i, key, parts)
@@ -36,13 +37,24 @@ def replay(spark, sf, key=None, parts=FILES, name="replay"):
 
 
 def add_file(spark, sf, path, i, key=None, parts=FILES):
+    """Add arrival ``i``: one file, or with more than FILE_ROWS events in the table several, equally many for each arrival."""
     events = spark.read.schema(src.EVENT_SCHEMA).parquet(f"{sf}/events.parquet")
     key = F.col("event_id") % parts if key is None else key
-    events.filter(key == i).coalesce(1).write.mode("append").parquet(path)
+    files, rows = -(-events.count() // FILE_ROWS), events.filter(key == i)
+    (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+    spark.range(1, numPartitions=1).select(F.lit(max(files, 1)).alias("files")).write.mode("ignore").parquet(f"{path}-files")
+
+
+def arrivals(spark, path):
+    """The events as a stream: a micro-batch takes the files of one arrival."""
+    files = spark.read.schema("files int").parquet(f"{path}-files").first()[0]
+    if len(spark.read.schema(src.EVENT_SCHEMA).parquet(path).inputFiles()) % files:
+        raise ValueError(f"an arrival has too few events for {files} files")
+    return SF.file_stream(spark, path, src.EVENT_SCHEMA, files)
 
 
 def opened(spark, path):
-    return src.events_as_logs(SF.file_stream(spark, path, src.EVENT_SCHEMA))
+    return src.events_as_logs(arrivals(spark, path))
 
 
 def keep(path):
@@ -156,7 +168,7 @@ def throughput_counters(spark, sf):
 def latency_stage_split(spark, sf):
     """p50 and p95 per stage; the file's modification time stands for the ingest time."""
     out, path = fresh_path(spark, "latency"), replay(spark, sf)
-    stream = SF.file_stream(spark, path, src.EVENT_SCHEMA)
+    stream = arrivals(spark, path)
     stamped = stream.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("_metadata.file_modification_time").alias("ingest_time"))
     SD.start_latency(stamped, out, fresh_path(spark, "cp")).awaitTermination()
     stages = ["event_to_ingest_ms", "ingest_to_start_ms", "start_to_alert_ms"]

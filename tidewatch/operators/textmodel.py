@@ -191,6 +191,29 @@ def embed_words(model: TextModel, found: Column) -> Column:
     return run(term_codes(found, model.terms))
 
 
+def embed_rarely(model: TextModel, template: str = "template") -> Column:
+    """``embed`` as a plain expression: slower, but where a conditional holds it back a row costs nothing and goes to no task function."""
+    arrays = lambda m, kind: F.array(*[F.lit([float(x) for x in row]) for row in m]).cast(kind)
+    weights, centers = F.lit([float(x) for x in model.idf]).cast("array<double>"), arrays(model.centers, "array<array<double>>")
+    axes = arrays(model.basis[:len(model.idf)] * np.array(model.idf).reshape(-1, 1), "array<array<double>>")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+    def placed(codes: Column) -> Column:
+        along = F.aggregate(codes, F.lit([0.0] * model.basis.shape[1]), lambda s, c: F.zip_with(s, F.element_at(axes, c + 1), lambda a, b: a + b))
+        times = lambda c: F.size(F.filter(codes, lambda other: other == c))
+        norm = F.sqrt(total(F.transform(F.array_distinct(codes), lambda c: F.pow(times(c) * F.element_at(weights, c + 1), F.lit(2.0)))))
+        return bind(F.struct(along.alias("y"), F.when(norm > 0, norm).otherwise(F.lit(1.0)).alias("norm")),
+                    lambda v: bind(F.transform(v["y"], lambda y: y / v["norm"]), nearest))
+
+    def nearest(y: Column) -> Column:
+        squares = F.transform(centers, lambda m: total(F.zip_with(y, m, lambda a, b: (a - b) * (a - b))))
+        return bind(squares, lambda d2: F.struct(
+            y.alias("embedding"), (F.array_position(d2, F.array_min(d2)) - 1).cast("int").alias("cluster"), F.sqrt(F.array_min(d2)).alias("distance")))
+
+    codes = F.coalesce(term_codes(words(F.col(template), model.stop_words), model.terms), F.array().cast("array<int>"))
+    return bind(codes, placed)
+
+
 def kmeans_fit(points: DataFrame, k: int = CLUSTERS, seed: int = SEED, restarts: int = RESTARTS, vec: str = "vec", weight: str | None = None) -> np.ndarray:
     """Best of several seeded k-means runs (least cost), all run together; centres as a k x d matrix."""
     return best_of(points, k, seed, restarts, vec, weight)
