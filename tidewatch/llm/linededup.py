@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import bind
 from tidewatch.llm.common import BLANK, NOT_BLANK, content_key, words
 from tidewatch.session import fresh_path, scratch_scope, settle, short_lived_shuffles
 
@@ -50,6 +51,11 @@ def _minima(df: DataFrame, name: str, span: int) -> DataFrame:
     return df
 
 
+def _joined(start: Column, length: Column, ws: str = "ws") -> Column:
+    """Words of a list as one string, which is equal when they are: words hold no blank.  A string is hashed at once, a list word by word."""
+    return F.array_join(F.slice(ws, start, length), " ")
+
+
 def winnow(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_id, _key, marks): each document's fingerprints, an array of (at, mark).
 
@@ -63,7 +69,7 @@ def winnow(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     coded = texts.select("_id", "_key", words(F.col("_text")).alias("ws"))
     coded = coded.withColumn("low", F.slice(code, F.lit(1), F.greatest(F.size("ws") - (gram - 1), F.lit(0))))
     at = lambda c: c.bitwiseAND(F.lit(2**32 - 1)).cast("int")
-    mark = lambda c: F.struct(at(c).alias("at"), F.xxhash64(F.slice("ws", at(c) + 1, F.lit(gram))).alias("mark"))
+    mark = lambda c: F.struct(at(c).alias("at"), F.xxhash64(_joined(at(c) + 1, F.lit(gram))).alias("mark"))
     return _minima(coded, "low", span).select("_id", "_key", F.transform(F.array_distinct("low"), mark).alias("marks"))
 
 
@@ -107,8 +113,10 @@ def _occurrences(texts: DataFrame, min_words: int) -> DataFrame:
     def around(s: Column) -> Column:
         at, before = s["at"], F.least(s["at"], F.lit(span - 1))
         behind = F.least(F.size("ws") - gram - at, F.lit(span - 1))
-        context = F.slice("ws", at - before + 1, before + gram + behind)
-        return F.struct(at.alias("at"), s["mark"].alias("mark"), before.alias("before"), behind.alias("behind"), F.xxhash64(before, context).alias("c1"), F.xxhash64(F.lit(7), before, context).alias("c2"))
+        context = F.struct(s.alias("s"), before.alias("before"), behind.alias("behind"), _joined(at - before + 1, before + gram + behind).alias("text"))
+        return bind(context, lambda c: F.struct(
+            c["s"]["at"].alias("at"), c["s"]["mark"].alias("mark"), c["before"].alias("before"), c["behind"].alias("behind"),
+            F.xxhash64(c["before"], c["text"]).alias("c1"), F.xxhash64(F.lit(7), c["before"], c["text"]).alias("c2")))
 
     held = _at_words(texts, spots.join(shared, "mark", "left_semi"), "at", "mark")
     return held.select("_id", "_key", F.inline_outer(F.transform("spots", around)))
@@ -130,16 +138,21 @@ def _contexts(texts: DataFrame, leads: DataFrame, min_words: int) -> DataFrame:
 
     def around(s: Column) -> Column:
         at, before = s["at"], F.least(s["at"], F.lit(span - 1))
-        check, behind = F.xxhash64(F.lit(7), F.slice("ws", at + 1, F.lit(gram))), F.least(F.size("ws") - gram - at, F.lit(span - 1))
-        left, right = F.array_join(F.reverse(F.slice("ws", at - before + 1, before)), " "), F.array_join(F.slice("ws", at + gram + 1, behind), " ")
+        check, behind = F.xxhash64(F.lit(7), _joined(at + 1, F.lit(gram))), F.least(F.size("ws") - gram - at, F.lit(span - 1))
+        left, right = F.array_join(F.reverse(F.slice("ws", at - before + 1, before)), " "), _joined(at + gram + 1, behind)
         return F.struct(*[s[c].alias(c) for c in ("at", "mark", "main", "many")], check.alias("check"), left.alias("left"), right.alias("right"))
 
     return _at_words(texts, spots, "at", "mark", "main", "many").select("_id", "_key", F.inline_outer(F.transform("spots", around)))
 
 
-def _list(text: str) -> Column:
-    """Words of a joined string."""
-    return F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+def _length(text: str) -> Column:
+    """How many words a joined string has."""
+    return F.when(F.col(text) == "", 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit(" "))) + 1)
+
+
+def _first_words(text: str, n: Column) -> Column:
+    """The first ``n`` words of a joined string (fewer, if it has fewer), joined."""
+    return F.call_function("substring_index", F.col(text), F.lit(" "), n)
 
 
 def _agreed(a: str, b: str) -> Column:
@@ -191,12 +204,12 @@ def _others(extended: DataFrame, min_words: int) -> DataFrame:
     """
     span, _ = window_shape(min_words)
     half = span // 2
-    rows = extended.filter("many AND NOT main").withColumn("lw", _list("left")).withColumn("rw", _list("right")).drop("left", "right", "many", "main")
+    rows = extended.filter("many AND NOT main").drop("many", "main")
     l, r, zero = F.col("l"), F.col("r"), F.lit(0)
-    least, most = F.greatest(F.lit(span - 1) - F.size("rw"), zero), F.size("lw")  # what the text has room for
+    least, most = F.greatest(F.lit(span - 1) - _length("right"), zero), _length("left")  # what the text has room for
 
     def case(name: str, low: Column, high: Column, left: Column, right: Column) -> Column:
-        code = F.xxhash64("mark", "check", F.lit(name), F.slice("lw", F.lit(1), left), F.slice("rw", F.lit(1), right))
+        code = F.xxhash64("mark", "check", F.lit(name), _first_words("left", left), _first_words("right", right))
         return F.when(low <= high, F.struct(low.alias("low"), high.alias("high"), code.alias("code")))
 
     cases = F.array(
@@ -208,7 +221,7 @@ def _others(extended: DataFrame, min_words: int) -> DataFrame:
     twice = sides.groupBy("code").count().filter("count >= 2").select("code")
     live = sides.join(twice, "code", "left_semi").select(F.col("_id").alias("_lid"), F.col("_key").alias("_lkey"), F.col("at").alias("_lat"), "low", "high")
     d = F.col("d")  # words of the run before its mark
-    parts = ["mark", "check", d, F.slice("lw", F.lit(1), d), F.slice("rw", F.lit(1), F.lit(span - 1) - d)]
+    parts = ["mark", "check", d, _first_words("left", d), _first_words("right", F.lit(span - 1) - d)]
     here = (F.col("_key") == F.col("_lkey")) & (F.col("at") == F.col("_lat")) & F.col("_id").eqNullSafe(F.col("_lid"))
     runs = rows.join(live, here).withColumn("d", F.explode(F.sequence("low", "high")))
     return runs.select("_id", "_key", (F.col("at") - d).alias("pos"), F.xxhash64(*parts).alias("g1"), F.xxhash64(F.lit(7), *parts).alias("g2"))
