@@ -7,10 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BLANK, NOT_BLANK, content_key, words
+from tidewatch.llm.common import BLANK, NOT_BLANK, content_key
 from tidewatch.session import fresh_path, scratch_scope, settle, short_lived_shuffles
 
 MIN_WORDS = 50
+RARE_BLANK = r"[\x09\x0B-\x0D]"
+ONE_IN, ROUNDS = 4, 5  # of words, how many are candidates for a fingerprint; how often candidates are thinned out
 WORD_END = rf"(?<={NOT_BLANK})(?={BLANK})"
 
 
@@ -33,38 +35,52 @@ def window_shape(min_words: int) -> tuple[int, int]:
     return min_words - gram + 1, gram
 
 
-def _minima(df: DataFrame, name: str, span: int) -> DataFrame:
-    """The array ``name`` replaced by the least of each ``span`` elements in a row, by doubling: log2(span) steps, each linear.
-
-    Every step names the array more than once, so that Spark does not merge
-    them and makes each array once a row.  A filter on the result would be
-    pushed below and make them all anew, so rows are exploded with the outer
-    form, which infers none.
-    """
-    done = 1
-    while done < span:
-        step = min(done, span - done)
-        left = F.greatest(F.size(name) - step, F.lit(0))
-        df = df.withColumn(name, F.zip_with(F.slice(name, F.lit(1), left), F.slice(name, F.lit(step + 1), left), lambda a, b: F.least(a, b)))
-        done += step
-    return df
+def _words(text: Column) -> Column:
+    """``common.words``; blanks become spaces first, as a split at one plain character needs no pattern."""
+    lines = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+    plain = F.when(F.rlike(text, F.lit(RARE_BLANK)), F.regexp_replace(lines, RARE_BLANK, " ")).otherwise(lines)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def winnow(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_id, _key, marks): each document's fingerprints, an array of (at, mark).
 
-    Of the first ``span`` words of each run of ``min_words`` the one with the
-    smallest hash (the first of equals) is picked; ``at`` is its place and
-    ``mark`` the hash of the ``gram`` words from it on.  What a run picks
-    depends on its words alone, so equal runs pick equal marks at equal places.
+    One word in ``ONE_IN`` is a candidate, by its hash.  Of the first ``span``
+    words of each run of ``min_words`` the candidate with the smallest hash (the
+    first of equals) is picked, or the run's first word if none is a candidate;
+    ``at`` is its place and ``mark`` the hash of the hashes of the ``gram`` words
+    from it on.
+    What a run picks depends on its words alone, so equal runs pick equal marks
+    at equal places.
+
+    A candidate between two smaller ones that no ``span`` words pass by is
+    never picked and goes; what decides about the others stays, so a few rounds
+    leave hardly more than the picked ones.  Only gaps that held no candidate
+    before stay wider than ``span``.
     """
     span, gram = window_shape(min_words)
-    code = F.transform("ws", lambda w, i: F.shiftleft(F.hash(w).cast("long"), 32).bitwiseOR(i.cast("long")))
-    coded = texts.select("_id", "_key", words(F.col("_text")).alias("ws"))
-    coded = coded.withColumn("low", F.slice(code, F.lit(1), F.greatest(F.size("ws") - (gram - 1), F.lit(0))))
-    at = lambda c: c.bitwiseAND(F.lit(2**32 - 1)).cast("int")
-    mark = lambda c: F.struct(at(c).alias("at"), F.xxhash64(F.slice("ws", at(c) + 1, F.lit(gram))).alias("mark"))
-    return _minima(coded, "low", span).select("_id", "_key", F.transform(F.array_distinct("low"), mark).alias("marks"))
+    at = lambda c: c.bitwiseAND(F.lit(2**32 - 1)).cast("int")  # noqa: E731  places count from 1 here
+    code = F.transform("hs", lambda h, i: h.bitwiseAND(F.lit(-(2**32))).bitwiseOR((i + 1).cast("long")))
+    coded = texts.select("_id", "_key", _words(F.col("_text")).alias("ws"))
+    coded = coded.select("_id", "_key", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+    coded = coded.withColumn("room", F.when(F.size("hs") >= min_words, F.size("hs") - (gram - 1)).otherwise(0))
+    low = F.filter(F.slice(code, F.lit(1), F.col("room")), lambda c: c < F.lit(-(2**63) + 2**64 // ONE_IN))
+    coded = coded.withColumn("low", F.concat(F.array(F.lit(-(2**63))), low, F.array(F.lit(-(2**63)) + F.col("room") + 1)))
+
+    def needed(c: Column, i: Column) -> Column:
+        before, behind = F.get("low", i - 1), F.get("low", i + 1)
+        return F.coalesce((before > c) | (behind > c) | (at(behind) - at(before) > span), F.lit(True))
+
+    for _ in range(ROUNDS):
+        coded = coded.withColumn("low", F.filter("low", needed))
+
+    def places(c: Column, i: Column) -> Column:
+        behind = at(F.get("low", i + 1))
+        return F.when(behind - at(c) > span, F.sequence(at(c), behind - span)).otherwise(F.array(at(c)))
+
+    picked = F.filter(F.flatten(F.transform("low", places)), lambda p: (p > 0) & (p <= F.col("room")))
+    mark = lambda p: F.struct((p - 1).alias("at"), F.xxhash64(F.slice("hs", p, F.lit(gram))).alias("mark"))
+    return coded.select("_id", "_key", F.transform(picked, mark).alias("marks"))
 
 
 def _place(at: str = "pos") -> Column:
@@ -76,42 +92,59 @@ def _by_text(keyed: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
 
     Texts are counted by two independent 64-bit hashes; only those found twice
     or more are taken apart.  A later copy of a text with enough words is one
-    repeated run, so it needs no fingerprints.
+    repeated run, so it needs no fingerprints.  Rows that agree in id and text
+    are rare; only where there are some are texts read once more for them.
     """
-    again = settle(keyed.groupBy(F.col("_key").alias("_k"), F.col("_key2").alias("_k2")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")).filter("_rows >= 2").drop("_rows"))
+    rows = keyed.groupBy(F.col("_key").alias("_k"), F.col("_key2").alias("_k2"), "_id").agg(F.count(F.lit(1)).alias("_rows"))
+    again = settle(rows.groupBy("_k", "_k2").agg(F.min("_id").alias("_first"), F.sum("_rows").alias("_sum"), F.max("_rows").alias("_most")).filter("_sum >= 2").drop("_sum"))
     same = (F.col("_key") == F.col("_k")) & (F.col("_key2") == F.col("_k2"))
     repeated, first = keyed.join(again, same), F.col("_id").eqNullSafe(F.col("_first"))
-    heads = repeated.filter(first).dropDuplicates(["_key", "_key2"])
-    texts = keyed.join(again, same, "left_anti").unionByName(heads.select(*keyed.columns))
-    copies = repeated.filter(~first).select("_id", "_key", F.size(words(F.col("_text"))).alias("_n")).distinct()
-    return texts, copies.filter(F.col("_n") >= min_words)
+    texts = keyed.join(again, same, "left").filter(F.col("_k").isNull() | (first & (F.col("_most") == 1))).select(*keyed.columns)
+    if not again.filter("_most >= 2").isEmpty():
+        texts = texts.unionByName(repeated.filter(first & (F.col("_most") >= 2)).dropDuplicates(["_key", "_key2"]).select(*keyed.columns))
+    size = F.when(~first, F.size(_words(F.col("_text"))))  # names both sides, else the words of all texts are counted before the join
+    return texts, repeated.select("_id", "_key", size.alias("_n")).filter(F.col("_n") >= min_words).distinct()
 
 
 def _at_words(texts: DataFrame, spots: DataFrame, *cols: str) -> DataFrame:
     """(_id, _key, ws, spots): the words of the documents that have spots, and these as an array of ``cols``."""
     asked = spots.groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).agg(F.collect_list(F.struct(*cols)).alias("spots"))  # at most one per word of the document
-    return texts.join(asked, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_id", "_key", "spots", words(F.col("_text")).alias("ws"))
+    return texts.join(asked, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_id", "_key", "spots", _words(F.col("_text")).alias("ws"))
+
+
+def _sharing(texts: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(held, spots): the texts with marks that are found twice or more, and (_id, _key, at, mark) of these marks.
+
+    The list of documents is settled on its own, so that it is sent to the texts
+    where it is small, and only the texts in it are moved after that.
+    """
+    spark = texts.sparkSession
+
+    def shared() -> DataFrame:
+        every = settle(winnow(texts, min_words)).select("_id", "_key", F.inline("marks"))
+        return every.join(every.groupBy("mark").count().filter("count >= 2").select("mark"), "mark", "left_semi").select("_id", "_key", "at", "mark")
+
+    spots = _settle_alone(spark, shared)
+    asked = settle(spots.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).distinct())
+    return settle(texts.join(asked, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")), "left_semi").select("_id", "_key", "_text")), spots
 
 
-def _occurrences(texts: DataFrame, min_words: int) -> DataFrame:
+def _occurrences(held: DataFrame, spots: DataFrame, min_words: int) -> DataFrame:
     """(_id, _key, at, mark, before, behind, c1, c2): where marks stand that are found twice or more, and the words around them.
 
     ``before`` and ``behind`` say how many words there are, up to those that a
-    run of ``min_words`` around the mark can reach; c1 and c2 identify all of
-    them, by two independent 64-bit hashes.
+    run of ``min_words`` around the mark can reach; c1 and c2 are 64-bit hashes
+    of those on either side, so that with the mark they identify a context.
     """
     span, gram = window_shape(min_words)
-    spots = settle(winnow(texts, min_words)).select("_id", "_key", F.inline("marks"))
-    shared = spots.groupBy("mark").count().filter("count >= 2").select("mark")
 
     def around(s: Column) -> Column:
         at, before = s["at"], F.least(s["at"], F.lit(span - 1))
         behind = F.least(F.size("ws") - gram - at, F.lit(span - 1))
-        context = F.slice("ws", at - before + 1, before + gram + behind)
-        return F.struct(at.alias("at"), s["mark"].alias("mark"), before.alias("before"), behind.alias("behind"), F.xxhash64(before, context).alias("c1"), F.xxhash64(F.lit(7), before, context).alias("c2"))
+        left, right = F.slice("ws", at - before + 1, before), F.slice("ws", at + gram + 1, behind)
+        return F.struct(at.alias("at"), s["mark"].alias("mark"), before.alias("before"), behind.alias("behind"), F.xxhash64(before, left).alias("c1"), F.xxhash64(behind, right).alias("c2"))
 
-    held = _at_words(texts, spots.join(shared, "mark", "left_semi"), "at", "mark")
-    return held.select("_id", "_key", F.inline_outer(F.transform("spots", around)))
+    return _at_words(held, spots, "at", "mark").select("_id", "_key", F.inline_outer(F.transform("spots", around)))
 
 
 def _contexts(texts: DataFrame, leads: DataFrame, min_words: int) -> DataFrame:
@@ -246,12 +279,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     spark = docs.sparkSession
     with short_lived_shuffles(spark):
         texts, copies = _by_text(keyed, min_words)
-        found = _settle_alone(spark, lambda: _occurrences(texts, min_words))
+        held, spots = _sharing(texts, min_words)
+        found = settle(_occurrences(held, spots, min_words))
         leads = settle(found.groupBy("mark", "c1", "c2").agg(F.min(_place("at")).alias("lead"), F.count(F.lit(1)).alias("places")))
-        same = leads.filter("places >= 2").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), "lead")
-        equal = found.filter(F.col("before") + gram + F.col("behind") >= min_words).join(same, (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2")))
+        equal = found.filter(F.col("before") + gram + F.col("behind") >= min_words).join(leads.filter("places >= 2"), ["mark", "c1", "c2"])
         equal = equal.filter(_place("at") != F.col("lead")).select("_id", "_key", (F.col("at") - F.col("before")).alias("pos"), (F.col("at") + (gram - 1) + F.col("behind")).alias("end"))
-        extended = _settle_alone(spark, lambda: _extended(settle(_contexts(texts, leads, min_words))))
+        extended = _settle_alone(spark, lambda: _extended(settle(_contexts(held, leads, min_words))))
         others = _settle_alone(spark, lambda: _others(extended, min_words))
         runs = _merged(equal.unionByName(_agreeing(extended, min_words)).unionByName(_later(others, min_words)))
         whole = copies.select("_id", "_key", F.array(F.struct(F.lit(0).alias("first"), (F.col("_n") - 1).alias("last"))).alias("runs"))
