@@ -1,4 +1,8 @@
-"""Repeated passages, wherever they begin in a line: winnowed fingerprints find them, their places are joined, matches are extended both ways, and later ones go."""
+"""Repeated passages, wherever they begin in a line: winnowed fingerprints find them, their places are joined, matches are extended both ways, and later ones go.
+
+Joins of two sides that both grow with the corpus are merge joins at every
+size, so that what is measured on a small corpus holds for a large one.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from tidewatch.session import fresh_path, scratch_scope, settle, short_lived_shu
 MIN_WORDS = 50
 RARE_BLANK = r"[\x09\x0B-\x0D]"
 ONE_IN, ROUNDS = 4, 5  # of words, how many are candidates for a fingerprint; how often candidates are thinned out
-WORD_END = rf"(?<={NOT_BLANK})(?={BLANK})"
+PIECE = rf"{BLANK}*+{NOT_BLANK}++|{BLANK}++"
 
 
 def _settle_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
@@ -109,7 +113,7 @@ def _by_text(keyed: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
 def _at_words(texts: DataFrame, spots: DataFrame, *cols: str) -> DataFrame:
     """(_id, _key, ws, spots): the words of the documents that have spots, and these as an array of ``cols``."""
     asked = spots.groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).agg(F.collect_list(F.struct(*cols)).alias("spots"))  # at most one per word of the document
-    return texts.join(asked, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_id", "_key", "spots", _words(F.col("_text")).alias("ws"))
+    return texts.join(asked.hint("merge"), (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))).select("_id", "_key", "spots", _words(F.col("_text")).alias("ws"))
 
 
 def _sharing(texts: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +126,7 @@ def _sharing(texts: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
 
     def shared() -> DataFrame:
         every = settle(winnow(texts, min_words)).select("_id", "_key", F.inline("marks"))
-        return every.join(every.groupBy("mark").count().filter("count >= 2").select("mark"), "mark", "left_semi").select("_id", "_key", "at", "mark")
+        return every.join(every.groupBy("mark").count().filter("count >= 2").select("mark").hint("merge"), "mark", "left_semi").select("_id", "_key", "at", "mark")
 
     spots = _settle_alone(spark, shared)
     asked = settle(spots.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).distinct())
@@ -158,7 +162,7 @@ def _contexts(texts: DataFrame, leads: DataFrame, min_words: int) -> DataFrame:
     span, gram = window_shape(min_words)
     rank = F.struct((-F.col("places")).alias("less"), "lead")
     several = leads.groupBy("mark").agg(F.min(rank)["lead"].alias("_main"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
-    spots = leads.join(several, "mark").select(
+    spots = leads.join(several.hint("merge"), "mark").select(
         F.col("lead.id").alias("_id"), F.col("lead.key").alias("_key"), F.col("lead.at").alias("at"), "mark", (F.col("lead") == F.col("_main")).alias("main"), (F.col("_n") > 2).alias("many"))
 
     def around(s: Column) -> Column:
@@ -179,13 +183,14 @@ def _agreed(a: str, b: str) -> Column:
     """How many words two joined strings share from their beginnings on."""
     same = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: F.coalesce(x == y, F.lit(False)))
     upto = F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1
-    return F.when((F.col(a) == "") | (F.col(b) == ""), 0).otherwise(upto).cast("int")
+    whole = F.length(a) - F.length(F.replace(F.col(a), F.lit(" "))) + 1
+    return F.when((F.col(a) == "") | (F.col(b) == ""), 0).when(F.col(a) == F.col(b), whole).otherwise(upto).cast("int")
 
 
 def _extended(contexts: DataFrame) -> DataFrame:
     """The contexts with ``l`` and ``r``: how far the words agree to the left and right with the mark's main context (-1: nowhere)."""
     main = contexts.filter("main").select(F.col("mark").alias("_mark"), F.col("check").alias("_check"), F.col("left").alias("_left"), F.col("right").alias("_right"))
-    pairs = contexts.join(main, F.col("mark") == F.col("_mark"))
+    pairs = contexts.join(main.hint("merge"), F.col("mark") == F.col("_mark"))
     reach = lambda a, b: F.when(F.col("check") == F.col("_check"), _agreed(a, b)).otherwise(-1)
     side = lambda c: F.when(F.col("many") & ~F.col("main"), F.col(c)).alias(c)
     return pairs.select("_id", "_key", "at", "mark", "check", "main", "many", side("left"), side("right"), reach("left", "_left").alias("l"), reach("right", "_right").alias("r"))
@@ -198,6 +203,7 @@ def _agreeing(extended: DataFrame, min_words: int) -> DataFrame:
     has those with d from span - 1 - r to l, so the first place of each d
     follows from the first place of each (l, r), of which a mark has at most
     span * span.  Runs around one mark overlap, so those that go are one stretch.
+    Places of one mark are told apart by a 64-bit hash.
     """
     span, _ = window_shape(min_words)
     most = span - 1
@@ -205,11 +211,12 @@ def _agreeing(extended: DataFrame, min_words: int) -> DataFrame:
     tops = fits.groupBy("mark", "l", "r").agg(F.min(_place("at")).alias("place"))
     listed = tops.groupBy("mark").agg(F.collect_list(F.struct("l", "r", "place")).alias("tops"))
     first = lambda d: F.array_min(F.transform(F.filter("tops", lambda x: (x["l"] >= d) & (x["r"] >= most - d)), lambda x: x["place"]))
-    firsts = listed.select(F.col("mark").alias("_mark"), F.transform(F.sequence(F.lit(0), F.lit(most)), first).alias("firsts"))
+    firsts = listed.select(F.col("mark").alias("_mark"), F.transform(F.sequence(F.lit(0), F.lit(most)), lambda d: F.xxhash64(first(d))).alias("firsts"))
     own = F.sequence(F.greatest(F.lit(most) - F.col("r"), F.lit(0)), F.least(F.col("l"), F.lit(most)))
-    later = fits.join(firsts, F.col("mark") == F.col("_mark")).withColumn("_place", _place("at"))
-    later = later.withColumn("ds", F.filter(own, lambda d: F.get("firsts", d) != F.col("_place"))).filter(F.size("ds") > 0)
-    return later.select("_id", "_key", (F.col("at") - F.array_max("ds")).alias("pos"), (F.col("at") - F.array_min("ds") + (min_words - 1)).alias("end"))
+    later = fits.join(firsts.hint("merge"), F.col("mark") == F.col("_mark")).withColumn("_place", F.xxhash64(_place("at")))
+    later = later.withColumn("ds", F.filter(own, lambda d: F.get("firsts", d) != F.col("_place")))
+    later = later.select("_id", "_key", "at", F.inline_outer(F.array(F.struct(F.array_max("ds").alias("high"), F.array_min("ds").alias("low"))))).filter(F.col("low").isNotNull())
+    return later.select("_id", "_key", (F.col("at") - F.col("high")).alias("pos"), (F.col("at") - F.col("low") + (min_words - 1)).alias("end"))
 
 
 def _others(extended: DataFrame, min_words: int) -> DataFrame:
@@ -224,7 +231,8 @@ def _others(extended: DataFrame, min_words: int) -> DataFrame:
     """
     span, _ = window_shape(min_words)
     half = span // 2
-    rows = extended.filter("many AND NOT main").withColumn("lw", _list("left")).withColumn("rw", _list("right")).drop("left", "right", "many", "main")
+    rows = extended.filter("many AND NOT main").drop("many", "main")
+    listed = lambda df: df.withColumn("lw", _list("left")).withColumn("rw", _list("right")).drop("left", "right")
     l, r, zero = F.col("l"), F.col("r"), F.lit(0)
     least, most = F.greatest(F.lit(span - 1) - F.size("rw"), zero), F.size("lw")  # what the text has room for
 
@@ -237,20 +245,20 @@ def _others(extended: DataFrame, min_words: int) -> DataFrame:
         case("left, mostly behind", F.greatest(l + 1, least), F.least(F.lit(half - 1), most), l + 1, F.lit(span - half)),
         case("right, mostly before", F.greatest(F.lit(half), least), F.least(l, F.lit(span - 2) - r), F.lit(half), r + 1),
         case("right, mostly behind", least, F.least(l, F.lit(half - 1), F.lit(span - 2) - r), zero, F.greatest(r + 1, F.lit(span - half))))
-    sides = settle(rows.select("_id", "_key", "at", F.explode_outer(cases).alias("s")).select("_id", "_key", "at", "s.*").filter(F.col("code").isNotNull()))
+    sides = settle(listed(rows).select("_id", "_key", "at", F.explode_outer(cases).alias("s")).select("_id", "_key", "at", "s.*").filter(F.col("code").isNotNull()))
     twice = sides.groupBy("code").count().filter("count >= 2").select("code")
-    live = sides.join(twice, "code", "left_semi").select(F.col("_id").alias("_lid"), F.col("_key").alias("_lkey"), F.col("at").alias("_lat"), "low", "high")
+    live = sides.join(twice.hint("merge"), "code", "left_semi").select(F.col("_id").alias("_lid"), F.col("_key").alias("_lkey"), F.col("at").alias("_lat"), "low", "high")
     d = F.col("d")  # words of the run before its mark
     parts = ["mark", "check", d, F.slice("lw", F.lit(1), d), F.slice("rw", F.lit(1), F.lit(span - 1) - d)]
     here = (F.col("_key") == F.col("_lkey")) & (F.col("at") == F.col("_lat")) & F.col("_id").eqNullSafe(F.col("_lid"))
-    runs = rows.join(live, here).withColumn("d", F.explode(F.sequence("low", "high")))
+    runs = listed(rows.join(live.hint("merge"), here)).withColumn("d", F.explode(F.sequence("low", "high")))
     return runs.select("_id", "_key", (F.col("at") - d).alias("pos"), F.xxhash64(*parts).alias("g1"), F.xxhash64(F.lit(7), *parts).alias("g2"))
 
 
 def _later(runs: DataFrame, min_words: int) -> DataFrame:
     """(_id, _key, pos, end) of the runs whose content also stands at an earlier place."""
     firsts = runs.groupBy("g1", "g2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
-    return runs.join(firsts, ["g1", "g2"]).filter(_place() != F.col("first")).select("_id", "_key", "pos", (F.col("pos") + (min_words - 1)).alias("end"))
+    return runs.join(firsts.hint("merge"), ["g1", "g2"]).filter(_place() != F.col("first")).select("_id", "_key", "pos", (F.col("pos") + (min_words - 1)).alias("end"))
 
 
 def _merged(later: DataFrame) -> DataFrame:
@@ -282,7 +290,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
         held, spots = _sharing(texts, min_words)
         found = settle(_occurrences(held, spots, min_words))
         leads = settle(found.groupBy("mark", "c1", "c2").agg(F.min(_place("at")).alias("lead"), F.count(F.lit(1)).alias("places")))
-        equal = found.filter(F.col("before") + gram + F.col("behind") >= min_words).join(leads.filter("places >= 2"), ["mark", "c1", "c2"])
+        equal = found.filter(F.col("before") + gram + F.col("behind") >= min_words).join(leads.filter("places >= 2").hint("merge"), ["mark", "c1", "c2"])
         equal = equal.filter(_place("at") != F.col("lead")).select("_id", "_key", (F.col("at") - F.col("before")).alias("pos"), (F.col("at") + (gram - 1) + F.col("behind")).alias("end"))
         extended = _settle_alone(spark, lambda: _extended(settle(_contexts(held, leads, min_words))))
         others = _settle_alone(spark, lambda: _others(extended, min_words))
@@ -307,7 +315,7 @@ def dedup_passages(docs: DataFrame, columns: Sequence[str] | None = None, min_wo
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"))
     joined = keyed.join(runs, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")), "left")
     # A piece is a word after its white space; white space at the end of the text is one more.
-    cut = joined.withColumn("_pieces", F.when(F.col("runs").isNotNull(), F.split("_text", WORD_END, -1)))
+    cut = joined.withColumn("_pieces", F.when(F.col("runs").isNotNull(), F.regexp_extract_all("_text", F.lit(PIECE), F.lit(0))))
     begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))
     ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.size("_pieces")))
     kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice("_pieces", a + 1, b - a)))
