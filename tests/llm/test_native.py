@@ -130,6 +130,16 @@ def test_marks_are_guaranteed(spark):
     assert [linededup.window_shape(n) for n in (1, 2, 5, 50)] == [(1, 1), (2, 1), (3, 3), (26, 25)]
 
 
+def test_words_of_copies_are_cut_after_the_join(spark):
+    """The words of all texts were once cut to find those of the few copies."""
+    rows = [(i, prose(i % 4, 60)) for i in range(6)]
+    keyed = spark.createDataFrame(rows, "_id long, _text string").selectExpr("_id", "xxhash64(_text) _key", "xxhash64(7, _text) _key2", "_text")
+    texts, copies = linededup._by_text(keyed, 50)
+    plan = copies._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "split(" not in plan[plan.index(":- "):]  # from the join's first side on
+    assert sorted(r._id for r in texts.collect()) == [0, 1, 2, 3] and sorted((r._id, r._n) for r in copies.collect()) == [(4, 60), (5, 60)]
+
+
 def brute_passages(rows, least=50):
     """Every pair of places is compared; each maximal equal run of enough words cuts its later place."""
     docs = sorted({(d is None, d or 0, t) for d, t in rows if t is not None})

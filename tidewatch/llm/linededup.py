@@ -119,8 +119,7 @@ def _at_words(texts: DataFrame, spots: DataFrame, *cols: str) -> DataFrame:
 def _sharing(texts: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(held, spots): the texts with marks that are found twice or more, and (_id, _key, at, mark) of these marks.
 
-    The list of documents is settled on its own, so that it is sent to the texts
-    where it is small, and only the texts in it are moved after that.
+    All texts are moved once, to the list of documents; what follows moves held texts only.
     """
     spark = texts.sparkSession
 
@@ -130,7 +129,7 @@ def _sharing(texts: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
 
     spots = _settle_alone(spark, shared)
     asked = settle(spots.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey")).distinct())
-    return settle(texts.join(asked, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")), "left_semi").select("_id", "_key", "_text")), spots
+    return settle(texts.join(asked.hint("merge"), (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")), "left_semi").select("_id", "_key", "_text")), spots
 
 
 def _occurrences(held: DataFrame, spots: DataFrame, min_words: int) -> DataFrame:
@@ -313,7 +312,7 @@ def dedup_passages(docs: DataFrame, columns: Sequence[str] | None = None, min_wo
     columns = [c for c in (docs.columns if columns is None else columns) if c != "removed_words"]
     runs = repeated_passages(docs, min_words, doc_id, text).select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), "runs")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{doc_id}`").alias("_id"), content_key(F.col(f"`{text}`")).alias("_key"))
-    joined = keyed.join(runs, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")), "left")
+    joined = keyed.join(runs.hint("merge"), (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")), "left")
     # A piece is a word after its white space; white space at the end of the text is one more.
     cut = joined.withColumn("_pieces", F.when(F.col("runs").isNotNull(), F.regexp_extract_all("_text", F.lit(PIECE), F.lit(0))))
     begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))
