@@ -146,6 +146,22 @@ def test_core_distances_travel_in_tiles(spark, x):
     assert len(got) == 180 and all(np.isclose(c, want[i], atol=1e-7) for i, c in got.items())
 
 
+def test_core_distance_query_returns_every_copy(spark, x, tmp_path):
+    """Each row has its distance, also rows that share their vector; five rows have no fifth other one."""
+    from tidewatch.catalog.base import QUERIES
+
+    def run(rows, name):
+        table = [(i, [float(v) for v in row], 0) for i, row in enumerate(rows)]
+        spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        return QUERIES["hdbscan_core_distance"](spark, f"{tmp_path}/{name}").collect()
+
+    x = np.concatenate([x, x[:30], x[:10], np.repeat(x[40:41], 6, axis=0)])
+    got, want = run(x, "copies"), cores_of(x, 5)[1]
+    assert sorted(r.id for r in got) == list(range(len(x)))
+    assert all(np.isclose(r.core_distance, want[r.id], atol=1e-6) for r in got)
+    assert len(run(x[:6], "six")) == 6 and not run(x[:5], "five")
+
+
 @pytest.mark.parametrize("once", [0, 10**9])
 def test_tree_in_rounds_and_at_once(spark, x, once, monkeypatch):
     """Rounds over pruned pairs and one pass over all pairs give the one tree of the order (w, lo, hi)."""
