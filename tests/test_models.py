@@ -268,6 +268,36 @@ def test_small_blocks_are_compared_as_nodes(spark):
     assert {r.level for r in B.block_pairs(space, -1.0, 0.5).collect()} == {1}
 
 
+@pytest.mark.parametrize("kind, share", [("clusters", 1.0), ("one cloud", 0.9)])
+def test_settled_rows_are_not_compared_again(spark, monkeypatch, kind, share):
+    """Turns give the labels of brute force; later ones leave out pairs of nodes that have nothing to add."""
+    rng = np.random.default_rng(4)
+    if kind == "clusters":
+        x = np.concatenate([rng.uniform(0, 6, (1400, 2)), rng.normal((15, 3), 0.4, (400, 2)), rng.uniform(-4, 20, (60, 2)), np.full((40, 2), 3.0)])
+        settings = [(0.35, 4), (0.5, 12)]
+    else:
+        x, settings = rng.uniform(0, 4, (1920, 4)), [(1.8, 4), (2.0, 8)]
+    pairs, plain = [], B.compare_rows
+
+    def counting(space, todo, *args, **options):
+        pairs.append(todo.count())
+        return plain(space, todo, *args, **options)
+
+    monkeypatch.setattr(D, "compare_rows", counting)
+
+    def labels():
+        pairs.clear()
+        got = D.dbscan_grid(frame(spark, x), settings, "id", "vec", block_rows=64).collect()
+        for i, (eps, need) in enumerate(settings):
+            assert {r.id: r.label for r in got if r.setting == i} == dict(enumerate(brute(x, eps, need).tolist()))
+        return sum(pairs)
+
+    at_once = labels()
+    monkeypatch.setattr(B, "TURNS_FROM", 1)
+    monkeypatch.setattr(B, "TURNS", (16, 4))
+    assert labels() < share * at_once and len(pairs) > 2
+
+
 def brute_contact(fresh, cores, labels, eps):
     d = np.sqrt(((fresh[:, None] - cores[None]) ** 2).sum(2)) <= eps
     return [int(labels[row].min()) if row.any() else -1 for row in d]
