@@ -172,6 +172,37 @@ def test_tree_in_rounds_and_at_once(spark, x, once, monkeypatch):
     assert sorted((e.lo, e.hi) for e in edges) == sorted(e[1:] for e in tree_of(x, 3))
 
 
+@pytest.mark.parametrize("kind", ["mixture", "far clusters", "lattice"])
+def test_tree_from_listed_rows(spark, x, kind):
+    """Lists that hold no edge between clusters, or equal distances only, give the tree of all pairs."""
+    rng = np.random.default_rng(5)
+    if kind == "mixture":
+        x = np.concatenate([x, rng.uniform(-3, 9, (500, 2))])
+    elif kind == "far clusters":
+        x = np.concatenate([rng.normal(c, 0.2, (120, 3)) for c in ((0, 0, 0), (9, 0, 0), (0, 9, 1), (9, 9, 5))])
+    else:
+        x = np.unique(np.round(rng.uniform(0, 14, (300, 2))), axis=0)
+    space = build_blocks(settle(collapse_copies(frame(spark, x), "id", "vec")), 64)
+    cores = settle(H.core_distances(space, [3], 5))
+    edges = H.tree_from_lists(space, cores).collect()
+    want = tree_of(x, 3)
+    assert len(edges) == len(x) - 1 and np.allclose(sorted(e.w for e in edges), sorted(e[0] for e in want), atol=1e-7)
+    if kind != "lattice":
+        assert sorted((e.lo, e.hi) for e in edges) == sorted(e[1:] for e in want)
+
+
+def test_core_distances_in_turns(spark, x, monkeypatch):
+    from tidewatch.operators import blocks as B
+
+    monkeypatch.setattr(B, "TURNS_FROM", 1)
+    monkeypatch.setattr(B, "TURNS", (8, 4))
+    space = build_blocks(settle(collapse_copies(frame(spark, x), "id", "vec")), 64)
+    got = {r.id: r for r in H.core_distances(space, [4], 6).collect()}
+    assert np.allclose([got[i].core[0] for i in range(len(x))], cores_of(x, 4)[1], atol=1e-7)
+    d = cores_of(x, 4)[0]
+    assert all({n.id for n in got[i].near} == set(np.argsort(d[i] + (np.arange(len(x)) == i) * 1e9)[:6].tolist()) for i in range(len(x)))
+
+
 def test_forest_of_a_table_in_rounds(spark):
     rng = np.random.default_rng(2)
     pairs = {tuple(sorted(p)) for p in rng.integers(0, 60, (500, 2)).tolist() if p[0] != p[1]}
